@@ -45,9 +45,55 @@ def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(), WINDOW_TOKENS, END_ID)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP5_SQL = """
+WITH folded AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), sized AS (
+  SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM folded
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM sized
+"""
+
+OP8_SQL = """
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), split AS (
+  SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM texts
+), shingles AS (
+  SELECT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM split WHERE len(w) > 0
+), own AS (
+  SELECT DISTINCT kind, id, s FROM shingles
+), sizes AS (
+  SELECT id, count(*) AS n_item FROM own WHERE kind = 'i' GROUP BY id
+), shared AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM own d JOIN own i ON d.s = i.s WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY d.id, i.id
+)
+SELECT doc_id, item_id, n_item, n_shared, round(n_shared / n_item, 6) AS containment
+FROM shared JOIN sizes ON shared.item_id = sizes.id WHERE n_shared * 5 >= n_item * 4
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_token_counts, op6_token_files, op7_retrieval_packing)}
+    return {f.__name__: f for f in (op1_language_id, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL}

@@ -63,6 +63,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"), percent=85, n=3)
+
+
 OP5_SQL = """
 WITH folded AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -92,7 +98,7 @@ FROM shared JOIN sizes ON shared.item_id = sizes.id WHERE n_shared * 5 >= n_item
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

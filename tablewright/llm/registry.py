@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeated_words
+
+    return remove_repeated_words(table(spark, sf_dir, "documents"), length=20)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -98,7 +104,7 @@ FROM shared JOIN sizes ON shared.item_id = sizes.id WHERE n_shared * 5 >= n_item
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op3_substring_dedup, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

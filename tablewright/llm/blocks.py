@@ -147,9 +147,13 @@ def first_holder(payloads: list[bytes], *order) -> list[bytes]:
     held = [unpack(p, np.uint64, *order) for p in payloads]
     sizes = [len(h[0]) for h in held]
     columns = [np.concatenate(c) for c in zip(*held)]
-    by = np.lexsort((np.repeat(np.arange(len(held)), sizes), *columns[:0:-1], columns[0]))
-    later = np.ones(len(by), np.uint8)
-    later[by[np.flatnonzero(np.diff(columns[0][by], prepend=columns[0][by[:1]] + np.uint64(1)))]] = 0
+    by = np.lexsort((*columns[:0:-1], columns[0]))
+    columns = [c[by] for c in columns]
+    first = np.flatnonzero(np.diff(columns[0], prepend=columns[0][:1] + np.uint64(1)))
+    spread = np.repeat(first, np.diff(first, append=len(by)))
+    later = np.zeros(len(by), np.uint8)
+    for c in columns[1:]:  # equal keys are not smaller than one another
+        later[by[c != c[spread]]] = 1
     return [p.tobytes() for p in np.split(later, np.cumsum(sizes)[:-1])]
 
 

@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeated_words
 
@@ -110,7 +116,7 @@ FROM shared JOIN sizes ON shared.item_id = sizes.id WHERE n_shared * 5 >= n_item
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op3_substring_dedup, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination, op9_suffix_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination, op9_suffix_dedup, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,7 +30,12 @@ HOT_PART = 5_000
 #: Rows of one group that are compared with its kept row in one task.
 GROUP_SLICE = 512
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER, BOUNDED = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+#: Settings of the stream: state on disk, native memory bounded, no disk space set aside before it is used.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def folded(text: Column) -> Column:
@@ -52,9 +57,9 @@ def _keyed_by_stream(rows: DataFrame, folder: str, most_bytes: int) -> DataFrame
     """Run the stream over the files of ``rows`` and return its state: digest, kept row, number of rows."""
     spark, source, checkpoint = rows.sparkSession, f"{folder}/rows", f"{folder}/stream"
     rows.write.parquet(source)
-    before = {k: spark.conf.get(k, None) for k in (PROVIDER, BOUNDED)}
-    spark.conf.set(PROVIDER, ROCKSDB)
-    spark.conf.set(BOUNDED, "true")
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", most_bytes).parquet(source)
         state = stream.groupBy("key").agg(F.max(F.struct("doc_id", "file", "place")).alias("kept"), F.count("*").alias("n"))

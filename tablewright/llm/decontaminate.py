@@ -70,7 +70,8 @@ def find_contained(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, n:
         sketch = F.broadcast(sketch)
     probes = source.select("file", "place", F.explode(shingles(F.col("text"), n, hashed=True)).alias("hash"))
     candidates = written(probes.join(sketch, "hash").select("file", "place", "item").distinct(), "candidates")
-    held = source.join(candidates.select("file", "place").distinct(), ["file", "place"]).select("doc_id", "file", "place", F.array_distinct(shingles(F.col("text"), n)).alias("own"))
+    # The same plan at every size: texts are dealt by their place, never by a list that is sent everywhere.
+    held = source.join(candidates.select("file", "place").distinct().hint("merge"), ["file", "place"]).select("doc_id", "file", "place", F.array_distinct(shingles(F.col("text"), n)).alias("own"))
     asked = candidates.withColumn("salt", F.pmod(F.xxhash64("file", "place"), F.lit(ITEM_SALTS)).cast("int"))
     spread = items.select("item", "shingles", "needed", F.explode(F.sequence(F.lit(0), F.lit(ITEM_SALTS - 1))).alias("salt"))
     pairs = asked.join(spread, ["item", "salt"]).join(held, ["file", "place"]).where(F.size("own") >= F.col("needed"))

@@ -7,6 +7,10 @@ for each item.  An item costs a few bytes in the shuffle, is sent once for a
 block however often it occurs there, and hot items meet as one entry for each
 block, so no task gathers the copies of anything.
 
+There are as many payloads as blocks times buckets; ``block_bytes`` should grow
+with the collection and the workers' memory (about 20 times a block) so that a
+payload stays well filled.
+
 Later rounds see all earlier answers, and all rounds are one plan, so the texts
 are shuffled once and that exchange is reused.  Nothing is kept outside Spark's
 own shuffles, and lost executors are dealt with by its retries.
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id, which is smaller than any other.
 NO_DOC = -(1 << 63)
+#: Blocks of a small collection.
+LEAST_BLOCKS = 8
 QUESTION = "bucket int, blk int, round int, payload binary"
 _QUESTION = pa.schema([("bucket", pa.int32()), ("blk", pa.int32()), ("round", pa.int32()), ("payload", pa.binary())])
 
@@ -86,8 +92,7 @@ class Rounds:
     def __init__(self, docs: DataFrame, block_bytes: int = 6_000_000):
         docs = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.count = max(1, partitions, math.ceil(size / block_bytes))
+        self.count = max(LEAST_BLOCKS, math.ceil(size / block_bytes))
         # Rows without a number are dealt by their text.
         spread = F.when(F.col("doc_id") == NO_DOC, F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
         self.blocks = docs.select(F.pmod(spread, F.lit(self.count)).cast("int").alias("blk"), "doc_id", "text")

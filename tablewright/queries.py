@@ -49,7 +49,7 @@ def gappy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Profiles -------------------------------------------------------------------------------------
 
 
-@query(each(LINE_NUMBERS, "SELECT '{c}' AS \"column\", count(*) AS \"rows\", count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM lineitem") + " UNION ALL " + each(LINE_OTHERS, "SELECT '{c}', count(*), count(*) - count({c}), count(DISTINCT {c}), NULL, NULL, NULL, NULL FROM lineitem"))
+@query(each(LINE_NUMBERS, "SELECT '{c}' AS \"column\", count(*) AS \"rows\", count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", round_even(avg({c}), 4) AS mean, round_even(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM lineitem") + " UNION ALL " + each(LINE_OTHERS, "SELECT '{c}', count(*), count(*) - count({c}), count(DISTINCT {c}), NULL, NULL, NULL, NULL FROM lineitem"))
 def column_profile(spark, sf_dir):
     return profile.column_stats(read(spark, sf_dir, "lineitem")).select("column", "rows", "nulls", "distinct", "mean", "std", "min", "max")
 

@@ -143,6 +143,14 @@ def text_roles(df: DataFrame) -> DataFrame:
     return sizes.withColumn("role", role)
 
 
+def overview(df: DataFrame) -> DataFrame:
+    """One row for each column: type, distinct values and gaps as numbers and shares of the rows, and uniqueness."""
+    s = column_stats(df)
+    held = F.col("rows") - F.col("nulls")
+    share = lambda c: F.coalesce(F.try_divide(c, F.col("rows")), F.lit(0.0))
+    return s.select("position", "column", "dtype", "rows", F.col("distinct").alias("n_distinct"), share(F.col("distinct")).alias("p_distinct"), F.col("nulls").alias("n_missing"), share(F.col("nulls")).alias("p_missing"), ((held > 0) & (F.col("distinct") == held)).alias("is_unique"))
+
+
 # --- Facts: what the rule-based operators need, gathered once -------------------------------------
 
 

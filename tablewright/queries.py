@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import texts as X
 from .functions.numbers import col
-from .operators import analyze, audit, clean, compare, drift, mutate, profile, relations, repair, validate
+from .operators import analyze, audit, clean, compare, drift, learn, mutate, profile, relations, repair, validate
+from .sources import fingerprint as fingerprints
+from .sources import stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +56,11 @@ def column_profile(spark, sf_dir):
     return profile.column_stats(read(spark, sf_dir, "lineitem")).select("column", "rows", "nulls", "distinct", "mean", "std", "min", "max")
 
 
+@query(each(["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "SELECT '{c}' AS \"column\", count(*) AS \"rows\", count(DISTINCT {c}) AS n_distinct, round(count(DISTINCT {c}) / count(*), 6) AS p_distinct, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) = count({c}) AS is_unique FROM customer"))
+def column_overview(spark, sf_dir):
+    return profile.overview(read(spark, sf_dir, "customer")).select("column", "rows", "n_distinct", F.round("p_distinct", 6).alias("p_distinct"), "n_missing", "is_unique")
+
+
 @query(each(["event_id", "ts", "user_id", "event_type", "value"], f"SELECT '{{c}}' AS \"column\", count(*) AS \"rows\", count(*) - count({{c}}) AS nulls, round((count(*) - count({{c}})) * 100.0 / count(*), 1) AS null_pct FROM {GAPPY} g"))
 def null_summary(spark, sf_dir):
     return profile.null_counts(gappy_events(spark, sf_dir)).withColumn("null_pct", F.round((F.col("nulls") * 100.0 / F.col("rows")), 1))
@@ -561,3 +568,78 @@ def gaussian_noise(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     m = mutator().inject_noise(e, 0.1, ["value"]).select("event_id", F.col("value").alias("new"))
     return e.join(m, "event_id").agg(F.count("*").alias("n"), F.round(F.stddev_samp(F.col("new") - F.col("value")) / F.stddev_samp("value"), 2).alias("relative_noise"))
+
+
+# --- Stores, fingerprints and models --------------------------------------------------------------
+
+
+@query("SELECT count(*) AS \"rows\", CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), CAST(r_regionkey AS VARCHAR), r_name)), 1, 15) AS BIGINT)) AS VARCHAR) AS content FROM region")
+def fingerprint(spark, sf_dir):
+    return fingerprints.content_hash(read(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+
+
+@query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS version, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent FROM events")
+def version_numbers(spark, sf_dir):
+    return stores.numbered_versions(read(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("event_id", "version", "parent")
+
+
+def event_log(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.select(F.col("user_id").cast("string").alias("run_id"), F.lit("events").alias("dataset_name"), F.col("event_id").alias("sequence"), F.col("event_type").alias("stage"), F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("column"), F.col("ts").cast("string").alias("recorded_at"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS stage, count(*) AS events, count(DISTINCT event_id % 3) AS columns, min(event_id) AS first FROM events GROUP BY user_id, event_type")
+def lineage_history(spark, sf_dir):
+    return stores.stage_summary(event_log(spark, sf_dir)).withColumn("columns", F.size("columns").cast("long"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS events FROM events GROUP BY user_id")
+def lineage_runs(spark, sf_dir):
+    return stores.runs_of(event_log(spark, sf_dir)).select("run_id", "events")
+
+
+@query("WITH p AS (SELECT event_id % 3 AS label, (event_id * 7 % 5) % 3 AS prediction FROM events), k AS (SELECT l.k, (SELECT count(*) FROM p WHERE label = l.k) AS a, (SELECT count(*) FROM p WHERE prediction = l.k) AS s, (SELECT count(*) FROM p WHERE label = l.k AND prediction = l.k) AS h FROM (VALUES (0), (1), (2)) l(k)), m AS (SELECT a, h, h / s AS p, h / a AS r FROM k), f AS (SELECT *, 2 * p * r / (p + r) AS f FROM m) SELECT round(sum(h) / sum(a), 6) AS accuracy, round(sum(p * a) / sum(a), 6) AS precision, round(sum(r * a) / sum(a), 6) AS recall, round(sum(f * a) / sum(a), 6) AS f1 FROM f")
+def model_metrics(spark, sf_dir):
+    said = read(spark, sf_dir, "events").select((F.col("event_id") % 3).cast("double").alias("label"), ((F.col("event_id") * 7 % 5) % 3).cast("double").alias("prediction"))
+    return learn.class_metrics(said, 3).select(*[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@query("SELECT round(avg(abs(l_quantity - p)), 5) AS mae, round(sqrt(avg((l_quantity - p) ** 2)), 5) AS rmse, round(1 - sum((l_quantity - p) ** 2) / (var_pop(l_quantity) * count(*)), 5) AS r2 FROM (SELECT l_quantity, 25 + l_linenumber AS p FROM lineitem) x")
+def regression_metrics(spark, sf_dir):
+    said = read(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("label"), (F.lit(25.0) + F.col("l_linenumber")).alias("prediction"))
+    return learn.regression_metrics(said).select(*[F.round(c, 5).alias(c) for c in ("mae", "rmse", "r2")])
+
+
+@query("SELECT c AS \"column\", nulls, pct FROM (SELECT 'event_type' AS c, count(*) - count(event_type) AS nulls, round((count(*) - count(event_type)) * 100.0 / count(*), 1) AS pct FROM " + GAPPY + " g UNION ALL SELECT 'value', count(*) - count(value), round((count(*) - count(value)) * 100.0 / count(*), 1) FROM " + GAPPY + " g) x WHERE nulls > 0")
+def missing_overview(spark, sf_dir):
+    found = profile.null_counts(gappy_events(spark, sf_dir)).where("nulls > 0").orderBy(F.desc("null_pct"))
+    return found.select("column", "nulls", F.round(F.col("nulls") * 100.0 / F.col("rows"), 1).alias("pct"))
+
+
+@query("SELECT count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL")
+def task_split_counts(spark, sf_dir):
+    """Train and test make up the whole table."""
+    df = learn.with_row_id(read(spark, sf_dir, "customer"))
+    parts = learn.split(df, "c_mktsegment", "classification")
+    return parts[0].unionByName(parts[1]).agg(F.count("*").alias("n"))
+
+
+def rated_customers(spark, sf_dir) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    return c.select("c_acctbal", "c_nationkey", "c_mktsegment", F.when(F.col("c_acctbal") > 4000, "high").otherwise("low").alias("rating"))
+
+
+@query()
+def train_model(spark, sf_dir):
+    model = learn.train(rated_customers(spark, sf_dir), "rating", trees=5)
+    return spark.createDataFrame([(model.name, model.task, round(model.metrics["f1"], 4))], "name string, task string, f1 double")
+
+
+@query()
+def robustness_curve(spark, sf_dir):
+    return learn.robustness(rated_customers(spark, sf_dir), "rating", "noise", (0.0, 0.1, 0.3), trees=5)
+
+
+@query()
+def permutation_importance(spark, sf_dir):
+    return learn.permutation_importance(learn.train(rated_customers(spark, sf_dir), "rating", trees=5), repeats=2)

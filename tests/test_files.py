@@ -6,7 +6,7 @@ import pytest
 
 from tablewright.__main__ import main
 from tablewright.plans.pipeline import Context, Status, run_pipeline
-from tablewright.sources import errors, files, fingerprint, stores
+from tablewright.sources import errors, files, fingerprint, objects, params, stores
 from tablewright.streaming.drift_stream import StreamingDrift
 
 MESSY = """id,age,salary,city,score,signup,target
@@ -69,6 +69,18 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint(df) == same != fingerprint.fingerprint(df.where("id > 0"))
 
 
+def test_objects_and_params(spark, tmp_path):
+    path = f"file://{tmp_path}/o.json"
+    objects.save_json(spark, path, {"a": [1, 2]})
+    copy = objects.backup(spark, path)
+    assert objects.load_json(spark, copy) == {"a": [1, 2]} and objects.size(spark, path) > 0
+    assert objects.delete(spark, path) and not objects.exists(spark, path)
+    (tmp_path / "p.yaml").write_text("data:\n  drift:\n    psi_warning: 0.2\n  quality:\n    health_score_weights:\n      timeliness: 0.3\n")
+    rules = params.drift_rules(f"{tmp_path}/p.yaml", min_samples=5)
+    assert rules["psi_warning"] == 0.2 and rules["min_samples"] == 5 and rules["psi_critical"] == 0.25
+    assert params.health_weights(f"{tmp_path}/p.yaml")["reliability"] == 0.3
+
+
 def test_registry_and_lineage(spark, tmp_path):
     r = stores.Registry(spark, f"{tmp_path}/registry")
     first, second = r.register("sales_v1.csv", "p", 3, 2, "x"), r.register("sales_v2.csv", "p", 4, 2, "y")

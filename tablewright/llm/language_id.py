@@ -30,7 +30,7 @@ from .shared import text_slices
 UNKNOWN = "und"
 WIDTHS = (2, 3, 4, 5)
 #: Windows that are scored at a time; bounds the arrays.
-BATCH = 2048
+BATCH = 256
 
 
 def byte_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -162,6 +162,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
             tokens += len(flat)
             if tokens >= shard_tokens:
                 yield close()
+        own.forget()
         if held:
             yield close()
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word definitions: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows in an Arrow batch.
+BATCH_ROWS = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,7 +40,9 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give executors this package, once for each application, so that workers can import it wherever the driver found it."""
+    """Give executors this package, once for each application, so that workers can import it wherever the driver found it, and bound the session's Arrow batches."""
+    # Batches between Spark and Python stay small even where texts are long.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_tablewright_shipped", False):
         return
@@ -98,7 +102,7 @@ def map_file(uri: str, dtype: str) -> np.ndarray:
         return np.frombuffer(file.readall(), dtype)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], most: int = 12_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], most: int = 6_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice's texts hold about ``most`` bytes; a longer text is alone in its slice."""
     for batch in batches:
         if not batch.num_rows:

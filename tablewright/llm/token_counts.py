@@ -4,7 +4,7 @@ Each distinct pre-token of a batch is one sequence of symbols; all sequences
 lie behind one another in one flat array.  In every round each sequence
 applies its own lowest-rank pair, at all places at once, until no sequence has
 a pair left; what survives are the tokens.  Counts of chunks are cached by the
-Python worker and summed per document.
+task and summed per document.
 
 Null texts count as empty.  Rows keep their order and repeated rows are counted
 again.  Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
@@ -64,6 +64,9 @@ class MergeCounter:
         self.known: dict[str, int] = {}
         self.words: dict[str, int] = {}
 
+    def forget(self) -> None:
+        self.known, self.words = {}, {}
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -176,5 +179,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
             n = own.count(texts)
             sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, pa.array(n, pa.int64()), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        own.forget()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -65,6 +65,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                 ends.append(offsets[1:] + total)
                 total += len(flat)
                 docs_seen.append(part.column("doc_id").fill_null(int(NO_DOC)).to_numpy())
+        own.forget()
         if not docs_seen:
             return
         with create_file(f"{folder}/{name}.off") as out:

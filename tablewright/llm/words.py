@@ -20,24 +20,41 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 PLACE = _draw.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread all bits of 64-bit numbers (the finaliser of splitmix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.cumprod(table)
-    return _powers[0], _powers[1]
+def _small_table(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to 65,535 of a base, and of its 65,536th power."""
+    low = np.full(1 << 16, base, np.uint64)
+    low[0] = 1
+    low = np.cumprod(low)
+    high = np.full(1 << 16, low[-1:] * base, np.uint64)
+    high[0] = 1
+    return low, np.cumprod(high)
+
+
+_UP, _DOWN = _small_table(_BASE), _small_table(_INVERSE)
+
+
+def _powers_between(table: tuple[np.ndarray, np.ndarray], start: int, stop: int) -> np.ndarray:
+    """Powers ``start`` to ``stop`` - 1, for ``stop`` up to 2 ** 32."""
+    low, high = table
+    cuts = [start, *range((start >> 16) + 1 << 16, stop, 1 << 16), stop]
+    return np.concatenate([low[a & 0xFFFF : (a & 0xFFFF) + b - a] * high[a >> 16] for a, b in zip(cuts, cuts[1:])])
+
+
+def _powers_at(table: tuple[np.ndarray, np.ndarray], places: np.ndarray) -> np.ndarray:
+    low, high = table
+    return high[places >> 16] * low[places & 0xFFFF]
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,16 +67,25 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running sums by which :func:`span_hash` hashes any span of the bytes."""
-    power, _ = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    low, high = _UP
+    for k in range(0, len(data), 1 << 16):  # pieces that fit the processor's cache
+        terms = _BYTE[data[k : k + (1 << 16)]]
+        terms *= low[: len(terms)]
+        terms *= high[k >> 16]
+        terms[0] += sums[k]
+        np.cumsum(terms, out=sums[k + 1 : k + 1 + len(terms)])
     return sums
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span; equal bytes, equal hash, wherever they are."""
-    _, inverse = _power_tables(len(sums))
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * PLACE[63])
+    return mix((sums[ends] - sums[starts]) * _powers_at(_DOWN, starts) + (ends - starts).astype(np.uint64) * PLACE[63])
+
+
+def rolling_hash(sums: np.ndarray, length: int, start: int, stop: int) -> np.ndarray:
+    """:func:`span_hash` of the spans of one length that begin from ``start`` up to ``stop``."""
+    return mix((sums[start + length : stop + length] - sums[start:stop]) * _powers_between(_DOWN, start, stop) + np.uint64(length) * PLACE[63])
 
 
 @dataclass

@@ -2,12 +2,13 @@
 
 A document is its set of distinct shingles.  Documents with equal sets form a
 class, and classes are what is compared.  A signature has ``SYMBOLS`` minima of
-16 bits.  Two signatures within ``DISTANCE`` unequal symbols agree, by the
-pigeonhole principle, on all symbols but one of at least one of ``CHUNKS``
-chunks; every chunk is therefore indexed under each choice of the one symbol
-that may be wrong.  All pairs under the distance meet under some key.  At the
-similarity of 0.85 a symbol differs with probability 0.15, so a pair lies beyond
-the distance with probability below one in a million.
+16 bits.  Two signatures within a distance of unequal symbols agree, by the
+pigeonhole principle, on all symbols but one of at least one chunk, if there are
+more than half as many chunks as symbols may differ; every chunk is therefore
+indexed under each choice of the one symbol that may be wrong.  All pairs under
+the distance meet under some key.  The distance follows from the similarity: at
+0.85 a symbol differs with probability 0.15, and a pair lies beyond the distance
+with probability below one in a million.
 
 Pairs of a key are never all formed.  Each key has a centre, its member that
 shares keys with the most others; every member is confirmed against the centre
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -37,16 +39,31 @@ from pyspark.sql import functions as F
 from .shared import text_slices, written
 from .words import mix, shingle_hashes, words_of
 
-SYMBOLS, CHUNKS, DISTANCE = 64, 13, 25
-assert DISTANCE < 2 * CHUNKS  # else a pair could have two errors in every chunk
+SYMBOLS = 64
+#: Probability with which a pair of just the least similarity lies beyond the distance.
+MISSED = 1e-6
 #: Members of a group that are compared at a time, and confirmed with their centre in one task.
 BLOCK = 256
+#: Bytes of text that a task handles at a time.
+SLICE_BYTES = 4_000_000
 #: Stands for a null doc_id.
 NO_DOC = -(1 << 63)
 _draw = np.random.default_rng(31)
 _FLIP = _draw.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _TIMES = _draw.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_EDGES = np.linspace(0, SYMBOLS, CHUNKS + 1).round().astype(int)
+
+
+def distance_for(percent: int) -> int:
+    """Unequal symbols that pairs of this similarity stay within."""
+    p = 1 - percent / 100
+    tail = lambda t: sum(comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k) for k in range(t + 1, SYMBOLS + 1))
+    return next(t for t in range(SYMBOLS + 1) if tail(t) < MISSED)
+
+
+def chunk_edges(percent: int) -> list[int]:
+    """Bounds of the chunks: so many that one has at most one unequal symbol."""
+    chunks = min(distance_for(percent) // 2 + 1, SYMBOLS // 2)
+    return np.linspace(0, SYMBOLS, chunks + 1).round().astype(int).tolist()
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -73,10 +90,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return found
 
 
-def index_keys(signs: np.ndarray) -> np.ndarray:
+def index_keys(signs: np.ndarray, percent: int = 85) -> np.ndarray:
     """A 64-bit key for each chunk and each symbol of it that may be wrong."""
-    keys = []
-    for c, (s, e) in enumerate(zip(_EDGES[:-1], _EDGES[1:])):
+    keys, edges = [], chunk_edges(percent)
+    for c, (s, e) in enumerate(zip(edges, edges[1:])):
         for wrong in range(s, e):
             total = np.full(len(signs), c << 8 | wrong - s, np.uint64)
             for k in range(s, e):
@@ -89,15 +106,15 @@ def index_keys(signs: np.ndarray) -> np.ndarray:
 _SKETCH = "doc_id long, n_shingles long, set_key binary, signature binary, keys array<long>"
 
 
-def sketches(docs: DataFrame, n: int) -> DataFrame:
+def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit key of the set, the signature and its index keys; the last three null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, SLICE_BYTES):
             sets = shingle_sets(part.column("text"), n)
             full = [s for s in sets if len(s)]
             signs = signatures(full)
-            keys = iter(index_keys(signs))
+            keys = iter(index_keys(signs, percent))
             signs = iter(signs)
             rows = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(signs).tobytes(), next(keys)) if len(s) else (None, None, None) for s in sets]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "signature", "keys"])
@@ -109,7 +126,7 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
     """doc_id and shingles (array of 64-bit hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, SLICE_BYTES):
             sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), n)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
@@ -141,13 +158,13 @@ def _similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
 
 def block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links between two blocks of one group, of pairs in different components; sets are compared where signatures allow it."""
-    found = []
+    found, distance = [], distance_for(percent)
     right_signs = np.stack([np.frombuffer(s, np.uint16) for s in right["signature"]])
     right_labels, right_ids, right_n = right["label"].to_numpy(), right["node"].to_numpy(), right["n"].to_numpy()
     right_sets = list(right["shingles"])
     for node, label, n, sign, own in zip(left["node"], left["label"], left["n"], left["signature"], left["shingles"]):
         unequal = (right_signs != np.frombuffer(sign, np.uint16)).sum(1)
-        maybe = (unequal <= DISTANCE) & (right_labels != label) & (100 * np.minimum(right_n, n) >= percent * np.maximum(right_n, n))
+        maybe = (unequal <= distance) & (right_labels != label) & (100 * np.minimum(right_n, n) >= percent * np.maximum(right_n, n))
         for at in np.flatnonzero(maybe):
             shared = len(np.intersect1d(own, right_sets[at], assume_unique=True))
             if _similar(shared, n, right_n[at], percent):
@@ -158,7 +175,7 @@ def block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[t
 def link_documents(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; links have 100 * intersection >= ``percent`` * union."""
     docs = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)).alias("doc_id"), docs["text"])
-    sketched = written(sketches(docs, n), "sketches")
+    sketched = written(sketches(docs, n, percent), "sketches")
     own = sketched.where(F.col("set_key").isNotNull())
     classes = written(own.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("keys").alias("keys")), "classes")
 
@@ -170,8 +187,9 @@ def link_documents(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     members = written(keyed.join(centres, "key").where(F.col("node") != F.col("centre")).select("node", "centre").distinct(), "members")
 
     involved = members.select("node").union(members.select("centre")).distinct()
-    sets = docs.join(involved, docs.doc_id == involved.node, "left_semi")
-    sets = written(full_sets(sets, n).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "sets").withColumnRenamed("doc_id", "node")
+    # Joins that carry texts, sets or signatures are sort-merge joins at every size, so that plans do not change as tables grow.
+    sets = docs.join(involved.hint("merge"), docs.doc_id == involved.node, "left_semi")
+    sets = written(full_sets(sets, n).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "sets").withColumnRenamed("doc_id", "node").hint("merge")
 
     # Members against centres, a centre's set repeated for each BLOCK of its members.
     slices = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
@@ -181,6 +199,13 @@ def link_documents(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     union_n = F.size("shingles") + F.size("centre_set") - shared_n
     judged = written(dealt.join(sets, "node").join(spread, ["centre", "slice"]).select("node", "centre", shared_n.alias("shared"), union_n.alias("union")), "judged")
     links = judged.where(F.col("shared") * 100 >= F.col("union") * percent).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+
+    # Rows of one doc_id in several classes are one node.
+    owned = written(sketched.select("doc_id", "set_key").join(classes.select("set_key", "node").hint("merge"), "set_key").select("doc_id", "node"), "owned")
+    torn = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max(F.col("doc_id")).alias("own")).where("a <> b OR a <> own")
+    whole = owned.join(torn.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).union(torn.select("a", F.col("own").alias("b")))
+    numbered = classes.select(F.col("node").alias("b")).distinct()
+    links = links.union(whole.join(numbered, "b", "left_semi").where("a <> b").select("a", "b"))
     labels = components(links)
 
     more = _search_on(judged, labels, classes, sets, percent)
@@ -188,8 +213,8 @@ def link_documents(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
         labels = components(links.union(more))
 
     node_of = classes.select("set_key", F.col("node"))
-    home = node_of.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    rows = sketched.select("doc_id", "n_shingles", "set_key").join(home, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    home = node_of.join(labels.hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    rows = sketched.select("doc_id", "n_shingles", "set_key").join(home.hint("merge"), "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     hidden = lambda c: F.when(F.col(c) != NO_DOC, F.col(c)).alias(c)
     return rows.select(hidden("doc_id"), "n_shingles", hidden("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
@@ -204,7 +229,7 @@ def _search_on(judged: DataFrame, labels: DataFrame, classes: DataFrame, sets: D
     rows = known.join(open_groups, "centre")
     # Bands of the distance to the centre, as wide as a link may be long; a link joins one band or two next to each other.
     band = F.floor(F.col("far") * 100 / (100 - percent) - 1e-9).cast("int")
-    rows = rows.withColumn("band", F.greatest(F.lit(0), band)).join(classes.select("node", "n", "signature"), "node").join(sets, "node")
+    rows = rows.withColumn("band", F.greatest(F.lit(0), band)).join(classes.select("node", "n", "signature").hint("merge"), "node").join(sets, "node")
     sizes = rows.groupBy("centre", "band", "main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cells = written(sizes.select("centre", "band", "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "cells")
     if cells.isEmpty():

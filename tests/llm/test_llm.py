@@ -363,13 +363,14 @@ def test_near_null_numbers(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(None, None), (4, None)}
 
 
-def test_pigeonhole_finds_every_pair_within_the_distance():
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pigeonhole_finds_every_pair_within_the_distance(percent):
     draw = np.random.default_rng(8)
     base = draw.integers(0, 1 << 16, (200, near_dedup.SYMBOLS)).astype(np.uint16)
     other = base.copy()
     for row in other:
-        row[draw.choice(near_dedup.SYMBOLS, near_dedup.DISTANCE, replace=False)] ^= 1
-    assert all(set(a) & set(b) for a, b in zip(near_dedup.index_keys(base), near_dedup.index_keys(other)))
+        row[draw.choice(near_dedup.SYMBOLS, near_dedup.distance_for(percent), replace=False)] ^= 1
+    assert all(set(a) & set(b) for a, b in zip(near_dedup.index_keys(base, percent), near_dedup.index_keys(other, percent)))
 
 
 def test_words_are_split_in_bytes():

@@ -44,6 +44,8 @@ SYMBOLS = 64
 MISSED = 1e-6
 #: Members of a group that are compared at a time, and confirmed with their centre in one task.
 BLOCK = 256
+#: Most keys over which the members of one group are spread when they are joined with facts about the group.
+SALTS = 64
 #: Bytes of text that a task handles at a time.
 SLICE_BYTES = 4_000_000
 #: Stands for a null doc_id.
@@ -230,11 +232,14 @@ def _search_on(judged: DataFrame, labels: DataFrame, classes: DataFrame, sets: D
     # Bands of the distance to the centre, as wide as a link may be long; a link joins one band or two next to each other.
     band = F.floor(F.col("far") * 100 / (100 - percent) - 1e-9).cast("int")
     rows = rows.withColumn("band", F.greatest(F.lit(0), band)).join(classes.select("node", "n", "signature").hint("merge"), "node").join(sets, "node")
-    sizes = rows.groupBy("centre", "band", "main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.withColumn("salts", F.least(F.lit(SALTS), F.ceil((F.col("outside") + F.col("inside")) / BLOCK)).cast("int"))
+    sizes = rows.groupBy("centre", "band", "main", "salts").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cells = written(sizes.select("centre", "band", "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "cells")
     if cells.isEmpty():
         return None
-    placed = rows.join(sizes, ["centre", "band", "main"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("centre", F.struct("band", "main", "block").alias("cell"), "node", "label", "n", "signature", "shingles")
+    # A large group's members meet its number of blocks in several places.
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    placed = rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.col("salts")).cast("int")).join(salted.hint("merge"), ["centre", "band", "main", "salt"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("centre", F.struct("band", "main", "block").alias("cell"), "node", "label", "n", "signature", "shingles")
     a, b = (cells.select("centre", F.struct("band", "main", "block").alias(name)) for name in ("left", "right"))
     # Blocks of the query set (not in the centre's component) with blocks of the bands around; each pair of blocks once.
     asked = a.where(~F.col("left.main")).join(b, "centre").where(F.abs(F.col("left.band") - F.col("right.band")) <= 1)

@@ -11,10 +11,11 @@ windows of its own anchor.  Neighbouring windows that share an anchor are a run.
 3. Representatives of an anchor are counted; one that is alone is done.
 4. The bytes of the others go to the bucket of their anchor.  Each block's runs
    are a shard with its own Burrows-Wheeler transform.  The bucket merges the
-   shards' transforms by refining their interleave, one leading byte in each
-   iteration, so no suffixes are sorted again; the iteration in which two
-   neighbours part is their common prefix, and what never parts is an interval
-   of suffixes that share LENGTH bytes.  The smallest document of each interval
+   shards' transforms by refining their interleave, up to 24 more leading bytes
+   in each iteration (a transform holds so many bytes before each suffix instead
+   of one), so no suffixes are sorted again; the iteration in which two
+   neighbours part bounds their common prefix, and what never parts is an
+   interval of suffixes that share LENGTH bytes.  The smallest document of each interval
    is the one that keeps the bytes.
 
 An anchor with more than ``HOT`` representatives (a passage that very many
@@ -36,10 +37,11 @@ from pyspark.sql import DataFrame
 
 from .blocks import NO_DOC, Block, Deal, Rounds, bucket_of, first_holder, note_bucket, pack, repeated_elsewhere, unpack
 from .tokens import ragged_gather
-from .words import PLACE, mix, prefix_hash, span_hash, text_bytes
+from .words import PLACE, mix, prefix_hash, rolling_hash, span_hash, text_bytes
 
 LENGTH, ANCHOR, HOT = 50, 24, 4096
 SPAN = LENGTH - ANCHOR + 1  # places of the anchor in a window
+PIECE = (1 << 16) - 2 * SPAN  # windows whose hashes are looked at together
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 ALONE, SEVERAL, TOO_MANY = 0, 1, 2
 
@@ -47,91 +49,126 @@ ALONE, SEVERAL, TOO_MANY = 0, 1, 2
 # --- Burrows-Wheeler transforms -------------------------------------------------------------------
 
 
-def shard_transform(codes: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order (by ``length`` leading codes) and transform of strings that each end with code 0.
+class Strings8:
+    """Strings that each end with code 0, and numbers that stand for several codes from each place.
 
-    ``ends`` are the places of the zeros.  Suffixes do not go beyond their string.
+    Words of eight codes are replaced by their ranks among the words that occur,
+    so that one number holds up to 24 codes.  Numbers compare as their codes do,
+    end with their string, and are odd if they end before it.
     """
-    n = len(codes)
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # codes before the string's end
-    padded = np.concatenate([codes.astype(np.uint64), np.zeros(8, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = key << np.uint64(8) | np.where(left > j, padded[j : j + n], 0).astype(np.uint64)
-    size = 8
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray):
+        self.codes, n = codes, len(codes)
+        self.places = np.arange(n, dtype=np.int64)
+        ends = np.cumsum(sizes)
+        self.start, self.ring = np.repeat(ends - sizes, sizes), np.repeat(sizes, sizes)
+        self.left = self.start + self.ring - 1 - self.places  # codes before the string's end
+        words, self.rank = np.unique(self._packed(8), return_inverse=True)
+        self.rank = (self.rank + 1).astype(np.uint64)
+        self.parts = 3 if len(words) + 1 < 1 << 21 else 1
+        self.most = 8 * self.parts
+
+    def _packed(self, width: int) -> np.ndarray:
+        padded, key = np.concatenate([self.codes, np.zeros(width, np.uint8)]), np.zeros(len(self.codes), np.uint64)
+        for j in range(width):
+            key <<= np.uint64(8)
+            key |= np.where(self.left > j, padded[j : j + len(self.codes)], 0).astype(np.uint64)
+        return key
+
+    def widths(self, length: int) -> list[int]:
+        """Steps that add up to ``length``."""
+        found = [self.most] * (length // self.most)
+        while sum(found) < length:
+            found.append(min(8, length - sum(found)))
+        return found
+
+    def numbers(self, width: int) -> np.ndarray:
+        if width < 8:
+            key = self._packed(width)
+        elif width == 8:
+            key = self.rank
+        else:
+            key = joined(self.rank, self.left, 8, width // 8)
+        return key << np.uint64(1) | (self.left >= width).astype(np.uint64)
+
+
+def joined(rank: np.ndarray, left: np.ndarray, step: int, parts: int) -> np.ndarray:
+    """Ranks at each place and at the next ones ``step`` apart in one number, 0 behind a string's end."""
+    bits, key = np.uint64(63 // parts), np.zeros(len(rank), np.uint64)
+    padded = np.concatenate([rank, np.zeros(step * parts, np.uint64)])
+    for j in range(parts):
+        key = key << bits | np.where(left >= step * j, padded[step * j : step * j + len(rank)], np.uint64(0))
+    return key
+
+
+def suffix_order(key: np.ndarray, left: np.ndarray, size: int, length: int) -> np.ndarray:
+    """A shard's suffixes by ``length`` leading codes, from numbers for ``size`` codes; suffixes do not go beyond their string."""
     while True:
         order = np.argsort(key, kind="stable")
-        held = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[0], held[1:] != held[:-1]])).astype(np.uint64) + np.uint64(1)
         if size >= length:
-            break
-        beyond = np.where(left > size, rank[np.minimum(np.arange(n) + size, n - 1)], 0).astype(np.uint64)
-        key, size = rank << np.uint64(32) | beyond, size * 2
-    before = codes[np.maximum(order - 1, 0)]
-    starts = np.zeros(n, bool)
-    starts[0] = True
-    starts[ends[:-1] + 1] = True
-    return order, np.where(starts[order], 0, before).astype(np.uint8)
+            return order
+        held = key[order]
+        rank = np.empty(len(key), np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[1], held[1:] != held[:-1]])).astype(np.uint64)
+        parts = 3 if len(key) < (1 << 21) - 1 else 2
+        key, size = joined(rank, left, size, parts), size * parts
 
 
-def merge_transforms(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merged order of the shards' rows, and each row's common prefix with the row before it (``length`` at most).
+def merge_transforms(transforms: dict[int, np.ndarray], sizes: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Merged order of the shards' rows, and a bound below each row's common prefix with the row before it.
 
     Rows are numbered through all shards.  The interleave starts with one shard
-    behind the other.  An iteration deals its rows, in their order, to the
-    codes before them; the rows are then in order by one more leading code.  A
+    behind the other.  An iteration deals its rows, in their order, to the codes
+    before them; the rows are then in order by so many more leading codes.  A
     shard's own rows never change their order, so only shard numbers move.
     """
-    sizes = np.array(list(map(len, transforms)))
-    every = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) < 256 else np.uint32), sizes)
-    n = len(every)
-    rows = np.arange(n)
-    group = np.zeros(n, np.int32)
+    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) < 256 else np.uint16 if len(sizes) < 1 << 16 else np.uint32), sizes)
+    n, length = int(sizes.sum()), sum(widths)
+    rows, group = np.arange(n), np.zeros(n, np.int32)
     common = np.full(n, length, np.uint8)
     common[:1] = 0
-    terminators = int((every == 0).sum())
-    for step in range(1, length + 1):
-        codes = every[rows]
+    reached = 0
+    for width in widths:
+        codes = transforms[width][rows]
         deal = np.argsort(codes, kind="stable")
         codes, was, shard = codes[deal], group[deal], shard[deal]
-        parts = np.empty(n, bool)
-        parts[:1] = True
-        parts[1:] = (codes[1:] != codes[:-1]) | (was[1:] != was[:-1])
-        parts[1:terminators] = False  # what follows a string's end does not count
-        common[parts & (common == length)] = step - 1
-        group = np.cumsum(parts, dtype=np.int32)
+        parts = codes[1:] != codes[:-1]
+        # What follows a string's end does not count.
+        parts |= (was[1:] != was[:-1]) & (codes[1:] & np.uint64(1) != 0)
+        common[1:][parts & (common[1:] == length)] = reached
+        group[0] = 0
+        group[1:] = np.cumsum(parts, dtype=np.int32)
         rows = np.empty(n, np.int64)
         rows[np.argsort(shard, kind="stable")] = np.arange(n)
+        reached += width
     return rows, common
 
 
 def earlier_windows(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> list[np.ndarray]:
     """For each shard (bytes of its strings, their sizes, their documents): 1 for each window that a smaller document holds."""
-    orders, transforms, docs, windows, base = [], [], [], [], 0
-    for data, sizes, doc in shards:
-        ends = np.cumsum(sizes + 1) - 1
-        codes = np.insert(data + np.uint8(1), np.cumsum(sizes), 0)  # UTF-8 has no byte 255
-        order, transform = shard_transform(codes, ends, length)
-        orders.append(order + base)
-        transforms.append(transform)
-        docs.append(np.repeat(doc, sizes + 1))
-        whole = ends[np.searchsorted(ends, np.arange(len(codes)))] - np.arange(len(codes)) >= length
-        windows.append(whole)
-        base += len(codes)
-    rows, common = merge_transforms(transforms, length)
-    place = np.concatenate(orders)[rows]  # of each merged row, in all shards' strings
-    doc, whole = np.concatenate(docs)[place], np.concatenate(windows)[place]
+    string_sizes = np.concatenate([sizes for _, sizes, _ in shards]) + 1
+    # UTF-8 has no byte 255, so that bytes move up by one and 0 ends a string.
+    codes = np.insert(np.concatenate([data for data, _, _ in shards]) + np.uint8(1), np.cumsum(string_sizes - 1), 0)
+    strings = Strings8(codes, string_sizes)
+    widths = strings.widths(length)
+    numbers = {w: strings.numbers(w) for w in set(widths)}
+    sizes = np.array([int(s.sum()) + len(s) for _, s, _ in shards])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    order = np.concatenate([suffix_order(numbers[strings.most][s:e], strings.left[s:e], strings.most, length) + s for s, e in zip(bounds, bounds[1:])])
+    # A shard's transform has the codes before each of its suffixes, in their order, the string taken as a ring.
+    start, ring = strings.start, strings.ring
+    transforms = {w: numbers[w][(start + (strings.places - start - w) % ring)[order]] for w in numbers}
+    rows, common = merge_transforms(transforms, sizes, widths)
+    place = order[rows]  # of each merged row, in all shards' strings
+    keep = strings.left >= length
+    doc = np.repeat(np.concatenate([d for _, _, d in shards]), string_sizes)[place]
     first = np.flatnonzero(common < length)
-    interval = np.cumsum(common < length) - 1
-    smallest = np.minimum.reduceat(doc, first)[interval]
-    found = np.zeros(base, np.uint8)
-    found[place] = whole & (doc > smallest)
+    smallest = np.repeat(np.minimum.reduceat(doc, first), np.diff(first, append=len(doc)))
+    found = np.zeros(len(codes), bool)
+    found[place] = doc > smallest
     # Windows of a string come in the order of their starts.
-    keep = np.concatenate(windows)
-    limits = np.cumsum([int(w.sum()) for w in windows])[:-1]
-    return np.split(found[keep], limits)
+    windows = np.concatenate([[0], np.cumsum(keep)])[bounds]
+    return np.split(found[keep].astype(np.uint8), windows[1:-1])
 
 
 def answer_strings(payloads: list[bytes]) -> list[bytes]:
@@ -155,17 +192,19 @@ class Runs:
         self.first = self.count = self.anchor = np.zeros(0, np.int64)
         if n < SPAN:
             return
-        bits = np.uint64(max(1, n).bit_length())
-        grams = span_hash(self.sums, np.arange(n), np.arange(n) + ANCHOR)
-        low = (grams >> bits << bits) | np.arange(n, dtype=np.uint64)  # ties go to the left
-        width = 1
-        while width * 2 <= SPAN:
-            low = np.minimum(low[: len(low) - width], low[width:])
-            width *= 2
-        if width < SPAN:
-            low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
-        at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        fits = np.zeros(len(at) + 1, bool)  # windows inside a text
+        total, at, bits = n - SPAN + 1, np.empty(n - SPAN + 1, np.int64), np.uint64(PIECE.bit_length())
+        for k in range(0, total, PIECE):  # pieces that fit the processor's cache
+            stop = min(k + PIECE, total)
+            low = rolling_hash(self.sums, ANCHOR, k, stop + SPAN - 1)
+            low = (low >> bits << bits) | np.arange(len(low), dtype=np.uint64)  # ties go to the left
+            width = 1
+            while width * 2 <= SPAN:
+                low = np.minimum(low[: len(low) - width], low[width:])
+                width *= 2
+            if width < SPAN:
+                low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
+            at[k:stop] = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64) + k
+        # Windows inside a text.
         sizes = np.diff(self.bounds)
         has = sizes >= LENGTH
         edges = np.zeros(len(self.data) + 2, np.int32)

@@ -1,12 +1,19 @@
 """Licence notices in documents by conditional compression.
 
-Candidate blocks are runs of lines that hold a word of licence language.  Each is
-compressed by zstandard alone and with each template as its raw dictionary; the
-bytes that a template saves, relative to the most it could save (compressing the
-template itself), rank the templates.  The winner is confirmed by its wording:
-almost all of its words stand in the block in their order, none that carries a
-number or tells the licences apart is missing, and no such word of another
-licence stands between them.
+Words of licence language seed candidate blocks: a block reaches as many words to
+both sides of them as a notice can have, so a notice is in it whole, however its
+lines are broken or prefixed.  Each block is compressed by zstandard alone and
+with each template as its raw dictionary; the bytes that a template saves,
+relative to the most it could save (compressing the template itself), rank the
+templates.  Each template is then held against the block by its wording: where
+almost all of its words stand in their order, none that carries a number or tells
+the licences apart is missing, and no such word of another licence stands between
+them, its licence is confirmed.  Of confirmed places that overlap, the one with
+more words counts, then the better rank.  The rest of the block is judged again;
+what is left with a word of licence language is a row that is not confirmed.
+
+``block_line`` is the line where a confirmed notice begins, or else the line of
+the first word of licence language.
 
 Null and empty texts have no blocks.  Rows are scanned each, also repeated ones;
 a null ``doc_id`` stays null.  An empty table gives an empty result.  Equal
@@ -16,10 +23,12 @@ read.
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -52,6 +61,12 @@ CUES = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|creative c
 SCHEMA = "doc_id long, block_line long, license string, saving double, n_missing long, n_extra long, confirmed boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("block_line", pa.int64()), ("license", pa.string()), ("saving", pa.float64()), ("n_missing", pa.int64()), ("n_extra", pa.int64()), ("confirmed", pa.bool_())])
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:\.\p{N}+)*")
+#: The number of a list's item.
+_ITEM = regex.compile(r"\p{N}{1,2}[.)](?=\s|$)")
+#: Shares of a template's words that may be missing, and that may stand between them.
+MOST_MISSING, MOST_EXTRA = 0.1, 0.2
+#: In an alignment, what a missing word costs, and a word that rules the template out; bits of a place.
+_MISSING, _RULED_OUT, _PLACE = 2, 1 << 13, 25
 
 
 def wording(text: str) -> list[str]:
@@ -65,6 +80,41 @@ class Match:
     n_missing: int
     n_extra: int
     confirmed: bool
+    line: int = 0
+
+
+class Text:
+    """Words of a text, their places, and the words of licence language."""
+
+    def __init__(self, text: str, cue: regex.Pattern, number: dict[str, int]):
+        found = list(_WORD.finditer(text))
+        self.text, self.begin, self.end = text, [m.start() for m in found], [m.end() for m in found]
+        self.words = [m.group().lower() for m in found]
+        self.ids = np.fromiter((number.get(w, -1) for w in self.words), np.int64, len(found))
+        self.item = np.fromiter((w.isdigit() and _ITEM.match(text, at) is not None for w, at in zip(self.words, self.begin)), bool, len(found))
+        # A cue is at the word in which it ends or begins.
+        self.cues = sorted({min(bisect_left(self.end, m.start() + 1), len(found) - 1) for m in cue.finditer(text)}) if found else []
+
+    def between(self, a: int, b: int) -> str:
+        return self.text[self.begin[a] : self.end[b - 1]]
+
+    def line(self, at: int) -> int:
+        return self.text.count("\n", 0, self.begin[at])
+
+    def cue_in(self, a: int, b: int) -> int | None:
+        at = bisect_left(self.cues, a)
+        return self.cues[at] if at < len(self.cues) and self.cues[at] < b else None
+
+    def blocks(self, reach: int) -> list[tuple[int, int]]:
+        """Runs of words within ``reach`` of a cue."""
+        found: list[list[int]] = []
+        for at in self.cues:
+            a, b = max(at - reach, 0), min(at + reach + 1, len(self.words))
+            if found and a <= found[-1][1]:
+                found[-1][1] = b
+            else:
+                found.append([a, b])
+        return [(a, b) for a, b in found]
 
 
 class Scanner:
@@ -77,6 +127,7 @@ class Scanner:
         self.given = [make(dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, text in templates]
         self.most = [self.size(text) - len(g.compress(text.encode())) for (_, text), g in zip(templates, self.given)]
         self.words = [wording(text) for _, text in templates]
+        self.cue = regex.compile(CUES)
         common = set.intersection(*map(set, self.words)) if templates else set()
         used = {name: set() for name in self.names}
         for name, words in zip(self.names, self.words):
@@ -84,6 +135,20 @@ class Scanner:
         #: Words of at most a third of the licences tell them apart.
         self.telling = {w for words in used.values() for w in words - common if sum(w in u for u in used.values()) * 3 <= len(used)}
 
+        self.number = {w: i for i, w in enumerate(sorted(set().union(*self.words)))}
+        self.ids = [[self.number[w] for w in words] for words in self.words]
+        self.counts = [Counter(ids) for ids in self.ids]
+        named = [w for w in self.number if w in self.telling]
+        #: What each word of a template costs where it is missing, and what each known word costs where it stands between.
+        self.costs = [[_MISSING + _RULED_OUT * (w in self.telling or any(c.isdigit() for c in w)) for w in words] for words in self.words]
+        self.between = []
+        for words in self.words:
+            cost = np.ones(len(self.number) + 1, np.int64)  # the last one is that of unknown words
+            cost[[self.number[w] for w in named if w not in words]] += _RULED_OUT
+            self.between.append(cost)
+        #: A confirmed notice has no word further from any other than this.
+        self.reach = int(max(map(len, self.words), default=0) * (1 + MOST_EXTRA)) + 1
+
     def size(self, text: str) -> int:
         return len(self.alone.compress(text.encode()))
 
@@ -92,45 +157,90 @@ class Scanner:
         raw, plain = block.encode(), self.size(block)
         return sorted(((plain - len(g.compress(raw))) / max(m, 1), -k) for k, (g, m) in enumerate(zip(self.given, self.most)))[::-1]
 
-    def judge(self, block: str, most_missing: float = 0.1, most_extra: float = 0.2) -> Match:
-        saving, at = self.rank(block)[0]
-        words, held = self.words[-at], wording(block)
-        same = [m for m in difflib.SequenceMatcher(None, words, held, autojunk=False).get_matching_blocks() if m.size]
-        kept = {m.a + k for m in same for k in range(m.size)}
-        missing = [w for k, w in enumerate(words) if k not in kept]
-        inside = {m.b + k for m in same for k in range(m.size)}
-        extra = [w for k, w in enumerate(held[: max(inside, default=-1) + 1]) if k > min(inside) and k not in inside]
-        telling = [w for w in missing if w in self.telling or any(c.isdigit() for c in w)] + [w for w in extra if w in self.telling and w not in words]
-        sure = not telling and len(missing) <= most_missing * len(words) and len(extra) <= most_extra * len(words)
-        return Match(self.names[-at], round(saving, 6), len(missing), len(extra), sure)
-
-
-def candidate_blocks(text: str, cue: regex.Pattern) -> list[tuple[int, str]]:
-    """First line number and text of each run of lines with a cue."""
-    found: list[tuple[int, list[str]]] = []
-    last = -2
-    for number, line in enumerate(text.split("\n")):
-        if cue.search(line):
-            if number == last + 1:
-                found[-1][1].append(line)
-            else:
-                found.append((number, [line]))
-            last = number
-    return [(n, "\n".join(lines)) for n, lines in found]
+    def saving(self, block: str, k: int) -> float:
+        return (self.size(block) - len(self.given[k].compress(block.encode()))) / max(self.most[k], 1)
+
+    def align(self, k: int, ids: np.ndarray, item: np.ndarray) -> list[np.ndarray]:
+        """For each end in a run of words, the start, missing words, extra words and ruling-out words of the cheapest place of a template.
+
+        A key holds the cost above and the start below, later starts first.
+        """
+        cost = self.between[k][ids]
+        cost[item] = 1
+        between = np.concatenate([[0], np.cumsum(cost)]) << _PLACE
+        mask, ends = (1 << _PLACE) - 1, np.arange(len(ids) + 1)
+        key = mask - ends
+        at = {w: np.flatnonzero(ids == w) for w in self.counts[k]}
+        for w, missing in zip(self.ids[k], self.costs[k]):
+            new = key + (missing << _PLACE)
+            hit = at[w]
+            new[hit + 1] = np.minimum(new[hit + 1], key[hit])
+            new -= between
+            key = np.minimum.accumulate(new) + between
+        start, cost = mask - (key & mask), key >> _PLACE
+        ruled_out, cost = cost // _RULED_OUT, cost % _RULED_OUT
+        n_missing = (len(self.ids[k]) - (ends - start) + cost) // (_MISSING + 1)
+        return [start, n_missing, ends - start - len(self.ids[k]) + n_missing, ruled_out]
+
+    def places(self, k: int, ids: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Start, end, missing and extra words of each place that confirms a template."""
+        most, held = MOST_MISSING * len(self.ids[k]), Counter(ids.tolist())
+        if sum(max(n - held[w], 0) for w, n in self.counts[k].items()) > most:
+            return []
+        start, missing, extra, ruled_out = self.align(k, ids, item)
+        ends = np.flatnonzero((ruled_out == 0) & (missing <= most) & (extra <= MOST_EXTRA * len(self.ids[k])))
+        found: list[tuple[int, int, int, int]] = []
+        taken = np.zeros(len(ids), bool)
+        for end in ends[np.lexsort((ends, (_MISSING * missing + extra)[ends]))].tolist():
+            if end > start[end] and not taken[start[end] : end].any():
+                taken[start[end] : end] = True
+                found.append((int(start[end]), end, int(missing[end]), int(extra[end])))
+        return found
+
+    def judge_piece(self, text: Text, a: int, b: int) -> list[Match]:
+        """Confirmed notices among the words from ``a`` to ``b``, and a match that is not confirmed for each rest with a cue."""
+        cue = text.cue_in(a, b)
+        if cue is None:
+            return []
+        ids, item, ranked = text.ids[a:b], text.item[a:b], self.rank(text.between(a, b))
+        found = [(start - end + extra, place, start, end, missing, extra, -k) for place, (_, k) in enumerate(ranked) for start, end, missing, extra in self.places(-k, ids, item)]
+        if not found:
+            saving, k = ranked[0]
+            start, missing, extra, ruled_out = self.align(-k, ids, item)
+            at = np.lexsort((_MISSING * missing + extra, ruled_out))[0]
+            return [Match(self.names[-k], round(saving, 6), int(missing[at]), int(extra[at]), False, text.line(cue))]
+        matches, taken = [], np.zeros(len(ids) + 2, bool)
+        taken[[0, -1]] = True
+        for _, _, start, end, missing, extra, k in sorted(found):
+            if not taken[start + 1 : end + 1].any():
+                taken[start + 1 : end + 1] = True
+                matches.append(Match(self.names[k], round(self.saving(text.between(a + start, a + end), k), 6), missing, extra, True, text.line(a + start)))
+        edges = np.flatnonzero(np.diff(taken)).tolist()  # where each rest begins and ends
+        for start, end in zip(edges[::2], edges[1::2]):
+            matches += self.judge_piece(text, a + start, a + end)
+        return matches
+
+    def scan(self, text: str) -> list[Match]:
+        """Matches of all candidate blocks, by line."""
+        held = Text(text, self.cue, self.number)
+        return sorted((m for a, b in held.blocks(self.reach) for m in self.judge_piece(held, a, b)), key=lambda m: (m.line, not m.confirmed))
+
+    def judge(self, block: str) -> Match:
+        """The first confirmed match of a block, or else the first."""
+        return min(self.scan(block), key=lambda m: not m.confirmed)
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """One row for each candidate block of each document, with the best template and whether its wording confirms it; no shuffle."""
+    """One row for each confirmed notice of each document, and for each rest of a candidate block with its best template; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, cue = Scanner(templates), regex.compile(CUES)
+        scanner = Scanner(templates)
         for part in text_slices(batches):
             part = part.filter(pc.fill_null(pc.match_substring_regex(part.column("text"), CUES), False))
             rows = []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                for line, block in candidate_blocks(text, cue):
-                    m = scanner.judge(block)
-                    rows.append((doc, line, m.license, m.saving, m.n_missing, m.n_extra, m.confirmed))
+                for m in scanner.scan(text):
+                    rows.append((doc, m.line, m.license, m.saving, m.n_missing, m.n_extra, m.confirmed))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, _ARROW.types)], schema=_ARROW)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, SCHEMA)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -106,6 +107,13 @@ def test_each_template_finds_itself(name, text):
     assert match.license == name and match.confirmed
 
 
+def test_each_template_is_found_wrapped(spark):
+    prefixes = ["", "# ", " * ", "// "]
+    texts = ["\n".join(prefix + line for line in ["Some words of prose.", *textwrap.wrap(text, 70), "More words of prose."]) for _, text in license_scan.TEMPLATES for prefix in prefixes]
+    got = license_scan.scan_licenses(table(spark, texts)).where("confirmed").collect()
+    assert sorted((r.doc_id, r.license, r.block_line) for r in got) == [(i, license_scan.TEMPLATES[i // len(prefixes)][0], 1) for i in range(len(texts))]
+
+
 # --- 3
 
 

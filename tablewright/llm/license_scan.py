@@ -7,8 +7,8 @@ with each template as its raw dictionary; the bytes that a template saves,
 relative to the most it could save (compressing the template itself), rank the
 templates.  Each template is then held against the block by its wording: where
 almost all of its words stand in their order, none that carries a number or tells
-the licences apart is missing, and no such word of another licence stands between
-them, its licence is confirmed.  Of confirmed places that overlap, the one with
+it from a template of similar words is missing, and no such word of another licence
+stands between them, its licence is confirmed.  Of confirmed places that overlap, the one with
 more words counts, then the better rank.  The rest of the block is judged again;
 what is left with a word of licence language is a row that is not confirmed.
 
@@ -37,19 +37,37 @@ from pyspark.sql import DataFrame
 
 from .shared import text_slices
 
-#: Usual wordings of licence notices.
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+_MIT_KEPT = ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_AS_IS = " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_ADVERTISING = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the copyright holder. "
+_BSD_NEITHER = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AUTHOR = "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+#: Usual wordings of licence notices, whole where an opening would not tell licences apart.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", _MIT_GRANT + _MIT_KEPT + _MIT_AS_IS),
+    ("MIT-0", _MIT_GRANT + "." + _MIT_AS_IS),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", _GNU.format("General Public License", "2")),
+    ("GPL-3.0", _GNU.format("General Public License", "3")),
+    ("LGPL-2.0", _GNU.format("Library General Public License", "2")),
+    ("LGPL-2.1", _GNU.format("Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", "3")),
+    ("AGPL-3.0", _GNU.format("Affero General Public License", "3")),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", _BSD + _BSD_AS_IS),
+    ("BSD-3-Clause", _BSD + _BSD_NEITHER + _BSD_AS_IS),
+    ("BSD-3-Clause", _BSD + _BSD_AUTHOR + _BSD_AS_IS),
+    ("BSD-4-Clause", _BSD + _BSD_ADVERTISING + _BSD_NEITHER + _BSD_AS_IS),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -61,8 +79,12 @@ CUES = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|creative c
 SCHEMA = "doc_id long, block_line long, license string, saving double, n_missing long, n_extra long, confirmed boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("block_line", pa.int64()), ("license", pa.string()), ("saving", pa.float64()), ("n_missing", pa.int64()), ("n_extra", pa.int64()), ("confirmed", pa.bool_())])
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:\.\p{N}+)*")
+#: Names that in a long notice rule out other licences.
+_NAMES = {"mit", "apache", "gnu", "lesser", "affero", "mozilla", "cc", "cc0"}
 #: The number of a list's item.
 _ITEM = regex.compile(r"\p{N}{1,2}[.)](?=\s|$)")
+#: Templates of different licences with this share of their words in common are rivals; shorter ones than these words only name a licence.
+RIVAL, SHORT = 0.6, 20
 #: Shares of a template's words that may be missing, and that may stand between them.
 MOST_MISSING, MOST_EXTRA = 0.1, 0.2
 #: In an alignment, what a missing word costs, and a word that rules the template out; bits of a place.
@@ -128,23 +150,24 @@ class Scanner:
         self.most = [self.size(text) - len(g.compress(text.encode())) for (_, text), g in zip(templates, self.given)]
         self.words = [wording(text) for _, text in templates]
         self.cue = regex.compile(CUES)
-        common = set.intersection(*map(set, self.words)) if templates else set()
-        used = {name: set() for name in self.names}
-        for name, words in zip(self.names, self.words):
-            used[name] |= set(words)
-        #: Words of at most a third of the licences tell them apart.
-        self.telling = {w for words in used.values() for w in words - common if sum(w in u for u in used.values()) * 3 <= len(used)}
-
         self.number = {w: i for i, w in enumerate(sorted(set().union(*self.words)))}
         self.ids = [[self.number[w] for w in words] for words in self.words]
         self.counts = [Counter(ids) for ids in self.ids]
-        named = [w for w in self.number if w in self.telling]
+        sets = [set(words) for words in self.words]
+        # Words of at most a third of the licences that are named in a few words.
+        short = {name: set().union(*(s for n, s, words in zip(self.names, sets, self.words) if n == name and len(words) < SHORT)) for name in self.names}
+        common = set.intersection(*sets) if sets else set()
+        named = {w for s in short.values() for w in s - common if sum(w in u for u in short.values()) * 3 <= len(short)}
         #: What each word of a template costs where it is missing, and what each known word costs where it stands between.
-        self.costs = [[_MISSING + _RULED_OUT * (w in self.telling or any(c.isdigit() for c in w)) for w in words] for words in self.words]
-        self.between = []
-        for words in self.words:
+        self.costs, self.between = [], []
+        for name, words, own in zip(self.names, self.words, sets):
+            rivals = [s for n, s in zip(self.names, sets) if n != name and len(s & own) >= RIVAL * max(len(s), len(own))]
+            brief = named if len(words) < SHORT else set()
+            telling = set().union(*(own - s for s in rivals)) | own & brief
+            foreign = set().union(*(s - own for s in rivals)) | {w for w in (brief or _NAMES) if w not in own}
+            self.costs.append([_MISSING + _RULED_OUT * (w in telling or any(c.isdigit() for c in w)) for w in words])
             cost = np.ones(len(self.number) + 1, np.int64)  # the last one is that of unknown words
-            cost[[self.number[w] for w in named if w not in words]] += _RULED_OUT
+            cost[[self.number[w] for w in foreign if w in self.number]] += _RULED_OUT
             self.between.append(cost)
         #: A confirmed notice has no word further from any other than this.
         self.reach = int(max(map(len, self.words), default=0) * (1 + MOST_EXTRA)) + 1

@@ -114,6 +114,25 @@ def test_each_template_is_found_wrapped(spark):
     assert sorted((r.doc_id, r.license, r.block_line) for r in got) == [(i, license_scan.TEMPLATES[i // len(prefixes)][0], 1) for i in range(len(texts))]
 
 
+def test_licences_side_by_side_and_alike(spark):
+    whole = {name: text for name, text in license_scan.TEMPLATES if len(text) > 800}
+    gpl = {v: f"Foo is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version {v} of the License, or\n# (at your option) any later version.\n" for v in (2, 3)}
+    numbered = whole["BSD-2-Clause"].replace("met: R", "met:\n1. R").replace("disclaimer. R", "disclaimer.\n2. R").replace("COPYRIGHT HOLDERS AND", "REGENTS AND")
+    cases = [
+        ("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+        ("Released under the MIT License. Licensed under the Apache License, Version 2.0. Released under the MIT License.", ["Apache-2.0", "MIT", "MIT"]),
+        (gpl[2], ["GPL-2.0"]),
+        (gpl[3] + gpl[2], ["GPL-2.0", "GPL-3.0"]),
+        (numbered, ["BSD-2-Clause"]),
+        (whole["BSD-2-Clause"][:140], []),
+        ("Licensed under the Apache License, Version 1.1.\nLicensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        *((text.replace("copyright holder nor", "Example University nor"), [name]) for name, text in whole.items()),
+    ]
+    got = license_scan.scan_licenses(table(spark, [text for text, _ in cases])).collect()
+    assert [sorted(r.license for r in got if r.confirmed and r.doc_id == i) for i in range(len(cases))] == [names for _, names in cases]
+    assert {r.doc_id for r in got if not r.confirmed} >= {5, 6}
+
+
 # --- 3
 
 

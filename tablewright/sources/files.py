@@ -9,6 +9,7 @@ import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.numbers import col, nan_as_null, text_columns
 from ..functions.texts import FILE_MISSING, FILE_MISSING_MORE
 from ..operators.clean import Cleaned, clean, clean_names
-from .errors import CorruptedFile, EmptyTable, EncodingError, IngestionError, InvalidJson, Unavailable, UnsupportedFormat
+from .errors import CorruptedFile, EmptyTable, IngestionError, InvalidJson, Unavailable, UnsupportedFormat
 
 FORMATS = {".csv": ",", ".tsv": "\t", ".xlsx": None, ".xls": None, ".json": None, ".parquet": None}
 DELIMITERS = (",", ";", "\t", "|")
@@ -27,6 +28,7 @@ DELIMITERS = (",", ";", "\t", "|")
 ENCODINGS = [("utf-8", "UTF-8"), ("utf-8-sig", "UTF-8"), ("cp1252", "ISO-8859-1"), ("latin1", "ISO-8859-1")]
 _CP1252_BYTES = [b for b in range(128, 160) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
 _C1, _CP1252 = "".join(map(chr, _CP1252_BYTES)), bytes(_CP1252_BYTES).decode("cp1252")
+_NOT_CP1252 = "[\x81\x8d\x8f\x90\x9d]"
 WRAPPERS = ("data", "records", "results", "items", "rows")
 
 
@@ -68,16 +70,14 @@ def checksum(spark: SparkSession, path: str, algorithm: str = "sha256") -> str:
     return parts[0] if len(parts) == 1 else hashlib.new(algorithm, "".join(parts).encode()).hexdigest()
 
 
-def sniff_encoding(head: bytes) -> tuple[str, str]:
-    if head.startswith(b"\xef\xbb\xbf"):
-        return ENCODINGS[1]
-    for name, spark_name in ENCODINGS:
-        try:
-            head[: head.rfind(b"\n") + 1 or len(head)].decode(name)
-            return name, spark_name
-        except UnicodeDecodeError:
-            continue
-    raise EncodingError("no encoding reads the file")
+def file_encoding(spark: SparkSession, path: str, head: bytes) -> tuple[str, str]:
+    """The first encoding that reads all bytes of a file; one pass over its lines."""
+    value = F.col("value")
+    unmapped = F.decode(value.cast("binary"), "ISO-8859-1").rlike(_NOT_CP1252)
+    bad = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8(value)).alias("utf8"), F.count_if(unmapped).alias("cp1252")).first()
+    if not bad.utf8:
+        return ENCODINGS[1 if head.startswith(b"\xef\xbb\xbf") else 0]
+    return ENCODINGS[3 if bad.cp1252 else 2]
 
 
 def sniff_delimiter(text: str, lines: int = 20) -> str:
@@ -115,10 +115,14 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    head = head_bytes(spark, path)
+    most = 1 << 16
+    head = head_bytes(spark, path, most)
     if not head.strip():
         raise EmptyTable(f"{path} is empty")
-    name, encoding = sniff_encoding(head)
+    while len(head) == most and b"\n" not in head and b"\r" not in head:  # the header is longer
+        most *= 8
+        head = head_bytes(spark, path, most)
+    name, encoding = file_encoding(spark, path, head)
     text = head.decode(name, errors="ignore").lstrip("﻿")
     sep = sep or sniff_delimiter(text)
     header = next(csv.reader(io.StringIO(text), delimiter=sep))
@@ -143,6 +147,35 @@ def _apart(names: list[str]) -> list[str]:
     return out
 
 
+def _object_in_line(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank, however long, is a whole object: then each line is a record."""
+    first = spark.read.text(path).where(F.col("value").rlike(r"\S")).first()
+    try:
+        json.loads(first[0].lstrip("\ufeff"))
+        return True
+    except ValueError as error:
+        if "Extra data" in str(error):
+            raise InvalidJson(f"{path}: several values in a line") from error
+        return False
+
+
+def _one_value(spark: SparkSession, path: str) -> None:
+    """Spark reads the first value of a file of several lines; a file with more is refused."""
+
+    def check(batches):
+        for batch in batches:
+            for text in batch.column("value").to_pylist():
+                if text.strip("\ufeff \t\r\n"):
+                    try:
+                        json.loads(text.lstrip("\ufeff"))
+                    except ValueError as error:
+                        yield pa.RecordBatch.from_pydict({"error": [str(error)]})
+
+    bad = spark.read.text(path, wholetext=True).mapInArrow(check, "error string").first()
+    if bad is not None:
+        raise InvalidJson(f"{path}: {bad[0]}")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A list of objects, one object on each line, or an object with the list under a usual name."""
     head = head_bytes(spark, path).lstrip()
@@ -152,7 +185,9 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
         raise InvalidJson(f"{path} holds neither objects nor a list of them")
     if head[:1] == b"[" and not head[1:].lstrip().startswith((b"{", b"]")):
         raise InvalidJson(f"{path} is a list of something else than objects")
-    lines = head[:1] == b"{" and b"\n{" in head
+    lines = head[:1] == b"{" and _object_in_line(spark, path)
+    if not lines:
+        _one_value(spark, path)
     try:
         df = spark.read.json(path, multiLine=not lines, mode="FAILFAST")
         wrapped = next((w for w in WRAPPERS if head[:1] == b"{" and w in df.columns and isinstance(df.schema[w].dataType, T.ArrayType) and isinstance(df.schema[w].dataType.elementType, T.StructType)), None)

@@ -53,6 +53,21 @@ def test_json_forms(spark, tmp_path):
         assert sorted(r.x for r in df.collect()) == [1, 2]
 
 
+def test_whole_files_decide(spark, tmp_path):
+    long = "".join(json.dumps({"x": i, "t": "a" * 70_000 if i == 0 else "b"}) + "\n" for i in range(5))
+    assert sorted(r.x for r in files.load_raw(spark, write(tmp_path, "long.json", long)).collect()) == [0, 1, 2, 3, 4]
+    assert files.load_raw(spark, write(tmp_path, "spread.json", '{\n "data": [\n{"x": 1},\n{"x": 2}\n]}\n')).count() == 2
+    for text in ('{\n"x": 1\n}\n{\n"x": 2\n}\n', '{"x": 1}{"x": 2}\n'):
+        with pytest.raises(errors.InvalidJson):
+            files.load_raw(spark, write(tmp_path, "several.json", text))
+    rows = "".join(f"plain{i},{i}\n" for i in range(10_000))
+    for encoding, name in (("cp1252", "Zoë €"), ("latin1", "Zoë \x81"), ("utf-8", "Zoë \ufffd"), ("utf-8-sig", "Zoë €")):
+        df = files.load_raw(spark, write(tmp_path, "late.csv", f"name,n\n{rows}{name},-1\n", encoding))
+        assert df.columns == ["name", "n"] and [r.name for r in df.where("n = -1").collect()] == [name] and df.count() == 10_001
+    names = [c * 30_000 for c in "abc"]
+    assert files.load_raw(spark, write(tmp_path, "wide.csv", ",".join(names) + "\n1,2,3\n")).columns == names
+
+
 def test_round_trips(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b"), (2, None)], "n int, t string")
     for kind in ("csv", "json", "parquet"):

@@ -4,8 +4,8 @@ A shard is a run of documents of one input partition with about
 ``shard_tokens`` ids.  Its BM25 inverted index (terms are token ids) is built
 with numpy.  A window starts with the rest of the document that the last one
 cut, or with the next unused document as the seed; the index ranks the unused
-documents for the seed's most telling terms, and they follow in that order
-until the window is full.  The document that crosses the end is cut there, so
+documents for all of the seed's terms, and they follow in that order until the
+window is full or no document shares a term with the seed.  The document that crosses the end is cut there, so
 windows hold exactly ``window`` ids.  What is left at the end of a shard goes
 to windows whose lengths are powers of two, so that nothing is padded.
 
@@ -40,7 +40,7 @@ _SCHEMA = pa.schema([("part", pa.int32()), ("local_sequence", pa.int64()), ("doc
 class LexicalIndex:
     """BM25 over token ids, for the documents of one shard."""
 
-    def __init__(self, ids: np.ndarray, offsets: np.ndarray, query_terms: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, k1: float = 1.2, b: float = 0.75):
         n = len(offsets) - 1
         sizes = np.diff(offsets)
         owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
@@ -56,30 +56,31 @@ class LexicalIndex:
         which = np.repeat(np.arange(len(df)), df)
         self.weight = idf[which] * tf * (k1 + 1) / (tf + norm[self.doc])
         self.begin, self.df = begin, df
-        # A document's query: its terms of the largest weight that some other document has.
+        # A document's query: its terms that some other document has.
         useful = np.flatnonzero(df[which] > 1)
-        useful = useful[np.lexsort((which[useful], -self.weight[useful], self.doc[useful]))]
-        at = np.searchsorted(self.doc[useful], np.arange(n + 1))
-        self.queries = [which[useful[s : min(e, s + query_terms)]] for s, e in zip(at[:-1], at[1:])]
+        useful = useful[np.argsort(self.doc[useful], kind="stable")]
+        self.terms, self.at = which[useful], np.searchsorted(self.doc[useful], np.arange(n + 1))
 
-    def neighbours(self, seed: int, used: np.ndarray, most: int) -> np.ndarray:
-        """The best ``most`` unused documents for a seed, best first."""
-        terms = self.queries[seed]
+    def neighbours(self, seed: int, used: np.ndarray, most: int = 64) -> Iterator[int]:
+        """All unused documents that share a term with a seed, best first; sorted by ``most`` at a time, as few are taken."""
+        terms = self.terms[self.at[seed] : self.at[seed + 1]]
         if not len(terms):
-            return terms
+            return
         places = ragged_gather(np.arange(len(self.doc)), self.begin[terms], self.df[terms])
         scores = np.bincount(self.doc[places], self.weight[places], len(used))
         scores[used] = 0
         found = np.flatnonzero(scores)
-        if len(found) > most:
-            found = found[np.argpartition(-scores[found], most)[:most]]
-        return found[np.lexsort((found, -scores[found]))]
+        while len(found):
+            parts = np.argpartition(-scores[found], most) if len(found) > most else np.arange(len(found))
+            best, found = found[parts[:most]], found[parts[most:]]
+            yield from best[np.lexsort((best, -scores[best]))].tolist()
+            most *= 4
 
 
-def order_by_retrieval(ids: np.ndarray, offsets: np.ndarray, window: int, query_terms: int = 24) -> np.ndarray:
+def order_by_retrieval(ids: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
     """Documents of a shard in the order in which windows take them."""
     n, sizes = len(offsets) - 1, np.diff(offsets)
-    index, used, order = LexicalIndex(ids, offsets, query_terms), np.zeros(n, bool), []
+    index, used, order = LexicalIndex(ids, offsets), np.zeros(n, bool), []
     seed, filled, following = -1, 0, 0
     while len(order) < n:
         if seed < 0:
@@ -92,11 +93,11 @@ def order_by_retrieval(ids: np.ndarray, offsets: np.ndarray, window: int, query_
         room = window - filled % window
         last = seed
         if filled % window:
-            for near in index.neighbours(seed, used, 64):
+            for near in index.neighbours(seed, used):
                 used[near] = True
-                order.append(int(near))
+                order.append(near)
                 filled += int(sizes[near])
-                last = int(near)
+                last = near
                 if sizes[near] >= room:
                     break
                 room -= int(sizes[near])

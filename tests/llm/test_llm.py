@@ -237,6 +237,13 @@ def test_retrieval_puts_neighbours_together():
     assert sorted(order) == list(range(80)) and (topic[1:] == topic[:-1]).mean() > 0.7
 
 
+def test_packing_takes_all_neighbours_of_the_seed():
+    # The seed shares one term of its own with each of 100 documents, and these share more with strangers than with each other.
+    docs = [np.arange(100)] + [np.array([k, 1000 + k, 2000 + k]) for k in range(100)] + [np.array([1000 + k, 2000 + k, 3000 + k]) for k in range(100)]
+    order = packing.order_by_retrieval(np.concatenate(docs), np.cumsum([0] + [len(d) for d in docs]), 512)
+    assert sorted(order) == list(range(201)) and set(order[1:101]) == set(range(1, 101))
+
+
 # --- 5
 
 

@@ -20,6 +20,7 @@ from ..functions.numbers import col, nan_as_null, text_columns
 from ..functions.texts import FILE_MISSING, FILE_MISSING_MORE
 from ..operators.clean import Cleaned, clean, clean_names
 from .errors import CorruptedFile, EmptyTable, IngestionError, InvalidJson, Unavailable, UnsupportedFormat
+from .objects import opened
 
 FORMATS = {".csv": ",", ".tsv": "\t", ".xlsx": None, ".xls": None, ".json": None, ".parquet": None}
 DELIMITERS = (",", ";", "\t", "|")
@@ -55,29 +56,51 @@ def file_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def file_sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Path and length of each file, by path; contents are not read."""
+    return [(r.path, r.length) for r in file_table(spark, path).select("path", "length").orderBy("path").collect()]
+
+
 def head_bytes(spark: SparkSession, path: str, most: int = 1 << 16) -> bytes:
-    """The first bytes of one file."""
-    found = file_table(spark, path).orderBy("path").select(F.substring("content", 1, most)).first()
-    if found is None:  # Spark leaves files without bytes out; a path that is not there fails above
+    """The first bytes of one file, read as a stream."""
+    found = file_sizes(spark, path)
+    if not found:  # Spark leaves files without bytes out; a path that is not there fails above
         return b""
-    return bytes(found[0] or b"")
+    stream = opened(spark, found[0][0])
+    try:
+        return bytes(stream.readNBytes(most))
+    finally:
+        stream.close()
 
 
-def checksum(spark: SparkSession, path: str, algorithm: str = "sha256") -> str:
-    """Hash of a file's bytes, or of the hashes of a folder's files by their paths."""
+def checksum(spark: SparkSession, path: str, algorithm: str = "sha256", most: int = 1 << 26) -> str:
+    """Hash of a file's bytes, or of the hashes of a folder's files by their paths.
+
+    Files up to ``most`` bytes are hashed in tasks, larger ones as streams.
+    """
     digest = {"sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512), "sha1": F.sha1, "md5": F.md5}[algorithm]
-    parts = [r[0] for r in file_table(spark, path).orderBy("path").select(digest(F.col("content"))).collect()]  # a hash for each file
+    by_path = {r[0]: r[1] for r in file_table(spark, path).where(F.col("length") <= most).select("path", digest(F.col("content"))).collect()}  # a hash for each file
+    for file, size in file_sizes(spark, path):
+        if size > most:
+            stream = opened(spark, file)
+            try:
+                by_path[file] = getattr(spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils, f"{algorithm}Hex")(stream)
+            finally:
+                stream.close()
+    parts = [by_path[file] for file in sorted(by_path)]
     return parts[0] if len(parts) == 1 else hashlib.new(algorithm, "".join(parts).encode()).hexdigest()
 
 
-def file_encoding(spark: SparkSession, path: str, head: bytes) -> tuple[str, str]:
-    """The first encoding that reads all bytes of a file; one pass over its lines."""
+def file_encoding(spark: SparkSession, path: str, head: bytes) -> tuple[str, str, bool]:
+    """The first encoding that reads all bytes of a file, and whether a record may span lines; one pass over its lines."""
     value = F.col("value")
     unmapped = F.decode(value.cast("binary"), "ISO-8859-1").rlike(_NOT_CP1252)
-    bad = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8(value)).alias("utf8"), F.count_if(unmapped).alias("cp1252")).first()
+    # Where quotes are paired in every line, none is open at its end; lines of blanks alone are only kept by the reader of several lines.
+    spans = (F.regexp_count(value, F.lit('"')) % 2 == 1) | value.rlike(r"^\s+$")
+    bad = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8(value)).alias("utf8"), F.count_if(unmapped).alias("cp1252"), F.count_if(spans).alias("spans")).first()
     if not bad.utf8:
-        return ENCODINGS[1 if head.startswith(b"\xef\xbb\xbf") else 0]
-    return ENCODINGS[3 if bad.cp1252 else 2]
+        return *ENCODINGS[1 if head.startswith(b"\xef\xbb\xbf") else 0], bad.spans > 0
+    return *ENCODINGS[3 if bad.cp1252 else 2], bad.spans > 0
 
 
 def sniff_delimiter(text: str, lines: int = 20) -> str:
@@ -122,14 +145,14 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
     while len(head) == most and b"\n" not in head and b"\r" not in head:  # the header is longer
         most *= 8
         head = head_bytes(spark, path, most)
-    name, encoding = file_encoding(spark, path, head)
+    name, encoding, spans = file_encoding(spark, path, head)
     text = head.decode(name, errors="ignore").lstrip("﻿")
     sep = sep or sniff_delimiter(text)
     header = next(csv.reader(io.StringIO(text), delimiter=sep))
     names = [h.strip() or f"Unnamed: {i}" for i, h in enumerate(header)]
     # Rows with more fields than the header are caught by one column more.
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_over", T.StringType())])
-    raw = spark.read.csv(path, schema=schema, sep=sep, header=True, encoding=encoding, multiLine=True, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE")
+    raw = spark.read.csv(path, schema=schema, sep=sep, header=True, encoding=encoding, multiLine=spans, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE")
     over = raw.agg(F.count_if(F.col("_over").isNotNull())).first()[0]
     if over:
         raise CorruptedFile(f"{path}: {over} rows have more fields than the header")

@@ -25,6 +25,12 @@ def size(spark: SparkSession, path: str) -> int:
     return store.getContentSummary(where).getLength()
 
 
+def opened(spark: SparkSession, path: str):
+    """An input stream of a file's bytes; the caller closes it."""
+    store, where = _at(spark, path)
+    return store.open(where)
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     store, where = _at(spark, path)
     return store.delete(where, True)

@@ -1,5 +1,6 @@
 """Files, stores, the pipeline and the command line."""
 
+import hashlib
 import json
 
 import pytest
@@ -68,6 +69,24 @@ def test_whole_files_decide(spark, tmp_path):
     assert files.load_raw(spark, write(tmp_path, "wide.csv", ",".join(names) + "\n1,2,3\n")).columns == names
 
 
+def test_large_files_are_split_and_streamed(spark, tmp_path):
+    plain = write(tmp_path, "plain.csv", "a,b\n" + "".join(f'"x, ""{i}""",{i}\n' for i in range(1000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = files.load_raw(spark, plain)
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 1000 and df.where("b = 7").first().a == 'x, "7"'
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    df = files.load_raw(spark, write(tmp_path, "spans.csv", 'a,b\n"one\ntwo",1\nx,2\n'))
+    assert {r.a for r in df.collect()} == {"one\ntwo", "x"}
+    raw = (tmp_path / "plain.csv").read_bytes()
+    for algorithm in ("sha256", "sha512", "sha1", "md5"):
+        assert files.checksum(spark, plain, algorithm, most=10) == files.checksum(spark, plain, algorithm) == hashlib.new(algorithm, raw).hexdigest()
+    assert files.checksum(spark, f"{tmp_path}", most=10) == files.checksum(spark, f"{tmp_path}")
+
+
 def test_round_trips(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b"), (2, None)], "n int, t string")
     for kind in ("csv", "json", "parquet"):

@@ -13,7 +13,9 @@ windows of its own anchor.  Neighbouring windows that share an anchor are a run.
    are a shard with its own Burrows-Wheeler transform.  The bucket merges the
    shards' transforms by refining their interleave, up to 24 more leading bytes
    in each iteration (a transform holds so many bytes before each suffix instead
-   of one), so no suffixes are sorted again; the iteration in which two
+   of one).  An iteration does not deal rows by counting: it sorts all rows of
+   the bucket by the ranks of these bytes, and the eight-byte heads of all its
+   suffixes are sorted once for the ranks; the iteration in which two
    neighbours part bounds their common prefix, and what never parts is an
    interval of suffixes that share LENGTH bytes.  The smallest document of each interval
    is the one that keeps the bytes.

@@ -31,49 +31,80 @@ from pyspark.sql import functions as F
 
 from .shared import text_slices, written
 from .token_files import crc32_of, with_end
-from .tokens import encoder, ragged_gather
+from .tokens import encoder
 
 PIECES = "part int, local_sequence long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long"
 _SCHEMA = pa.schema([("part", pa.int32()), ("local_sequence", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("offset", pa.int64())])
 
 
 class LexicalIndex:
-    """BM25 over token ids, for the documents of one shard."""
+    """BM25 over token ids, for the documents of one shard.
+
+    Terms of an eighth of the documents or more have a row of weights for all
+    documents; the others have posting lists.  Postings of documents that are used
+    drop out each time that half of those held are used.
+    """
 
     def __init__(self, ids: np.ndarray, offsets: np.ndarray, k1: float = 1.2, b: float = 0.75):
-        n = len(offsets) - 1
+        self.n = n = len(offsets) - 1
         sizes = np.diff(offsets)
         owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
         pairs = np.sort(ids.astype(np.int64) << 32 | owner)
         first = np.flatnonzero(np.diff(pairs, prepend=-1))
-        tf = np.diff(first, append=len(pairs)).astype(np.float32)
+        tf = np.diff(first, append=len(pairs)).astype(np.float64)
         pairs = pairs[first]
-        term, self.doc = pairs >> 32, pairs & 0xFFFFFFFF
-        begin = np.flatnonzero(np.diff(term, prepend=-1))
-        df = np.diff(begin, append=len(term))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = k1 * (1 - b + b * sizes / max(sizes.mean(), 1)).astype(np.float32)
+        term, doc = pairs >> 32, pairs & 0xFFFFFFFF
+        df = np.diff(np.flatnonzero(np.diff(term, prepend=-1)), append=len(term))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        norm = k1 * (1 - b + b * sizes / max(sizes.mean(), 1))
         which = np.repeat(np.arange(len(df)), df)
-        self.weight = idf[which] * tf * (k1 + 1) / (tf + norm[self.doc])
-        self.begin, self.df = begin, df
-        # A document's query: its terms that some other document has.
+        weight = idf[which] * tf * (k1 + 1) / (tf + norm[doc])
+        # A document's query: its terms that some other document has, those with rows of weights first.
+        wide = df * 8 >= n
+        self.row_of = np.cumsum(wide) - 1
         useful = np.flatnonzero(df[which] > 1)
-        useful = useful[np.argsort(self.doc[useful], kind="stable")]
-        self.terms, self.at = which[useful], np.searchsorted(self.doc[useful], np.arange(n + 1))
+        useful = useful[np.lexsort((~wide[which[useful]], doc[useful]))]
+        self.terms, self.at = which[useful], np.searchsorted(doc[useful], np.arange(n + 1))
+        self.wide_terms = np.add.reduceat(np.append(wide[self.terms], False), self.at[:-1]) * (np.diff(self.at) > 0) if n else np.zeros(0, np.int64)
+        dense = wide[which]
+        self.rows = np.zeros((int(wide.sum()), n))
+        self.rows[self.row_of[which[dense]], doc[dense]] = weight[dense]
+        self.live, self.held = np.arange(n), n
+        self._hold(which[~dense], doc[~dense], weight[~dense], len(df))
+
+    def _hold(self, which: np.ndarray, doc: np.ndarray, weight: np.ndarray, terms: int) -> None:
+        self.which, self.doc, self.weight, self.n_terms = which, doc, weight, terms
+        self.cuts = np.searchsorted(which, np.arange(terms + 1)).tolist()
+
+    def forget(self, used: np.ndarray) -> None:
+        """Take used documents out of rows and postings; what is left keeps its weights."""
+        keep = ~used[self.live]
+        number = np.cumsum(keep) - 1
+        self.live, self.rows = self.live[keep], self.rows[:, keep]
+        stays = keep[self.doc]
+        self._hold(self.which[stays], number[self.doc[stays]], self.weight[stays], self.n_terms)
+        self.held = len(self.live)
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document in ``live`` for the seed's terms."""
+        terms = self.terms[self.at[seed] : self.at[seed + 1]]
+        wide, rare = terms[: self.wide_terms[seed]], terms[self.wide_terms[seed] :].tolist()
+        total = self.rows[self.row_of[wide]].sum(0) if len(wide) else np.zeros(len(self.live))
+        spans = [slice(self.cuts[t], self.cuts[t + 1]) for t in rare]
+        if spans:
+            doc, weight = np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans])
+            total += np.bincount(doc, weight, len(self.live))
+        return total
 
     def neighbours(self, seed: int, used: np.ndarray, most: int = 64) -> Iterator[int]:
         """All unused documents that share a term with a seed, best first; sorted by ``most`` at a time, as few are taken."""
-        terms = self.terms[self.at[seed] : self.at[seed + 1]]
-        if not len(terms):
-            return
-        places = ragged_gather(np.arange(len(self.doc)), self.begin[terms], self.df[terms])
-        scores = np.bincount(self.doc[places], self.weight[places], len(used))
-        scores[used] = 0
+        scores = self.scores(seed)
+        scores[used[self.live]] = 0
         found = np.flatnonzero(scores)
         while len(found):
             parts = np.argpartition(-scores[found], most) if len(found) > most else np.arange(len(found))
             best, found = found[parts[:most]], found[parts[most:]]
-            yield from best[np.lexsort((best, -scores[best]))].tolist()
+            yield from self.live[best[np.lexsort((best, -scores[best]))]].tolist()
             most *= 4
 
 
@@ -83,6 +114,8 @@ def order_by_retrieval(ids: np.ndarray, offsets: np.ndarray, window: int) -> np.
     index, used, order = LexicalIndex(ids, offsets), np.zeros(n, bool), []
     seed, filled, following = -1, 0, 0
     while len(order) < n:
+        if 2 * (n - len(order)) < index.held:
+            index.forget(used)
         if seed < 0:
             while used[following]:
                 following += 1

@@ -103,18 +103,30 @@ def map_file(uri: str, dtype: str) -> np.ndarray:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], most: int = 6_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that a slice's texts hold about ``most`` bytes; a longer text is alone in its slice."""
+    """Join and cut record batches so that a slice's texts hold about ``most`` bytes; a longer text is alone in its slice."""
+    held, size = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = batch.column(column)
-        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < len(sizes):
             base = sizes[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(sizes, base + most, "right")))
-            yield batch.slice(start, stop - start)
+            stop = int(np.searchsorted(sizes, base + most - size, "right"))
+            if stop <= start and held:
+                yield joined()
+                held, size = [], 0
+                continue
+            stop = max(start + 1, stop)
+            held.append(batch.slice(start, stop - start))
+            size += int(sizes[stop - 1] - base)
             start = stop
+    if held:
+        yield joined()
 
 
 def fold(column):

@@ -12,16 +12,19 @@ with probability below one in a million.
 
 Pairs of a key are never all formed.  Each key has a centre, its member that
 shares keys with the most others; every member is confirmed against the centre
-on the full sets, and links give components.  A group of one centre in which
-several components are left is searched on: its members outside the centre's
-component, the query set, are compared with the others in blocks.  Jaccard
-distance is a metric, so blocks whose distances to the centre are too far apart
-are left out, as are pairs of one component.  Components cover all links.
+on the full sets, and links give components.  Keys whose other members lie in
+several components are searched on: members of different components are compared
+by their signatures, in a key of many members block by block, and what is within
+the distance is confirmed on the full sets.  A block gives no more links than it
+has members.  Components cover all links.
+
+Facts about a key, a centre or a component that many rows may hold are looked up
+through salted cells, so that no task gathers one of them.
 
 Null texts and texts without words have an empty set and link with nothing.
-Rows that share a ``doc_id`` are one node; a null ``doc_id`` counts as smaller
-than any other and is null again in the result.  An empty table gives an empty
-result.  Other columns are not read.
+Rows with words that share a ``doc_id`` are linked; rows without number are not,
+and a null ``doc_id`` counts as smaller than any other.  An empty table gives an
+empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,14 +45,14 @@ from .words import mix, shingle_hashes, words_of
 SYMBOLS = 64
 #: Probability with which a pair of just the least similarity lies beyond the distance.
 MISSED = 1e-6
-#: Members of a group that are compared at a time, and confirmed with their centre in one task.
+#: Members of a key that are compared at a time, and confirmed with their centre in one task.
 BLOCK = 256
-#: Most keys over which the members of one group are spread when they are joined with facts about the group.
+#: Keys of up to so many members are searched on by a join.
+FEW = 16
+#: Cells over which the rows of one key are spread when they look up facts about it.
 SALTS = 64
 #: Bytes of text that a task handles at a time.
 SLICE_BYTES = 4_000_000
-#: Stands for a null doc_id.
-NO_DOC = -(1 << 63)
 _draw = np.random.default_rng(31)
 _FLIP = _draw.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _TIMES = _draw.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,11 +108,11 @@ def index_keys(signs: np.ndarray, percent: int = 85) -> np.ndarray:
     return np.stack(keys, 1).view(np.int64)
 
 
-_SKETCH = "doc_id long, n_shingles long, set_key binary, signature binary, keys array<long>"
+_SKETCH = "doc_id long, text_key long, n_shingles long, set_key binary, signature binary, keys array<long>"
 
 
 def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set, the signature and its index keys; the last three null for an empty set."""
+    """doc_id, text_key, n_shingles, a 128-bit key of the set, the signature and its index keys; the last three null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, SLICE_BYTES):
@@ -119,20 +122,32 @@ def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
             keys = iter(index_keys(signs, percent))
             signs = iter(signs)
             rows = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(signs).tobytes(), next(keys)) if len(s) else (None, None, None) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "signature", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "set_key", "signature", "keys"])
 
     return docs.mapInArrow(run, _SKETCH)
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and shingles (array of 64-bit hashes)."""
+    """node and shingles (array of 64-bit hashes) of rows with node and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, SLICE_BYTES):
             sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return docs.mapInArrow(run, "node long, shingles array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+def look_up(rows: DataFrame, key: str, facts: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has a row for each ``key``.
+
+    Rows of a key are spread over ``SALTS`` cells by the column ``by``; the facts
+    go to each cell that exists, so a key that very many rows hold is met in
+    several places.
+    """
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    cells = rows.select(key, "_salt").distinct()
+    return rows.join(cells.join(facts, key), [key, "_salt"], how).drop("_salt")
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -141,11 +156,11 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     for _ in range(most_rounds):
         # The smallest label next to a node, then that label's own label.
-        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        near = look_up(edges, "b", labels.withColumnRenamed("node", "b"), "a").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         step = written(step, "labels")
-        jump = step.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        labels = written(step.join(jump, step.label == jump["at"], "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels")
+        jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = written(look_up(step, "label", jump, "node").select("node", F.least("label", "further").alias("label"), "was"), "labels")
         if labels.where(F.col("label") != F.col("was")).isEmpty():
             break
         labels = labels.drop("was")
@@ -158,105 +173,167 @@ def _similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
     return 100 * shared >= percent * (a + b - shared)
 
 
-def block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links between two blocks of one group, of pairs in different components; sets are compared where signatures allow it."""
-    found, distance = [], distance_for(percent)
-    right_signs = np.stack([np.frombuffer(s, np.uint16) for s in right["signature"]])
-    right_labels, right_ids, right_n = right["label"].to_numpy(), right["node"].to_numpy(), right["n"].to_numpy()
-    right_sets = list(right["shingles"])
-    for node, label, n, sign, own in zip(left["node"], left["label"], left["n"], left["signature"], left["shingles"]):
-        unequal = (right_signs != np.frombuffer(sign, np.uint16)).sum(1)
-        maybe = (unequal <= distance) & (right_labels != label) & (100 * np.minimum(right_n, n) >= percent * np.maximum(right_n, n))
-        for at in np.flatnonzero(maybe):
-            shared = len(np.intersect1d(own, right_sets[at], assume_unique=True))
-            if _similar(shared, n, right_n[at], percent):
-                found.append((node, int(right_ids[at])))
+def unequal_symbols(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of each pair of signatures (rows of symbols): how many symbols differ."""
+    total = np.zeros((len(left), len(right)), np.uint8)
+    for k in range(SYMBOLS):
+        total += left[:, None, k] != right[None, :, k]
+    return total
+
+
+def _signs(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, SYMBOLS)
+
+
+def close_rows(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of the two sides of a block: rows that may link with one of the other side and of another component."""
+    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    if left.empty or right.empty:
+        return rows[:0]
+    maybe = unequal_symbols(_signs(left["signature"]), _signs(right["signature"])) <= distance_for(percent)
+    maybe &= left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :]
+    n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+    maybe &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return pd.concat([left[maybe.any(1)], right[maybe.any(0)]])
+
+
+def block_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between the two sides of a block; a pair that earlier links of the block join, or of one component, is left out."""
+    left, right = (rows[rows["side"] == s] for s in (0, 1))
+    if left.empty or right.empty:
+        return []
+    n, m, nodes, others = left["n"].to_numpy(), right["n"].to_numpy(), left["node"].tolist(), right["node"].tolist()
+    maybe = (unequal_symbols(_signs(left["signature"]), _signs(right["signature"])) <= distance_for(percent)) & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m))
+    roots: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while roots.setdefault(x, x) != x:
+            roots[x] = roots[roots[x]]
+            x = roots[x]
+        return x
+
+    own, sets, found = left["shingles"].tolist(), right["shingles"].tolist(), []
+    labels, their = left["label"].tolist(), right["label"].tolist()
+    for i, j in np.argwhere(maybe).tolist():
+        a, b = root(labels[i]), root(their[j])  # components of the links before, joined on in this block
+        if a != b:
+            shared = len(np.intersect1d(own[i], sets[j], assume_unique=True))
+            if _similar(shared, n[i], m[j], percent):
+                found.append((nodes[i], others[j]))
+                roots[a] = b
     return found
 
 
-def link_documents(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; links have 100 * intersection >= ``percent`` * union."""
-    docs = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)).alias("doc_id"), docs["text"])
+def _linked(docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """doc_id, text_key, n_shingles and first (doc_id and text_key of the smallest row of the component; null for an empty set)."""
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("text_key"))
     sketched = written(sketches(docs, n, percent), "sketches")
-    own = sketched.where(F.col("set_key").isNotNull())
-    classes = written(own.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("keys").alias("keys")), "classes")
+    own = sketched.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
+    classes = written(own.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     every = classes.select("node", F.explode("keys").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     keyed = written(every.join(shared, "key"), "keys")
     popular = keyed.groupBy("node").agg(F.sum("size").alias("met"))
     centres = keyed.join(popular, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("centre")).select("key", F.col("centre.node").alias("centre"))
-    members = written(keyed.join(centres, "key").where(F.col("node") != F.col("centre")).select("node", "centre").distinct(), "members")
+    keyed = written(look_up(keyed, "key", centres, "node").where(F.col("node") != F.col("centre")), "members")
+    members = written(keyed.select("node", "centre").distinct(), "pairs")
 
-    involved = members.select("node").union(members.select("centre")).distinct()
+    involved = classes.join(members.select("node").union(members.select("centre")).distinct().hint("merge"), "node", "left_semi").select("node", F.col("first.doc_id").alias("own_id"), F.col("first.text_key").alias("own_key"))
     # Joins that carry texts, sets or signatures are sort-merge joins at every size, so that plans do not change as tables grow.
-    sets = docs.join(involved.hint("merge"), docs.doc_id == involved.node, "left_semi")
-    sets = written(full_sets(sets, n).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "sets").withColumnRenamed("doc_id", "node").hint("merge")
+    texts = docs.join(involved.hint("merge"), (docs.text_key == involved.own_key) & docs.doc_id.eqNullSafe(involved.own_id)).select("node", "text")
+    sets = written(full_sets(texts, n).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets").hint("merge")
 
     # Members against centres, a centre's set repeated for each BLOCK of its members.
     slices = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
-    dealt = members.join(slices, "centre").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    dealt = look_up(members, "centre", slices, "node").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     spread = slices.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("centre_set")), "centre").select("centre", "centre_set", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     shared_n = F.size(F.array_intersect("shingles", "centre_set"))
     union_n = F.size("shingles") + F.size("centre_set") - shared_n
-    judged = written(dealt.join(sets, "node").join(spread, ["centre", "slice"]).select("node", "centre", shared_n.alias("shared"), union_n.alias("union")), "judged")
+    # Rows of one doc_id with several sets.
+    numbered = sketched.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
+    torn = numbered.groupBy("doc_id").agg(F.min(F.xxhash64("set_key")).alias("low"), F.max(F.xxhash64("set_key")).alias("high")).where("low <> high").select("doc_id")
+    torn = look_up(numbered.select("doc_id", "set_key"), "doc_id", torn, "set_key").join(classes.select("set_key", "node").hint("merge"), "set_key").select("doc_id", "node").distinct()
+    torn = look_up(torn, "doc_id", torn.groupBy("doc_id").agg(F.min("node").alias("b")), "node").where("node <> b").select(F.col("node").alias("a"), "b")
+    judged = dealt.join(sets, "node").join(spread, ["centre", "slice"]).select("node", "centre", shared_n.alias("shared"), union_n.alias("union"))
     links = judged.where(F.col("shared") * 100 >= F.col("union") * percent).select(F.col("node").alias("a"), F.col("centre").alias("b"))
-
-    # Rows of one doc_id in several classes are one node.
-    owned = written(sketched.select("doc_id", "set_key").join(classes.select("set_key", "node").hint("merge"), "set_key").select("doc_id", "node"), "owned")
-    torn = owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max(F.col("doc_id")).alias("own")).where("a <> b OR a <> own")
-    whole = owned.join(torn.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).union(torn.select("a", F.col("own").alias("b")))
-    numbered = classes.select(F.col("node").alias("b")).distinct()
-    links = links.union(whole.join(numbered, "b", "left_semi").where("a <> b").select("a", "b"))
+    links = written(links.union(torn), "links")
     labels = components(links)
 
-    more = _search_on(judged, labels, classes, sets, percent)
-    if more is not None:
+    more = written(_search_on(keyed, labels, classes.select("node", "n", "signature"), sets, percent), "more-links")
+    if not more.isEmpty():
         labels = components(links.union(more))
 
-    node_of = classes.select("set_key", F.col("node"))
-    home = node_of.join(labels.hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    rows = sketched.select("doc_id", "n_shingles", "set_key").join(home.hint("merge"), "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    hidden = lambda c: F.when(F.col(c) != NO_DOC, F.col(c)).alias(c)
-    return rows.select(hidden("doc_id"), "n_shingles", hidden("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
-
-
-def _search_on(judged: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links that cross components inside the groups of a centre; None if no group has several."""
-    label = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_label"))
-    known = judged.join(label("node"), "node", "left").join(label("centre"), "centre", "left").select("centre", "node", (1 - F.col("shared") / F.col("union")).alias("far"), F.coalesce("node_label", "node").alias("label"), F.coalesce("centre_label", "centre").alias("centre_label"))
-    known = written(known.withColumn("main", F.col("label") == F.col("centre_label")), "groups")
-    # A group is done when at most one member is outside the centre's component and no other is inside.
-    open_groups = known.groupBy("centre").agg(F.count_if(~F.col("main")).alias("outside"), F.count_if("main").alias("inside")).where((F.col("outside") > 1) | ((F.col("outside") > 0) & (F.col("inside") > 0))).select("centre", "outside", "inside")
-    rows = known.join(open_groups, "centre")
-    # Bands of the distance to the centre, as wide as a link may be long; a link joins one band or two next to each other.
-    band = F.floor(F.col("far") * 100 / (100 - percent) - 1e-9).cast("int")
-    rows = rows.withColumn("band", F.greatest(F.lit(0), band)).join(classes.select("node", "n", "signature").hint("merge"), "node").join(sets, "node")
-    rows = rows.withColumn("salts", F.least(F.lit(SALTS), F.ceil((F.col("outside") + F.col("inside")) / BLOCK)).cast("int"))
-    sizes = rows.groupBy("centre", "band", "main", "salts").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cells = written(sizes.select("centre", "band", "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "cells")
-    if cells.isEmpty():
-        return None
-    # A large group's members meet its number of blocks in several places.
-    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    placed = rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.col("salts")).cast("int")).join(salted.hint("merge"), ["centre", "band", "main", "salt"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("centre", F.struct("band", "main", "block").alias("cell"), "node", "label", "n", "signature", "shingles")
-    a, b = (cells.select("centre", F.struct("band", "main", "block").alias(name)) for name in ("left", "right"))
-    # Blocks of the query set (not in the centre's component) with blocks of the bands around; each pair of blocks once.
-    asked = a.where(~F.col("left.main")).join(b, "centre").where(F.abs(F.col("left.band") - F.col("right.band")) <= 1)
-    asked = asked.where(F.col("right.main") | (F.col("left") <= F.col("right")))
-    asked = written(asked.withColumn("task", F.monotonically_increasing_id()), "blocks")
-    sides = asked.select("centre", "task", F.col("left").alias("cell"), F.lit("l").alias("side")).union(asked.select("centre", "task", F.col("right"), F.lit("r")))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        found = block_links(rows[rows["side"] == "l"], rows[rows["side"] == "r"], percent) if rows["side"].nunique() == 2 else []
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return written(placed.join(sides, ["centre", "cell"]).drop("centre", "cell").groupBy("task").applyInPandas(compare, "a long, b long").distinct(), "more-links")
-
-
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest ``doc_id``; all columns."""
-    kept = link_documents(docs, **options).where("kept").select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("kept_id")).distinct()
+    home = classes.select("set_key", "node", "first").join(labels.hint("merge"), "node", "left").select("set_key", "first", F.coalesce("component", "node").alias("component"))
+    home = written(home, "home")
+    smallest = home.groupBy("component").agg(F.min("first").alias("least"))
+    home = look_up(home, "component", smallest, "set_key").select("set_key", F.col("least").alias("first"))
+    return look_up(sketched.select("doc_id", "text_key", "n_shingles", "set_key"), "set_key", home.hint("merge"), "text_key", "left").drop("set_key")
+
+
+def _search_on(keyed: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the members (without the centre) of each key."""
+    rows = keyed.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    rows = written(rows, "labelled")
+    facts = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("node")).alias("who")).where("low <> high")
+    # Keys with the same members give the same links.
+    facts = facts.groupBy("members", "low", "high", "who").agg(F.min("key").alias("key")).select("key", "members")
+    rows = written(look_up(rows, "key", facts, "node"), "open")
+    known = lambda name: classes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("signature").alias(f"{name}_signature")).hint("merge")
+
+    few = rows.where(F.col("members") <= FEW).select("key", "node", "label")
+    pairs = few.select("key", F.col("node").alias("a"), F.col("label").alias("a_label")).join(few.select("key", F.col("node").alias("b"), F.col("label").alias("b_label")), "key").where("a < b AND a_label <> b_label").select("a", "b").distinct()
+    near = _near_pairs(pairs.join(known("a"), "a").join(known("b"), "b"), percent)
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set")).hint("merge")
+    shared_n = F.size(F.array_intersect("a_set", "b_set"))
+    union_n = F.size("a_set") + F.size("b_set") - shared_n
+    found = near.join(of("a"), "a").join(of("b"), "b").where(shared_n * 100 >= union_n * percent).select("a", "b")
+
+    # Keys of many members: each two blocks of them meet once.
+    many = rows.where(F.col("members") > FEW).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(F.col("block"), i).alias("low"), F.greatest(F.col("block"), i).alias("high"))))
+    sided = many.withColumn("meet", meets)
+    sides = F.when(F.col("meet.low") == F.col("meet.high"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("block") == F.col("meet.high")).cast("int")))
+    sided = sided.select("key", "meet", "node", "label", F.explode(sides).alias("side"))
+    schema = "key long, meet struct<low:int,high:int>, node long, label long, side int, n long, signature binary"
+    close = sided.join(classes.hint("merge"), "node").select("key", "meet", "node", "label", "side", "n", "signature").groupBy("key", "meet").applyInPandas(lambda rows: close_rows(rows, percent), schema)
+    checked = written(close, "close").join(sets, "node").groupBy("key", "meet").applyInPandas(lambda rows: pd.DataFrame(block_links(rows, percent), columns=["a", "b"]).astype("int64"), "a long, b long")
+    return found.union(checked)
+
+
+def _near_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose signatures and sizes allow a link."""
+    distance = distance_for(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                unequal = (_signs(part.column("a_signature").to_pylist()) != _signs(part.column("b_signature").to_pylist())).sum(1)
+                yield part.select(["a", "b"]).filter(pa.array(unequal <= distance))
+
+    sized = pairs.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    return sized.select("a", "b", "a_signature", "b_signature").mapInArrow(run, "a long, b long")
+
+
+def link_documents(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; links have 100 * intersection >= ``percent`` * union."""
+    smallest = F.when(F.col("first").isNotNull(), F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return _linked(docs, percent, n).select("doc_id", "n_shingles", smallest.alias("component_id"), F.col("doc_id").eqNullSafe(smallest).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest ``doc_id``; all columns.
+
+    Of a component's rows that share this ``doc_id`` one stays; rows without words all stay.
+    """
+    rows = written(_linked(docs, percent, n), "linked")
+    chosen = F.col("first").isNull() | (F.col("text_key") == F.col("first.text_key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    kept = rows.where(chosen).groupBy(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).agg(F.count("*").alias("copies"), F.bool_or(F.col("first").isNotNull()).alias("one"))
     columns = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)).alias("kept_id"))
-    return rows.join(kept, "kept_id", "left_semi").select("row.*")
+    held = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].cast("long").alias("row_id"), F.xxhash64(docs["text"]).alias("row_key"))
+    held = held.join(kept.hint("merge"), F.col("row_key").eqNullSafe(F.col("kept_key")) & F.col("row_id").eqNullSafe(F.col("kept_id")))
+    if kept.where("one AND copies > 1").isEmpty():
+        return held.select("row.*")
+    repeated = F.col("one") & (F.col("copies") > 1)
+    once = held.where(repeated).groupBy("row_id", "row_key").agg(F.first("row").alias("row"))
+    return held.where(~repeated).select("row.*").unionByName(once.select("row.*"))

@@ -397,6 +397,40 @@ def test_near_null_numbers(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(None, None), (4, None)}
 
 
+def test_kept_rows_of_null_and_repeated_numbers(spark):
+    near = [" ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(1, 41))]
+    other = [" ".join(f"v{i}" for i in range(40)), " ".join(f"v{i}" for i in range(1, 41))]
+    texts, ids = [*near, *other, other[0], other[0], None, None, ""], [None, None, 7, 7, 7, 8, None, 3, 3]
+    kept = near_dedup.keep_one_of_each(table(spark, texts, ids), percent=80, n=3).collect()
+    words = [r for r in kept if r.text]
+    assert len(words) == 2 and {r.text.split()[0][0] for r in words} == {"v", "w"} and {r.doc_id for r in words} == {None, 7}
+    assert len(kept) - len(words) == 3
+
+
+def test_cluster_whose_centre_lies_outside(spark, monkeypatch):
+    """Members that link with one another, not with the centre, are joined by few links."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "FEW", 4)
+    draw = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for family in range(3):
+        own = [f"f{family}{w}" if draw.random() < 0.06 else w for w in base]
+        texts += [" ".join([*own, f"tail{family}{k}"]) for k in range(40)]
+    got = {tuple(r) for r in near_dedup.link_documents(table(spark, texts), 85, 3).collect()}
+    assert got == brute_components(list(enumerate(texts)), 85, 3)
+
+
+def test_a_block_gives_no_more_links_than_members():
+    import pandas as pd
+
+    sets = [np.arange(100, dtype=np.int64) + k for k in range(20)]
+    sign = near_dedup.signatures([s.view(np.uint64) for s in sets])
+    rows = pd.DataFrame([(k, k, side, 100, sign[k].tobytes(), sets[k]) for side in (0, 1) for k in range(20)], columns=["node", "label", "side", "n", "signature", "shingles"])
+    found = near_dedup.block_links(rows, 80)
+    assert len(found) == 19 and near_dedup.close_rows(rows, 80)["node"].nunique() == 20
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_pigeonhole_finds_every_pair_within_the_distance(percent):
     draw = np.random.default_rng(8)

@@ -12,11 +12,13 @@ with probability below one in a million.
 
 Pairs of a key are never all formed.  Each key has a centre, its member that
 shares keys with the most others; every member is confirmed against the centre
-on the full sets, and links give components.  Keys whose other members lie in
-several components are searched on: members of different components are compared
-by their signatures, in a key of many members block by block, and what is within
-the distance is confirmed on the full sets.  A block gives no more links than it
-has members.  Components cover all links.
+on the full sets, and links give components.  A group of one centre in which
+several components are left is searched on: its members outside the centre's
+component, the query set, are compared with the others in blocks, by signature
+and then on the full sets.  Jaccard distance is a metric, so blocks whose
+distances to the centre are too far apart are left out.  Inside a block, pairs
+that links found before already join are not looked at, so that a block gives
+fewer links than it has members.  Components cover all links.
 
 Facts about a key, a centre or a component that many rows may hold are looked up
 through salted cells, so that no task gathers one of them.
@@ -45,10 +47,8 @@ from .words import mix, shingle_hashes, words_of
 SYMBOLS = 64
 #: Probability with which a pair of just the least similarity lies beyond the distance.
 MISSED = 1e-6
-#: Members of a key that are compared at a time, and confirmed with their centre in one task.
+#: Members of a group that are compared at a time, and confirmed with their centre in one task.
 BLOCK = 256
-#: Keys of up to so many members are searched on by a join.
-FEW = 16
 #: Cells over which the rows of one key are spread when they look up facts about it.
 SALTS = 64
 #: Bytes of text that a task handles at a time.
@@ -185,18 +185,6 @@ def _signs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, SYMBOLS)
 
 
-def close_rows(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Of the two sides of a block: rows that may link with one of the other side and of another component."""
-    left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    if left.empty or right.empty:
-        return rows[:0]
-    maybe = unequal_symbols(_signs(left["signature"]), _signs(right["signature"])) <= distance_for(percent)
-    maybe &= left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :]
-    n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    maybe &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-    return pd.concat([left[maybe.any(1)], right[maybe.any(0)]])
-
-
 def block_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links between the two sides of a block; a pair that earlier links of the block join, or of one component, is left out."""
     left, right = (rows[rows["side"] == s] for s in (0, 1))
@@ -236,8 +224,7 @@ def _linked(docs: DataFrame, percent: int, n: int) -> DataFrame:
     keyed = written(every.join(shared, "key"), "keys")
     popular = keyed.groupBy("node").agg(F.sum("size").alias("met"))
     centres = keyed.join(popular, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("centre")).select("key", F.col("centre.node").alias("centre"))
-    keyed = written(look_up(keyed, "key", centres, "node").where(F.col("node") != F.col("centre")), "members")
-    members = written(keyed.select("node", "centre").distinct(), "pairs")
+    members = written(look_up(keyed, "key", centres, "node").where(F.col("node") != F.col("centre")).select("node", "centre").distinct(), "members")
 
     involved = classes.join(members.select("node").union(members.select("centre")).distinct().hint("merge"), "node", "left_semi").select("node", F.col("first.doc_id").alias("own_id"), F.col("first.text_key").alias("own_key"))
     # Joins that carry texts, sets or signatures are sort-merge joins at every size, so that plans do not change as tables grow.
@@ -255,12 +242,12 @@ def _linked(docs: DataFrame, percent: int, n: int) -> DataFrame:
     torn = numbered.groupBy("doc_id").agg(F.min(F.xxhash64("set_key")).alias("low"), F.max(F.xxhash64("set_key")).alias("high")).where("low <> high").select("doc_id")
     torn = look_up(numbered.select("doc_id", "set_key"), "doc_id", torn, "set_key").join(classes.select("set_key", "node").hint("merge"), "set_key").select("doc_id", "node").distinct()
     torn = look_up(torn, "doc_id", torn.groupBy("doc_id").agg(F.min("node").alias("b")), "node").where("node <> b").select(F.col("node").alias("a"), "b")
-    judged = dealt.join(sets, "node").join(spread, ["centre", "slice"]).select("node", "centre", shared_n.alias("shared"), union_n.alias("union"))
+    judged = written(dealt.join(sets, "node").join(spread, ["centre", "slice"]).select("node", "centre", shared_n.alias("shared"), union_n.alias("union")), "judged")
     links = judged.where(F.col("shared") * 100 >= F.col("union") * percent).select(F.col("node").alias("a"), F.col("centre").alias("b"))
     links = written(links.union(torn), "links")
     labels = components(links)
 
-    more = written(_search_on(keyed, labels, classes.select("node", "n", "signature"), sets, percent), "more-links")
+    more = written(_search_on(judged, labels, classes.select("node", "n", "signature"), sets, percent), "more-links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -271,48 +258,33 @@ def _linked(docs: DataFrame, percent: int, n: int) -> DataFrame:
     return look_up(sketched.select("doc_id", "text_key", "n_shingles", "set_key"), "set_key", home.hint("merge"), "text_key", "left").drop("set_key")
 
 
-def _search_on(keyed: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components among the members (without the centre) of each key."""
-    rows = keyed.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    rows = written(rows, "labelled")
-    facts = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("node")).alias("who")).where("low <> high")
-    # Keys with the same members give the same links.
-    facts = facts.groupBy("members", "low", "high", "who").agg(F.min("key").alias("key")).select("key", "members")
-    rows = written(look_up(rows, "key", facts, "node"), "open")
-    known = lambda name: classes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("signature").alias(f"{name}_signature")).hint("merge")
-
-    few = rows.where(F.col("members") <= FEW).select("key", "node", "label")
-    pairs = few.select("key", F.col("node").alias("a"), F.col("label").alias("a_label")).join(few.select("key", F.col("node").alias("b"), F.col("label").alias("b_label")), "key").where("a < b AND a_label <> b_label").select("a", "b").distinct()
-    near = _near_pairs(pairs.join(known("a"), "a").join(known("b"), "b"), percent)
-    of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set")).hint("merge")
-    shared_n = F.size(F.array_intersect("a_set", "b_set"))
-    union_n = F.size("a_set") + F.size("b_set") - shared_n
-    found = near.join(of("a"), "a").join(of("b"), "b").where(shared_n * 100 >= union_n * percent).select("a", "b")
-
-    # Keys of many members: each two blocks of them meet once.
-    many = rows.where(F.col("members") > FEW).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(F.col("block"), i).alias("low"), F.greatest(F.col("block"), i).alias("high"))))
-    sided = many.withColumn("meet", meets)
-    sides = F.when(F.col("meet.low") == F.col("meet.high"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("block") == F.col("meet.high")).cast("int")))
-    sided = sided.select("key", "meet", "node", "label", F.explode(sides).alias("side"))
-    schema = "key long, meet struct<low:int,high:int>, node long, label long, side int, n long, signature binary"
-    close = sided.join(classes.hint("merge"), "node").select("key", "meet", "node", "label", "side", "n", "signature").groupBy("key", "meet").applyInPandas(lambda rows: close_rows(rows, percent), schema)
-    checked = written(close, "close").join(sets, "node").groupBy("key", "meet").applyInPandas(lambda rows: pd.DataFrame(block_links(rows, percent), columns=["a", "b"]).astype("int64"), "a long, b long")
-    return found.union(checked)
-
-
-def _near_pairs(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures and sizes allow a link."""
-    distance = distance_for(percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if part.num_rows:
-                unequal = (_signs(part.column("a_signature").to_pylist()) != _signs(part.column("b_signature").to_pylist())).sum(1)
-                yield part.select(["a", "b"]).filter(pa.array(unequal <= distance))
-
-    sized = pairs.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    return sized.select("a", "b", "a_signature", "b_signature").mapInArrow(run, "a long, b long")
+def _search_on(judged: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside the groups of the centres."""
+    known = judged.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    mine = judged.select(F.col("centre").alias("node")).distinct().join(labels.hint("merge"), "node", "left").select(F.col("node").alias("centre"), F.coalesce("component", "node").alias("centre_label"))
+    known = look_up(known, "centre", mine, "node").select("centre", "node", (1 - F.col("shared") / F.col("union")).alias("far"), "label", (F.col("label") == F.col("centre_label")).alias("main"))
+    known = written(known, "groups")
+    # A group is done when at most one member is outside the centre's component and no other is inside.
+    open_groups = known.groupBy("centre").agg(F.count_if(~F.col("main")).alias("outside"), F.count_if("main").alias("inside")).where("outside > 1 OR (outside > 0 AND inside > 0)").select("centre")
+    rows = look_up(known, "centre", open_groups, "node")
+    # Bands of the distance to the centre, as wide as a link may be long; a link joins one band or two next to each other.
+    band = F.floor(F.col("far") * 100 / (100 - percent) - 1e-9).cast("int")
+    rows = written(rows.withColumn("cell", F.struct("centre", F.greatest(F.lit(0), band).alias("band"), "main")).drop("centre", "far", "main"), "open")
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = look_up(rows, "cell", sizes, "node").select(F.col("cell.centre").alias("centre"), F.struct("cell.band", "cell.main", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")).alias("cell"), "node", "label")
+    cells = written(sizes.select("cell.*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "cells")
+    a, b = (cells.select("centre", F.struct("band", "main", "block").alias(name)) for name in ("left", "right"))
+    # Blocks of the query set (not in the centre's component) with blocks of the bands around; each pair of blocks once.
+    asked = a.where(~F.col("left.main")).join(b, "centre").where(F.abs(F.col("left.band") - F.col("right.band")) <= 1)
+    asked = asked.where(F.col("right.main") | (F.col("left") <= F.col("right")))
+    asked = written(asked.withColumn("task", F.monotonically_increasing_id()), "blocks")
+    sides = asked.select("centre", "task", F.col("left").alias("cell"), F.lit(0).alias("side")).union(asked.select("centre", "task", F.col("right"), F.lit(1)))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(rows, percent), columns=["a", "b"]).astype("int64")
+
+    placed = placed.join(sides, ["centre", "cell"]).select("task", "side", "node", "label").join(classes.hint("merge"), "node").join(sets, "node")
+    return placed.groupBy("task").applyInPandas(compare, "a long, b long")
 
 
 def link_documents(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:

@@ -61,16 +61,22 @@ def is_close(computed: Column, recorded: Column, relative: float = 1e-6, absolut
     return F.abs(computed - recorded) <= F.lit(absolute) + F.abs(recorded) * relative
 
 
+#: Bits of a draw.
+DRAW_BITS = 60
+
+
+def drawn(*parts: Column) -> Column:
+    """A number of DRAW_BITS random bits that depends on the parts alone, not on partitions; the head of their md5, so that any engine can repeat it."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
 def hashed_uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that depends on the parts alone, not on partitions."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    """A number in [0, 1) that depends on the parts alone."""
+    return drawn(*parts) / float(1 << DRAW_BITS)
 
 
 def hashed_normal(*parts: Column) -> Column:
     """A standard normal number that depends on the parts alone."""
     u, v = hashed_uniform(*parts, F.lit("u")), hashed_uniform(*parts, F.lit("v"))
     return F.sqrt(-2 * F.log(1 - u)) * F.cos(v * 6.283185307179586)
-
-
-def quartiles(x: Column) -> Column:
-    return F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import col, hashed_normal, hashed_uniform, numeric_columns
+from ..functions.numbers import DRAW_BITS, col, drawn, hashed_normal, hashed_uniform, numeric_columns
 
+#: Rows that one task ranks, and counts of draws that come to the driver at once.
+RANKED, STEP_BITS = 20_000, 12
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
@@ -28,17 +30,43 @@ def numbered(df: DataFrame, order: str | Column, name: str) -> DataFrame:
     return local.join(F.broadcast(starts), "_part").withColumn(name, (F.col(name) + F.col("_start")).cast("long")).drop("_part", "_start")
 
 
-def chosen(df: DataFrame, row_id: str, seed: int, salt: str, k: int) -> DataFrame:
-    """The rows' ids that an exact choice of k takes: those with the k smallest hashes."""
-    draw = df.select(col(row_id).alias("_id"), F.xxhash64(col(row_id), F.lit(seed), F.lit(salt)).alias("_h"))
-    if k <= 0:
-        return draw.where(F.lit(False)).select("_id")
-    # The k-th smallest hash: an approximate bound leaves a few rows more, which are then ranked.
-    rows = df.count()
-    if k >= rows:
-        return draw.select("_id")
-    ranked = numbered(draw, F.struct("_h", "_id"), "_r")
-    return ranked.where(F.col("_r") < k).select("_id")
+def numbered_by_draw(df: DataFrame, draw: Column, row_id: Column, name: str) -> DataFrame:
+    """Consecutive numbers from 0 in the order of a draw.
+
+    Draws are uniform, so their leading bits deal rows to buckets of about equal
+    size; a bucket is numbered by itself and starts where the buckets before it end.
+    """
+    bits = max(0, min(16, (df.count() // RANKED).bit_length()))
+    bucketed = df.withColumn("_draw", draw).withColumn("_bucket", F.shiftright("_draw", DRAW_BITS - bits) if bits else F.lit(0).cast("long"))
+    local = bucketed.withColumn(name, F.row_number().over(Window.partitionBy("_bucket").orderBy("_draw", row_id)) - 1)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    starts = starts.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))  # at most 65,536 rows
+    return local.join(F.broadcast(starts), "_bucket").withColumn(name, (F.col(name) + F.col("_start")).cast("long")).drop("_draw", "_bucket", "_start")
+
+
+def among_smallest(df: DataFrame, row_id: str, draw: Column, k: int, rows: int) -> Column:
+    """Whether a row is one of the k with the smallest draws (equal ones by id): a condition, so that nothing is shuffled.
+
+    The k-th draw is found by counting draws by their leading bits, then the
+    next bits of the place it falls in, until few rows are left to be ranked.
+    """
+    if k <= 0 or k >= rows:
+        return F.lit(k > 0)
+    ids = df.select(draw.alias("_draw"), col(row_id).alias("_id"))
+    prefix, bits, left, before = 0, 0, rows, 0
+    while left > RANKED and bits + STEP_BITS <= DRAW_BITS:
+        here = ids.where(F.shiftright("_draw", DRAW_BITS - bits) == prefix) if bits else ids
+        bits += STEP_BITS
+        counts = here.groupBy(F.shiftright("_draw", DRAW_BITS - bits).alias("p")).agg(F.count("*").alias("n")).collect()  # at most 4,096 rows
+        for r in sorted(counts):
+            prefix, left = r.p, r.n
+            if before + r.n >= k:
+                break
+            before += r.n
+    here = ids.where(F.shiftright("_draw", DRAW_BITS - bits) == prefix) if bits else ids
+    last = here.orderBy("_draw", "_id").limit(k - before).agg(F.max(F.struct("_draw", "_id")).alias("m")).first().m
+    return (draw < last["_draw"]) | ((draw == last["_draw"]) & (col(row_id) <= F.lit(last["_id"])))
 
 
 class Mutator:
@@ -47,10 +75,10 @@ class Mutator:
     def __init__(self, row_id: str, seed: int = 42):
         self.row_id, self.seed = row_id, seed
 
-    def _at(self, df: DataFrame, fraction: float, salt: str, rows: int | None = None) -> DataFrame:
-        k = math.ceil((df.count() if rows is None else rows) * fraction)
-        picked = chosen(df, self.row_id, self.seed, salt, k).withColumn("_hit", F.lit(True))
-        return df.join(picked, col(self.row_id) == F.col("_id"), "left").drop("_id").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    def _at(self, df: DataFrame, fraction: float, salt: str, rows: int | None = None) -> Column:
+        """Whether a row is one of the drawn share of all rows."""
+        rows = df.count() if rows is None else rows
+        return among_smallest(df, self.row_id, drawn(*self._h(salt)), math.ceil(rows * fraction), rows)
 
     def _h(self, *salt: str) -> list[Column]:
         return [col(self.row_id), F.lit(self.seed), *map(F.lit, salt)]
@@ -58,14 +86,14 @@ class Mutator:
     def inject_missing(self, df: DataFrame, fraction: float, columns: list[str] | None = None) -> DataFrame:
         rows = df.count()
         for c in columns or [x for x in df.columns if x != self.row_id]:
-            df = self._at(df, fraction, f"missing {c}", rows).withColumn(c, F.when(~F.col("_hit"), col(c))).drop("_hit")
+            df = df.withColumn(c, F.when(~self._at(df, fraction, f"missing {c}", rows), col(c)))
         return df
 
     def inject_duplicates(self, df: DataFrame, fraction: float) -> DataFrame:
         """Append int(rows * fraction) rows, drawn with replacement."""
         rows = df.count()
-        places = numbered(df.select(col(self.row_id).alias("_id")), "_id", "_place")
-        draws = df.sparkSession.range(int(rows * fraction)).select(F.pmod(F.xxhash64("id", F.lit(self.seed), F.lit("duplicates")), F.lit(max(rows, 1))).alias("_place"))
+        places = numbered_by_draw(df.select(col(self.row_id).alias("_id")), drawn(F.col("_id"), F.lit(self.seed), F.lit("place")), F.col("_id"), "_place")
+        draws = df.sparkSession.range(int(rows * fraction)).select(F.pmod(drawn(F.col("id"), F.lit(self.seed), F.lit("duplicates")), F.lit(max(rows, 1))).alias("_place"))
         again = draws.join(places, "_place").join(df, F.col("_id") == col(self.row_id)).select(*[col(c) for c in df.columns])
         return df.unionByName(again)
 
@@ -76,7 +104,7 @@ class Mutator:
             mean, spread = (float(f.m), float(f.s)) if f.s and not math.isnan(f.s) else (0.0, 1.0)
             far = 5 + 5 * hashed_uniform(*self._h("far", c))
             sign = F.when(hashed_uniform(*self._h("sign", c)) < 0.5, -1.0).otherwise(1.0)
-            df = self._at(df, fraction, f"outliers {c}", rows).withColumn(c, F.when(F.col("_hit"), mean + sign * far * spread).otherwise(col(c).cast("double"))).drop("_hit")
+            df = df.withColumn(c, F.when(self._at(df, fraction, f"outliers {c}", rows), mean + sign * far * spread).otherwise(col(c).cast("double")))
         return df
 
     def inject_noise(self, df: DataFrame, level: float, columns: list[str] | None = None) -> DataFrame:
@@ -89,10 +117,10 @@ class Mutator:
         return df.drop(*columns)
 
     def shuffle_column(self, df: DataFrame, columns: list[str]) -> DataFrame:
-        """Deal a column's values out to other rows: the value at one hash order goes to the row at another."""
+        """Deal a column's values out to other rows: the value at one place of a drawn order goes to the row at the same place of another."""
         for c in columns:
-            giver = numbered(df.select(col(c).alias("_v"), F.struct(F.xxhash64(*self._h("shuffle", c)), col(self.row_id)).alias("_o")), "_o", "_r").select("_v", "_r")
-            taker = numbered(df.select(col(self.row_id).alias("_id")), "_id", "_r")
+            giver = numbered_by_draw(df.select(col(c).alias("_v"), col(self.row_id).alias("_g")), drawn(F.col("_g"), F.lit(self.seed), F.lit(f"give {c}")), F.col("_g"), "_r").drop("_g")
+            taker = numbered_by_draw(df.select(col(self.row_id).alias("_id")), drawn(F.col("_id"), F.lit(self.seed), F.lit(f"take {c}")), F.col("_id"), "_r")
             dealt = taker.join(giver, "_r").select("_id", "_v")
             df = df.join(dealt, col(self.row_id) == F.col("_id")).withColumn(c, F.col("_v")).drop("_id", "_v")
         return df
@@ -111,26 +139,30 @@ class Mutator:
         return df.select(*[moved(at[c], c) if c in at else col(c) for c in df.columns])
 
     def flip_labels(self, df: DataFrame, target: str, fraction: float) -> DataFrame:
-        classes = [r[0] for r in df.where(col(target).isNotNull()).select(col(target)).distinct().orderBy(col(target)).limit(1000).collect()]
-        if len(classes) < 2:
+        """A drawn share of the labels moves on by a drawn number of classes, in the classes' order; a label is never kept."""
+        classes = numbered(df.where(col(target).isNotNull()).select(col(target).alias("_c")).distinct(), "_c", "_k")
+        n = classes.count()
+        if n < 2:
             return df
-        own = F.array(*map(F.lit, classes))
-        others = F.array_except(own, F.array(col(target)))
-        pick = F.get(others, F.pmod(F.xxhash64(*self._h("flip to")), F.greatest(F.size(others), F.lit(1))).cast("int"))
-        return self._at(df, fraction, "flip").withColumn(target, F.when(F.col("_hit"), pick).otherwise(col(target)).cast(df.schema[target].dataType)).drop("_hit")
+        hit = self._at(df, fraction, "flip") & col(target).isNotNull()
+        step = 1 + F.pmod(drawn(*self._h("flip to")), F.lit(n - 1))
+        # Only flipped rows look up classes; these tables have a row for each class.
+        flipped = df.withColumn("_hit", hit).withColumn("_from", F.when(F.col("_hit"), col(target))).withColumn("_step", F.when(F.col("_hit"), step))
+        own, new = classes.withColumnsRenamed({"_c": "_from", "_k": "_k1"}), classes.withColumnsRenamed({"_c": "_to", "_k": "_k2"})
+        moved = flipped.join(own, "_from", "left").withColumn("_k2", F.pmod(F.col("_k1") + F.col("_step"), F.lit(n))).join(new, "_k2", "left")
+        return moved.select(*[F.when(F.col("_hit"), F.col("_to")).otherwise(col(c)).alias(c) if c == target else col(c) for c in df.columns])
 
     def downsample_minority(self, df: DataFrame, target: str, majority, minority, ratio: float) -> DataFrame:
         """Keep max(1, min(int(majority * (1 - ratio) / ratio), minority rows)) of the minority's rows."""
         f = df.agg(F.count_if(col(target) == majority).alias("most"), F.count_if(col(target) == minority).alias("few")).first()
         keep = max(1, min(int(f.most * (1 - ratio) / ratio), f.few))
-        few = df.where(col(target) == minority)
-        kept = few.join(chosen(few, self.row_id, self.seed, "imbalance", keep), col(self.row_id) == F.col("_id"), "left_semi")
-        return df.where(~col(target).eqNullSafe(F.lit(minority))).unionByName(kept)
+        stays = among_smallest(df.where(col(target) == minority), self.row_id, drawn(*self._h("imbalance")), keep, f.few)
+        return df.where(~col(target).eqNullSafe(F.lit(minority)) | stays)
 
     def corrupt(self, df: DataFrame, fraction: float, columns: list[str] | None = None) -> DataFrame:
         """Replace cells by five random letters or digits."""
         rows = df.count()
         for c in columns or [x for x in df.columns if x != self.row_id]:
-            letters = [F.substring(F.lit(ALPHABET), F.pmod(F.xxhash64(*self._h("corrupt", c, str(k))), F.lit(len(ALPHABET))).cast("int") + 1, F.lit(1)) for k in range(5)]
-            df = self._at(df, fraction, f"corrupt {c}", rows).withColumn(c, F.when(F.col("_hit"), F.concat(*letters)).otherwise(col(c).cast(T.StringType()))).drop("_hit")
+            letters = [F.substring(F.lit(ALPHABET), F.pmod(drawn(*self._h("corrupt", c, str(k))), F.lit(len(ALPHABET))).cast("int") + 1, F.lit(1)) for k in range(5)]
+            df = df.withColumn(c, F.when(self._at(df, fraction, f"corrupt {c}", rows), F.concat(*letters)).otherwise(col(c).cast(T.StringType())))
         return df

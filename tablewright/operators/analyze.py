@@ -11,7 +11,7 @@ from .profile import ColumnFacts, Facts, gather_facts
 # Names that make a column a label, or an identifier.
 TARGET_NAMES = {"target", "label", "class", "score", "outcome", "y", "result", "prediction", "category", "type"}
 NOT_TARGET_PREFIXES = ("id", "uuid", "key", "hash", "identifier", "index")
-ID_NAMES = {"id", "uuid", "key", "hash", "identifier", "index", "row_id", "record_id", "dataset_id", "sample_id", "pk", "primary_key", "user_id", "customer_id"}
+ID_NAMES = {"id", "uuid", "key", "hash", "identifier", "index", "row_id", "record_id", "dataset_id", "sample_id", "user_id", "item_id", "product_id", "transaction_id"}
 
 
 def is_target_candidate(c: ColumnFacts) -> bool:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import col
 from .audit import LEAKING
 from .analyze import rank_ids
-from .profile import Facts, duplicate_count, gather_facts
+from .profile import Facts, distinct_counts, duplicate_count, gather_facts, top_values
 
 #: Physical types that each declared kind allows.
 KINDS = {
@@ -83,29 +83,98 @@ def check_schema(df: DataFrame, schema: Schema) -> list[tuple]:
     return found
 
 
-def expectations(facts: Facts) -> list[tuple]:
-    """Checks that follow from a table's facts."""
+@dataclass
+class Expectation:
+    """A check drawn from one table that any table can be held against."""
+
+    check: str
+    column: str | None
+    low: float | None = None
+    high: float | None = None
+    values: tuple[str, ...] = ()
+
+
+#: Text columns of up to so many values are expected to keep to them.
+MOST_VALUES = 20
+BOOLEAN_WORDS = ("true", "false", "1", "0")
+
+
+def expectations(df: DataFrame, facts: Facts) -> list[Expectation]:
+    """What a table's own facts lead one to expect of it and of its next versions."""
     ids = {i["name"] for i in rank_ids(facts)}
-    found: list[tuple] = []
+    few = [c.name for c in facts.columns.values() if c.text and c.role == "categorical" and 0 < c.distinct <= MOST_VALUES]
+    held: dict[str, list[str]] = {}
+    for r in top_values(df, few, MOST_VALUES).collect() if few else ():  # at most MOST_VALUES rows a column
+        held.setdefault(r["column"], []).append(r["value"])
+    found: list[Expectation] = []
     for c in facts.columns.values():
-        filled = (facts.rows - c.nulls) / facts.rows
-        found.append(("not_null_mostly", c.name, filled, filled >= 1 - c.null_pct / 100))
-        found.append(("two_values", c.name, float(c.distinct), c.distinct >= 2))
+        found.append(Expectation("not_null_mostly", c.name, low=max(0.0, 1 - c.null_pct / 100)))
+        found.append(Expectation("two_values", c.name, low=2))
         if c.name in ids:
-            found.append(("id_unique", c.name, float(c.distinct), c.distinct == facts.rows - c.nulls))
+            found.append(Expectation("id_unique", c.name))
         if c.category == "text":
-            found.append(("not_blank", c.name, float(c.blanks), c.blanks == 0))
-        if c.numeric and c.min is not None:
-            reach = 3 * c.std if c.std else 1.0
-            found.append(("number_type", c.name, None, True))
-            found.append(("in_range", c.name, c.max, c.min >= c.mean - max(reach, c.mean - c.min) and c.max <= c.max + reach))
-            if c.std and round(c.std, 4) > 0:
-                found.append(("spread", c.name, round(c.std, 4), round(c.std, 4) >= 1e-4))
-        if c.boolean:
-            found.append(("boolean_set", c.name, float(c.distinct), c.distinct <= 2))
-        if c.temporal:
-            found.append(("time_type", c.name, None, True))
-    return [*found, ("some_rows", None, float(facts.rows), facts.rows >= 1), ("column_order", None, float(len(facts.columns)), True)]
+            found.append(Expectation("not_blank", c.name))
+        if c.numeric:
+            found.append(Expectation("number_type", c.name))
+            if c.min is not None:
+                reach = 3 * c.std if c.std else 1.0
+                found.append(Expectation("in_range", c.name, c.min - reach, c.max + reach))
+            if c.std:
+                found.append(Expectation("spread", c.name, low=1e-4))
+        elif c.boolean:
+            found.append(Expectation("boolean_set", c.name, values=BOOLEAN_WORDS))
+        elif c.temporal:
+            found.append(Expectation("time_type", c.name))
+        elif c.name in held:
+            found.append(Expectation("value_set", c.name, values=tuple(sorted(held[c.name]))))
+    return [*found, Expectation("some_rows", None, low=1), Expectation("column_order", None, values=tuple(facts.columns))]
+
+
+def check_expectations(df: DataFrame, suite: list[Expectation]) -> list[tuple]:
+    """Rows (check, column, observed, passed): one aggregate and one count of distinct values, for any number of checks.
+
+    A check of a column that the table does not have fails.
+    """
+    kinds = dict(df.dtypes)
+    of = lambda *checks: [e for e in suite if e.check in checks and e.column in kinds]
+    number = lambda e: col(e.column).try_cast("double")
+    word = lambda e: F.lower(col(e.column).cast("string")) if e.check == "boolean_set" else col(e.column).cast("string")
+    counts = {
+        "held": lambda e: F.count(col(e.column)),
+        "in_range": lambda e: F.count_if((number(e) < e.low) | (number(e) > e.high)),
+        "spread": lambda e: F.stddev_samp(number(e)),
+        "not_blank": lambda e: F.count_if(col(e.column).cast("string").rlike(r"^\s+$")),
+        "sets": lambda e: F.count_if(~word(e).isin(list(e.values))),
+    }
+    asked = [(e, "in_range") for e in of("in_range")] + [(e, "spread") for e in of("spread")] + [(e, "not_blank") for e in of("not_blank")] + [(e, "sets") for e in of("boolean_set", "value_set")]
+    asked += [(e, "held") for e in of("not_null_mostly", "id_unique")]
+    one = df.agg(F.count("*").alias("_rows"), *[counts[how](e).alias(f"x{i}") for i, (e, how) in enumerate(asked)]).first()
+    seen = {(e.check, e.column): one[f"x{i}"] for i, (e, _) in enumerate(asked)}
+    distinct_of = sorted({e.column for e in of("two_values", "id_unique")})
+    distinct = {r["column"]: r["distinct"] for r in distinct_counts(df, distinct_of).collect()} if distinct_of else {}
+    rows, found = one["_rows"], []
+    for e in suite:
+        c, x = e.column, seen.get((e.check, e.column))
+        if e.check == "some_rows":
+            found.append((e.check, None, float(rows), rows >= e.low))
+        elif e.check == "column_order":
+            found.append((e.check, None, float(len(df.columns)), tuple(df.columns) == e.values))
+        elif c not in kinds:
+            found.append((e.check, c, None, False))
+        elif e.check == "not_null_mostly":
+            share = x / rows if rows else 0.0
+            found.append((e.check, c, share, share >= e.low - 1e-4))
+        elif e.check in ("two_values", "id_unique"):
+            n = distinct.get(c, 0)
+            found.append((e.check, c, float(n), n >= 2 if e.check == "two_values" else n == x))
+        elif e.check in ("number_type", "time_type"):
+            allowed = KINDS["integer"] + KINDS["float"] if e.check == "number_type" else KINDS["datetime"] + KINDS["text"]
+            found.append((e.check, c, None, kinds[c].startswith(allowed)))
+        elif e.check == "spread":
+            found.append((e.check, c, x, x is not None and x >= e.low))
+        else:
+            found.append((e.check, c, float(x), x == 0))
+    return found
 
 
 def own_issues(facts: Facts, target: str | None) -> list[tuple[str, str]]:
@@ -140,14 +209,17 @@ class Validation:
         return df.sparkSession.createDataFrame(self.checks, CHECK)
 
 
-def validate(df: DataFrame, target: str | None = None, schema: Schema | None = None) -> Validation:
-    """Schema, expectations and own issues; 100 for all checks passed, less five for each issue."""
+def validate(df: DataFrame, target: str | None = None, schema: Schema | None = None, suite: list[Expectation] | None = None) -> Validation:
+    """Schema, expectations and own issues; 100 for all checks passed, less five for each issue.
+
+    ``suite`` holds the expectations of another version; without it, the table's own are checked.
+    """
     facts = gather_facts(df)
     if facts.rows == 0:
         raise ValueError("an empty table cannot be validated")
     of_schema = check_schema(df, schema) if schema else []
     errors = [c for c in of_schema if not c[3] and c[0] != "unexpected_column"]
-    expected = expectations(facts)
+    expected = check_expectations(df, suite or expectations(df, facts))
     passed, total = sum(c[3] for c in expected) + (not errors), len(expected) + len(errors) + 1
     issues = own_issues(facts, target)
     score = round(max(0.0, min(100.0, passed / total * 100 - 5 * len(issues))), 2)

@@ -48,6 +48,55 @@ def gappy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "ts", "user_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("event_type"), F.when(F.col("value") >= 10, F.col("value")).alias("value"))
 
 
+def facts_sql(source: str, numbers: list[str], texts: list[str] = [], times: list[str] = []) -> str:  # noqa: B006
+    """CTEs facts (a row for each column) and shape (one row) of a relation named or written in brackets."""
+    one = "SELECT '{c}' AS name, '%s' AS kind, count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS d, %s FROM " + source + " s"
+    number = one % ("numeric", "avg({c}) AS mean, stddev_samp({c}) AS sd, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, skewness({c}) AS skew, kurtosis({c}) AS kurt, count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outliers, 0 AS classes, 0.0 AS least") + ", (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM " + source + " r) q"
+    word = "count(DISTINCT CASE WHEN regexp_full_match({c}, '\\s*[+-]?\\d+\\s*') THEN 1 WHEN regexp_full_match({c}, '\\s*[+-]?(\\d+\\.\\d*|\\.\\d+)\\s*') THEN 2 WHEN lower(trim({c})) IN ('true', 'false') THEN 3 WHEN {c} IS NOT NULL THEN 4 END)"
+    least = "(SELECT min(k) * 1.0 / sum(k) FROM (SELECT count(*) AS k FROM " + source + " u WHERE {c} IS NOT NULL GROUP BY {c}) v)"
+    other = "NULL AS mean, NULL AS sd, NULL AS low, NULL AS high, NULL AS skew, NULL AS kurt, 0 AS outliers, %s AS classes, %s AS least"
+    parts = [each(numbers, number)] if numbers else []
+    parts += [each(texts, one % ("text", other % (word, least)))] if texts else []
+    parts += [each(times, one % ("time", other % ("0", "0.0")))] if times else []
+    columns = ", ".join([*numbers, *texts, *times])
+    category = "CASE WHEN d <= 1 AND nulls < n THEN 'constant' WHEN kind = 'numeric' THEN CASE WHEN d = 2 THEN 'binary' ELSE 'numeric' END WHEN kind = 'time' THEN 'datetime' WHEN nulls = n THEN 'unknown' WHEN classes > 2 THEN 'mixed' WHEN d > 100 THEN 'high_cardinality' ELSE 'text' END AS category"
+    return f"facts AS (SELECT *, round_even(nulls * 100.0 / n, 2) AS null_pct, {category} FROM ({' UNION ALL '.join(parts)}) f), shape AS (SELECT (SELECT count(*) FROM {source} a) AS n, (SELECT count(*) FROM {source} a) - (SELECT count(*) FROM (SELECT DISTINCT {columns} FROM {source} b) c) AS repeated)"
+
+
+def findings_sql(source: str, numbers: list[str], texts: list[str], times: list[str], target: str) -> str:
+    """CTE findings: dimension, severity, column and value; the target is a text column."""
+    pairs = [(a, b) for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
+    strong = " UNION ALL ".join(f"SELECT '{a}' AS a, corr({a}, {b}) AS r, count(DISTINCT {a}) > 1 AND count(DISTINCT {b}) > 1 AS varied FROM {source} s" for a, b in pairs)
+    parts = [
+        "SELECT 'Completeness' AS dimension, CASE WHEN nulls = n THEN 'ERROR' WHEN nulls > 0.5 * n THEN 'WARNING' ELSE 'INFO' END AS severity, name AS \"column\", null_pct AS value FROM facts WHERE nulls > 0",
+        "SELECT 'Uniqueness', CASE WHEN repeated * 100.0 / n > 5 THEN 'WARNING' ELSE 'INFO' END, NULL, repeated * 100.0 / n FROM shape WHERE repeated > 0",
+        "SELECT 'Accuracy', CASE WHEN outliers * 100.0 / n > 5 THEN 'WARNING' ELSE 'INFO' END, name, outliers * 100.0 / n FROM facts WHERE kind = 'numeric' AND d > 1 AND outliers > 0",
+        "SELECT 'Consistency', CASE WHEN abs(skew) > 3 THEN 'WARNING' ELSE 'INFO' END, name, skew FROM facts WHERE kind = 'numeric' AND d > 1 AND abs(skew) > 1.5",
+        "SELECT 'Consistency', 'INFO', name, kurt FROM facts WHERE kind = 'numeric' AND d > 1 AND abs(kurt) > 3",
+        f"SELECT 'Consistency', CASE WHEN least < 0.05 THEN 'WARNING' ELSE 'INFO' END, name, least FROM facts WHERE name = '{target}' AND d > 1 AND least < 0.1",
+        f"SELECT 'Reliability', CASE WHEN abs(r) > 0.95 THEN 'WARNING' ELSE 'INFO' END, a, r FROM ({strong}) p WHERE varied AND abs(r) > 0.8",
+        "SELECT 'Reliability', 'WARNING', name, NULL FROM facts WHERE d <= 1",
+    ]
+    return f"{facts_sql(source, numbers, texts, times)}, findings AS ({' UNION ALL '.join(parts)})"
+
+
+def draw_sql(*parts: str) -> str:
+    """The 60-bit draw that a mutation takes from these SQL expressions."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)})), 1, 15) AS BIGINT)"
+
+
+def picked_sql(salt: str, share: float, source: str = "events") -> str:
+    """Rows of a relation with ``hit``: whether a mutation of seed 42 takes them."""
+    draw = draw_sql("event_id", "42", f"'{salt}'")
+    return f"(SELECT *, row_number() OVER (ORDER BY {draw}, event_id) <= ceil(count(*) OVER () * {share}) AS hit FROM {source} s)"
+
+
+TARGET_SQL = "'target', 'label', 'class', 'score', 'outcome', 'y', 'result', 'prediction', 'category', 'type'"
+CUSTOMER = ("customer", ["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"])
+EVENTS = (["event_id", "user_id", "value"], ["event_type"], ["ts"])
+CANDIDATES_SQL = f"candidates AS (SELECT name, round(least(1.0, 0.5 + CASE category WHEN 'binary' THEN 0.3 WHEN 'numeric' THEN 0.1 ELSE 0 END + CASE WHEN d <= 2 THEN 0.1 ELSE 0 END + CASE WHEN null_pct < 10 THEN 0.1 ELSE 0 END), 4) AS confidence, CASE WHEN d <= 10 THEN 'classification' ELSE 'regression' END AS task FROM facts WHERE d > 1 AND NOT regexp_matches(name, '^(id|uuid|key|hash|identifier|index)') AND (d = 2 OR (d BETWEEN 3 AND 10 AND kind <> 'numeric') OR name IN ({TARGET_SQL}) OR regexp_matches(name, '^(target|label)')))"
+
+
 # --- Profiles -------------------------------------------------------------------------------------
 
 
@@ -89,9 +138,13 @@ def dedupe(spark, sf_dir):
     return repair.drop_duplicates(read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_discount"))
 
 
-@query("SELECT 'p_brand' AS left_column, 'copy' AS right_column")
+TWINS = "(SELECT p_partkey, p_name, p_brand, p_brand AS copy, CASE WHEN p_partkey = 1 THEN 'x' ELSE p_brand END AS near FROM part)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS left_column, '{b}' AS right_column FROM {TWINS} t HAVING bool_and({a} IS NOT DISTINCT FROM {b})" for a, b in [("p_name", "p_brand"), ("p_name", "copy"), ("p_name", "near"), ("p_brand", "copy"), ("p_brand", "near"), ("copy", "near")]))
 def duplicate_columns(spark, sf_dir):
-    return profile.duplicate_columns(read(spark, sf_dir, "part").withColumn("copy", F.col("p_brand")))
+    p = read(spark, sf_dir, "part")
+    return profile.duplicate_columns(p.select("p_partkey", "p_name", "p_brand", F.col("p_brand").alias("copy"), F.when(F.col("p_partkey") == 1, "x").otherwise(F.col("p_brand")).alias("near")))
 
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -123,31 +176,37 @@ def casing_classes(spark, sf_dir):
     return p.groupBy(F.when(X.casing(F.col("p_name")) == "lower", "lower").otherwise("other").alias("casing")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c AS name, CAST(p AS DOUBLE) AS confidence, t AS task FROM (VALUES ('event_type', 0.6, 'classification')) v(c, p, t)")
+@query(f"WITH {facts_sql('events', *EVENTS)}, {CANDIDATES_SQL} SELECT name, CAST(confidence AS DOUBLE) AS confidence, task FROM candidates")
 def target_candidates(spark, sf_dir):
     found = analyze.rank_targets(profile.gather_facts(read(spark, sf_dir, "events").drop("props")))
     return spark.createDataFrame([(t["name"], t["confidence"], t["task"]) for t in found], "name string, confidence double, task string")
 
 
-@query("SELECT 'c_custkey' AS name, CAST(0.9 AS DOUBLE) AS confidence UNION ALL SELECT 'c_name', 0.9 UNION ALL SELECT 'c_acctbal', 0.9 WHERE (SELECT count(DISTINCT c_acctbal) >= 0.95 * count(*) FROM customer)")
+@query(f"WITH {facts_sql(*CUSTOMER)} SELECT name, CAST(0.5 + CASE WHEN d > 0 THEN 0.3 ELSE 0 END + CASE WHEN nulls = 0 THEN 0.1 ELSE 0 END AS DOUBLE) AS confidence FROM facts WHERE name IN ('id', 'uuid', 'key', 'hash', 'identifier', 'index', 'row_id', 'record_id', 'dataset_id', 'sample_id', 'user_id', 'item_id', 'product_id', 'transaction_id') OR (d > 1 AND d >= 0.95 * n)")
 def id_candidates(spark, sf_dir):
     found = analyze.rank_ids(profile.gather_facts(read(spark, sf_dir, "customer")))
     return spark.createDataFrame([(t["name"], t["confidence"]) for t in found], "name string, confidence double")
 
 
-@query("SELECT 'classification' AS kind, count(*) AS \"rows\", CAST(5 AS BIGINT) AS columns FROM events")
+@query(f"WITH {facts_sql('events', *EVENTS)}, {CANDIDATES_SQL} SELECT CASE WHEN EXISTS (SELECT 1 FROM candidates WHERE task = 'classification') THEN 'classification' WHEN EXISTS (SELECT 1 FROM candidates) THEN 'regression' WHEN (SELECT n FROM shape) > 10 AND EXISTS (SELECT 1 FROM facts WHERE category = 'datetime') THEN 'time_series' ELSE 'unsupervised' END AS kind, (SELECT n FROM shape) AS \"rows\", (SELECT count(*) FROM facts) AS columns")
 def table_kind(spark, sf_dir):
     found = analyze.analyze(read(spark, sf_dir, "events").drop("props"))
     return spark.createDataFrame([(found["kind"], found["rows"], len(found["columns"]))], "kind string, rows long, columns long")
 
 
-@query("SELECT category, count(*) AS n FROM (VALUES ('numeric'), ('high_cardinality'), ('numeric'), ('numeric'), ('text')) v(category) GROUP BY category")
+@query(f"WITH {facts_sql(*CUSTOMER)} SELECT category, count(*) AS n FROM facts GROUP BY category")
 def semantic_types(spark, sf_dir):
     facts = profile.gather_facts(read(spark, sf_dir, "customer"))
     rows = spark.createDataFrame([(c.category,) for c in facts.columns.values()], "category string")
     return rows.groupBy("category").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {facts_sql(*CUSTOMER)} SELECT name FROM facts WHERE category <> 'constant' AND nulls < n AND NOT (d > 1 AND d >= 0.95 * n)")
+def feature_columns(spark, sf_dir):
+    facts = profile.gather_facts(read(spark, sf_dir, "customer"))
+    return spark.createDataFrame([(c,) for c in analyze.features_of(facts)], "name string")
+
+
 # --- Audit and health -----------------------------------------------------------------------------
 
 
@@ -161,20 +220,24 @@ def rare_categories(spark, sf_dir):
     return audit.class_shares(read(spark, sf_dir, "part"), "p_brand").where("share < 0.04").select("value", "n")
 
 
-@query("SELECT 'twice' AS left_column, 'l_quantity' AS right_column, 'WARNING' AS severity")
+TWICE = "(SELECT l_quantity AS twice, l_quantity, l_discount, l_tax, l_quantity + 20 * l_linenumber AS loose FROM lineitem)"
+
+
+@query("SELECT left_column, right_column, CASE WHEN abs(r) > 0.95 THEN 'WARNING' ELSE 'INFO' END AS severity FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS left_column, '{b}' AS right_column, corr({a}, {b}) AS r FROM {TWICE} t" for i, a in enumerate(["twice", "l_quantity", "l_discount", "l_tax", "loose"]) for b in ["twice", "l_quantity", "l_discount", "l_tax", "loose"][i + 1 :]) + ") c WHERE abs(r) > 0.4")
 def multicollinearity(spark, sf_dir):
-    df = read(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("twice"), "l_quantity", "l_discount", "l_tax")
-    found = profile.correlation_matrix(df).where(F.abs("r") > 0.8)
-    return found.select("left_column", "right_column", F.when(F.abs("r") > 0.95, "WARNING").otherwise("INFO").alias("severity"))
+    df = read(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("twice"), "l_quantity", "l_discount", "l_tax", (F.col("l_quantity") + 20 * F.col("l_linenumber")).alias("loose"))
+    found = audit.find_problems(df, correlated=0.4)
+    rows = [(f.column, f.message.split("'")[3], f.severity) for f in found if f.dimension == "Reliability"]
+    return spark.createDataFrame(rows, "left_column string, right_column string, severity string")
 
 
-@query("SELECT 'leak' AS \"column\", 'ERROR' AS severity")
+@query("SELECT \"column\", 'ERROR' AS severity FROM (" + each(["l_discount", "leak"], "SELECT '{c}' AS \"column\", corr(l_tax, {c}) AS r FROM (SELECT l_tax, l_discount, l_tax * 3 AS leak FROM lineitem) t") + ") c WHERE abs(r) > 0.95")
 def target_leakage(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem").select("l_tax", "l_discount", (F.col("l_tax") * 3).alias("leak"))
     return audit.audit(df, "l_tax").where((F.col("dimension") == "Reliability") & (F.col("severity") == "ERROR")).select("column", "severity")
 
 
-@query("SELECT 'same' AS \"column\", 'WARNING' AS severity UNION ALL SELECT 'none', 'WARNING'")
+@query("SELECT \"column\", 'WARNING' AS severity FROM (" + each(["c_acctbal", "same", "none"], "SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS d FROM (SELECT c_acctbal, 'x' AS same, NULL AS none FROM customer) t") + ") c WHERE d <= 1")
 def constant_columns(spark, sf_dir):
     df = read(spark, sf_dir, "customer").select("c_acctbal", F.lit("x").alias("same"), F.lit(None).cast("string").alias("none"))
     return audit.audit(df).where((F.col("dimension") == "Reliability")).select("column", "severity")
@@ -190,21 +253,33 @@ def health_completeness(spark, sf_dir):
     return audit.health_frame(gappy_events(spark, sf_dir)).select(F.round("completeness", 1).alias("completeness"))
 
 
-@query()
+HEALTH = f"{findings_sql(*CUSTOMER, [], 'c_mktsegment')}, cost AS (SELECT dimension, CASE dimension WHEN 'Consistency' THEN CASE severity WHEN 'WARNING' THEN 15 ELSE 5 END WHEN 'Accuracy' THEN CASE severity WHEN 'WARNING' THEN 10 ELSE 3 END ELSE CASE severity WHEN 'ERROR' THEN 20 WHEN 'WARNING' THEN 10 ELSE 5 END END AS c FROM findings), scores AS (SELECT (SELECT greatest(0, 100 - sum(null_pct) * 0.5) FROM facts) AS completeness, (SELECT greatest(0, 100 - repeated * 200.0 / n) FROM shape) AS uniqueness, (SELECT greatest(0, 100 - coalesce(sum(c), 0)) FROM cost WHERE dimension = 'Consistency') AS consistency, (SELECT greatest(0, 100 - coalesce(sum(c), 0)) FROM cost WHERE dimension = 'Accuracy') AS accuracy, (SELECT greatest(0, 100 - coalesce(sum(c), 0)) FROM cost WHERE dimension = 'Reliability') AS reliability, (SELECT greatest(0, 100 - 10 * count(*)) FROM facts WHERE nulls > 0 AND d > 1 AND d >= 0.95 * n) AS readiness), total AS (SELECT *, round(greatest(0, completeness * 0.25 + uniqueness * 0.15 + consistency * 0.2 + accuracy * 0.25 + reliability * 0.15 - (100 - readiness) * 0.1), 2) AS overall FROM scores)"
+
+
+@query(f"WITH {HEALTH} SELECT CAST(round(completeness, 2) AS DOUBLE) AS completeness, CAST(round(uniqueness, 2) AS DOUBLE) AS uniqueness, CAST(consistency AS DOUBLE) AS consistency, CAST(accuracy AS DOUBLE) AS accuracy, CAST(reliability AS DOUBLE) AS reliability, CAST(readiness AS DOUBLE) AS readiness, CAST(overall AS DOUBLE) AS overall, CASE WHEN overall >= 90 THEN 'A' WHEN overall >= 75 THEN 'B' WHEN overall >= 60 THEN 'C' WHEN overall >= 40 THEN 'D' ELSE 'F' END AS grade FROM total")
 def health_score(spark, sf_dir):
     return audit.health_frame(read(spark, sf_dir, "customer"), "c_mktsegment")
 
 
-@query()
+GAPPY_FINDINGS = findings_sql(GAPPY, ['event_id', 'user_id', 'value'], ['event_type'], ['ts'], 'event_type')
+
+
+@query(f"WITH {GAPPY_FINDINGS} SELECT dimension, severity, \"column\", round(value, 3) AS value FROM findings")
 def audit_findings(spark, sf_dir):
-    return audit.audit(gappy_events(spark, sf_dir), "event_type")
+    return audit.audit(gappy_events(spark, sf_dir), "event_type").select("dimension", "severity", "column", F.round("value", 3).alias("value"))
 
 
-@query()
+@query(f"WITH {GAPPY_FINDINGS} SELECT severity, count(*) AS n FROM findings GROUP BY severity")
 def severity_counts(spark, sf_dir):
     return audit.severity_counts(audit.audit(gappy_events(spark, sf_dir), "event_type"))
 
 
+@query("SELECT CASE WHEN repeated * 100.0 / n > 5 THEN 'WARNING' ELSE 'INFO' END AS severity, round(repeated * 100.0 / n, 3) AS pct FROM (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_discount FROM lineitem) d) AS repeated FROM lineitem) x WHERE repeated > 0")
+def duplicate_findings(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_discount")
+    return audit.audit(df).where("dimension = 'Uniqueness'").select("severity", F.round("value", 3).alias("pct"))
+
+
 # --- Validation -----------------------------------------------------------------------------------
 
 
@@ -217,17 +292,52 @@ def schema_validation(spark, sf_dir):
     return spark.createDataFrame(validate.check_schema(df, ORDER_SCHEMA), validate.CHECK)
 
 
-@query("SELECT 'two_values' AS \"check\", c AS \"column\", CAST(d AS DOUBLE) AS observed, d >= 2 AS passed FROM (SELECT 'o_orderstatus' AS c, count(DISTINCT o_orderstatus) AS d FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'fixed', 1) x UNION ALL SELECT 'not_null_mostly', c, 1.0, true FROM (VALUES ('o_orderstatus'), ('o_custkey'), ('fixed')) v(c)")
+@query("SELECT 'two_values' AS \"check\", c AS \"column\", CAST(d AS DOUBLE) AS observed, d >= 2 AS passed FROM (SELECT 'o_orderstatus' AS c, count(DISTINCT o_orderstatus) AS d FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'fixed', count(DISTINCT 1) FROM orders) x UNION ALL SELECT 'not_null_mostly', c, h, true FROM (SELECT 'o_orderstatus' AS c, count(o_orderstatus) / count(*) AS h FROM orders UNION ALL SELECT 'o_custkey', count(o_custkey) / count(*) FROM orders UNION ALL SELECT 'fixed', count(1) / count(*) FROM orders) y")
 def expectations(spark, sf_dir):
     df = read(spark, sf_dir, "orders").select("o_orderstatus", "o_custkey", F.lit(1).alias("fixed"))
     found = [c for c in validate.validate(df).checks if c[0] in ("two_values", "not_null_mostly")]
     return spark.createDataFrame(found, validate.CHECK)
 
 
-@query()
+ORDER_FACTS = facts_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], ["o_orderdate"])
+#: The checks that the table's own facts lead to; only two_values, id_unique and not_blank can fail on the table that they come from.
+ORDER_CHECKS = f"{ORDER_FACTS}, checks AS (SELECT 'not_null_mostly' AS k, true AS passed FROM facts UNION ALL SELECT 'two_values', d >= 2 FROM facts UNION ALL SELECT 'id_unique', d = n - nulls FROM facts WHERE d > 1 AND d >= 0.95 * n UNION ALL SELECT 'not_blank', true FROM facts WHERE category = 'text' UNION ALL SELECT 'number_type', true FROM facts WHERE kind = 'numeric' UNION ALL SELECT 'in_range', true FROM facts WHERE kind = 'numeric' UNION ALL SELECT 'spread', sd >= 1e-4 FROM facts WHERE kind = 'numeric' AND sd > 0 UNION ALL SELECT 'time_type', true FROM facts WHERE kind = 'time' UNION ALL SELECT 'value_set', true FROM facts WHERE kind = 'text' AND d BETWEEN 1 AND 20 UNION ALL SELECT 'some_rows', n >= 1 FROM shape UNION ALL SELECT 'column_order', true)"
+
+
+@query(f"WITH {ORDER_CHECKS} SELECT k AS \"check\", count(*) AS n, count(*) FILTER (WHERE passed) AS passed FROM checks GROUP BY k")
+def expectation_suite(spark, sf_dir):
+    v = validate.validate(read(spark, sf_dir, "orders"))
+    return v.frame(read(spark, sf_dir, "orders")).groupBy("check").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
+
+
+@query(f"WITH {ORDER_CHECKS} SELECT CAST(round(least(100, (count(*) FILTER (WHERE passed) + 1) * 100.0 / (count(*) + 1)), 2) AS DOUBLE) AS score, count(*) FILTER (WHERE NOT passed) = 0 AS success, count(*) AS checks, CAST((SELECT count(*) FROM facts WHERE nulls = n OR (kind = 'text' AND classes > 1)) AS BIGINT) AS issues FROM checks")
 def validation_report(spark, sf_dir):
     v = validate.validate(read(spark, sf_dir, "orders"), "o_orderstatus")
-    return spark.createDataFrame([(v.score, v.success, len(v.checks), len(v.issues))], "score double, success boolean, checks int, issues int")
+    return spark.createDataFrame([(v.score, v.success, len(v.checks), len(v.issues))], "score double, success boolean, checks long, issues long")
+
+
+@query("WITH f AS (SELECT min(o_totalprice) - 3 * stddev_samp(o_totalprice) AS lo, max(o_totalprice) + 3 * stddev_samp(o_totalprice) AS hi, max(o_totalprice) AS top FROM orders), x AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN hi + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 40 = 0 THEN 'Z' ELSE o_orderstatus END AS status, lo, hi FROM orders, f) SELECT 'in_range' AS \"check\", 'o_totalprice' AS \"column\", CAST(count(*) FILTER (WHERE price < lo OR price > hi) AS DOUBLE) AS observed, count(*) FILTER (WHERE price < lo OR price > hi) = 0 AS passed FROM x UNION ALL SELECT 'value_set', 'o_orderstatus', count(*) FILTER (WHERE status NOT IN (SELECT DISTINCT o_orderstatus FROM orders)), count(*) FILTER (WHERE status NOT IN (SELECT DISTINCT o_orderstatus FROM orders)) = 0 FROM x UNION ALL SELECT 'column_order', NULL, 2, true UNION ALL SELECT 'number_type', 'o_totalprice', NULL, (SELECT typeof(price) = 'DOUBLE' FROM x LIMIT 1)")
+def expectations_of_another(spark, sf_dir):
+    """The suite of one version held against another with values out of range and a new value."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    own = o.select("o_totalprice", "o_orderstatus")
+    f = own.agg((F.max("o_totalprice") + 3 * F.stddev_samp("o_totalprice") + 1).alias("far")).first()
+    later = o.select(F.when(F.col("o_orderkey") % 50 == 0, f.far).otherwise(F.col("o_totalprice")).alias("o_totalprice"), F.when(F.col("o_orderkey") % 40 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    suite = validate.expectations(own, profile.gather_facts(own))
+    return spark.createDataFrame(validate.check_expectations(later, suite), validate.CHECK).where("check IN ('in_range', 'value_set', 'column_order', 'number_type')")
+
+
+@query("SELECT name, CASE WHEN t LIKE '%INT%' THEN 'integer' WHEN t = 'DOUBLE' THEN 'float' WHEN t LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'text' END AS type, nulls > 0 AS nullable, nulls = 0 AND d = n AS \"unique\" FROM (" + each(["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "SELECT '{c}' AS name, any_value(typeof({c})) AS t, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS d, count(*) AS n FROM orders") + ") x")
+def schema_of_table(spark, sf_dir):
+    found = validate.Schema.of(read(spark, sf_dir, "orders"))
+    return spark.createDataFrame([(c.name, c.type, c.nullable, c.unique) for c in found.columns], "name string, type string, nullable boolean, unique boolean")
+
+
+@query("SELECT 'mixed' AS kind, 'v' AS \"column\" WHERE (SELECT count(DISTINCT CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END) FROM events) > 1 UNION ALL SELECT 'blank', 'w' WHERE (SELECT count(*) FILTER (WHERE event_id % 9 = 0) FROM events) > 0 UNION ALL SELECT 'empty', 'e' WHERE (SELECT count(*) FROM events) > 0 UNION ALL SELECT 'leakage', 'twice' WHERE (SELECT abs(corr(value, value * 2)) FROM events) > 0.95 UNION ALL SELECT 'low variance', 'flat' WHERE (SELECT stddev_samp(value * 1e-9) FROM events) < 1e-4")
+def own_issues(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    df = e.select("value", (F.col("value") * 2).alias("twice"), (F.pmod(F.xxhash64("event_id"), F.lit(100)) * 1e-9).alias("flat"), F.when(F.col("event_id") % 3 == 0, "12").otherwise("word").alias("v"), F.when(F.col("event_id") % 9 == 0, "  ").otherwise("text").alias("w"), F.lit(None).cast("string").alias("e"))
+    return spark.createDataFrame(validate.own_issues(profile.gather_facts(df), "value"), "kind string, column string")
 
 
 # --- Cleaning -------------------------------------------------------------------------------------
@@ -388,12 +498,17 @@ def auto_repair(spark, sf_dir):
     return r.df.withColumn("value", F.round("value", 6))
 
 
-@query(f"SELECT CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS duplicates, true AS clean")
+REPAIRED = f"(SELECT event_id, coalesce(event_type, (SELECT event_type FROM {GAPPY} h WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1)) AS event_type, coalesce(value, (SELECT quantile_cont(value, 0.5) FROM {GAPPY} h)) AS value FROM {GAPPY} g)"
+
+
+@query(f"SELECT gaps, duplicates, gaps = 0 AND duplicates = 0 AS clean FROM (SELECT CAST(3 * count(*) - count(event_id) - count(event_type) - count(value) AS BIGINT) AS gaps, count(*) - count(DISTINCT (event_id, event_type, value)) AS duplicates FROM {REPAIRED} r) x UNION ALL SELECT gaps, duplicates, gaps = 0 AND duplicates = 0 FROM (SELECT CAST(3 * count(*) - count(event_id) - count(event_type) - count(value) AS BIGINT) AS gaps, count(*) - (SELECT count(*) FROM (SELECT DISTINCT event_id, event_type, value FROM {GAPPY} d) e) AS duplicates FROM {GAPPY} r) y")
 def verify_clean(spark, sf_dir):
+    """After and before the repair."""
     r = repair.Repairer(gappy_events(spark, sf_dir).select("event_id", "event_type", "value"))
+    before = repair.verify(r.df)
     r.auto_repair()
-    v = repair.verify(r.df)
-    return spark.createDataFrame([(sum(v["missing"].values()), v["duplicates"], v["clean"])], "gaps long, duplicates long, clean boolean")
+    rows = [(sum(v["missing"].values()), v["duplicates"], v["clean"]) for v in (repair.verify(r.df), before)]
+    return spark.createDataFrame(rows, "gaps long, duplicates long, clean boolean")
 
 
 # --- Drift and versions ---------------------------------------------------------------------------
@@ -465,14 +580,19 @@ def next_customers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return c, after
 
 
-@query("SELECT kind, \"column\", severity FROM (VALUES ('renamed', 'c_name', 'WARNING'), ('added', 'extra', 'INFO'), ('type', 'c_nationkey', 'CRITICAL'), ('missing', 'c_acctbal', 'CRITICAL')) v(kind, \"column\", severity)")
+NEXT = "(SELECT c_custkey, c_name AS full_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN 'MACHINERY' ELSE c_mktsegment END AS c_mktsegment, 1 AS extra FROM customer)"
+#: Columns that only one version has, with the share of their values in common.
+RENAMES = f"gone AS (SELECT column_name AS c FROM (DESCRIBE SELECT * FROM customer) d WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE SELECT * FROM {NEXT} m) e)), came AS (SELECT column_name AS c FROM (DESCRIBE SELECT * FROM {NEXT} m) d WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE SELECT * FROM customer) e)), pairs AS (SELECT 'c_name' AS a, 'full_name' AS b, (SELECT count(*) FROM (SELECT c_name FROM customer INTERSECT SELECT full_name FROM {NEXT} m) i) / (SELECT count(*) FROM (SELECT c_name FROM customer UNION SELECT full_name FROM {NEXT} m) u) AS score), found AS (SELECT a, b, score FROM pairs WHERE a IN (SELECT c FROM gone) AND b IN (SELECT c FROM came) AND score >= 0.9)"
+
+
+@query(f"WITH {RENAMES} SELECT 'renamed' AS kind, a AS \"column\", 'WARNING' AS severity FROM found UNION ALL SELECT 'removed', c, 'WARNING' FROM gone WHERE c NOT IN (SELECT a FROM found) UNION ALL SELECT 'added', c, 'INFO' FROM came WHERE c NOT IN (SELECT b FROM found) UNION ALL SELECT 'type', x.column_name, CASE WHEN x.column_type = 'VARCHAR' OR y.column_type = 'VARCHAR' THEN 'CRITICAL' ELSE 'INFO' END FROM (DESCRIBE SELECT * FROM customer) x JOIN (DESCRIBE SELECT * FROM {NEXT} m) y ON x.column_name = y.column_name WHERE x.column_type <> y.column_type UNION ALL SELECT 'missing', c, CASE WHEN p < 0 THEN 'INFO' WHEN p >= 20 THEN 'CRITICAL' ELSE 'WARNING' END FROM (" + each(["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"], "SELECT '{c}' AS c, (SELECT avg(CASE WHEN {c} IS NULL THEN 100.0 ELSE 0 END) FROM " + NEXT + " m) - (SELECT avg(CASE WHEN {c} IS NULL THEN 100.0 ELSE 0 END) FROM customer) AS p") + ") g WHERE abs(p) >= 5 UNION ALL SELECT 'cardinality', c, 'WARNING' FROM (SELECT 'c_mktsegment' AS c, (SELECT count(DISTINCT c_mktsegment) FROM " + NEXT + " m) / (SELECT count(DISTINCT c_mktsegment) FROM customer) AS q) h WHERE q >= 2 OR q <= 0.5")
 def schema_diff(spark, sf_dir):
     left, right = next_customers(spark, sf_dir)
     found = compare.compare(left, right, row_id="c_custkey", drift=False)
     return found.frame(left).select("kind", "column", "severity")
 
 
-@query("SELECT 'c_name' AS before, 'full_name' AS after, CAST(1.0 AS DOUBLE) AS score")
+@query(f"WITH {RENAMES} SELECT a AS before, b AS after, CAST(score AS DOUBLE) AS score FROM found")
 def rename_detection(spark, sf_dir):
     left, right = next_customers(spark, sf_dir)
     return spark.createDataFrame(compare.renamed_columns(left, right), "before string, after string, score double")
@@ -490,11 +610,15 @@ def target_shift(spark, sf_dir):
     return compare.class_shares_of_both(left, right, "c_mktsegment").select("value", F.round("pct_left", 4).alias("pct_left"), F.round("pct_right", 4).alias("pct_right"))
 
 
-@query("SELECT measure, \"left\", \"right\" FROM (SELECT 'rows' AS measure, CAST(count(*) AS VARCHAR) AS \"left\", CAST(count(*) AS VARCHAR) AS \"right\" FROM customer UNION ALL SELECT 'columns', '5', '6' UNION ALL SELECT 'duplicates', '0', '0') x")
+SHAPE = "SELECT {s} AS side, (SELECT count(*) FROM {t} m) AS n, (SELECT count(*) FROM (DESCRIBE SELECT * FROM {t} m) d) AS k, (SELECT count(*) FROM {t} m) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t} m) d) AS dup, ({g}) AS nulls"
+BOTH_SHAPES = f"shapes AS ({SHAPE.format(s=0, t='customer', g='SELECT 5 * count(*) - count(c_custkey) - count(c_name) - count(c_nationkey) - count(c_acctbal) - count(c_mktsegment) FROM customer')} UNION ALL {SHAPE.format(s=1, t=NEXT, g=f'SELECT 6 * count(*) - count(c_custkey) - count(full_name) - count(c_nationkey) - count(c_acctbal) - count(c_mktsegment) - count(extra) FROM {NEXT} m')}), long AS (SELECT side, 'rows' AS measure, CAST(n AS VARCHAR) AS v FROM shapes UNION ALL SELECT side, 'columns', CAST(k AS VARCHAR) FROM shapes UNION ALL SELECT side, 'duplicates', CAST(dup AS VARCHAR) FROM shapes UNION ALL SELECT side, 'missing_pct', CAST(CAST(round(nulls * 100.0 / (n * k), 4) AS DOUBLE) AS VARCHAR) FROM shapes)"
+
+
+@query(f"WITH {BOTH_SHAPES} SELECT a.measure, a.v AS \"left\", b.v AS \"right\" FROM long a JOIN long b ON a.measure = b.measure WHERE a.side = 0 AND b.side = 1")
 def version_headline(spark, sf_dir):
     left, right = next_customers(spark, sf_dir)
     found = compare.compare(left, right, drift=False)
-    return found.headline_frame(left).where("measure <> 'missing_pct'").select("measure", "left", "right")
+    return found.headline_frame(left).select("measure", "left", "right")
 
 
 @query("SELECT 'c_mktsegment' AS \"column\", count(DISTINCT c_mktsegment) AS n_left, 1 AS n_right FROM customer")
@@ -517,45 +641,42 @@ def mutator() -> mutate.Mutator:
     return mutate.Mutator("event_id", 42)
 
 
-@query("SELECT count(*) AS n, CAST(ceil(count(*) * 0.1) AS BIGINT) AS nulls FROM events")
+@query(f"SELECT event_id, CASE WHEN NOT hit THEN value END AS value FROM {picked_sql('missing value', 0.1)} p")
 def inject_missing(spark, sf_dir):
-    return mutator().inject_missing(read(spark, sf_dir, "events"), 0.1, ["value"]).agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"))
+    return mutator().inject_missing(read(spark, sf_dir, "events"), 0.1, ["value"]).select("event_id", "value")
 
 
-@query("SELECT count(*) + CAST(floor(count(*) * 0.05) AS BIGINT) AS n, count(*) AS ids FROM events")
+@query(f"WITH p AS (SELECT event_id, row_number() OVER (ORDER BY {draw_sql('event_id', '42', "'place'")}, event_id) - 1 AS place FROM events), d AS (SELECT {draw_sql('i', '42', "'duplicates'")} % (SELECT count(*) FROM events) AS place FROM (SELECT unnest(range(CAST(floor((SELECT count(*) FROM events) * 0.05) AS BIGINT))) AS i) r) SELECT event_id, count(*) AS n FROM (SELECT event_id FROM events UNION ALL SELECT event_id FROM d JOIN p ON d.place = p.place) x GROUP BY event_id")
 def inject_duplicates(spark, sf_dir):
-    return mutator().inject_duplicates(read(spark, sf_dir, "events"), 0.05).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+    return mutator().inject_duplicates(read(spark, sf_dir, "events"), 0.05).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n, CAST(ceil(count(*) * 0.02) AS BIGINT) AS far FROM events")
+@query(f"SELECT event_id, round(CASE WHEN hit THEN m + CASE WHEN {draw_sql('event_id', '42', chr(39) + 'sign' + chr(39), chr(39) + 'value' + chr(39))} / 1152921504606846976.0 < 0.5 THEN -1 ELSE 1 END * (5 + 5 * ({draw_sql('event_id', '42', chr(39) + 'far' + chr(39), chr(39) + 'value' + chr(39))} / 1152921504606846976.0)) * s ELSE value END, 3) AS value FROM {picked_sql('outliers value', 0.02)} p, (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events) q")
 def inject_outliers(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    m = mutator().inject_outliers(e, 0.02, ["value"]).select("event_id", F.col("value").alias("new"))
-    return e.join(m, "event_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") != F.col("new")).alias("far"))
+    return mutator().inject_outliers(read(spark, sf_dir, "events"), 0.02, ["value"]).select("event_id", F.round("value", 3).alias("value"))
 
 
-@query("SELECT count(*) AS n, CAST(ceil(count(*) * 0.1) AS BIGINT) AS flipped FROM events")
+@query(f"WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS k FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL) c), n AS (SELECT count(*) AS n FROM k) SELECT event_id, CASE WHEN hit THEN b.event_type ELSE p.event_type END AS event_type FROM {picked_sql('flip', 0.1)} p CROSS JOIN n LEFT JOIN k a ON a.event_type = p.event_type LEFT JOIN k b ON b.k = (a.k + 1 + {draw_sql('event_id', '42', chr(39) + 'flip to' + chr(39))} % (n - 1)) % n")
 def flip_labels(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    m = mutator().flip_labels(e, "event_type", 0.1).select("event_id", F.col("event_type").alias("new"))
-    return e.join(m, "event_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") != F.col("new")).alias("flipped"))
+    return mutator().flip_labels(read(spark, sf_dir, "events"), "event_type", 0.1).select("event_id", "event_type")
 
 
-@query("SELECT event_type, CASE WHEN event_type = 'error' THEN greatest(1, least(CAST(floor((SELECT count(*) FROM events WHERE event_type = 'view') * (1 - 0.9) / 0.9) AS BIGINT), count(*))) ELSE count(*) END AS n FROM events GROUP BY event_type")
+@query(f"SELECT event_id FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {draw_sql('event_id', '42', chr(39) + 'imbalance' + chr(39))}, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS few FROM events) x WHERE event_type <> 'error' OR event_type IS NULL OR r <= greatest(1, least(CAST(floor((SELECT count(*) FROM events WHERE event_type = 'view') * (1 - 0.9) / 0.9) AS BIGINT), few))")
 def downsample_minority(spark, sf_dir):
-    return mutator().downsample_minority(read(spark, sf_dir, "events"), "event_type", "view", "error", 0.9).groupBy("event_type").agg(F.count("*").alias("n"))
+    return mutator().downsample_minority(read(spark, sf_dir, "events"), "event_type", "view", "error", 0.9).select("event_id")
 
 
-@query("SELECT value, count(*) AS n FROM events GROUP BY value")
+@query(f"WITH g AS (SELECT value, row_number() OVER (ORDER BY {draw_sql('event_id', '42', chr(39) + 'give value' + chr(39))}, event_id) AS r FROM events), t AS (SELECT event_id, row_number() OVER (ORDER BY {draw_sql('event_id', '42', chr(39) + 'take value' + chr(39))}, event_id) AS r FROM events) SELECT event_id, value FROM t JOIN g ON t.r = g.r")
 def shuffle_column(spark, sf_dir):
-    return mutator().shuffle_column(read(spark, sf_dir, "events").select("event_id", "value"), ["value"]).groupBy("value").agg(F.count("*").alias("n"))
+    return mutator().shuffle_column(read(spark, sf_dir, "events").select("event_id", "value"), ["value"])
 
 
-@query("SELECT count(*) AS n, CAST(ceil(count(*) * 0.1) AS BIGINT) AS corrupted FROM events")
+LETTERS = " || ".join(f"substr('{mutate.ALPHABET}', CAST({draw_sql('event_id', '42', chr(39) + 'corrupt' + chr(39), chr(39) + 'event_type' + chr(39), str(k))} % {len(mutate.ALPHABET)} AS INTEGER) + 1, 1)" for k in range(5))
+
+
+@query(f"SELECT event_id, CASE WHEN hit THEN {LETTERS} ELSE event_type END AS event_type FROM {picked_sql('corrupt event_type', 0.1)} p")
 def random_corruption(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    m = mutator().corrupt(e, 0.1, ["event_type"])
-    return m.agg(F.count("*").alias("n"), F.count_if(F.col("event_type").rlike("^[A-Za-z0-9]{5}$") & ~F.col("event_type").isin("click", "error", "login", "share")).alias("corrupted"))
+    return mutator().corrupt(read(spark, sf_dir, "events"), 0.1, ["event_type"]).select("event_id", "event_type")
 
 
 @query("SELECT event_id, value FROM events")
@@ -563,19 +684,17 @@ def remove_features(spark, sf_dir):
     return mutator().remove_features(read(spark, sf_dir, "events"), ["ts", "user_id", "event_type", "props"])
 
 
-@query()
+@query(f"SELECT event_id, round(value + 0.1 * s * sqrt(-2 * ln(1 - u / 1152921504606846976.0)) * cos(v / 1152921504606846976.0 * 6.283185307179586), 3) AS value FROM (SELECT event_id, value, {draw_sql('event_id', '42', chr(39) + 'noise' + chr(39), chr(39) + 'value' + chr(39), chr(39) + 'u' + chr(39))} AS u, {draw_sql('event_id', '42', chr(39) + 'noise' + chr(39), chr(39) + 'value' + chr(39), chr(39) + 'v' + chr(39))} AS v FROM events) e, (SELECT stddev_samp(value) AS s FROM events) q")
 def gaussian_noise(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    m = mutator().inject_noise(e, 0.1, ["value"]).select("event_id", F.col("value").alias("new"))
-    return e.join(m, "event_id").agg(F.count("*").alias("n"), F.round(F.stddev_samp(F.col("new") - F.col("value")) / F.stddev_samp("value"), 2).alias("relative_noise"))
+    return mutator().inject_noise(read(spark, sf_dir, "events"), 0.1, ["value"]).select("event_id", F.round("value", 3).alias("value"))
 
 
 # --- Stores, fingerprints and models --------------------------------------------------------------
 
 
-@query("SELECT count(*) AS \"rows\", CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), CAST(r_regionkey AS VARCHAR), r_name)), 1, 15) AS BIGINT)) AS VARCHAR) AS content FROM region")
+@query("SELECT count(*) AS \"rows\", CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority)), 1, 15) AS BIGINT)) AS VARCHAR) AS content FROM orders")
 def fingerprint(spark, sf_dir):
-    return fingerprints.content_hash(read(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    return fingerprints.content_hash(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"))
 
 
 @query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS version, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent FROM events")

@@ -7,9 +7,10 @@ for each item.  An item costs a few bytes in the shuffle, is sent once for a
 block however often it occurs there, and hot items meet as one entry for each
 block, so no task gathers the copies of anything.
 
-There are as many payloads as blocks times buckets; ``block_bytes`` should grow
-with the collection and the workers' memory (about 20 times a block) so that a
-payload stays well filled.
+There are at most as many payloads as blocks times buckets, and never more than
+items.  Blocks grow with the square root of the collection up to a bound (a task
+takes about 20 times a block), and a bucket serves several blocks' worth of text,
+so that a payload holds more than one item up to about 50 TB of text.
 
 Later rounds see all earlier answers, and all rounds are one plan, so the texts
 are shuffled once and that exchange is reused.  Nothing is kept outside Spark's
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id, which is smaller than any other.
 NO_DOC = -(1 << 63)
-#: Blocks of a small collection.
-LEAST_BLOCKS = 8
+#: Blocks of a small collection, and bytes of text in a block of a collection of up to 1 GB and of a large one.
+LEAST_BLOCKS, BLOCK_BYTES, MOST_BLOCK_BYTES = 8, 6_000_000, 16_000_000
 QUESTION = "bucket int, blk int, round int, payload binary"
 _QUESTION = pa.schema([("bucket", pa.int32()), ("blk", pa.int32()), ("round", pa.int32()), ("payload", pa.binary())])
 
@@ -88,11 +89,19 @@ class Block:
         return self.answers.get(level, {})
 
 
+def sizes_of(total: int, block_bytes: int | None, bucket_bytes: int) -> tuple[int, int]:
+    """Numbers of blocks and of buckets for so many bytes of text."""
+    own = block_bytes or min(MOST_BLOCK_BYTES, int(BLOCK_BYTES * max(1.0, (total / 1e9) ** 0.5)))
+    return max(LEAST_BLOCKS, math.ceil(total / own)), max(LEAST_BLOCKS, math.ceil(total / bucket_bytes))
+
+
 class Rounds:
-    def __init__(self, docs: DataFrame, block_bytes: int = 6_000_000):
+    """``bucket_bytes`` is the text whose items one bucket answers for."""
+
+    def __init__(self, docs: DataFrame, block_bytes: int | None, bucket_bytes: int):
         docs = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.count = max(LEAST_BLOCKS, math.ceil(size / block_bytes))
+        self.count, self.buckets = sizes_of(size, block_bytes, bucket_bytes)
         # Rows without a number are dealt by their text.
         spread = F.when(F.col("doc_id") == NO_DOC, F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
         self.blocks = docs.select(F.pmod(spread, F.lit(self.count)).cast("int").alias("blk"), "doc_id", "text")
@@ -100,7 +109,7 @@ class Rounds:
         self.round = 0
 
     def _over_blocks(self, work: Callable[[Block], pa.Table], schema) -> DataFrame:
-        buckets = self.count
+        buckets = self.buckets
         if self.answers is None:
             return self.blocks.groupBy("blk").applyInArrow(lambda key, rows: work(Block(rows, None, key[0].as_py(), buckets)), schema)
         sides = self.blocks.groupBy("blk").cogroup(self.answers.groupBy("blk"))
@@ -148,16 +157,18 @@ def repeated_elsewhere(payloads: list[bytes]) -> list[bytes]:
 
 
 def first_holder(payloads: list[bytes], *order) -> list[bytes]:
-    """1 for each 64-bit item that another block holds with a smaller key; payloads have items, then the keys' columns."""
-    held = [unpack(p, np.uint64, *order) for p in payloads]
+    """1 for each 128-bit item that another block holds with a smaller key; payloads have the items' halves, then the keys' columns."""
+    held = [unpack(p, np.uint64, np.uint64, *order) for p in payloads]
     sizes = [len(h[0]) for h in held]
     columns = [np.concatenate(c) for c in zip(*held)]
-    by = np.lexsort((*columns[:0:-1], columns[0]))
+    by = np.lexsort((*columns[:1:-1], columns[1], columns[0]))
     columns = [c[by] for c in columns]
-    first = np.flatnonzero(np.diff(columns[0], prepend=columns[0][:1] + np.uint64(1)))
+    new = np.ones(len(by), bool)
+    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+    first = np.flatnonzero(new)
     spread = np.repeat(first, np.diff(first, append=len(by)))
     later = np.zeros(len(by), np.uint8)
-    for c in columns[1:]:  # equal keys are not smaller than one another
+    for c in columns[2:]:  # equal keys are not smaller than one another
         later[by[c != c[spread]]] = 1
     return [p.tobytes() for p in np.split(later, np.cumsum(sizes)[:-1])]
 

@@ -4,16 +4,17 @@ A window of 2L words can only be repeated where both of its halves are.  The
 first level looks at every window of ``base`` words of every text; windows that
 occur once drop out, and only those whose halves both survive are looked at with
 twice the length, until the wanted length is reached or none survives.  There,
-each window is compared by a hash of over 64 bits (bucket and remainder) and the
-earliest start in the collection is found; all later windows are removed.
+each window is compared by two independent 64-bit hashes and the earliest start
+in the collection is found; all later windows are removed.
 
 Below the last level a survivor need not be repeated (hashes are shortened, with
 buckets that grow in number with the collection), so these levels only leave
 windows out; what is removed is decided at the last level alone.
 
 Null texts have no words.  Documents come in the order of ``doc_id``, null first;
-rows that share a ``doc_id`` count as one document, in the order of their
-positions.  An empty table gives an empty result.  Other columns are not read.
+rows that share a ``doc_id``, and rows without one, count as one document, so that
+of equal windows at the same place of two of them neither is earlier and both
+stay.  The smallest 64-bit number stands for null and comes back as null.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .blocks import NO_DOC, Block, Deal, Rounds, bucket_of, first_holder, repeated_elsewhere
 from .tokens import ragged_gather
-from .words import PLACE, Words, mix, shingle_hashes, words_of
+from .words import PLACE, PLACE_2, Words, distinct_pairs, mix, shingle_hashes, words_of
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -72,13 +73,17 @@ class Levels:
         self.alive = np.flatnonzero(repeated[: len(fits)] & repeated[half:] & fits)
 
     def last(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, Deal]:
-        """Distinct windows of the last level: hashes, first place of each, which each window has, and their deal."""
+        """Distinct windows of the last level: both hashes, earliest place of each, which each window has, and their deal."""
         hashes = shingle_hashes(self.words.hashes, self.length)[self.alive]
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        return keys, self.alive[first], which, Deal(bucket_of(mix(keys + PLACE[20]), self.block.buckets))
+        second = shingle_hashes(self.words.second_hashes(), self.length, PLACE_2)[self.alive]
+        first, which = distinct_pairs(hashes, second, *self.starts(self.alive))
+        keys = np.stack([hashes[first], second[first]])
+        return keys, self.alive[first], which, Deal(bucket_of(mix(keys[0] + PLACE[20]), self.block.buckets))
 
-    def document(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.words.bounds, places, "right") - 1
+    def starts(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document number, and place in the document."""
+        rows = np.searchsorted(self.words.bounds, places, "right") - 1
+        return self.block.doc_ids[rows], (places - self.words.bounds[rows]).astype(np.int32)
 
 
 def _levels(block: Block, base: int, length: int, upto: int) -> Levels:
@@ -88,7 +93,7 @@ def _levels(block: Block, base: int, length: int, upto: int) -> Levels:
     return levels
 
 
-def remove_repeated_words(docs: DataFrame, length: int = 20, base: int = 5, block_bytes: int = 6_000_000, texts: bool = False) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, length: int = 20, base: int = 5, block_bytes: int | None = None, bucket_bytes: int = 24_000_000, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row, and ``kept_text`` if ``texts``.
 
     ``length`` is ``base`` times a power of two.
@@ -96,15 +101,14 @@ def remove_repeated_words(docs: DataFrame, length: int = 20, base: int = 5, bloc
     steps = (length // base).bit_length() - 1
     if base << steps != length:
         raise ValueError("length is not base times a power of two")
-    rounds = Rounds(docs, block_bytes)
+    rounds = Rounds(docs, block_bytes, bucket_bytes)
     for upto in range(steps):
         rounds.ask(lambda block, upto=upto: _levels(block, base, length, upto).questions(), repeated_elsewhere)
 
     def ask_first(block: Block) -> list[tuple[int, bytes]]:
         levels = _levels(block, base, length, steps)
         keys, places, _, deal = levels.last()
-        doc = levels.document(places)
-        return deal.questions(keys, block.doc_ids[doc], (places - levels.words.bounds[doc]).astype(np.int32))
+        return deal.questions(*keys, *levels.starts(places))
 
     rounds.ask(ask_first, lambda payloads: first_holder(payloads, np.int64, np.int32))
 
@@ -112,7 +116,9 @@ def remove_repeated_words(docs: DataFrame, length: int = 20, base: int = 5, bloc
         levels = _levels(block, base, length, steps)
         words, (keys, places, which, deal) = levels.words, levels.last()
         later = deal.back(block.answered(steps)) > 0
-        gone = later[which] | (levels.alive != places[which])
+        gone = later[which]
+        for own, earliest in zip(levels.starts(levels.alive), levels.starts(places)):
+            gone = gone | (own != earliest[which])
         edges = np.zeros(len(words.hashes) + 1, np.int32)
         np.add.at(edges, levels.alive[gone], 1)
         np.add.at(edges, levels.alive[gone] + length, -1)

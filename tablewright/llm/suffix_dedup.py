@@ -6,7 +6,7 @@ have equal anchors at equal places, so a window only has to be compared with
 windows of its own anchor.  Neighbouring windows that share an anchor are a run.
 
 1. Anchors that one block alone holds, once, drop out with their runs.
-2. Runs of equal bytes meet by a hash; of each, the smallest document stays a
+2. Runs of equal bytes meet by two independent 64-bit hashes; of each, the smallest document stays a
    representative, and all others hold nothing but earlier bytes.
 3. Representatives of an anchor are counted; one that is alone is done.
 4. The bytes of the others go to the bucket of their anchor.  Each block's runs
@@ -25,8 +25,9 @@ documents share, with different bytes around it) is split: its windows go each
 to the bucket of their own bytes.
 
 Null texts are empty.  Documents come in the order of ``doc_id``, null first;
-rows that share a ``doc_id`` count as one document.  An empty table gives an
-empty result.  Other columns are not read.
+rows that share a ``doc_id``, and rows without one, count as one document.  The
+smallest 64-bit number stands for null and comes back as null.  An empty table
+gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 
 from .blocks import NO_DOC, Block, Deal, Rounds, bucket_of, first_holder, note_bucket, pack, repeated_elsewhere, unpack
 from .tokens import ragged_gather
-from .words import PLACE, mix, prefix_hash, rolling_hash, span_hash, text_bytes
+from .words import PLACE, distinct_pairs, mix, prefix_hash, rolling_hash, span_hash, text_bytes
 
 LENGTH, ANCHOR, HOT = 50, 24, 4096
 SPAN = LENGTH - ANCHOR + 1  # places of the anchor in a window
@@ -233,10 +234,13 @@ class Runs:
         return self.block.doc_ids[np.searchsorted(self.bounds, self.first, "right") - 1]
 
     def content_items(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, Deal]:
-        """Distinct run contents: hash, first run (of the smallest document), which content each run has, and their deal."""
-        h = mix(span_hash(self.sums, self.first, self.first + self.count + LENGTH - 1) + (self.anchor - self.first).astype(np.uint64) * PLACE[40])
-        keys, first, which = np.unique(h, return_index=True, return_inverse=True)
-        return keys, first, which, Deal(bucket_of(mix(keys + PLACE[41]), self.block.buckets))
+        """Distinct run contents: both hashes, first run (of the smallest document), which content each run has, and their deal."""
+        shift, ends = (self.anchor - self.first).astype(np.uint64) * PLACE[40], self.first + self.count + LENGTH - 1
+        h = mix(span_hash(self.sums, self.first, ends) + shift)
+        second = mix(span_hash(prefix_hash(self.data, 1), self.first, ends, 1) + shift)
+        first, which = distinct_pairs(h, second)
+        keys = np.stack([h[first], second[first]])
+        return keys, first, which, Deal(bucket_of(mix(keys[0] + PLACE[41]), self.block.buckets))
 
     def note(self) -> tuple[int, bytes]:
         return note_bucket(self.block), pack(self.first, self.count.astype(np.uint8), (self.anchor - self.first).astype(np.uint8))
@@ -265,7 +269,7 @@ def ask_contents(block: Block) -> list[tuple[int, bytes]]:
     elsewhere = Deal((keys >> np.uint64(32)).astype(np.int64)).back(block.answered(0))
     runs.keep(((counts > 1) | (elsewhere > 0))[which])
     keys, first, _, deal = runs.content_items()
-    return [runs.note(), *deal.questions(keys, runs.documents()[first])]
+    return [runs.note(), *deal.questions(*keys, runs.documents()[first])]
 
 
 class Representatives:
@@ -360,9 +364,9 @@ def result(block: Block) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids, mask=ids == NO_DOC), pa.array(np.diff(bounds)), pa.array(n_removed), pa.array(n_spans), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_earlier_bytes(docs: DataFrame, block_bytes: int = 6_000_000) -> DataFrame:
+def remove_earlier_bytes(docs: DataFrame, block_bytes: int | None = None, bucket_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rounds = Rounds(docs, block_bytes)
+    rounds = Rounds(docs, block_bytes, bucket_bytes)
     rounds.ask(ask_anchors, repeated_elsewhere)
     rounds.ask(ask_contents, lambda payloads: first_holder(payloads, np.int64))
     rounds.ask(ask_counts, answer_counts)

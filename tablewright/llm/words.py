@@ -14,10 +14,13 @@ import pyarrow as pa
 _draw = np.random.default_rng(20240607)
 #: A random 64-bit number for each byte, an odd base and its inverse; the same in every process.
 _BYTE = _draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE = 0x9E3779B97F4A7C15
 #: Factors by which shingles combine their words, by place.
 PLACE = _draw.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The same for a second hash that does not depend on the first: both together have 128 bits.
+_BYTE_2 = _draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE_2 = 0xD1342543DE82EF95
+PLACE_2 = _draw.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -32,8 +35,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _small_table(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+def _small_table(base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to 65,535 of a base, and of its 65,536th power."""
+    base = np.uint64(base)
     low = np.full(1 << 16, base, np.uint64)
     low[0] = 1
     low = np.cumprod(low)
@@ -42,7 +46,8 @@ def _small_table(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     return low, np.cumprod(high)
 
 
-_UP, _DOWN = _small_table(_BASE), _small_table(_INVERSE)
+#: Of each of the two hashes: numbers of the bytes, powers of the base and of its inverse, and what a span's length counts.
+_KINDS = [(b, _small_table(base), _small_table(pow(base, -1, 1 << 64)), place[63:]) for b, base, place in ((_BYTE, _BASE, PLACE), (_BYTE_2, _BASE_2, PLACE_2))]
 
 
 def _powers_between(table: tuple[np.ndarray, np.ndarray], start: int, stop: int) -> np.ndarray:
@@ -65,27 +70,40 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running sums by which :func:`span_hash` hashes any span of the bytes."""
+def prefix_hash(data: np.ndarray, kind: int = 0) -> np.ndarray:
+    """Running sums by which :func:`span_hash` hashes any span of the bytes; ``kind`` is the first or the second hash."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    low, high = _UP
+    numbers, (low, high), _, _ = _KINDS[kind]
     for k in range(0, len(data), 1 << 16):  # pieces that fit the processor's cache
-        terms = _BYTE[data[k : k + (1 << 16)]]
+        terms = numbers[data[k : k + (1 << 16)]]
         terms *= low[: len(terms)]
         terms *= high[k >> 16]
-        terms[0] += sums[k]
+        terms[:1] += sums[k : k + 1]
         np.cumsum(terms, out=sums[k + 1 : k + 1 + len(terms)])
     return sums
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
     """64-bit hash of the bytes of each span; equal bytes, equal hash, wherever they are."""
-    return mix((sums[ends] - sums[starts]) * _powers_at(_DOWN, starts) + (ends - starts).astype(np.uint64) * PLACE[63])
+    _, _, down, size = _KINDS[kind]
+    return mix((sums[ends] - sums[starts]) * _powers_at(down, starts) + (ends - starts).astype(np.uint64) * size)
 
 
 def rolling_hash(sums: np.ndarray, length: int, start: int, stop: int) -> np.ndarray:
     """:func:`span_hash` of the spans of one length that begin from ``start`` up to ``stop``."""
-    return mix((sums[start + length : stop + length] - sums[start:stop]) * _powers_between(_DOWN, start, stop) + np.uint64(length) * PLACE[63])
+    _, _, down, size = _KINDS[0]
+    return mix((sums[start + length : stop + length] - sums[start:stop]) * _powers_between(down, start, stop) + np.array([length], np.uint64) * size)
+
+
+def distinct_pairs(first: np.ndarray, second: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of numbers of 128 bits in two halves: the place of each distinct one with the smallest keys, and which of them each place has."""
+    order = np.lexsort((*keys[::-1], second, first))
+    a, b = first[order], second[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
 @dataclass
@@ -98,6 +116,10 @@ class Words:
     bounds: np.ndarray
     data: np.ndarray
 
+    def second_hashes(self) -> np.ndarray:
+        """The second hash of each word; of words as they are written."""
+        return span_hash(prefix_hash(self.data, 1), self.starts, self.ends, 1)
+
 
 def words_of(texts: pa.Array, fold: bool) -> Words:
     """``fold`` lower-cases A-Z before hashing."""
@@ -117,11 +139,11 @@ def words_of(texts: pa.Array, fold: bool) -> Words:
     return Words(hashes, starts, ends, np.searchsorted(starts, limits), data)
 
 
-def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+def shingle_hashes(hashes: np.ndarray, n: int, place: np.ndarray = PLACE) -> np.ndarray:
     """Hash of each n consecutive words (as if the texts were one); n - 1 fewer than words."""
     if len(hashes) < n:
         return hashes[:0]
     total = np.zeros(len(hashes) - n + 1, np.uint64)
     for k in range(n):
-        total += hashes[k : len(hashes) - n + 1 + k] * PLACE[k]
+        total += hashes[k : len(hashes) - n + 1 + k] * place[k]
     return mix(total + np.uint64(n))

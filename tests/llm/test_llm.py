@@ -156,6 +156,30 @@ def test_repeated_windows(spark, corpus):
     assert got == brute_words(list(enumerate(corpus)), 20)
 
 
+def test_payloads_grow_slower_than_blocks_squared(spark, corpus):
+    """500 blocks of a few rows; payloads are blocks times buckets at most, and never more than items."""
+    from tablewright.llm.blocks import Rounds, sizes_of
+
+    size = sum(len((t or "").encode()) for t in corpus)
+    docs = table(spark, corpus)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in substring_dedup.remove_repeated_words(docs, texts=True, block_bytes=size // 500, bucket_bytes=size // 10).collect()}
+    assert got == brute_words(list(enumerate(corpus)), 20)
+    rounds = Rounds(docs, size // 500, size // 10)
+    rounds.ask(lambda block: substring_dedup.Levels(block, 5, 20).questions(), lambda payloads: payloads)
+    assert rounds.count >= 500 and rounds.buckets <= 11 and rounds.answers.count() <= len(corpus) * rounds.buckets
+    payloads = [k * b for k, b in (sizes_of(t, None, 24_000_000) for t in (10**9, 10**12, 5 * 10**13))]
+    assert all(p <= t / 6 for p, t in zip(payloads, (10**9, 10**12, 5 * 10**13)))
+
+
+@pytest.mark.parametrize("blocks", [10, 10**6])
+def test_repeated_windows_of_null_and_repeated_numbers(spark, blocks):
+    """Rows of one number, or without any, are one document at any number of blocks."""
+    same, other = " ".join(f"w{i}" for i in range(20)), " ".join(f"u{i}" for i in range(25))
+    texts, ids = [same] * 12 + [f"x {same}", same, other, f"y {other}", other], [None] * 13 + [1, 5, 5, 6]
+    got = substring_dedup.remove_repeated_words(table(spark, texts, ids), block_bytes=blocks).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == sorted([(0, 20, 0)] * 12 + [(0, 21, 20), (1, 20, 20), (5, 25, 0), (5, 26, 25), (6, 25, 25)])
+
+
 @pytest.mark.parametrize("texts", AWKWARD)
 def test_repeated_windows_awkward(spark, texts):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeated_words(table(spark, texts), length=2, base=1).collect()}

@@ -47,8 +47,10 @@ from .words import mix, shingle_hashes, words_of
 SYMBOLS = 64
 #: Probability with which a pair of just the least similarity lies beyond the distance.
 MISSED = 1e-6
-#: Members of a group that are compared at a time, and confirmed with their centre in one task.
+#: Members of a group that are confirmed with one copy of their centre's set.
 BLOCK = 256
+#: Members of a group that are compared at a time in the search.  A row is sent once for each block that it meets.
+SEARCH_BLOCK = 2048
 #: Cells over which the rows of one key are spread when they look up facts about it.
 SALTS = 64
 #: Bytes of text that a task handles at a time.
@@ -191,7 +193,7 @@ def block_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     if left.empty or right.empty:
         return []
     n, m, nodes, others = left["n"].to_numpy(), right["n"].to_numpy(), left["node"].tolist(), right["node"].tolist()
-    maybe = (unequal_symbols(_signs(left["signature"]), _signs(right["signature"])) <= distance_for(percent)) & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m))
+    signs, their_signs, distance = _signs(left["signature"]), _signs(right["signature"]), distance_for(percent)
     roots: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -202,13 +204,17 @@ def block_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
 
     own, sets, found = left["shingles"].tolist(), right["shingles"].tolist(), []
     labels, their = left["label"].tolist(), right["label"].tolist()
-    for i, j in np.argwhere(maybe).tolist():
-        a, b = root(labels[i]), root(their[j])  # components of the links before, joined on in this block
-        if a != b:
-            shared = len(np.intersect1d(own[i], sets[j], assume_unique=True))
-            if _similar(shared, n[i], m[j], percent):
-                found.append((nodes[i], others[j]))
-                roots[a] = b
+    for i in range(len(nodes)):
+        # Nearest first: once a member is joined, its other links within the component need no look.
+        unequal = unequal_symbols(signs[i : i + 1], their_signs)[0]
+        maybe = np.flatnonzero((unequal <= distance) & (100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m)))
+        for j in maybe[np.argsort(unequal[maybe], kind="stable")].tolist():
+            a, b = root(labels[i]), root(their[j])  # components of the links before, joined on in this block
+            if a != b:
+                shared = len(np.intersect1d(own[i], sets[j], assume_unique=True))
+                if _similar(shared, n[i], m[j], percent):
+                    found.append((nodes[i], others[j]))
+                    roots[a] = b
     return found
 
 
@@ -270,7 +276,7 @@ def _search_on(judged: DataFrame, labels: DataFrame, classes: DataFrame, sets: D
     # Bands of the distance to the centre, as wide as a link may be long; a link joins one band or two next to each other.
     band = F.floor(F.col("far") * 100 / (100 - percent) - 1e-9).cast("int")
     rows = written(rows.withColumn("cell", F.struct("centre", F.greatest(F.lit(0), band).alias("band"), "main")).drop("centre", "far", "main"), "open")
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / SEARCH_BLOCK).cast("int").alias("blocks"))
     placed = look_up(rows, "cell", sizes, "node").select(F.col("cell.centre").alias("centre"), F.struct("cell.band", "cell.main", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")).alias("cell"), "node", "label")
     cells = written(sizes.select("cell.*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "cells")
     a, b = (cells.select("centre", F.struct("band", "main", "block").alias(name)) for name in ("left", "right"))

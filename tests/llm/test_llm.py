@@ -396,6 +396,7 @@ def brute_components(docs, percent, n):
 
 def test_near_duplicates(spark, corpus, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "SEARCH_BLOCK", 5)
     for percent, n in ((85, 3), (80, 5)):
         got = {tuple(r) for r in near_dedup.link_documents(table(spark, corpus), percent, n).collect()}
         assert got == brute_components(list(enumerate(corpus)), percent, n)
@@ -433,7 +434,7 @@ def test_kept_rows_of_null_and_repeated_numbers(spark):
 
 def test_cluster_whose_centre_lies_outside(spark, monkeypatch):
     """Members that link with one another, not with the centre, are joined by few links."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "SEARCH_BLOCK", 16)
     draw = np.random.default_rng(3)
     base = [f"b{i}" for i in range(100)]
     texts = []

@@ -13,7 +13,8 @@ SOMETIMES_MISSING = ["na", "null", "none", "nil", "missing", "unknown", "undefin
 FILE_MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 FILE_MISSING_MORE = ["-", "--", "---", "?", "??", ".", "n.a.", "n.a", "nil", "missing", "unknown", "undefined", "error", "#error", "not available", "not applicable", "not specified", "not provided", "#value!", "#ref!", "#na", "<null>"]
 
-TEMPORAL_NAME = r"(?i)(^|_)(date|datetime|timestamp|time|day|month|year|dob|created|updated|modified)($|_)"
+# Names and shapes of columns that hold dates.
+TEMPORAL_NAME = r"(^|_)(date|datetime|timestamp|time|day|month|year|dob|created|updated|modified)($|_)"
 TEMPORAL_SHAPE = r"[-/:]|\d{4}"
 #: Forms in which dates are read; where day and month are ambiguous, the month is first.
 TIMESTAMP_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "M/d/yyyy", "MM-dd-yyyy", "dd-MMM-yyyy", "dd MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "yyyyMMdd"]
@@ -55,19 +56,26 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 
 
+# Fixed value: how a number is written once currency, separators and spaces are out; brackets stand for a minus.
+NUMBER = r"^(\()?([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)%?(\))?$"
+
+
 def number_of(text: Column) -> Column:
     """The number that a text writes: thousands separators, currency, percent and brackets for a negative; else null."""
     trimmed = F.trim(text)
-    bracketed = trimmed.rlike(r"^\(.*\)$")
-    inner = F.when(bracketed, F.regexp_extract(trimmed, r"^\((.*)\)$", 1)).otherwise(trimmed)
-    percent = inner.rlike(r"%\s*$")
-    bare = F.regexp_replace(F.regexp_replace(inner, r"%\s*$", ""), r"[$€£₹¥₩₽,\s]", "")
-    value = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
-    return F.when(bracketed, -value).otherwise(value) / F.when(percent, 100.0).otherwise(1.0)
+    bare = F.regexp_replace(trimmed, r"[$€£₹¥₩₽,\s]", "")
+    opened = F.startswith(bare, F.lit("("))
+    fits = (opened == F.endswith(bare, F.lit(")"))) & (opened == F.startswith(trimmed, F.lit("(")))
+    value = F.regexp_extract(bare, NUMBER, 2).try_cast("double")
+    return F.when(fits, value * F.when(opened, -1.0).otherwise(1.0) / F.when(F.contains(bare, F.lit("%")), 100.0).otherwise(1.0))
+
+
+#: What every date in one of the forms begins with; anything else is not tried.
+DATE_START = r"^\s*(\d{4}[-/]|\d{1,2}[-/]|\d{2} \p{L}|\p{L}{3} \d|\d{8}\s*$)"
 
 
 def timestamp_of(text: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in TIMESTAMP_FORMATS])
+    return F.when(text.rlike(DATE_START), F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in TIMESTAMP_FORMATS]))
 
 
 def leading_zero(text: Column) -> Column:

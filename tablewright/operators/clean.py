@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import INTEGRAL, col, fields_of, nan_as_null, text_columns
+from ..functions.numbers import col, fields_of, nan_as_null, text_columns
 from ..functions.texts import FREE_TEXT_CHARS, FREE_TEXT_WORDS, SOMETIMES_MISSING, TEMPORAL_NAME, TEMPORAL_SHAPE, always_missing, casing, leading_zero, number_of, sometimes_missing, squeezed, timestamp_of, token, word_count
 
 PARSED_SHARE = 0.9
@@ -107,7 +107,8 @@ def parse_numbers(df: DataFrame, out: Cleaned | None = None) -> DataFrame:
     texts = text_columns(df)
     if not texts:
         return df
-    facts = df.agg(*[F.struct(F.count(col(c)).alias("held"), F.count(number_of(col(c))).alias("parsed"), F.count_if(leading_zero(col(c))).alias("zeros"), F.count_if(number_of(col(c)) % 1 != 0).alias("broken"), F.count_if(~F.trim(col(c)).endswith("%")).alias("plain")).alias(f"p{i}") for i, c in enumerate(texts)]).first()
+    read = df.select(*[col(c) for c in texts], *[number_of(col(c)).alias(f"_n{i}") for i, c in enumerate(texts)])  # each value is read once
+    facts = read.agg(*[F.struct(F.count(col(c)).alias("held"), F.count(f"_n{i}").alias("parsed"), F.count_if(leading_zero(col(c))).alias("zeros"), F.count_if(F.col(f"_n{i}") % 1 != 0).alias("broken"), F.count_if(~F.trim(col(c)).endswith("%")).alias("plain")).alias(f"p{i}") for i, c in enumerate(texts)]).first()
     kinds = {}
     for i, c in enumerate(texts):
         f = facts[i]
@@ -126,7 +127,7 @@ def parse_timestamps(df: DataFrame, out: Cleaned | None = None) -> DataFrame:
     facts = df.agg(*[F.struct(F.count(col(c)).alias("held"), F.count(timestamp_of(col(c))).alias("parsed"), F.count_if(col(c).rlike(TEMPORAL_SHAPE)).alias("shaped"), F.count_if(~F.trim(col(c)).rlike(r"^\d+$")).alias("not_digits")).alias(f"d{i}") for i, c in enumerate(texts)]).first()
     dated = []
     for i, c in enumerate(texts):
-        f, named = facts[i], bool(re.search(TEMPORAL_NAME.replace("(?i)", ""), c, re.IGNORECASE))
+        f, named = facts[i], bool(re.search(TEMPORAL_NAME, c, re.IGNORECASE))
         looks = f.shaped >= PARSED_SHARE * f.held and f.not_digits > 0
         if f.held and (named or looks) and f.parsed >= PARSED_SHARE * f.held:
             dated.append(c)
@@ -195,7 +196,3 @@ def residual_sentinels(df: DataFrame) -> DataFrame:
     one = df.agg(*[F.count_if(always_missing(col(c)) | token(col(c)).isin(SOMETIMES_MISSING)).alias(f"r{i}") for i, c in enumerate(texts)])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("n")) for i, c in enumerate(texts)])
     return one.select(F.explode(cells).alias("c")).select("c.*").where("n > 0")
-
-
-def is_integer(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, INTEGRAL)

@@ -1,20 +1,30 @@
-"""Drift between a reference table and a current one: shares, PSI, Kolmogorov-Smirnov and chi-square."""
+"""Drift between a reference table and a current one: shares, PSI, Kolmogorov-Smirnov and chi-square.
+
+All columns are counted together: one table of (column, value, count on each
+side) answers for shares, tests and changed values of every column.
+"""
 
 from __future__ import annotations
 
 import math
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import NUMERIC, col
+from ..functions.numbers import INTEGRAL, NUMERIC, col
+from .quantiles import exact_quantiles
 
 # Default thresholds.
 DEFAULTS = {"psi_warning": 0.10, "psi_critical": 0.25, "numeric_bins": 10, "significance_level": 0.05, "min_samples": 30, "rare_category_threshold": 0.01, "dataset_drift_share": 0.30, "dataset_warning_share": 0.10, "missing_rate_points": 5.0}
 FLOOR = 1e-6
 STABLE, WARNING, CRITICAL, TYPE_CHANGED, NOT_COMPARABLE = "STABLE", "WARNING", "CRITICAL", "TYPE_CHANGED", "NOT_COMPARABLE"
 SEVERITY = {CRITICAL: 0, TYPE_CHANGED: 1, WARNING: 2, NOT_COMPARABLE: 3, STABLE: 4}
+#: Rows of a column's distribution that a report holds, changes it names, and new or gone values it lists.
+MOST_ROWS, MOST_CHANGES, MOST_NAMED = 25, 5, 10
+#: Rows of each side up to which the Kolmogorov-Smirnov tail is exact.
+EXACT_ROWS = 10_000
 
 
 def sides(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,11 +33,13 @@ def sides(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataF
     return pick(reference, 0).unionByName(pick(current, 1))
 
 
+def inner_edges(quantiles: list[float]) -> list[float]:
+    return sorted(set(quantiles))[1:-1]
+
+
 def quantile_edges(reference: DataFrame, column: str, bins: int = 10) -> list[float]:
     """Inner edges of bins that hold equal shares of the reference; the outer ones are infinite."""
-    x = col(column).cast("double")
-    found = reference.agg(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("q")).first().q or []
-    return sorted(set(found))[1:-1]
+    return inner_edges(exact_quantiles(reference, {column: col(column)}, [k / bins for k in range(bins + 1)])[column])
 
 
 def bin_of(x: Column, inner: list[float]) -> Column:
@@ -68,42 +80,65 @@ def category_counts(reference: DataFrame, current: DataFrame, column: str) -> Da
     return side_counts(sides(reference, current, [column]), col(column).cast("string"))
 
 
-def ks_statistic(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    """statistic, n_ref and n_cur of the two-sample test.
+# --- All columns at once --------------------------------------------------------------------------
+
 
-    Values are counted first; running sums go by ranges of the values, each
-    starting from the sum of those before it, so no task sorts them all.
+def value_table(tagged: DataFrame, columns: list[str]) -> DataFrame:
+    """place (of the column), number or text, n_ref and n_cur: the distinct values of all columns, in one shuffle summed before it.
+
+    The rows lie in ranges of (place, number, text), and ``_part`` is the range.
+    The table is persisted, so that all that is drawn from it sees the same ranges.
     """
-    counts = side_counts(sides(reference, current, [column]), col(column).cast("double"))
-    ranged = counts.repartitionByRange("value").withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select("_part", F.sum("n_ref").over(within).alias("r"), F.sum("n_cur").over(within).alias("c"))
-    parts = ranged.groupBy("_part").agg(F.sum("n_ref").alias("pr"), F.sum("n_cur").alias("pc"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_part", F.coalesce(F.sum("pr").over(before), F.lit(0)).alias("br"), F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("bc"))
-    totals = counts.agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    kinds = tagged.schema
+    numeric = {c for c in columns if isinstance(kinds[c].dataType, NUMERIC)}
+    cells = F.array(*[F.struct(F.lit(i).alias("place"), (col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number"), (F.lit(None).cast("string") if c in numeric else col(c).cast("string")).alias("text")) for i, c in enumerate(columns)])
+    counts = tagged.select("side", F.explode(cells).alias("c")).where("c.number IS NOT NULL OR c.text IS NOT NULL").groupBy("c.place", "c.number", "c.text").agg(F.count_if(F.col("side") == 0).alias("n_ref"), F.count_if(F.col("side") == 1).alias("n_cur"))
+    return counts.repartitionByRange("place", "number", "text").withColumn("_part", F.spark_partition_id()).persist()
+
+
+def ks_of(values: DataFrame) -> DataFrame:
+    """place, statistic, n_ref and n_cur from a value table: running sums by ranges, each starting from the sums of those before it."""
+    within = Window.partitionBy("_part", "place").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    local = values.select("_part", "place", F.sum("n_ref").over(within).alias("r"), F.sum("n_cur").over(within).alias("c"))
+    parts = values.groupBy("_part", "place").agg(F.sum("n_ref").alias("pr"), F.sum("n_cur").alias("pc"))
+    before = Window.partitionBy("place").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", "place", F.coalesce(F.sum("pr").over(before), F.lit(0)).alias("br"), F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("bc"))
+    totals = values.groupBy("place").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     gap = F.abs((F.col("r") + F.col("br")) / F.col("n_ref") - (F.col("c") + F.col("bc")) / F.col("n_cur"))
-    return local.join(F.broadcast(parts), "_part").crossJoin(F.broadcast(totals)).agg(F.max(gap).alias("statistic"), F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
+    # Both small tables have rows for each range and column.
+    return local.join(F.broadcast(parts), ["_part", "place"]).join(F.broadcast(totals), "place").groupBy("place").agg(F.max(gap).alias("statistic"), F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
+
+
+def ks_statistic(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
+    """statistic, n_ref and n_cur of the two-sample test."""
+    return ks_of(value_table(sides(reference, current, [column]), [column])).select("statistic", "n_ref", "n_cur")
 
 
 def chi_square(counts: DataFrame, rare: float = 0.01) -> DataFrame:
     """statistic and groups of the 2 x k table; values rare on both sides are pooled, and 2 x 2 is corrected for continuity."""
-    totals = counts.agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
-    both = counts.crossJoin(F.broadcast(totals))
+    return chi_square_of(counts.select(F.lit(0).alias("place"), "n_ref", "n_cur"), rare).select("statistic", "groups")
+
+
+def chi_square_of(counts: DataFrame, rare: float) -> DataFrame:
+    """place, statistic and groups for each place of (place, n_ref, n_cur)."""
+    totals = counts.groupBy("place").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))  # a row for each column
+    both = counts.join(F.broadcast(totals), "place")
     is_rare = (F.col("n_ref") < rare * F.col("t_ref")) & (F.col("n_cur") < rare * F.col("t_cur"))
-    pooled = both.groupBy(F.when(~is_rare, F.struct("value")).alias("g"), "t_ref", "t_cur").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
-    size = pooled.agg(F.count("*").alias("k"))
-    cells = pooled.crossJoin(F.broadcast(size))
-    total = F.col("t_ref") + F.col("t_cur")
 
-    def part(n: str, t: str) -> Column:
-        expected = (F.col("n_ref") + F.col("n_cur")) * F.col(t) / total
-        gap = F.abs(F.col(n) - expected)
-        corrected = F.when(F.col("k") == 2, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-        return corrected * corrected / expected
+    def part(n_ref: Column, n_cur: Column, corrected: bool) -> Column:
+        out = F.lit(0.0)
+        for n, t in ((n_ref, "t_ref"), (n_cur, "t_cur")):
+            expected = (n_ref + n_cur) * F.col(t) / (F.col("t_ref") + F.col("t_cur"))
+            gap = F.abs(n - expected)
+            gap = gap - F.least(F.lit(0.5), gap) if corrected else gap
+            out = out + gap * gap / expected
+        return out
 
-    out = cells.agg(F.sum(part("n_ref", "t_ref") + part("n_cur", "t_cur")).alias("statistic"), F.count("*").alias("groups"))
-    return out.select(F.when(F.col("groups") >= 2, F.col("statistic")).alias("statistic"), "groups")
+    own = [F.sum(F.when(~is_rare, part(F.col("n_ref"), F.col("n_cur"), k))).alias(f"own_{k}") for k in (False, True)]
+    summed = both.groupBy("place", "t_ref", "t_cur").agg(*own, F.count_if(~is_rare).alias("common"), F.count_if(is_rare).alias("pooled"), F.sum(F.when(is_rare, F.col("n_ref"))).alias("r"), F.sum(F.when(is_rare, F.col("n_cur"))).alias("c"))
+    groups = (F.col("common") + (F.col("pooled") > 0).cast("int")).alias("groups")
+    total = lambda k: F.coalesce(f"own_{k}", F.lit(0.0)) + F.when(F.col("pooled") > 0, part(F.col("r"), F.col("c"), k)).otherwise(0.0)
+    return summed.select("place", groups, total(False).alias("plain"), total(True).alias("corrected")).select("place", F.when(F.col("groups") == 2, F.col("corrected")).when(F.col("groups") > 2, F.col("plain")).alias("statistic"), F.col("groups").cast("long").alias("groups"))
 
 
 def chi_square_p(statistic: float, freedom: int) -> float:
@@ -134,6 +169,11 @@ def chi_square_p(statistic: float, freedom: int) -> float:
     return min(1.0, h * scale)
 
 
+def ks_tail(statistic: float, n: int, m: int) -> float:
+    """Two-sided tail of the Kolmogorov-Smirnov statistic: exact up to EXACT_ROWS on each side, else asymptotic."""
+    return ks_p_exact(statistic, n, m) if max(n, m) <= EXACT_ROWS else ks_p(statistic, n, m)
+
+
 def ks_p(statistic: float, n: int, m: int) -> float:
     """Asymptotic two-sided tail of the Kolmogorov-Smirnov statistic."""
     x = statistic * math.sqrt(n * m / (n + m))
@@ -142,6 +182,26 @@ def ks_p(statistic: float, n: int, m: int) -> float:
     return max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
 
 
+def ks_p_exact(statistic: float, n: int, m: int) -> float:
+    """Share of the orders of n and m values whose statistic is as large.
+
+    An order is a path over a grid; of the paths to each point, the share that
+    has stayed below the statistic follows from the two points before it.  Points
+    with the same number of values so far are reckoned together.
+    """
+    far = round(statistic * n * m)  # statistics are whole multiples of 1 / nm
+    inside = np.ones(1)
+    for seen in range(1, n + m + 1):
+        first, last = max(0, seen - m), min(n, seen)
+        was = max(0, seen - 1 - m)  # the first point of the line before
+        i = np.arange(first, last + 1)
+        padded = np.concatenate([[0.0], inside, [0.0]])
+        across, up = padded[i - was], padded[i - was + 1]
+        inside = (i * across + (seen - i) * up) / seen
+        inside[np.abs(i * m - (seen - i) * n) >= far] = 0.0
+    return float(min(1.0, max(0.0, 1.0 - inside[-1])))
+
+
 @dataclass
 class ColumnDrift:
     column: str
@@ -151,12 +211,15 @@ class ColumnDrift:
     test: str | None = None
     statistic: float | None = None
     p_value: float | None = None
+    significant: bool | None = None
     missing_ref: float | None = None
     missing_cur: float | None = None
     missing_drift: bool = False
     new_values: list[str] = field(default_factory=list)
     gone_values: list[str] = field(default_factory=list)
     top_changes: list[dict] = field(default_factory=list)
+    distribution: list[dict] = field(default_factory=list)
+    statistics: dict[str, dict[str, float | None]] = field(default_factory=dict)
     explanation: str = ""
 
 
@@ -170,8 +233,18 @@ class Drift:
     added: list[str]
 
     def frame(self, df: DataFrame) -> DataFrame:
-        rows = [(c.column, c.status, c.kind, c.psi, c.statistic, c.p_value, c.missing_drift, c.explanation) for c in self.columns]
-        return df.sparkSession.createDataFrame(rows, "column string, status string, kind string, psi double, statistic double, p_value double, missing_drift boolean, explanation string")
+        rows = [(c.column, c.status, c.kind, c.psi, c.statistic, c.p_value, c.significant, c.missing_drift, c.explanation) for c in self.columns]
+        return df.sparkSession.createDataFrame(rows, "column string, status string, kind string, psi double, statistic double, p_value double, significant boolean, missing_drift boolean, explanation string")
+
+    def distribution_frame(self, df: DataFrame) -> DataFrame:
+        """A row for each bin or value of each column: label, shares and contribution."""
+        rows = [(c.column, d["label"], d["share_ref"], d["share_cur"], d["contribution"]) for c in self.columns for d in c.distribution]
+        return df.sparkSession.createDataFrame(rows, "column string, label string, share_ref double, share_cur double, contribution double")
+
+    def statistics_frame(self, df: DataFrame) -> DataFrame:
+        """A row for each column, side and measure."""
+        rows = [(c.column, side, m, None if v is None else float(v)) for c in self.columns for side, held in c.statistics.items() for m, v in held.items()]
+        return df.sparkSession.createDataFrame(rows, "column string, side string, measure string, value double")
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -192,61 +265,164 @@ def missing_rates(reference: DataFrame, current: DataFrame, columns: list[str])
     return one.select(F.explode(cells).alias("c")).select("c.column", "c.m.*")
 
 
-def compare_column(reference: DataFrame, current: DataFrame, column: str, rules: dict) -> ColumnDrift:
-    numbers = [isinstance(df.schema[column].dataType, NUMERIC) for df in (reference, current)]
-    if numbers[0] != numbers[1]:
-        kinds = [df.schema[column].dataType.simpleString() for df in (reference, current)]
-        return ColumnDrift(column, TYPE_CHANGED, "mismatch", explanation=f"'{column}' was {kinds[0]} and is {kinds[1]}; the values cannot be compared.")
-    held = [df.agg(F.count(col(column))).first()[0] for df in (reference, current)]
-    kind = "categorical"
-    if numbers[0]:
-        few = max(2, rules["numeric_bins"] // 2)
-        distinct = sides(reference, current, [column]).where(col(column).isNotNull()).select(col(column)).distinct().limit(few + 1).count()
-        kind = "numeric" if distinct > few else "categorical"
-    if min(held) < rules["min_samples"]:
-        return ColumnDrift(column, NOT_COMPARABLE, kind, explanation=f"'{column}' has {held[0]} and {held[1]} values; {rules['min_samples']} are needed.")
-    counts = numeric_counts(reference, current, column, rules["numeric_bins"]) if kind == "numeric" else category_counts(reference, current, column)
-    parts = contributions(counts)
-    psi = parts.agg(F.sum("contribution")).first()[0]
-    top = [r.asDict() for r in parts.orderBy(F.abs("contribution").desc(), "value").limit(5).select(F.col("value").cast("string"), "share_ref", "share_cur", "contribution").collect()]
-    out = ColumnDrift(column, classify(psi, rules), kind, round(psi, 6), top_changes=top)
-    if kind == "numeric":
-        r = ks_statistic(reference, current, column).first()
-        out.test, out.statistic, out.p_value = "ks_2samp", round(r.statistic, 6), ks_p(r.statistic, r.n_ref, r.n_cur)
-    else:
-        r = chi_square(counts, rules["rare_category_threshold"]).first()
-        if r.statistic is not None:
-            out.test, out.statistic, out.p_value = "chi2_contingency", round(r.statistic, 6), chi_square_p(r.statistic, r.groups - 1)
-        by_size = lambda n: [x[0] for x in counts.where((F.col("n_ref" if n == "n_cur" else "n_cur") == 0) & (F.col(n) > 0)).orderBy(F.col(n).desc(), "value").limit(10).select("value").collect()]
-        out.new_values, out.gone_values = by_size("n_cur"), by_size("n_ref")
-    out.explanation = f"'{column}': PSI {psi:.4f} ({out.status.lower()})" + (f"; new values {', '.join(out.new_values[:3])}" if out.new_values else "") + (f"; gone {', '.join(out.gone_values[:3])}" if out.gone_values else "") + "."
+def side_facts(tagged: DataFrame, columns: list[str], numeric: list[str]) -> dict[str, dict[str, dict]]:
+    """For each column and side: count, missing percentage, and mean, std, min and max of numbers, in one aggregate."""
+    def facts(c: str, s: int) -> Column:
+        x = F.when(F.col("side") == s, col(c))
+        measures = [F.count_if(F.col("side") == s).alias("rows"), F.count(x).alias("count")]
+        if c in numeric:
+            x = x.cast("double")
+            measures += [F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+        return F.struct(*measures)
+
+    one = tagged.agg(*[facts(c, s).alias(f"f{i}_{s}") for i, c in enumerate(columns) for s in (0, 1)]).first()
+    out: dict[str, dict[str, dict]] = {}
+    for i, c in enumerate(columns):
+        for s, side in enumerate(("reference", "current")):
+            held = one[f"f{i}_{s}"].asDict()
+            rows = held.pop("rows")
+            out.setdefault(c, {})[side] = held | {"missing_pct": (rows - held["count"]) / rows * 100 if rows else None}
     return out
 
 
+def _shares(pairs: list[tuple[str, int, int]]) -> tuple[float, list[dict]]:
+    """PSI and distribution of a column's bins (label, n_ref, n_cur)."""
+    t_ref, t_cur = sum(r for _, r, _ in pairs), sum(c for _, _, c in pairs)
+    floored = [(label, max(r / t_ref, FLOOR), max(c / t_cur, FLOOR)) for label, r, c in pairs]
+    s_ref, s_cur = sum(r for _, r, _ in floored), sum(c for _, _, c in floored)
+    rows = [{"label": label, "share_ref": r / s_ref, "share_cur": c / s_cur} for label, r, c in floored]
+    for d in rows:
+        d["contribution"] = (d["share_cur"] - d["share_ref"]) * math.log(d["share_cur"] / d["share_ref"])
+    return sum(d["contribution"] for d in rows), rows
+
+
+def _top(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each place in an order; ranked in parts of each place first, so that no task sorts a whole column."""
+    local = rows.withColumn("_cut", F.pmod(F.xxhash64("label"), F.lit(64)))
+    local = local.withColumn("_r", F.row_number().over(Window.partitionBy("place", "_cut").orderBy(*order))).where(F.col("_r") <= k)
+    return local.withColumn("_r", F.row_number().over(Window.partitionBy("place").orderBy(*order))).where(F.col("_r") <= k)
+
+
+def compare_columns(reference: DataFrame, current: DataFrame, columns: list[str], rules: dict) -> list[ColumnDrift]:
+    """Drift of columns that are of one kind on both sides."""
+    if not columns:
+        return []
+    tagged, schema = sides(reference, current, columns), reference.schema
+    numeric = [c for c in columns if isinstance(schema[c].dataType, NUMERIC)]
+    facts = side_facts(tagged, columns, numeric)
+    values = value_table(tagged, columns)
+    try:
+        distinct = {r.place: r.d for r in values.groupBy("place").agg(F.count("*").alias("d")).collect()}
+        few = max(2, rules["numeric_bins"] // 2)
+        kinds = {c: "numeric" if c in numeric and distinct.get(i, 0) > few else "categorical" for i, c in enumerate(columns)}
+        held = {c: [facts[c][s]["count"] for s in ("reference", "current")] for c in columns}
+        ready = [c for c in columns if min(held[c]) >= rules["min_samples"]]
+        found = {c: ColumnDrift(c, NOT_COMPARABLE, kinds[c], statistics=facts[c], explanation=f"'{c}' has {held[c][0]} and {held[c][1]} values; {rules['min_samples']} are needed.") for c in columns}
+        for c in ready:
+            found[c] = ColumnDrift(c, STABLE, kinds[c], statistics=facts[c])
+        place = {c: i for i, c in enumerate(columns)}
+        _numbers(tagged, values, [found[c] for c in ready if kinds[c] == "numeric"], place, rules)
+        whole = {i for c, i in place.items() if isinstance(schema[c].dataType, INTEGRAL)}
+        _categories(values, [found[c] for c in ready if kinds[c] == "categorical"], place, whole, rules)
+    finally:
+        values.unpersist()
+    for c in ready:
+        d = found[c]
+        d.status = classify(d.psi, rules)
+        d.significant = None if d.p_value is None else d.p_value < rules["significance_level"]
+        d.top_changes = sorted(d.distribution, key=lambda x: (-abs(x["contribution"]), x["label"]))[:MOST_CHANGES]
+        most = d.top_changes[0] if d.top_changes else None
+        d.explanation = f"'{c}': PSI {d.psi:.4f} ({d.status.lower()})"
+        if most and d.status != STABLE:
+            d.explanation += f"; {most['label']} went from {most['share_ref']:.1%} to {most['share_cur']:.1%}"
+        if d.p_value is not None:
+            d.explanation += f"; {d.test} p = {d.p_value:.4g}"
+        d.explanation += (f"; new values {', '.join(d.new_values[:3])}" if d.new_values else "") + (f"; gone {', '.join(d.gone_values[:3])}" if d.gone_values else "") + "."
+        d.psi = round(d.psi, 6)
+    return list(found.values())
+
+
+def _numbers(tagged: DataFrame, values: DataFrame, found: list[ColumnDrift], place: dict[str, int], rules: dict) -> None:
+    if not found:
+        return
+    bins, at = rules["numeric_bins"], {place[d.column]: d for d in found}
+    side = lambda d, s: F.when(F.col("side") == s, col(d.column))
+    edges = exact_quantiles(tagged, {d.column: side(d, 0) for d in found}, [k / bins for k in range(bins + 1)])
+    quarters = exact_quantiles(tagged, {f"{s} {d.column}": side(d, s) for d in found for s in (0, 1)}, [0.25, 0.5, 0.75])
+    inner = {d.column: inner_edges(edges[d.column]) for d in found}
+    number = F.lit(None).cast("int")
+    for i, d in at.items():
+        number = F.when(F.col("place") == i, bin_of(F.col("number"), inner[d.column])).otherwise(number)
+    mine = values.where(F.col("place").isin(list(at)))
+    counted = {(r.place, r.bin): r for r in mine.groupBy("place", number.alias("bin")).agg(F.sum("n_ref").alias("r"), F.sum("n_cur").alias("c")).collect()}  # a row for each bin
+    tests = {r.place: r for r in ks_of(mine).collect()}
+    for i, d in at.items():
+        cuts = [-math.inf, *inner[d.column], math.inf]
+        labels = [f"[{a:g}, {b:g})" for a, b in zip(cuts, cuts[1:])]
+        held = [counted.get((i, k)) for k in range(len(labels))]
+        d.psi, d.distribution = _shares([(label, h.r if h else 0, h.c if h else 0) for label, h in zip(labels, held)])
+        r = tests[i]
+        d.test, d.statistic, d.p_value = "ks_2samp", round(r.statistic, 6), ks_tail(r.statistic, r.n_ref, r.n_cur)
+        for s, name in enumerate(("reference", "current")):
+            d.statistics[name] |= dict(zip(("q1", "median", "q3"), quarters[f"{s} {d.column}"]))
+
+
+def _categories(values: DataFrame, found: list[ColumnDrift], place: dict[str, int], whole: set[int], rules: dict) -> None:
+    if not found:
+        return
+    spark, at = values.sparkSession, {place[d.column]: d for d in found}
+    label = F.when(F.col("place").isin(list(whole)), F.col("number").cast("bigint").cast("string")).otherwise(F.coalesce("text", F.col("number").cast("string")))
+    mine = values.where(F.col("place").isin(list(at))).select("place", label.alias("label"), "n_ref", "n_cur")
+    totals = [(i, float(d.statistics["reference"]["count"]), float(d.statistics["current"]["count"])) for i, d in at.items()]
+    shares = mine.join(F.broadcast(spark.createDataFrame(totals, "place int, t_ref double, t_cur double")), "place").select("place", "label", "n_ref", "n_cur", F.greatest(F.col("n_ref") / F.col("t_ref"), F.lit(FLOOR)).alias("r"), F.greatest(F.col("n_cur") / F.col("t_cur"), F.lit(FLOOR)).alias("c"))
+    turn = F.ln(F.col("c") / F.col("r"))
+    # With shares summed to one again, the PSI is the one sum over its total less the other over its own.
+    sums = {s.place: s for s in shares.groupBy("place").agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.sum(F.col("c") * turn).alias("ct"), F.sum(F.col("r") * turn).alias("rt")).collect()}
+    tests = {r.place: r for r in chi_square_of(mine, rules["rare_category_threshold"]).collect()}
+    scales = spark.createDataFrame([(i, s.r, s.c) for i, s in sums.items()], "place int, s_ref double, s_cur double")
+    both = shares.join(F.broadcast(scales), "place").select("place", "label", "n_ref", "n_cur", (F.col("r") / F.col("s_ref")).alias("share_ref"), (F.col("c") / F.col("s_cur")).alias("share_cur"))
+    both = both.withColumn("contribution", (F.col("share_cur") - F.col("share_ref")) * F.ln(F.col("share_cur") / F.col("share_ref")))
+    for r in _top(both, [F.abs("contribution").desc(), F.col("label")], MOST_ROWS).orderBy("place", "_r").collect():
+        at[r.place].distribution.append({"label": r["label"], "share_ref": r.share_ref, "share_cur": r.share_cur, "contribution": r.contribution})
+    one_sided = both.where("n_ref = 0 OR n_cur = 0").withColumn("place", F.col("place") * 2 + (F.col("n_ref") == 0).cast("int"))
+    for r in _top(one_sided, [(F.col("n_ref") + F.col("n_cur")).desc(), F.col("label")], MOST_NAMED).orderBy("place", "_r").collect():
+        d = at[r.place // 2]
+        (d.new_values if r.place % 2 else d.gone_values).append(r["label"])
+    for i, d in at.items():
+        s, t = sums[i], tests[i]
+        d.psi = s.ct / s.c - s.rt / s.r
+        if t.statistic is not None:
+            d.test, d.statistic, d.p_value = "chi2_contingency", round(t.statistic, 6), chi_square_p(t.statistic, t.groups - 1)
+
+
 def detect(reference: DataFrame, current: DataFrame, columns: list[str] | None = None, **rules) -> Drift:
     """Compare all shared columns and judge the whole."""
     rules = DEFAULTS | rules
-    shared = [c for c in reference.columns if c in current.columns and (not columns or c in columns)]
-    removed = [c for c in reference.columns if c not in current.columns and (not columns or c in columns)]
-    added = [c for c in current.columns if c not in reference.columns and (not columns or c in columns)]
-    found = [compare_column(reference, current, c, rules) for c in shared]
-    same = [c.column for c in found if c.status != TYPE_CHANGED]
-    rates = {r["column"]: r for r in missing_rates(reference, current, same).collect()} if same else {}
+    wanted = lambda c: not columns or c in columns
+    shared = [c for c in reference.columns if c in current.columns and wanted(c)]
+    removed = [c for c in reference.columns if c not in current.columns and wanted(c)]
+    added = [c for c in current.columns if c not in reference.columns and wanted(c)]
+    kinds = {c: [df.schema[c].dataType for df in (reference, current)] for c in shared}
+    torn = [c for c in shared if isinstance(kinds[c][0], NUMERIC) != isinstance(kinds[c][1], NUMERIC)]
+    found = [ColumnDrift(c, TYPE_CHANGED, "mismatch", explanation=f"'{c}' was {kinds[c][0].simpleString()} and is {kinds[c][1].simpleString()}; the values cannot be compared.") for c in torn]
+    as_text = lambda df, names: df.select(*[col(c) if isinstance(df.schema[c].dataType, NUMERIC) else col(c).cast("string").alias(c) for c in names])
+    same = [c for c in shared if c not in torn]
+    found += compare_columns(as_text(reference, same), as_text(current, same), same, rules)
     for c in found:
-        r = rates.get(c.column)
-        if r is None or c.status == NOT_COMPARABLE:
+        if c.status in (TYPE_CHANGED, NOT_COMPARABLE):
             continue
-        c.missing_ref, c.missing_cur = round(r.missing_ref, 2), round(r.missing_cur, 2)
-        if abs(r.missing_cur - r.missing_ref) >= rules["missing_rate_points"]:
+        before, after = (c.statistics[s]["missing_pct"] for s in ("reference", "current"))
+        c.missing_ref, c.missing_cur = round(before, 2), round(after, 2)
+        if abs(after - before) >= rules["missing_rate_points"]:
             c.missing_drift = True
             c.status = WARNING if c.status == STABLE else c.status
-            c.explanation += f" Missing values went from {r.missing_ref:.1f} % to {r.missing_cur:.1f} %."
+            c.explanation += f" Missing values went from {before:.1f} % to {after:.1f} %."
     scored = [c for c in found if c.psi is not None]
     critical = [c for c in scored if c.status == CRITICAL]
     drifted = [c for c in scored if c.status in (CRITICAL, WARNING)]
     share = len(drifted) / len(scored) if scored else 0.0
     status = STABLE
-    if (critical and share >= rules["dataset_drift_share"]) or removed or any(c.status == TYPE_CHANGED for c in found):
+    if (critical and share >= rules["dataset_drift_share"]) or removed or torn:
         status = CRITICAL
     elif critical or share >= rules["dataset_warning_share"]:
         status = WARNING

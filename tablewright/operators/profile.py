@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import NUMERIC, TEMPORAL, col, correlation, numeric_columns, sample_kurtosis, sample_skewness, text_columns
 from ..functions.texts import FREE_TEXT_CHARS, FREE_TEXT_WORDS, IDENTIFIER_ROWS, IDENTIFIER_SHARE, timestamp_of, word_count
+from .quantiles import exact_quantiles
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -105,9 +106,8 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
 def iqr_bounds(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, q1, q3, lower and upper (1.5 times the quartiles' distance beyond them)."""
     columns = columns or numeric_columns(df)
-    one = df.agg(*[F.percentile(col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns)])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"q{i}")[0].alias("q1"), F.col(f"q{i}")[1].alias("q3")) for i, c in enumerate(columns)])
-    quarters = one.select(F.explode(cells).alias("c")).select("c.*")
+    found = exact_quantiles(df, {c: col(c) for c in columns}, [0.25, 0.75])
+    quarters = df.sparkSession.createDataFrame([(c, *(found[c] or [None, None])) for c in columns], "column string, q1 double, q3 double")
     spread = (F.col("q3") - F.col("q1")) * 1.5
     return quarters.withColumn("lower", F.col("q1") - spread).withColumn("upper", F.col("q3") + spread)
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +12,7 @@ from ..functions.numbers import INTEGRAL, NUMERIC, TEMPORAL, col, is_close
 from ..functions.texts import number_of, timestamp_of
 from .clean import PARSED_SHARE, residual_sentinels
 from .profile import duplicate_count, text_roles
+from .quantiles import exact_quantiles
 from .relations import Identity, discover, fill
 
 MARKER = "(missing)"
@@ -35,7 +35,12 @@ def fill_value(df: DataFrame, column: str, strategy: str, constant=None):
             stat = (F.avg(micros) if strategy == "mean" else F.median(micros)).cast("bigint")
             return df.agg(F.timestamp_micros(stat).cast(kind)).first()[0], strategy
         if isinstance(kind, NUMERIC):
-            stat = F.avg(c) if strategy == "mean" else F.median(c)
+            if strategy == "median":
+                middle = exact_quantiles(df, {column: c}, [0.5])[column]
+                if not middle:
+                    return None, strategy
+                return (round(middle[0]) if isinstance(kind, INTEGRAL) else middle[0]), strategy
+            stat = F.avg(c)
             return df.agg((F.bround(stat, 0).cast(kind) if isinstance(kind, INTEGRAL) else stat.cast(kind))).first()[0], strategy
         if isinstance(kind, T.StringType):
             f = df.agg(F.count(c).alias("held"), F.count(number_of(c)).alias("parsed"), (F.avg if strategy == "mean" else F.median)(number_of(c)).alias("v")).first()
@@ -50,6 +55,12 @@ def cast_constant(value, kind: T.DataType):
     if isinstance(kind, NUMERIC):
         number = float(value)
         return round(number) if isinstance(kind, INTEGRAL) else number
+    if isinstance(kind, TEMPORAL) and isinstance(value, str):
+        spark = SparkSession.active()
+        read = spark.range(1).select(timestamp_of(F.lit(value)).cast(kind)).first()[0]
+        if read is None:
+            raise ValueError(f"'{value}' is no date")
+        return read
     return value if not isinstance(kind, T.StringType) else str(value)
 
 
@@ -116,7 +127,7 @@ def clamp(df: DataFrame, column: str, method: str = "iqr") -> DataFrame:
     """Pull outliers to the bounds of 1.5 interquartile ranges, or of three standard deviations."""
     x = col(column).cast("double")
     if method == "iqr":
-        q1, q3 = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))).first()[0] or (None, None)
+        q1, q3 = exact_quantiles(df, {column: x}, [0.25, 0.75])[column] or (None, None)
         bounds = None if q1 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     elif method == "zscore":
         f = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).first()
@@ -286,6 +297,3 @@ def reconcile(df: DataFrame, rules: list[Identity], flags: dict[str, str]) -> tu
                 df = df.withColumn(column, F.when(wrong, F.round(value) if isinstance(kind, INTEGRAL) else value).otherwise(col(column)).cast(kind)).withColumn(flags[column], F.col(flags[column]) & ~wrong)
                 records.append({"column": column, "expression": rule.expression, "cells_filled": n, "method": "reconciled"})
     return df, records
-
-
-REPAIRS: dict[str, Callable] = {"remove_duplicates": drop_duplicates, "impute_missing": impute, "scale_numeric": scale, "drop_constant_columns": drop_constant, "handle_rare_categories": group_rare, "clamp_outliers": clamp, "encode_categorical": encode, "drop_missing_target_rows": drop_missing_target}

@@ -568,10 +568,46 @@ def missing_rate_drift(spark, sf_dir):
     return drift.missing_rates(ref, cur, ["event_type", "value"]).select("column", F.round("missing_ref", 3).alias("missing_ref"), F.round("missing_cur", 3).alias("missing_cur"))
 
 
-@query()
-def drift_scores(spark, sf_dir):
+def numeric_drift_sql(c: str) -> str:
+    """A row with the PSI and the Kolmogorov-Smirnov statistic of a numeric column of the halves."""
+    steps = f"WITH v AS (SELECT {c} AS x, 1 AS a, 0 AS b FROM ref UNION ALL SELECT {c}, 0, 1 FROM cur), g AS (SELECT x, sum(a) AS a, sum(b) AS b FROM v GROUP BY x), w AS (SELECT sum(a) OVER (ORDER BY x) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY x) / sum(b) OVER () AS fb FROM g) SELECT max(abs(fa - fb)) FROM w"
+    return f"SELECT '{c}' AS \"column\", 'numeric' AS kind, (WITH {NUMERIC_COUNTS.replace('l_quantity', c)}, {SHARES} SELECT sum((c - r) * ln(c / r)) FROM sh) AS psi, ({steps}) AS statistic"
+
+
+FLAG_DRIFT = f"SELECT 'l_returnflag' AS \"column\", 'categorical' AS kind, (WITH {CATEGORY_COUNTS}, {SHARES} SELECT sum((c - r) * ln(c / r)) FROM sh) AS psi, (WITH {CATEGORY_COUNTS}, tot AS (SELECT sum(n_ref) AS tr, sum(n_cur) AS tc FROM counts), e AS (SELECT n_ref, n_cur, (n_ref + n_cur) * tr / (tr + tc) AS er, (n_ref + n_cur) * tc / (tr + tc) AS ec FROM counts, tot) SELECT sum((n_ref - er) ** 2 / er + (n_cur - ec) ** 2 / ec) FROM e) AS statistic"
+
+
+def drifted_halves(spark, sf_dir) -> drift.Drift:
     ref, cur = halves(spark, sf_dir)
-    return drift.detect(ref, cur, ["l_quantity", "l_discount", "l_returnflag", "l_tax"]).frame(ref)
+    cur = cur.withColumn("l_returnflag", F.when(F.col("l_linenumber") == 7, "X").otherwise(F.col("l_returnflag")))
+    return drift.detect(ref, cur, ["l_quantity", "l_discount", "l_returnflag", "l_tax"])
+
+
+@query(f"WITH {HALVES} SELECT \"column\", kind, CASE WHEN psi >= 0.25 THEN 'CRITICAL' WHEN psi >= 0.1 THEN 'WARNING' ELSE 'STABLE' END AS status, round(psi, 4) AS psi, round(statistic, 3) AS statistic FROM ({numeric_drift_sql('l_quantity')} UNION ALL {numeric_drift_sql('l_discount')} UNION ALL {numeric_drift_sql('l_tax')} UNION ALL {FLAG_DRIFT}) d")
+def drift_scores(spark, sf_dir):
+    found = drifted_halves(spark, sf_dir).frame(read(spark, sf_dir, "lineitem"))
+    return found.select("column", "kind", "status", F.round("psi", 4).alias("psi"), F.round("statistic", 3).alias("statistic"))
+
+
+@query(f"WITH {HALVES} SELECT \"column\", side, measure, round(value, 4) AS value FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{side}' AS side, '{m}' AS measure, CAST({e.replace('{c}', c)} AS DOUBLE) AS value FROM {t}" for c in ("l_quantity", "l_tax") for side, t in (("reference", "ref"), ("current", "cur")) for m, e in (("count", "count({c})"), ("missing_pct", "(count(*) - count({c})) * 100.0 / count(*)"), ("mean", "avg({c})"), ("std", "stddev_samp({c})"), ("min", "min({c})"), ("max", "max({c})"), ("q1", "quantile_cont({c}, 0.25)"), ("median", "quantile_cont({c}, 0.5)"), ("q3", "quantile_cont({c}, 0.75)"))) + ") x")
+def drift_statistics(spark, sf_dir):
+    found = drifted_halves(spark, sf_dir).statistics_frame(read(spark, sf_dir, "lineitem"))
+    return found.where("column IN ('l_quantity', 'l_tax')").select("column", "side", "measure", F.round("value", 4).alias("value"))
+
+
+@query(f"WITH {HALVES}, {NUMERIC_COUNTS}, {SHARES} SELECT round(r, 6) AS share_ref, round(c, 6) AS share_cur, round((c - r) * ln(c / r), 5) AS contribution FROM sh")
+def drift_bins(spark, sf_dir):
+    found = drifted_halves(spark, sf_dir).distribution_frame(read(spark, sf_dir, "lineitem")).where("column = 'l_quantity'")
+    return found.select(F.round("share_ref", 6).alias("share_ref"), F.round("share_cur", 6).alias("share_cur"), F.round("contribution", 5).alias("contribution"))
+
+
+@query(f"WITH ref AS (SELECT event_type AS v FROM events WHERE event_id % 2 = 0 AND event_type <> 'share'), cur AS (SELECT CASE WHEN event_id % 11 = 0 THEN 'fresh' ELSE event_type END AS v FROM events WHERE event_id % 2 = 1) SELECT 'new' AS change, v AS value FROM (SELECT DISTINCT v FROM cur WHERE v NOT IN (SELECT v FROM ref WHERE v IS NOT NULL)) n UNION ALL SELECT 'gone', v FROM (SELECT DISTINCT v FROM ref WHERE v NOT IN (SELECT v FROM cur WHERE v IS NOT NULL)) g")
+def changed_values(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    ref = e.where("event_id % 2 = 0 AND event_type <> 'share'").select("event_type")
+    cur = e.where("event_id % 2 = 1").select(F.when(F.col("event_id") % 11 == 0, "fresh").otherwise(F.col("event_type")).alias("event_type"))
+    found = drift.detect(ref, cur).columns[0]
+    return spark.createDataFrame([("new", v) for v in found.new_values] + [("gone", v) for v in found.gone_values], "change string, value string")
 
 
 def next_customers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

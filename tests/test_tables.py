@@ -328,3 +328,59 @@ def test_regression_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (4.0, 3.0)], "label double, prediction double")
     got = learn.regression_metrics(df).first()
     assert math.isclose(got.mae, 2 / 3) and math.isclose(got.r2, 1 - 2 / (14 / 3))
+
+
+def test_exact_tail_counts_orders():
+    from itertools import combinations
+
+    n, m = 4, 5
+    gaps = []
+    for own in combinations(range(n + m), n):
+        a = b = 0
+        gap = 0
+        for k in range(n + m):
+            a, b = a + (k in own), b + (k not in own)
+            gap = max(gap, abs(a * m - b * n))
+        gaps.append(gap)
+    for far in sorted(set(gaps)):
+        assert math.isclose(drift.ks_p_exact(far / (n * m), n, m), sum(g >= far for g in gaps) / len(gaps), rel_tol=1e-9)
+    assert drift.ks_p_exact(0.0, 50, 60) == 1.0 and drift.ks_tail(0.1, 10_000, 10_000) < 1e-10
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    import numpy as np
+    from tablewright.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "ACCURACY", 40)
+    monkeypatch.setattr(quantiles, "MOST_VALUES", 30)
+    draw = np.random.default_rng(4)
+    held = {"wide": draw.normal(size=5000), "ties": draw.integers(0, 4, 5000).astype(float), "far": np.exp(draw.normal(0, 9, 5000)), "one": np.full(5000, 2.5)}
+    df = spark.createDataFrame(list(zip(*[map(float, v) for v in held.values()])), ", ".join(f"{k} double" for k in held)).withColumn("none", F.lit(None).cast("double"))
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = quantiles.exact_quantiles(df, {c: F.col(c) for c in df.columns}, shares)
+    assert got["none"] == [] and all(np.allclose(got[c], np.quantile(v, shares), rtol=1e-12) for c, v in held.items())
+
+
+def test_an_unreadable_date_is_refused(spark):
+    df = spark.sql("SELECT CAST(NULL AS TIMESTAMP) AS at")
+    with pytest.raises(ValueError):
+        repair.impute(df, "at", "constant", "abc")
+    assert str(repair.impute(df, "at", "constant", "2024-03-05").first()["at"]) == "2024-03-05 00:00:00"
+
+
+def test_labels_flip_over_any_number_of_classes(spark):
+    df = spark.range(3000).select("id", F.concat(F.lit("c"), F.pmod("id", F.lit(1200)).cast("string")).alias("label"))
+    new = mutate.Mutator("id").flip_labels(df, "label", 0.2)
+    both = df.join(new.withColumnRenamed("label", "after"), "id")
+    assert both.where("label <> after").count() == 600 and both.where("after IS NULL").count() == 0
+
+
+def test_choice_is_exact_where_it_is_narrowed(spark, monkeypatch):
+    monkeypatch.setattr(mutate, "RANKED", 5)
+    df = spark.range(2000).withColumn("v", F.lit(1))
+    from tablewright.functions.numbers import drawn
+
+    draw = drawn(F.col("id"), F.lit("x"))
+    for k in (0, 1, 777, 1999, 2000):
+        hit = mutate.among_smallest(df, "id", draw, k, 2000)
+        assert column(df.where(hit).orderBy("id"), "id") == sorted(r.id for r in df.orderBy(draw, "id").limit(k).collect())

@@ -89,19 +89,19 @@ class Block:
         return self.answers.get(level, {})
 
 
-def sizes_of(total: int, block_bytes: int | None, bucket_bytes: int) -> tuple[int, int]:
+def sizes_of(total: int, block_bytes: int | None, bucket_bytes: int, least_buckets: int = LEAST_BLOCKS) -> tuple[int, int]:
     """Numbers of blocks and of buckets for so many bytes of text."""
     own = block_bytes or min(MOST_BLOCK_BYTES, int(BLOCK_BYTES * max(1.0, (total / 1e9) ** 0.5)))
-    return max(LEAST_BLOCKS, math.ceil(total / own)), max(LEAST_BLOCKS, math.ceil(total / bucket_bytes))
+    return max(LEAST_BLOCKS, math.ceil(total / own)), max(least_buckets, math.ceil(total / bucket_bytes))
 
 
 class Rounds:
-    """``bucket_bytes`` is the text whose items one bucket answers for."""
+    """``bucket_bytes`` is the text whose items one bucket answers for; ``least_buckets`` keeps small collections spread."""
 
-    def __init__(self, docs: DataFrame, block_bytes: int | None, bucket_bytes: int):
+    def __init__(self, docs: DataFrame, block_bytes: int | None, bucket_bytes: int, least_buckets: int = LEAST_BLOCKS):
         docs = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.count, self.buckets = sizes_of(size, block_bytes, bucket_bytes)
+        self.count, self.buckets = sizes_of(size, block_bytes, bucket_bytes, least_buckets)
         # Rows without a number are dealt by their text.
         spread = F.when(F.col("doc_id") == NO_DOC, F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
         self.blocks = docs.select(F.pmod(spread, F.lit(self.count)).cast("int").alias("blk"), "doc_id", "text")

@@ -43,6 +43,8 @@ from .tokens import ragged_gather
 from .words import PLACE, distinct_pairs, mix, prefix_hash, rolling_hash, span_hash, text_bytes
 
 LENGTH, ANCHOR, HOT = 50, 24, 4096
+#: Buckets of a small collection; merging is the dearest step, so it is spread over many tasks.
+LEAST_BUCKETS = 64
 SPAN = LENGTH - ANCHOR + 1  # places of the anchor in a window
 PIECE = (1 << 16) - 2 * SPAN  # windows whose hashes are looked at together
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -366,7 +368,7 @@ def result(block: Block) -> pa.Table:
 
 def remove_earlier_bytes(docs: DataFrame, block_bytes: int | None = None, bucket_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rounds = Rounds(docs, block_bytes, bucket_bytes)
+    rounds = Rounds(docs, block_bytes, bucket_bytes, LEAST_BUCKETS)
     rounds.ask(ask_anchors, repeated_elsewhere)
     rounds.ask(ask_contents, lambda payloads: first_holder(payloads, np.int64))
     rounds.ask(ask_counts, answer_counts)

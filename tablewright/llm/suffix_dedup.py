@@ -366,7 +366,7 @@ def result(block: Block) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids, mask=ids == NO_DOC), pa.array(np.diff(bounds)), pa.array(n_removed), pa.array(n_spans), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_earlier_bytes(docs: DataFrame, block_bytes: int | None = None, bucket_bytes: int = 8_000_000) -> DataFrame:
+def remove_earlier_bytes(docs: DataFrame, block_bytes: int | None = None, bucket_bytes: int = 5_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     rounds = Rounds(docs, block_bytes, bucket_bytes, LEAST_BUCKETS)
     rounds.ask(ask_anchors, repeated_elsewhere)

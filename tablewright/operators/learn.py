@@ -141,7 +141,9 @@ class Trained:
 def labelled(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list[str]]:
     if task == "regression":
         return df.withColumn("label", col(target).cast("double")), []
-    names = [r[0] for r in df.select(col(target).cast("string").alias("v")).distinct().orderBy("v").limit(MOST_LEVELS).collect()]
+    names = [r[0] for r in df.select(col(target).cast("string").alias("v")).distinct().orderBy("v").limit(MOST_LEVELS + 1).collect()]
+    if len(names) > MOST_LEVELS:
+        raise ValueError(f"'{target}' has more than {MOST_LEVELS} classes")
     codes = F.array_position(F.array(*map(F.lit, names)), col(target).cast("string")) - 1
     return df.withColumn("label", codes.cast("double")), names
 

@@ -3,8 +3,8 @@
 A stream over the documents' digests keeps, without expiry, one entry for each
 digest in RocksDB: the stable identifier of the document that stays (the largest
 ``doc_id``), the locator of its content (file and row) and the number of rows.
-Later runs with the same checkpoint go on from there.  After the stream has
-taken all that is available, the state is read as a table.
+After the stream has taken all that is available, the state is read as a table.
+Each call has a state of its own.
 
 A hit (a row whose digest has others) is compared byte by byte with the row that
 stays.  Should a digest ever stand for different texts, those texts are grouped

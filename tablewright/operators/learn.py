@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -93,7 +93,8 @@ def candidates(task: str, classes: int, rows: int, seed: int, trees: int) -> dic
     if task == "regression":
         return {"ridge": LinearRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0), "random_forest": RandomForestRegressor(numTrees=trees, seed=seed), "gradient_boosting": GBTRegressor(maxIter=trees, maxDepth=3, seed=seed)}
     found = {"logistic_regression": LogisticRegression(maxIter=500), "random_forest": RandomForestClassifier(numTrees=trees, seed=seed)}
-    return found | ({"gradient_boosting": GBTClassifier(maxIter=trees, maxDepth=3, seed=seed)} if classes == 2 else {})  # boosting is binary only
+    boosting = GBTClassifier(maxIter=trees, maxDepth=3, seed=seed)  # of two classes; of more, one against the rest for each
+    return found | ({"gradient_boosting": boosting if classes == 2 else OneVsRest(classifier=boosting)} if classes > 1 else {})
 
 
 def class_metrics(predictions: DataFrame, classes: int) -> DataFrame:
@@ -148,7 +149,7 @@ def labelled(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list[str
     return df.withColumn("label", codes.cast("double")), names
 
 
-def train(df: DataFrame, target: str, seed: int = 42, trees: int = 20) -> Trained:
+def train(df: DataFrame, target: str, seed: int = 42, trees: int = 100) -> Trained:
     """Fit the candidates and keep the best by f1, or by rmse.  ``trees`` sizes the ensembles."""
     df = with_row_id(df.where(col(target).isNotNull()))
     if df.limit(LEAST_ROWS).count() < LEAST_ROWS:
@@ -156,7 +157,8 @@ def train(df: DataFrame, target: str, seed: int = 42, trees: int = 20) -> Traine
     task = task_of(df, target)
     numeric, categorical = feature_kinds(df, target)
     ready, names = labelled(as_features(df, numeric, categorical, [target, ID]), target, task)
-    fit, test = split(ready.persist(), target, task, seed)
+    ready = ready.persist()
+    fit, test = split(ready, target, task, seed)
     stages = preparation(numeric, categorical)
     found, scores, best = {}, {}, None
     for name, learner in candidates(task, len(names), fit.count(), seed, trees).items():
@@ -168,6 +170,7 @@ def train(df: DataFrame, target: str, seed: int = 42, trees: int = 20) -> Traine
         found[name], scores[name] = model, m
         better = best is None or (m["f1"] > scores[best]["f1"] if task == "classification" else m["rmse"] < scores[best]["rmse"])
         best = name if better else best
+    ready.unpersist()
     return Trained(task, target, best, found[best], numeric, categorical, names, scores[best], scores, test)
 
 
@@ -176,7 +179,7 @@ def train(df: DataFrame, target: str, seed: int = 42, trees: int = 20) -> Traine
 MUTATIONS = {"missing": "inject_missing", "noise": "inject_noise", "outliers": "inject_outliers", "corruption": "corrupt"}
 
 
-def robustness(df: DataFrame, target: str, mutation: str = "noise", levels: tuple[float, ...] = (0.0, 0.05, 0.10, 0.25, 0.50), seed: int = 42, trees: int = 20) -> DataFrame:
+def robustness(df: DataFrame, target: str, mutation: str = "noise", levels: tuple[float, ...] = (0.0, 0.05, 0.10, 0.25, 0.50), seed: int = 42, trees: int = 50) -> DataFrame:
     """level, performance and its share of the undamaged one: trained once, scored on damaged test features."""
     if mutation not in MUTATIONS:
         raise ValueError(f"'{mutation}' is none of {', '.join(MUTATIONS)}")
@@ -184,7 +187,8 @@ def robustness(df: DataFrame, target: str, mutation: str = "noise", levels: tupl
     task = task_of(df, target)
     numeric, categorical = feature_kinds(df, target)
     ready, names = labelled(as_features(df, numeric, categorical, [target, ID]), target, task)
-    fit, test = split(ready.persist(), target, "regression", seed)
+    ready = ready.persist()
+    fit, test = split(ready, target, "regression", seed)
     learner = RandomForestClassifier(numTrees=trees, seed=seed) if task == "classification" else RandomForestRegressor(numTrees=trees, seed=seed)
     model = Pipeline(stages=[*preparation(numeric, categorical), learner]).fit(fit)
     damage = Mutator(ID, seed)
@@ -201,6 +205,7 @@ def robustness(df: DataFrame, target: str, mutation: str = "noise", levels: tupl
         base = value if base is None else base
         share = min(1.0, value / base if task == "classification" else base / value) if base and value else 0.0
         rows.append((float(level), float(value), float(share)))
+    ready.unpersist()
     return df.sparkSession.createDataFrame(rows, "level double, performance double, normalized double")
 
 
@@ -216,12 +221,13 @@ def elasticity(curve: DataFrame) -> float:
 # --- Explanations ---------------------------------------------------------------------------------
 
 
-def permutation_importance(model: Trained, rows: int = 2000, repeats: int = 10, seed: int = 42) -> DataFrame:
+def permutation_importance(model: Trained, rows: int | None = None, repeats: int = 10, seed: int = 42) -> DataFrame:
     """feature, mean and std of the score lost when its values are dealt out anew.
 
-    The score is taken on at most ``rows`` rows, chosen by a hash; this bounds the work, as it is a report on a model.
+    The score is taken on all distinct test rows, or on ``rows`` of them, chosen by a hash.
     """
-    sample = model.test.dropDuplicates([ID]).orderBy(hashed_uniform(col(ID), F.lit(seed))).limit(rows).persist()
+    sample = model.test.dropDuplicates([ID])
+    sample = (sample if rows is None else sample.orderBy(hashed_uniform(col(ID), F.lit(seed))).limit(rows)).persist()
     base = model.score(sample)
     found = []
     for feature in model.numeric + model.categorical:
@@ -236,7 +242,8 @@ def permutation_importance(model: Trained, rows: int = 2000, repeats: int = 10,
 def native_importance(model: Trained) -> DataFrame:
     """feature and the model's own weight, one-hot parts added up to their column."""
     learner = model.model.stages[-1]
-    weights = learner.featureImportances.toArray() if hasattr(learner, "featureImportances") else None
+    parts = getattr(learner, "models", [learner])  # one for each class where each is told from the rest
+    weights = sum(m.featureImportances.toArray() for m in parts) / len(parts) if hasattr(parts[0], "featureImportances") else None
     if weights is None:
         weights = abs(learner.coefficientMatrix.toArray()).mean(axis=0) if hasattr(learner, "coefficientMatrix") else abs(learner.coefficients.toArray())
     total = dict.fromkeys(model.numeric + model.categorical, 0.0)
@@ -251,6 +258,14 @@ def native_importance(model: Trained) -> DataFrame:
     return model.test.sparkSession.createDataFrame(sorted(total.items(), key=lambda r: -r[1]), "feature string, weight double")
 
 
+def class_scores(out: DataFrame):
+    """Array of a score for each class: its probability, or the softmax of raw predictions where a model gives no more."""
+    if "probability" in out.columns:
+        return vector_to_array("probability")
+    raw = F.transform(vector_to_array("rawPrediction"), F.exp)
+    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+
+
 def explain_rows(model: Trained, rows: DataFrame) -> DataFrame:
     """_row, feature and contribution: what the prediction loses when a feature takes its usual value.
 
@@ -264,7 +279,7 @@ def explain_rows(model: Trained, rows: DataFrame) -> DataFrame:
     replaced = spread.select(*[F.when(F.col("_feature") == c, F.lit(usual[c])).otherwise(col(c)).cast(rows.schema[c].dataType).alias(c) for c in features], ID, "_feature")
     out = model.model.transform(replaced)
     if model.task == "classification":
-        out = out.withColumn("_score", F.array_max(vector_to_array("probability"))).withColumn("_p", vector_to_array("probability")).withColumn("_class", F.col("prediction").cast("int"))
+        out = out.withColumn("_p", class_scores(out)).withColumn("_score", F.array_max("_p")).withColumn("_class", F.col("prediction").cast("int"))
         base = out.where("_feature IS NULL").select(ID, F.col("_class").alias("_base_class"), F.col("_score").alias("_base"))
         joined = out.where("_feature IS NOT NULL").join(base, ID)
         return joined.select(ID, F.col("_feature").alias("feature"), (F.col("_base") - F.get("_p", F.col("_base_class"))).alias("contribution"))

@@ -14,6 +14,30 @@ from ..functions.texts import FREE_TEXT_CHARS, FREE_TEXT_WORDS, IDENTIFIER_ROWS,
 from .quantiles import exact_quantiles
 
 
+#: Bytes of a value of the types of fixed width.
+WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def value_bytes(df: DataFrame) -> DataFrame:
+    """column and bytes of its values, nulls without any, in one aggregate.
+
+    Texts count their UTF-8 bytes, decimals 16 and nested values the bytes of their JSON.
+    """
+    def size(f: T.StructField):
+        kind, c = f.dataType.simpleString(), col(f.name)
+        if isinstance(f.dataType, T.DecimalType) or kind in WIDTHS:
+            return F.count(c) * WIDTHS.get(kind, 16)
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            c = F.when(c.isNotNull(), F.to_json(c))
+        elif not isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            c = c.cast("string")
+        return F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+
+    one = df.agg(*[size(f).cast("bigint").alias(f"b{i}") for i, f in enumerate(df.schema.fields)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b{i}").alias("bytes")) for i, c in enumerate(df.columns)])
+    return one.select(F.inline(cells))
+
+
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, value (as text) and n, without nulls: one pass and one shuffle for all columns, summed before it."""
     columns = columns or df.columns

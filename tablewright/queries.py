@@ -133,6 +133,11 @@ def duplicate_rows(spark, sf_dir):
     return profile.duplicate_count(read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_discount"))
 
 
+@query(each(["event_id", "user_id", "ts", "value"], "SELECT '{c}' AS \"column\", CAST(count({c}) * CASE any_value(typeof({c})) WHEN 'INTEGER' THEN 4 ELSE 8 END AS BIGINT) AS bytes FROM events") + " UNION ALL SELECT 'event_type', CAST(sum(strlen(event_type)) AS BIGINT) FROM events")
+def memory_usage(spark, sf_dir):
+    return profile.value_bytes(read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value"))
+
+
 @query("SELECT DISTINCT l_returnflag, l_linestatus, l_discount FROM lineitem")
 def dedupe(spark, sf_dir):
     return repair.drop_duplicates(read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_discount"))
@@ -786,15 +791,15 @@ def rated_customers(spark, sf_dir) -> DataFrame:
 
 @query()
 def train_model(spark, sf_dir):
-    model = learn.train(rated_customers(spark, sf_dir), "rating", trees=5)
+    model = learn.train(rated_customers(spark, sf_dir), "rating")
     return spark.createDataFrame([(model.name, model.task, round(model.metrics["f1"], 4))], "name string, task string, f1 double")
 
 
 @query()
 def robustness_curve(spark, sf_dir):
-    return learn.robustness(rated_customers(spark, sf_dir), "rating", "noise", (0.0, 0.1, 0.3), trees=5)
+    return learn.robustness(rated_customers(spark, sf_dir), "rating", "noise")
 
 
 @query()
 def permutation_importance(spark, sf_dir):
-    return learn.permutation_importance(learn.train(rated_customers(spark, sf_dir), "rating", trees=5), repeats=2)
+    return learn.permutation_importance(learn.train(rated_customers(spark, sf_dir), "rating"))

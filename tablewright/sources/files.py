@@ -6,11 +6,15 @@ import csv
 import hashlib
 import io
 import json
+import os
+import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 import pyarrow as pa
+import pyarrow.fs
 from py4j.protocol import Py4JJavaError
+from pyspark import TaskContext
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +23,10 @@ from pyspark.sql import types as T
 from ..functions.numbers import col, nan_as_null, text_columns
 from ..functions.texts import FILE_MISSING, FILE_MISSING_MORE
 from ..operators.clean import Cleaned, clean, clean_names
-from .errors import CorruptedFile, EmptyTable, IngestionError, InvalidJson, Unavailable, UnsupportedFormat
+from .errors import CorruptedFile, EmptyTable, IngestionError, InvalidJson, MissingColumns, Unavailable, UnsupportedFormat
 from .objects import opened
 
-FORMATS = {".csv": ",", ".tsv": "\t", ".xlsx": None, ".xls": None, ".json": None, ".parquet": None}
+FORMATS = {".csv": ",", ".tsv": "\t", ".xlsx": None, ".xls": None, ".json": None, ".parquet": None, ".feather": None}
 DELIMITERS = (",", ";", "\t", "|")
 #: Encodings in the order in which they are tried, with the one by which Spark reads each.
 #: Spark has no name for cp1252; bytes 128 to 159, where it differs, are put right after the read.
@@ -238,6 +242,72 @@ def list_sheets(path: str) -> list[str]:
         raise Unavailable(f"spreadsheets need a library that is not installed: {error}") from error
 
 
+def _uri(path: str) -> str:
+    return path if ":/" in path else os.path.abspath(path)
+
+
+def read_feather(spark: SparkSession, path: str) -> DataFrame:
+    """Arrow files, one or a folder of them; each is read batch by batch in the task that gets its name."""
+    uri = _uri(path)
+    store, root = pa.fs.FileSystem.from_uri(uri)
+    whole = store.get_file_info(root).type == pa.fs.FileType.File
+    names = [root] if whole else sorted(f.path for f in store.get_file_info(pa.fs.FileSelector(root)) if f.base_name.endswith(".feather"))
+    if not names:
+        raise EmptyTable(f"{path} holds no files")
+    try:
+        with store.open_input_file(names[0]) as file:
+            empty = spark.createDataFrame(pa.ipc.open_file(file).schema.empty_table())
+    except pa.ArrowInvalid as error:
+        raise CorruptedFile(f"{path}: {error}") from error
+    schema = empty.toArrow().schema
+
+    def run(batches):
+        from pyarrow import fs, ipc
+
+        store = fs.FileSystem.from_uri(uri)[0]
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(name) as file:
+                    reader = ipc.open_file(file)
+                    for k in range(reader.num_record_batches):
+                        yield from pa.Table.from_batches([reader.get_batch(k)]).cast(schema).to_batches()
+
+    return spark.createDataFrame([(n,) for n in names], "name string").repartition(len(names)).mapInArrow(run, empty.schema)
+
+
+def write_feather(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A folder of Arrow files, one for each part; a file takes its name when it is whole, and replaced ones go last."""
+    uri, job = _uri(path), uuid.uuid4().hex
+    store, root = pa.fs.FileSystem.from_uri(uri)
+    store.create_dir(root, recursive=True)
+    before = [f.path for f in store.get_file_info(pa.fs.FileSelector(root)) if f.type == pa.fs.FileType.File]
+    if before and mode not in ("overwrite", "append"):
+        raise IngestionError(f"{path} exists")
+
+    def run(batches):
+        from pyarrow import fs, ipc
+
+        store, root = fs.FileSystem.from_uri(uri)
+        name, draft, rows = f"{root}/part-{TaskContext.get().partitionId():05d}-{job}.feather", f"{root}/.{uuid.uuid4().hex}", 0
+        batch = next((b for b in batches if b.num_rows), None)
+        if batch is not None:
+            with store.open_output_stream(draft) as out, ipc.new_file(out, batch.schema) as writer:
+                while batch is not None:
+                    writer.write_batch(batch)
+                    rows += batch.num_rows
+                    batch = next(batches, None)
+            store.move(draft, name)
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
+
+    if not sum(r.rows for r in df.mapInArrow(run, "rows long").collect()):  # a row for each part
+        empty = df.limit(0).toArrow()
+        with store.open_output_stream(f"{root}/part-00000-{job}.feather") as out, pa.ipc.new_file(out, empty.schema):
+            pass
+    if mode == "overwrite":
+        for name in before:
+            store.delete_file(name)
+
+
 def load_raw(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
     kind = extension(path)
     if kind not in FORMATS:
@@ -249,14 +319,18 @@ def load_raw(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
             return read_json(spark, path)
         if kind == ".parquet":
             return nan_as_null(spark.read.parquet(path))
+        if kind == ".feather":
+            return nan_as_null(read_feather(spark, path))
         return spark.createDataFrame(read_workbook(path, sheet))
     except (PySparkException, Py4JJavaError) as error:
         raise CorruptedFile(f"{path}: {str(error)[:300]}") from error
 
 
-def load(spark: SparkSession, path: str, cleaned: bool = True, max_rows: int | None = None, sheet: str | int = 0, **options) -> tuple[DataFrame, FileMetadata]:
-    """A table and what is known of its file; ``options`` go to the cleaning."""
+def load(spark: SparkSession, path: str, cleaned: bool = True, max_rows: int | None = None, sheet: str | int = 0, required: list[str] | None = None, **options) -> tuple[DataFrame, FileMetadata]:
+    """A table and what is known of its file, which must have the ``required`` columns; ``options`` go to the cleaning."""
     df = load_raw(spark, path, sheet)
+    if lacking := [c for c in required or [] if c not in df.columns]:
+        raise MissingColumns(f"{path} lacks {', '.join(lacking)}")
     if max_rows is not None:
         df = df.limit(max_rows)
     if not df.columns or df.isEmpty():
@@ -277,6 +351,8 @@ def save(df: DataFrame, path: str, kind: str | None = None, mode: str = "overwri
         writer.csv(path, header=True, sep="\t" if kind == "tsv" else ",", encoding="UTF-8")
     elif kind in ("json", "parquet", "orc"):
         writer.format(kind).save(path)
+    elif kind == "feather":
+        write_feather(df, path, mode)
     elif kind in ("pkl", "pickle"):
         raise UnsupportedFormat("pickles can run code when they are read; use parquet")
     else:

@@ -12,13 +12,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REGISTRY = "dataset_id string, name string, version_group string, version int, parent_id string, path string, rows long, columns int, sha256 string, deleted boolean, extra string, registered_at string"
+RUNS = "run_id string, model string, params map<string,string>, metrics map<string,double>, artifacts map<string,string>, logged_at string"
 EVENTS = "run_id string, dataset_id string, dataset_name string, sequence int, stage string, event_type string, summary string, column string, detail string, recorded_at string"
 
 
+#: A version, or a year that a month and a day may follow, after a line or an underscore at a name's end.
+VERSION, DATED = r"v?\d+(\.\d+)*", r"\d{4}([_-]?\d{2}){0,2}"
+
+
 def version_group(name: str) -> str:
     """A file's name without extension, version or date at its end."""
-    stem = name.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower()
-    return re.sub(r"([-_ ]?(v(er(sion)?)?[-_ ]?\d+(\.\d+)*|\d{4}[-_]?\d{2}[-_]?\d{2}|\d+))$", "", stem) or stem
+    stem = re.split(r"[/\\]", name)[-1].rsplit(".", 1)[0]
+    return re.sub(rf"[_-]({VERSION}|{DATED})$", "", stem, flags=re.IGNORECASE) or name
 
 
 class _Table:
@@ -85,7 +90,9 @@ class Lineage(_Table):
 
     def __init__(self, spark: SparkSession, path: str, run_id: str | None = None, dataset_id: str | None = None, dataset_name: str | None = None):
         super().__init__(spark, path, EVENTS)
-        self.run_id, self.dataset_id, self.dataset_name, self.sequence = run_id or uuid.uuid4().hex, dataset_id, dataset_name, 0
+        self.run_id, self.dataset_id, self.dataset_name = run_id or uuid.uuid4().hex, dataset_id, dataset_name
+        # A run that is known goes on where it stopped.
+        self.sequence = self.trace().agg(F.max("sequence")).first()[0] or 0 if run_id else 0
 
     def record(self, stage: str, summary: str, event_type: str = "stage", column: str | None = None, detail: dict | None = None) -> None:
         self.record_many([(stage, summary, event_type, column, detail)])
@@ -108,6 +115,25 @@ class Lineage(_Table):
         return runs_of(self.rows()).orderBy(F.desc("last")).limit(limit)
 
 
+class RunLog(_Table):
+    """Training runs with their parameters, metrics and the places of their files."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, RUNS)
+
+    def log(self, model: str, params: dict, metrics: dict, artifacts: dict[str, str] | None = None) -> str:
+        """Append a run; metrics that are no numbers are left out."""
+        run_id = uuid.uuid4().hex
+        numbers = {k: float(v) for k, v in metrics.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
+        self.append([(run_id, model, {k: str(v) for k, v in params.items()}, numbers, artifacts or {}, datetime.now(timezone.utc).isoformat())])
+        return run_id
+
+    def best(self, metric: str, largest: bool = True):
+        """The run with the best value of a metric; of equal ones the first."""
+        value = F.col("metrics")[metric]
+        return self.rows().where(value.isNotNull()).orderBy(value.desc() if largest else value, "logged_at").first()
+
+
 def runs_of(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(F.first("dataset_name").alias("dataset_name"), F.count("*").alias("events"), F.max("recorded_at").alias("last"))
 

@@ -89,7 +89,7 @@ def test_large_files_are_split_and_streamed(spark, tmp_path):
 
 def test_round_trips(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b"), (2, None)], "n int, t string")
-    for kind in ("csv", "json", "parquet"):
+    for kind in ("csv", "json", "parquet", "feather"):
         files.save(df, f"{tmp_path}/o.{kind}")
         assert files.load(spark, f"{tmp_path}/o.{kind}", cleaned=False)[0].count() == 2
     files.export_csv(df, f"{tmp_path}/one.csv", {"steps": []})
@@ -97,6 +97,43 @@ def test_round_trips(spark, tmp_path):
     assert raw.startswith(b"\xef\xbb\xbf") and json.load(open(f"{tmp_path}/one.csv.manifest.json")) == {"steps": []}
 
 
+def test_feather(spark, tmp_path):
+    path = f"{tmp_path}/t.feather"
+    df = spark.range(1000).selectExpr("id", "cast(id AS string) AS t", "array(id) AS a", "timestamp_seconds(id) AS ts").repartition(3)
+    files.save(df, path)
+    files.save(files.load_raw(spark, path).where("id < 500"), path)  # over what it reads
+    assert files.load_raw(spark, path).exceptAll(df.where("id < 500")).isEmpty() and files.load_raw(spark, path).count() == 500
+    files.save(df, path, mode="append")
+    assert files.load_raw(spark, path).count() == 1500
+    files.save(df.where("id < 0"), path)
+    assert files.load_raw(spark, path).schema == df.schema and files.load_raw(spark, path).isEmpty()
+    with pytest.raises(errors.EmptyTable):
+        files.load(spark, path)
+    (tmp_path / "bad.feather").write_bytes(b"no arrow")
+    with pytest.raises(errors.CorruptedFile):
+        files.load(spark, f"{tmp_path}/bad.feather")
+
+
+def test_required_columns(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("a,b\n1,2\n")
+    assert files.load(spark, f"{tmp_path}/r.csv", required=["b"])[0].count() == 1
+    with pytest.raises(errors.MissingColumns, match="c, d"):
+        files.load(spark, f"{tmp_path}/r.csv", required=["a", "c", "d"])
+
+
+@pytest.mark.parametrize("name,group", [("in/sales_v2.csv", "sales"), ("sales-1.4.csv", "sales"), ("sales_V3.csv", "sales"), ("sales_2023_11.csv", "sales"), ("sales_20231130.csv", "sales"), ("wine3.csv", "wine3"), ("Sales.csv", "Sales")])
+def test_version_groups(name, group):
+    assert stores.version_group(name) == group
+
+
+def test_run_log(spark, tmp_path):
+    log = stores.RunLog(spark, f"{tmp_path}/runs")
+    assert log.best("f1") is None
+    low, high = log.log("forest", {"trees": 5}, {"f1": 0.5, "matrix": [[1]]}), log.log("boosting", {}, {"f1": 0.9}, {"curve": "c.json"})
+    assert log.best("f1").run_id == high and log.best("f1", largest=False).run_id == low
+    assert log.best("f1").artifacts == {"curve": "c.json"} and log.best("f1", largest=False).metrics == {"f1": 0.5}
+
+
 def test_fingerprints(spark):
     df = spark.range(100).selectExpr("id", "id * 2 AS b")
     same = fingerprint.fingerprint(df.repartition(7))
@@ -126,6 +163,9 @@ def test_registry_and_lineage(spark, tmp_path):
     events.record("repair", "filled", column="age")
     assert [e.stage for e in events.trace().collect()] == ["ingest", "repair"] and events.list_runs().first().events == 2
     assert events.trace_for_dataset(first).count() == 2
+    again = stores.Lineage(spark, f"{tmp_path}/lineage", run_id=events.run_id)
+    again.record("export", "written")
+    assert [e.sequence for e in again.trace().collect()] == [1, 2, 3]
 
 
 def test_pipeline_and_commands(spark, tmp_path, capsys):

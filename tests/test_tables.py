@@ -317,6 +317,23 @@ def test_training_and_explanations(spark):
     assert {r.feature for r in told.collect()} == {"score", "age", "city"}
 
 
+def test_boosting_of_three_classes(spark, monkeypatch):
+    df = credit(spark, 300).withColumn("risk", F.when(F.col("score") > 700, "none").otherwise(F.col("risk")))
+    every = learn.candidates
+    monkeypatch.setattr(learn, "candidates", lambda *a: {"gradient_boosting": every(*a)["gradient_boosting"]})
+    model = learn.train(df, "risk", trees=3)
+    assert len(model.labels) == 3 and model.metrics["accuracy"] > 0.8
+    assert learn.native_importance(model).first().feature == "score"
+    assert learn.explain_rows(model, model.test.limit(5)).count() == 15
+    assert {r.feature for r in learn.permutation_importance(model, rows=40, repeats=1).collect()} == {"score", "age", "city"}
+
+
+def test_value_bytes(spark):
+    df = spark.createDataFrame([(1, "é", [1, 2], True), (2, None, None, None), (None, "abc", [], False)], "n int, t string, a array<int>, b boolean")
+    assert {r.column: r.bytes for r in profile.value_bytes(df).collect()} == {"n": 8, "t": 5, "a": 7, "b": 2}
+    assert {r.bytes for r in profile.value_bytes(df.limit(0)).collect()} == {0}
+
+
 def test_robustness_curve(spark):
     curve = learn.robustness(credit(spark, 200), "risk", "noise", (0.0, 0.3), trees=5)
     assert 0 <= learn.elasticity(curve) <= 1

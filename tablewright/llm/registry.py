@@ -87,6 +87,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), percent=85, n=3)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal_data import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = """
 WITH folded AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -116,7 +122,7 @@ FROM shared JOIN sizes ON shared.item_id = sizes.id WHERE n_shared * 5 >= n_item
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination, op9_suffix_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination, op9_suffix_dedup, op10_near_dedup, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -87,6 +87,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), percent=85, n=3)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .manifest import FIELDS, leaf_digest, leaf_table, manifest
+    from .shared import fold
+
+    docs = table(spark, sf_dir, "documents")
+    fields = [docs[c] for c in FIELDS]
+    lowered = F.when(docs["text"].isNotNull(), fold(docs["text"]))
+    tampered = F.when(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 5 == 0, leaf_digest(*fields[:-1], lowered))
+    return manifest(leaf_table(docs, "source", "doc_id", leaf_digest(*fields), tampered))
+
+
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .personal_data import personal_data
 
@@ -122,7 +135,7 @@ FROM shared JOIN sizes ON shared.item_id = sizes.id WHERE n_shared * 5 >= n_item
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination, op9_suffix_dedup, op10_near_dedup, op13_personal_data)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination, op9_suffix_dedup, op10_near_dedup, op12_merkle_manifest, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:

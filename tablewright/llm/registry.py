@@ -87,6 +87,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), percent=85, n=3)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -135,7 +141,7 @@ FROM shared JOIN sizes ON shared.item_id = sizes.id WHERE n_shared * 5 >= n_item
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination, op9_suffix_dedup, op10_near_dedup, op12_merkle_manifest, op13_personal_data)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_exact_dedup, op6_token_files, op7_retrieval_packing, op8_decontamination, op9_suffix_dedup, op10_near_dedup, op11_spelling_variants, op12_merkle_manifest, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -145,4 +145,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL}
+    from . import oracles
+
+    longer = {"op11_spelling_variants": oracles.OP11, "op12_merkle_manifest": oracles.op12(), "op13_personal_data": oracles.op13()}
+    return {"op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL} | longer

@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import NUMERIC, TEMPORAL, col, hashed_uniform
+from ..functions.numbers import NUMERIC, TEMPORAL, col, drawn, hashed_uniform
 from ..functions.texts import number_of
+from .boosting import SoftmaxBoosting
 from .clean import PARSED_SHARE
-from .mutate import Mutator
+from .mutate import Mutator, kth_draws, numbered, numbered_by_draw
+from .repair import encode
 
 LEAST_ROWS, TEST_SHARE, MOST_CLASSES, MOST_LEVELS = 20, 0.2, 10, 1000
 ID = "_row"
@@ -60,20 +63,25 @@ def as_features(df: DataFrame, numeric: list[str], categorical: list[str], keep:
 
 
 def split(df: DataFrame, target: str, task: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test by a hash of the row.
+    """Train and test by a hash of the row; equal rows stay together.
 
-    For classes, the test share is exact to one row in each: a row's rank among
-    its class's hashes decides, and ranks are taken within buckets of the hash.
+    For classes of two rows at least, each gives its share to the test, to the
+    nearest row: those with the smallest hashes, found for all classes at once.
     """
-    draw = hashed_uniform(col(ID), F.lit(seed))
+    draw = drawn(col(ID), F.lit(seed))
     if task == "classification":
-        classes = df.groupBy(col(target).alias("_c")).agg(F.count("*").alias("_n"))
-        if classes.agg(F.min("_n")).first()[0] >= 2:
-            buckets = Window.partitionBy(col(target), F.pmod(col(ID), F.lit(64)))
-            ranked = df.withColumn("_u", draw)
-            ranked = ranked.withColumn("_share", (F.row_number().over(buckets.orderBy("_u", ID)) - 0.5) / F.count("*").over(buckets))
-            return ranked.where(F.col("_share") > TEST_SHARE).drop("_u", "_share"), ranked.where(F.col("_share") <= TEST_SHARE).drop("_u", "_share")
-    return df.where(draw >= TEST_SHARE), df.where(draw < TEST_SHARE)
+        classes = numbered(df.groupBy(col(target).alias("_c")).agg(F.count("*").alias("_n")), "_c", "_key").withColumn("_key", F.col("_key").cast("int")).persist()
+        counts = classes.limit(MOST_LEVELS + 1).collect()
+        if len(counts) <= MOST_LEVELS and min((r._n for r in counts), default=0) >= 2:
+            keyed = df.join(F.broadcast(classes), col(target).eqNullSafe(F.col("_c"))).select("_key", draw.alias("_draw"), col(ID).alias("_id"))
+            last = kth_draws(keyed, {r._key: (k, r._n) for r in counts if (k := math.floor(r._n * TEST_SHARE + 0.5))})
+            edges = df.sparkSession.createDataFrame([(k, *v) for k, v in last.items()] or [(-1, 0, 0)], "_key int, _d long, _i long")
+            edges = classes.join(edges, "_key", "left").select("_c", F.coalesce("_d", F.lit(-1)).alias("_d"), F.coalesce("_i", F.lit(0)).alias("_i"))
+            marked = df.join(F.broadcast(edges), col(target).eqNullSafe(F.col("_c"))).drop("_c")  # a row for each class
+            held = (draw < F.col("_d")) | ((draw == F.col("_d")) & (col(ID) <= F.col("_i")))
+            return marked.where(~held).drop("_d", "_i"), marked.where(held).drop("_d", "_i")
+    share = hashed_uniform(col(ID), F.lit(seed))
+    return df.where(share >= TEST_SHARE), df.where(share < TEST_SHARE)
 
 
 def preparation(numeric: list[str], categorical: list[str]) -> list:
@@ -93,8 +101,8 @@ def candidates(task: str, classes: int, rows: int, seed: int, trees: int) -> dic
     if task == "regression":
         return {"ridge": LinearRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0), "random_forest": RandomForestRegressor(numTrees=trees, seed=seed), "gradient_boosting": GBTRegressor(maxIter=trees, maxDepth=3, seed=seed)}
     found = {"logistic_regression": LogisticRegression(maxIter=500), "random_forest": RandomForestClassifier(numTrees=trees, seed=seed)}
-    boosting = GBTClassifier(maxIter=trees, maxDepth=3, seed=seed)  # of two classes; of more, one against the rest for each
-    return found | ({"gradient_boosting": boosting if classes == 2 else OneVsRest(classifier=boosting)} if classes > 1 else {})
+    boosting = GBTClassifier(maxIter=trees, maxDepth=3, seed=seed) if classes == 2 else SoftmaxBoosting(rounds=trees, maxDepth=3)
+    return found | ({"gradient_boosting": boosting} if classes > 1 else {})
 
 
 def class_metrics(predictions: DataFrame, classes: int) -> DataFrame:
@@ -149,29 +157,34 @@ def labelled(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list[str
     return df.withColumn("label", codes.cast("double")), names
 
 
-def train(df: DataFrame, target: str, seed: int = 42, trees: int = 100) -> Trained:
-    """Fit the candidates and keep the best by f1, or by rmse.  ``trees`` sizes the ensembles."""
+def train(df: DataFrame, target: str, seed: int = 42, trees: int = 100, names: list[str] | None = None) -> Trained:
+    """Fit the candidates (or those named) and keep the best by f1, or by rmse.  ``trees`` sizes the ensembles."""
     df = with_row_id(df.where(col(target).isNotNull()))
     if df.limit(LEAST_ROWS).count() < LEAST_ROWS:
         raise ValueError(f"at least {LEAST_ROWS} labelled rows are needed")
     task = task_of(df, target)
     numeric, categorical = feature_kinds(df, target)
-    ready, names = labelled(as_features(df, numeric, categorical, [target, ID]), target, task)
+    ready, classes = labelled(as_features(df, numeric, categorical, [target, ID]), target, task)
     ready = ready.persist()
     fit, test = split(ready, target, task, seed)
-    stages = preparation(numeric, categorical)
+    # Features are prepared once; all candidates read the same vectors.
+    prepared = Pipeline(stages=preparation(numeric, categorical)).fit(fit)
+    vectors, held = (prepared.transform(part).select("features", "label").persist() for part in (fit, test))
     found, scores, best = {}, {}, None
-    for name, learner in candidates(task, len(names), fit.count(), seed, trees).items():
-        model = Pipeline(stages=[*stages, learner]).fit(fit)
-        out = model.transform(test)
-        m = (class_metrics(out, len(names)) if task == "classification" else regression_metrics(out)).first().asDict()
+    for name, learner in candidates(task, len(classes), vectors.count(), seed, trees).items():
+        if names and name not in names:
+            continue
+        model = learner.fit(vectors)
+        out = model.transform(held)
+        m = (class_metrics(out, len(classes)) if task == "classification" else regression_metrics(out)).first().asDict()
         if task == "classification":
-            m["roc_auc"] = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(out) if len(names) == 2 else 0.5
+            m["roc_auc"] = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(out) if len(classes) == 2 else 0.5
         found[name], scores[name] = model, m
         better = best is None or (m["f1"] > scores[best]["f1"] if task == "classification" else m["rmse"] < scores[best]["rmse"])
         best = name if better else best
-    ready.unpersist()
-    return Trained(task, target, best, found[best], numeric, categorical, names, scores[best], scores, test)
+    for kept in (ready, vectors, held):
+        kept.unpersist()
+    return Trained(task, target, best, PipelineModel([*prepared.stages, found[best]]), numeric, categorical, classes, scores[best], scores, test)
 
 
 # --- Robustness -----------------------------------------------------------------------------------
@@ -179,33 +192,56 @@ def train(df: DataFrame, target: str, seed: int = 42, trees: int = 100) -> Train
 MUTATIONS = {"missing": "inject_missing", "noise": "inject_noise", "outliers": "inject_outliers", "corruption": "corrupt"}
 
 
+def filled(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
+    """Numbers as doubles with their means for gaps (0 without any), all else as codes of its sorted values, gaps being ``missing``; and the features' names."""
+    names = [c for c in df.columns if c not in (target, ID)]
+    numbers = [c for c in names if isinstance(df.schema[c].dataType, NUMERIC)]
+    means = df.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(numbers)]).first() if numbers else []
+    mean = dict(zip(numbers, means))
+    text = [c for c in names if c not in mean]
+    df = df.select(*[F.coalesce(col(c).cast("double"), F.lit(float(mean[c] or 0.0))).alias(c) if c in mean else F.coalesce(col(c).cast("string"), F.lit("missing")).alias(c) if c in text else col(c) for c in df.columns])
+    for c in text:
+        df = encode(df, c)
+    return df.select(*[col(c).cast("double").alias(c) if c in text else col(c) for c in df.columns]), names
+
+
 def robustness(df: DataFrame, target: str, mutation: str = "noise", levels: tuple[float, ...] = (0.0, 0.05, 0.10, 0.25, 0.50), seed: int = 42, trees: int = 50) -> DataFrame:
-    """level, performance and its share of the undamaged one: trained once, scored on damaged test features."""
+    """level, performance and its share of the undamaged one: trained once on four fifths of all rows, scored on the damaged features of the others.
+
+    Gaps are filled with the training rows' means.  All levels are scored as one table.
+    """
     if mutation not in MUTATIONS:
         raise ValueError(f"'{mutation}' is none of {', '.join(MUTATIONS)}")
+    levels = tuple(sorted({0.0, *levels}))
     df = with_row_id(df.where(col(target).isNotNull()))
     task = task_of(df, target)
-    numeric, categorical = feature_kinds(df, target)
-    ready, names = labelled(as_features(df, numeric, categorical, [target, ID]), target, task)
-    ready = ready.persist()
+    ready, features = filled(df, target)
+    ready, names = labelled(ready, target, task)
+    # Equal rows get numbers of their own, so that shares of the test rows are exact.
+    ready = numbered_by_draw(ready, drawn(col(ID), F.lit(seed)), col(ID), "_place").withColumn(ID, F.col("_place")).drop("_place").persist()
     fit, test = split(ready, target, "regression", seed)
+    usual = fit.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(features)]).first()
     learner = RandomForestClassifier(numTrees=trees, seed=seed) if task == "classification" else RandomForestRegressor(numTrees=trees, seed=seed)
-    model = Pipeline(stages=[*preparation(numeric, categorical), learner]).fit(fit)
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    vectors = assembler.transform(fit).select("features", "label").persist()
+    model = learner.fit(vectors)
     damage = Mutator(ID, seed)
-    test = test.dropDuplicates([ID])
-    rows, base = [], None
+    every = None
     for level in levels:
-        hurt = test
-        if level:
-            columns = (numeric + categorical) if mutation in ("missing", "corruption") else numeric
-            hurt = getattr(damage, MUTATIONS[mutation])(test, level, columns)
-            hurt = hurt.select(*[col(c).try_cast("double").alias(c) if c in numeric else col(c) for c in hurt.columns])
-        out = model.transform(hurt)
-        value = class_metrics(out, len(names)).first().accuracy if task == "classification" else regression_metrics(out).first().rmse
-        base = value if base is None else base
-        share = min(1.0, value / base if task == "classification" else base / value) if base and value else 0.0
-        rows.append((float(level), float(value), float(share)))
+        hurt = getattr(damage, MUTATIONS[mutation])(test, level, features) if level else test
+        # Text that corruption leaves is no number and is filled like a gap.
+        part = hurt.select(F.lit(float(level)).alias("level"), "label", *[F.coalesce(col(c).try_cast("double"), F.lit(float(usual[i] or 0.0))).alias(c) for i, c in enumerate(features)])
+        every = part if every is None else every.unionByName(part)
+    out = model.transform(assembler.transform(every)).groupBy("level")
+    gap = F.col("label") - F.col("prediction")
+    value = F.avg((gap == 0).cast("double")) if task == "classification" else F.sqrt(F.avg(gap * gap))
+    found = {r.level: r.v for r in out.agg(value.alias("v")).collect()}  # a row for each level
+    vectors.unpersist()
     ready.unpersist()
+    base, rows = found.get(0.0), []
+    for level in sorted(found):
+        ratio = (found[level] / base if task == "classification" else base / found[level]) if base and found[level] else 0.0
+        rows.append((level, float(found[level]), float(min(1.0, ratio))))
     return df.sparkSession.createDataFrame(rows, "level double, performance double, normalized double")
 
 
@@ -224,26 +260,49 @@ def elasticity(curve: DataFrame) -> float:
 def permutation_importance(model: Trained, rows: int | None = None, repeats: int = 10, seed: int = 42) -> DataFrame:
     """feature, mean and std of the score lost when its values are dealt out anew.
 
-    The score is taken on all distinct test rows, or on ``rows`` of them, chosen by a hash.
+    The score, accuracy or r2, is taken on all test rows, or on ``rows`` of them,
+    chosen by a hash.  Rows are numbered in a drawn order; in each repeat the row
+    at place p takes the value at place a p + b modulo the number of rows, with a
+    and b drawn for the feature and repeat and a prime to that number, so every
+    value is dealt once.  All features and repeats are one table and one call of
+    the model.
     """
-    sample = model.test.dropDuplicates([ID])
-    sample = (sample if rows is None else sample.orderBy(hashed_uniform(col(ID), F.lit(seed))).limit(rows)).persist()
-    base = model.score(sample)
+    features = model.numeric + model.categorical
+    sample = numbered_by_draw(model.test, drawn(col(ID), F.lit(seed)), col(ID), "_place")
+    sample = (sample if rows is None else sample.where(F.col("_place") < rows)).persist()
+    count = sample.count()
+    draw = random.Random(seed)
+    moves = [(-1, 1, 0)]
+    for f in range(len(features)):
+        for _ in range(repeats if count > 1 else 0):
+            times = draw.randrange(1, min(count, 1 << 20))
+            while math.gcd(times, count) > 1:
+                times = times % min(count - 1, 1 << 20) + 1
+            moves.append((f, times, draw.randrange(count)))
+    spark = sample.sparkSession
+    table = spark.createDataFrame([(i, *m) for i, m in enumerate(moves)], "_move int, _feature int, _times long, _from long")
+    spread = sample.crossJoin(F.broadcast(table)).withColumn("_giver", (F.col("_place") * F.col("_times") + F.col("_from")) % count)  # a row for each feature and repeat
+    givers = sample.select(F.col("_place").alias("_giver"), *[col(c).alias(f"_g{i}") for i, c in enumerate(features)])
+    moved = spread.join(givers, "_giver").select("_move", "_feature", "label", *[F.when(F.col("_feature") == i, F.col(f"_g{i}")).otherwise(col(c)).alias(c) for i, c in enumerate(features)])
+    out = model.model.transform(moved).groupBy("_move", "_feature")
+    gap = F.col("label") - F.col("prediction")
+    value = F.avg((gap == 0).cast("double")) if model.task == "classification" else 1 - F.try_divide(F.sum(gap * gap), F.var_pop("label") * F.count("label"))
+    scores = out.agg(value.alias("s")).collect()  # a row for each feature and repeat
+    sample.unpersist()
+    base = next((r.s for r in scores if r._feature < 0), None) or 0.0
     found = []
-    for feature in model.numeric + model.categorical:
-        drops = [base - model.score(Mutator(ID, seed + k).shuffle_column(sample, [feature])) for k in range(repeats)]
+    for f, name in enumerate(features):
+        drops = [base - (r.s or 0.0) for r in scores if r._feature == f] or [0.0]
         mean = sum(drops) / len(drops)
-        found.append((feature, mean, math.sqrt(sum((d - mean) ** 2 for d in drops) / len(drops))))
-    sample.unpersist()
+        found.append((name, mean, math.sqrt(sum((d - mean) ** 2 for d in drops) / len(drops))))
     found.sort(key=lambda r: (-abs(r[1]), r[0]))
-    return model.test.sparkSession.createDataFrame(found, "feature string, importance double, std double")
+    return spark.createDataFrame(found, "feature string, importance double, std double")
 
 
 def native_importance(model: Trained) -> DataFrame:
     """feature and the model's own weight, one-hot parts added up to their column."""
     learner = model.model.stages[-1]
-    parts = getattr(learner, "models", [learner])  # one for each class where each is told from the rest
-    weights = sum(m.featureImportances.toArray() for m in parts) / len(parts) if hasattr(parts[0], "featureImportances") else None
+    weights = learner.featureImportances.toArray() if hasattr(learner, "featureImportances") else None
     if weights is None:
         weights = abs(learner.coefficientMatrix.toArray()).mean(axis=0) if hasattr(learner, "coefficientMatrix") else abs(learner.coefficients.toArray())
     total = dict.fromkeys(model.numeric + model.categorical, 0.0)

@@ -45,28 +45,58 @@ def numbered_by_draw(df: DataFrame, draw: Column, row_id: Column, name: str) ->
     return local.join(F.broadcast(starts), "_bucket").withColumn(name, (F.col(name) + F.col("_start")).cast("long")).drop("_draw", "_bucket", "_start")
 
 
-def among_smallest(df: DataFrame, row_id: str, draw: Column, k: int, rows: int) -> Column:
-    """Whether a row is one of the k with the smallest draws (equal ones by id): a condition, so that nothing is shuffled.
-
-    The k-th draw is found by counting draws by their leading bits, then the
-    next bits of the place it falls in, until few rows are left to be ranked.
+def kth_draws(keyed: DataFrame, wanted: dict[int, tuple[int, int]]) -> dict[int, tuple[int, object]]:
+    """For each key, the draw and id at the k-th place (draws rise, equal ones by id) of its rows.
+
+    ``keyed`` has ``_key``, ``_draw`` and ``_id``; ``wanted`` gives k, from 1, and
+    the number of rows of each key.  All keys are narrowed at once: draws are
+    counted by their leading bits, then by the next bits of the places that the
+    wanted ones fall in, until few rows are left for each key, which are ranked.
+    Jobs follow from the logarithm of the rows, not from the keys.
     """
-    if k <= 0 or k >= rows:
-        return F.lit(k > 0)
-    ids = df.select(draw.alias("_draw"), col(row_id).alias("_id"))
-    prefix, bits, left, before = 0, 0, rows, 0
-    while left > RANKED and bits + STEP_BITS <= DRAW_BITS:
-        here = ids.where(F.shiftright("_draw", DRAW_BITS - bits) == prefix) if bits else ids
-        bits += STEP_BITS
-        counts = here.groupBy(F.shiftright("_draw", DRAW_BITS - bits).alias("p")).agg(F.count("*").alias("n")).collect()  # at most 4,096 rows
-        for r in sorted(counts):
-            prefix, left = r.p, r.n
-            if before + r.n >= k:
-                break
-            before += r.n
-    here = ids.where(F.shiftright("_draw", DRAW_BITS - bits) == prefix) if bits else ids
-    last = here.orderBy("_draw", "_id").limit(k - before).agg(F.max(F.struct("_draw", "_id")).alias("m")).first().m
-    return (draw < last["_draw"]) | ((draw == last["_draw"]) & (col(row_id) <= F.lit(last["_id"])))
+    at = {key: (0, 0, rows, k) for key, (k, rows) in wanted.items()}  # prefix, bits, rows left, place among them
+    while wide := {key: a for key, a in at.items() if a[2] > RANKED and a[1] < DRAW_BITS}:
+        step = max(1, STEP_BITS - (len(wide) - 1).bit_length())
+        bits = {key: min(DRAW_BITS, a[1] + step) for key, a in wide.items()}
+        rows = _within(keyed, wide).withColumn("_p", F.shiftright("_draw", DRAW_BITS - _of_key(bits)))
+        counts: dict[int, list] = {}
+        for r in rows.groupBy("_key", "_p").agg(F.count("*").alias("n")).collect():  # at most 4,096 rows, or two for each key
+            counts.setdefault(r._key, []).append((r._p, r.n))
+        for key, (_, _, _, k) in wide.items():
+            for p, n in sorted(counts[key]):
+                if n >= k:
+                    at[key] = p, bits[key], n, k
+                    break
+                k -= n
+    few = _within(keyed, at).withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy("_draw", "_id")))  # at most RANKED rows of a key
+    found = few.where(F.col("_r") == _of_key({key: a[3] for key, a in at.items()})).collect()
+    return {r._key: (r._draw, r._id) for r in found}
+
+
+def _of_key(values: dict[int, int]) -> Column:
+    """The value of a row's key, null for other keys."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("_key"))
+
+
+def _within(keyed: DataFrame, at: dict[int, tuple]) -> DataFrame:
+    """Rows whose draws begin with the bits that their key is narrowed to."""
+    if all(bits == 0 for _, bits, *_ in at.values()):
+        return keyed.where(F.col("_key").isin(list(at)))
+    shift, prefix = (_of_key({key: f(a) for key, a in at.items()}) for f in (lambda a: DRAW_BITS - a[1], lambda a: a[0]))
+    return keyed.where(F.col("_key").isin(list(at)) & (F.shiftright("_draw", shift) == prefix))
+
+
+def among_smallest_of(df: DataFrame, row_id: str, draws: list[Column], k: int, rows: int) -> list[Column]:
+    """For each draw, whether a row is one of the k with the smallest ones (equal ones by id): conditions, so that nothing is shuffled."""
+    if k <= 0 or k >= rows or not draws:
+        return [F.lit(k > 0)] * len(draws)
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_key"), d.alias("_draw"), col(row_id).alias("_id")) for i, d in enumerate(draws)])).alias("c")
+    last = kth_draws(df.select(cells).select("c.*"), {i: (k, rows) for i in range(len(draws))})
+    return [(d < last[i][0]) | ((d == last[i][0]) & (col(row_id) <= F.lit(last[i][1]))) for i, d in enumerate(draws)]
+
+
+def among_smallest(df: DataFrame, row_id: str, draw: Column, k: int, rows: int) -> Column:
+    return among_smallest_of(df, row_id, [draw], k, rows)[0]
 
 
 class Mutator:
@@ -75,19 +105,25 @@ class Mutator:
     def __init__(self, row_id: str, seed: int = 42):
         self.row_id, self.seed = row_id, seed
 
-    def _at(self, df: DataFrame, fraction: float, salt: str, rows: int | None = None) -> Column:
-        """Whether a row is one of the drawn share of all rows."""
-        rows = df.count() if rows is None else rows
-        return among_smallest(df, self.row_id, drawn(*self._h(salt)), math.ceil(rows * fraction), rows)
+    def _at(self, df: DataFrame, fraction: float, salts: list[str]) -> list[Column]:
+        """For each salt, whether a row is one of a share of all rows, drawn for it."""
+        rows = self.checked(df)
+        return among_smallest_of(df, self.row_id, [drawn(*self._h(s)) for s in salts], math.ceil(rows * fraction), rows)
+
+    def checked(self, df: DataFrame) -> int:
+        """Number of rows; choices are exact only where each row has an id, so null ids are refused.  Rows that share an id are drawn together."""
+        f = df.agg(F.count("*").alias("rows"), F.count(col(self.row_id)).alias("held")).first()
+        if f.held < f.rows:
+            raise ValueError(f"{f.rows - f.held} rows have no '{self.row_id}'")
+        return f.rows
 
     def _h(self, *salt: str) -> list[Column]:
         return [col(self.row_id), F.lit(self.seed), *map(F.lit, salt)]
 
     def inject_missing(self, df: DataFrame, fraction: float, columns: list[str] | None = None) -> DataFrame:
-        rows = df.count()
-        for c in columns or [x for x in df.columns if x != self.row_id]:
-            df = df.withColumn(c, F.when(~self._at(df, fraction, f"missing {c}", rows), col(c)))
-        return df
+        names = columns or [x for x in df.columns if x != self.row_id]
+        gone = dict(zip(names, self._at(df, fraction, [f"missing {c}" for c in names])))
+        return df.select(*[F.when(~gone[c], col(c)).alias(c) if c in gone else col(c) for c in df.columns])
 
     def inject_duplicates(self, df: DataFrame, fraction: float) -> DataFrame:
         """Append int(rows * fraction) rows, drawn with replacement."""
@@ -98,14 +134,17 @@ class Mutator:
         return df.unionByName(again)
 
     def inject_outliers(self, df: DataFrame, fraction: float, columns: list[str] | None = None) -> DataFrame:
-        rows = df.count()
-        for c in columns or [x for x in numeric_columns(df) if x != self.row_id]:
-            f = df.agg(F.avg(col(c)).alias("m"), F.stddev_samp(col(c)).alias("s")).first()
+        names = columns or [x for x in numeric_columns(df) if x != self.row_id]
+        if not names:
+            return df
+        facts = df.agg(*[F.struct(F.avg(col(c)).alias("m"), F.stddev_samp(col(c)).alias("s")).alias(f"x{i}") for i, c in enumerate(names)]).first()
+        changed = {}
+        for c, f, hit in zip(names, facts, self._at(df, fraction, [f"outliers {c}" for c in names])):
             mean, spread = (float(f.m), float(f.s)) if f.s and not math.isnan(f.s) else (0.0, 1.0)
             far = 5 + 5 * hashed_uniform(*self._h("far", c))
             sign = F.when(hashed_uniform(*self._h("sign", c)) < 0.5, -1.0).otherwise(1.0)
-            df = df.withColumn(c, F.when(self._at(df, fraction, f"outliers {c}", rows), mean + sign * far * spread).otherwise(col(c).cast("double")))
-        return df
+            changed[c] = F.when(hit, mean + sign * far * spread).otherwise(col(c).cast("double")).alias(c)
+        return df.select(*[changed.get(c, col(c)) for c in df.columns])
 
     def inject_noise(self, df: DataFrame, level: float, columns: list[str] | None = None) -> DataFrame:
         names = columns or [x for x in numeric_columns(df) if x != self.row_id]
@@ -144,7 +183,7 @@ class Mutator:
         n = classes.count()
         if n < 2:
             return df
-        hit = self._at(df, fraction, "flip") & col(target).isNotNull()
+        hit = self._at(df, fraction, ["flip"])[0] & col(target).isNotNull()
         step = 1 + F.pmod(drawn(*self._h("flip to")), F.lit(n - 1))
         # Only flipped rows look up classes; these tables have a row for each class.
         flipped = df.withColumn("_hit", hit).withColumn("_from", F.when(F.col("_hit"), col(target))).withColumn("_step", F.when(F.col("_hit"), step))
@@ -161,8 +200,9 @@ class Mutator:
 
     def corrupt(self, df: DataFrame, fraction: float, columns: list[str] | None = None) -> DataFrame:
         """Replace cells by five random letters or digits."""
-        rows = df.count()
-        for c in columns or [x for x in df.columns if x != self.row_id]:
+        names = columns or [x for x in df.columns if x != self.row_id]
+        changed = {}
+        for c, hit in zip(names, self._at(df, fraction, [f"corrupt {c}" for c in names])):
             letters = [F.substring(F.lit(ALPHABET), F.pmod(drawn(*self._h("corrupt", c, str(k))), F.lit(len(ALPHABET))).cast("int") + 1, F.lit(1)) for k in range(5)]
-            df = df.withColumn(c, F.when(self._at(df, fraction, f"corrupt {c}", rows), F.concat(*letters)).otherwise(col(c).cast(T.StringType())))
-        return df
+            changed[c] = F.when(hit, F.concat(*letters)).otherwise(col(c).cast(T.StringType())).alias(c)
+        return df.select(*[changed.get(c, col(c)) for c in df.columns])

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import texts as X
 from .functions.numbers import col
-from .operators import analyze, audit, clean, compare, drift, learn, mutate, profile, relations, repair, validate
+from .operators import analyze, audit, boosting, clean, compare, drift, learn, mutate, profile, relations, repair, shapley, validate
 from .sources import fingerprint as fingerprints
-from .sources import stores
+from .sources import objects, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -776,12 +776,12 @@ def missing_overview(spark, sf_dir):
     return found.select("column", "nulls", F.round(F.col("nulls") * 100.0 / F.col("rows"), 1).alias("pct"))
 
 
-@query("SELECT count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL")
+@query("SELECT c_mktsegment AS class, CAST(count(*) - floor(count(*) * 0.2 + 0.5) AS BIGINT) AS n_train, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS n_test FROM customer GROUP BY c_mktsegment")
 def task_split_counts(spark, sf_dir):
-    """Train and test make up the whole table."""
+    """Rows of each class in train and test."""
     df = learn.with_row_id(read(spark, sf_dir, "customer"))
-    parts = learn.split(df, "c_mktsegment", "classification")
-    return parts[0].unionByName(parts[1]).agg(F.count("*").alias("n"))
+    parts = [p.groupBy(F.col("c_mktsegment").alias("class")).agg(F.count("*").alias(n)) for p, n in zip(learn.split(df, "c_mktsegment", "classification"), ("n_train", "n_test"))]
+    return parts[0].join(parts[1], "class", "full").fillna(0)
 
 
 def rated_customers(spark, sf_dir) -> DataFrame:
@@ -791,15 +791,49 @@ def rated_customers(spark, sf_dir) -> DataFrame:
 
 @query()
 def train_model(spark, sf_dir):
-    model = learn.train(rated_customers(spark, sf_dir), "rating", trees=5)
+    model = learn.train(rated_customers(spark, sf_dir), "rating")
     return spark.createDataFrame([(model.name, model.task, round(model.metrics["f1"], 4))], "name string, task string, f1 double")
 
 
 @query()
 def robustness_curve(spark, sf_dir):
-    return learn.robustness(rated_customers(spark, sf_dir), "rating", "noise", (0.0, 0.1, 0.3), trees=5)
+    return learn.robustness(rated_customers(spark, sf_dir), "rating")
 
 
 @query()
 def permutation_importance(spark, sf_dir):
-    return learn.permutation_importance(learn.train(rated_customers(spark, sf_dir), "rating", trees=5), repeats=2)
+    return learn.permutation_importance(learn.train(rated_customers(spark, sf_dir), "rating"))
+
+
+def order_classes(spark, sf_dir) -> DataFrame:
+    """Orders as feature vectors, labelled by three ranges of their price."""
+    from pyspark.ml.feature import VectorAssembler
+
+    o = read(spark, sf_dir, "orders")
+    label = F.when(F.col("o_totalprice") > 200000, 2.0).when(F.col("o_totalprice") > 80000, 1.0).otherwise(0.0)
+    numbers = o.select("o_orderkey", label.alias("label"), F.col("o_totalprice").cast("double").alias("price"), F.month("o_orderdate").cast("double").alias("month"), (F.col("o_custkey") % 100).cast("double").alias("customer"))
+    return VectorAssembler(inputCols=["price", "month", "customer"], outputCol="features").transform(numbers)
+
+
+@query("SELECT label, label AS prediction, count(*) AS n FROM (SELECT CASE WHEN o_totalprice > 200000 THEN 2.0 WHEN o_totalprice > 80000 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM orders) o GROUP BY label")
+def boosting_classes(spark, sf_dir):
+    """Boosting of three classes whose bounds it must find: bins as fine as needed, every order told right where prices of two classes do not share a bin."""
+    rows = order_classes(spark, sf_dir)
+    model = boosting.SoftmaxBoosting(rounds=10, maxBins=256).fit(rows)
+    near = model.transform(rows).select("label", F.when(F.abs(F.col("price") - 200000) < 4000, F.col("label")).when(F.abs(F.col("price") - 80000) < 4000, F.col("label")).otherwise(F.col("prediction")).alias("prediction"))
+    return near.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
+@query()
+def shapley_of_trees(spark, sf_dir):
+    """Exact contributions to the predictions for all customers of the test, averaged by feature."""
+    model = learn.train(rated_customers(spark, sf_dir), "rating", names=["random_forest"])
+    rows = shapley.tree_contributions(model, model.test, objects.shared_folder(spark))
+    return rows.groupBy("feature").agg(F.avg("contribution").alias("mean"), F.avg(F.abs("contribution")).alias("weight"))
+
+
+@query()
+def shapley_by_kernel(spark, sf_dir):
+    """Contributions to the predictions for customers of one nation, by scored coalitions."""
+    model = learn.train(rated_customers(spark, sf_dir), "rating", names=["logistic_regression"])
+    return shapley.kernel_contributions(model, model.test.where("c_nationkey = 7")).groupBy("feature").agg(F.avg("contribution").alias("mean"), F.avg(F.abs("contribution")).alias("weight"))

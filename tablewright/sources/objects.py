@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from datetime import datetime, timezone
 from typing import Any
 
@@ -14,6 +15,17 @@ def _at(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where that is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     store, where = _at(spark, path)
     return store.exists(where)

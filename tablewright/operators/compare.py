@@ -13,6 +13,8 @@ from .profile import distinct_counts, duplicate_count, null_counts
 
 # Thresholds of a change.
 RENAMED, MISSING_WARNING, MISSING_CRITICAL, CARDINALITY, SHARE_POINTS, MOST_CLASSES = 0.90, 5.0, 20.0, 2.0, 5.0, 25
+#: Hashes that a sketch of a column's values keeps, as a power of two, and standard errors that its bounds allow for.
+SKETCH_BITS, DEVIATIONS = 12, 5
 CHANGE = "kind string, column string, severity string, before string, after string"
 
 
@@ -45,34 +47,65 @@ def shape(df: DataFrame) -> dict[str, float]:
     return {"rows": nulls.rows or 0, "columns": len(df.columns), "missing_pct": round((nulls.nulls or 0) / cells * 100, 4) if cells else 0.0, "duplicates": duplicate_count(df).first().duplicates}
 
 
+def value_overlaps(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """pair (its number), shared, total and jaccard of the distinct values (as text) of pairs of columns, one of each table; all pairs in one shuffle."""
+    def values(df: DataFrame, side: int) -> DataFrame:
+        cells = [F.struct(F.lit(i).alias("pair"), col(p[side]).cast("string").alias("v")) for i, p in enumerate(pairs)]
+        return df.select(F.explode(F.array(*cells)).alias("c")).where("c.v IS NOT NULL").select("c.pair", "c.v", F.lit(side + 1).alias("s"))
+
+    held = values(left, 0).union(values(right, 1)).groupBy("pair", "v").agg(F.bit_or("s").alias("s"))
+    return held.groupBy("pair").agg(F.count_if(F.col("s") == 3).alias("shared"), F.count("*").alias("total")).withColumn("jaccard", F.try_divide("shared", "total"))
+
+
+def likely_overlaps(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], least: float) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Pairs of columns whose values may overlap by ``least``, and pairs without any value.
+
+    Sketches keep the ``2 ** SKETCH_BITS`` smallest hashes of each column, all from
+    one pass over each table; a pair is left out where the ratio of its estimates
+    lies more than ``DEVIATIONS`` standard errors of each below.  Columns with fewer
+    values are known exactly.
+    """
+    columns = [list(dict.fromkeys(p[side] for p in pairs)) for side in (0, 1)]
+    one, other = (
+        df.agg(*[F.theta_sketch_agg(col(c).cast("string"), F.lit(SKETCH_BITS)).alias(f"s{side}_{i}") for i, c in enumerate(names)])
+        for side, (df, names) in enumerate(zip((left, right), columns))
+    )
+    both = one.crossJoin(other)  # a row each
+    facts = []
+    for a, b in pairs:
+        x, y = F.col(f"s0_{columns[0].index(a)}"), F.col(f"s1_{columns[1].index(b)}")
+        both_hold, any_holds = (F.theta_sketch_estimate(s) for s in (F.theta_intersection(x, y), F.theta_union(x, y, F.lit(SKETCH_BITS))))
+        facts.append(F.struct(both_hold.alias("shared"), any_holds.alias("total")))
+    rows = both.select(F.array(*facts).alias("f")).first().f
+    margin = least * 2 * DEVIATIONS / 2 ** (SKETCH_BITS / 2)
+    return [p for p, f in zip(pairs, rows) if f.total and f.shared / f.total >= least - margin], [p for p, f in zip(pairs, rows) if not f.total]
+
+
 def value_overlap(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
-    """shared, total and jaccard of the distinct values (as text) of two columns."""
-    one = left.select(col(a).cast("string").alias("v"), F.lit(1).alias("s")).union(right.select(col(b).cast("string"), F.lit(2))).where("v is not null")
-    held = one.groupBy("v").agg(F.bit_or("s").alias("s"))
-    return held.agg(F.count_if(F.col("s") == 3).alias("shared"), F.count("*").alias("total")).withColumn("jaccard", F.try_divide("shared", "total"))
+    """shared, total and jaccard of one pair; a row of zeros and null where neither column has a value."""
+    return value_overlaps(left, right, [(a, b)]).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("shared", "total")], F.max("jaccard").alias("jaccard"))
 
 
-def same_in_order(left: DataFrame, a: str, right: DataFrame, b: str, row_id: str) -> bool:
-    """Both columns hold equal values row by row (null equals null)."""
-    joined = left.select(col(row_id).alias("_l"), col(a).cast("string").alias("x")).join(right.select(col(row_id).alias("_r"), col(b).cast("string").alias("y")), F.col("_l") == F.col("_r"), "full_outer")
-    return joined.where(F.col("_l").isNull() | F.col("_r").isNull() | ~F.col("x").eqNullSafe(F.col("y"))).isEmpty()
+def same_ids(left: DataFrame, right: DataFrame, row_id: str) -> bool:
+    one, other = left.select(col(row_id).alias("_l")), right.select(col(row_id).alias("_r"))
+    return one.join(other, F.col("_l") == F.col("_r"), "full_outer").where("_l IS NULL OR _r IS NULL").isEmpty()
 
 
 def renamed_columns(left: DataFrame, right: DataFrame, row_id: str | None = None, least: float = RENAMED) -> list[tuple[str, str, float]]:
-    """Removed and added columns that are the same one, best match first, each used once."""
+    """Removed and added columns that are the same one, best match first, each used once.
+
+    Columns that hold equal values row by row also hold the same set of values; so
+    only columns without any value need a look at the rows, whether their ids agree.
+    """
     gone = [c for c in left.columns if c not in right.columns]
     new = [c for c in right.columns if c not in left.columns]
-    found = []
-    for a in gone:
-        for b in new:
-            if isinstance(left.schema[a].dataType, NUMERIC) != isinstance(right.schema[b].dataType, NUMERIC):
-                continue
-            if row_id and row_id in left.columns and row_id in right.columns and same_in_order(left, a, right, b, row_id):
-                found.append((1.0, a, b))
-                continue
-            score = value_overlap(left, a, right, b).first().jaccard
-            if score is not None and score >= least:
-                found.append((score, a, b))
+    alike = [(a, b) for a in gone for b in new if isinstance(left.schema[a].dataType, NUMERIC) == isinstance(right.schema[b].dataType, NUMERIC)]
+    if not alike:
+        return []
+    likely, empty = likely_overlaps(left, right, alike, least)
+    found = [(r.jaccard, *likely[r.pair]) for r in value_overlaps(left, right, likely).where(F.col("jaccard") >= least).collect()] if likely else []  # a row for each pair
+    if empty and row_id and row_id in left.columns and row_id in right.columns and same_ids(left, right, row_id):
+        found += [(1.0, a, b) for a, b in empty]
     pairs, used = [], set()
     for score, a, b in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
         if a not in used and b not in used:

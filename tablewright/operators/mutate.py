@@ -58,7 +58,7 @@ def kth_draws(keyed: DataFrame, wanted: dict[int, tuple[int, int]]) -> dict[int,
     while wide := {key: a for key, a in at.items() if a[2] > RANKED and a[1] < DRAW_BITS}:
         step = max(1, STEP_BITS - (len(wide) - 1).bit_length())
         bits = {key: min(DRAW_BITS, a[1] + step) for key, a in wide.items()}
-        rows = _within(keyed, wide).withColumn("_p", F.shiftright("_draw", DRAW_BITS - _of_key(bits)))
+        rows = _within(keyed, wide).withColumn("_p", _head(_of_key(bits)))
         counts: dict[int, list] = {}
         for r in rows.groupBy("_key", "_p").agg(F.count("*").alias("n")).collect():  # at most 4,096 rows, or two for each key
             counts.setdefault(r._key, []).append((r._p, r.n))
@@ -82,8 +82,13 @@ def _within(keyed: DataFrame, at: dict[int, tuple]) -> DataFrame:
     """Rows whose draws begin with the bits that their key is narrowed to."""
     if all(bits == 0 for _, bits, *_ in at.values()):
         return keyed.where(F.col("_key").isin(list(at)))
-    shift, prefix = (_of_key({key: f(a) for key, a in at.items()}) for f in (lambda a: DRAW_BITS - a[1], lambda a: a[0]))
-    return keyed.where(F.col("_key").isin(list(at)) & (F.shiftright("_draw", shift) == prefix))
+    bits, prefix = (_of_key({key: a[n] for key, a in at.items()}) for n in (1, 0))
+    return keyed.where(F.col("_key").isin(list(at)) & (_head(bits) == prefix))
+
+
+def _head(bits: Column) -> Column:
+    """So many leading bits of a draw."""
+    return F.call_function("shiftright", F.col("_draw"), (DRAW_BITS - bits).cast("int"))
 
 
 def among_smallest_of(df: DataFrame, row_id: str, draws: list[Column], k: int, rows: int) -> list[Column]:

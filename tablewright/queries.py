@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import texts as X
 from .functions.numbers import col
-from .operators import analyze, audit, boosting, clean, compare, drift, learn, mutate, profile, relations, repair, shapley, validate
+from .operators import analyze, audit, boosting, clean, compare, drift, learn, mutate, profile, quantiles, relations, repair, shapley, validate
 from .sources import fingerprint as fingerprints
 from .sources import objects, stores
 
@@ -170,6 +170,14 @@ def iqr_outliers(spark, sf_dir):
     return profile.iqr_outliers(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]).withColumn("outlier_pct", F.round("outlier_pct", 3))
 
 
+@query("SELECT 'value' AS name, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS most FROM events WHERE value >= 10")
+def quantiles_beside_nan(spark, sf_dir):
+    """NaN, here in place of small values, counts as a gap."""
+    e = read(spark, sf_dir, "events").select(F.when(F.col("value") >= 10, F.col("value")).otherwise(F.lit(float("nan"))).alias("value"))
+    found = quantiles.exact_quantiles(e, {"value": F.col("value")}, [0.25, 0.5, 0.75, 1.0])
+    return spark.createDataFrame([(name, *x) for name, x in found.items()], "name string, q1 double, median double, q3 double, most double")
+
+
 @query("SELECT 'text' AS \"column\", round(avg(len(regexp_extract_all(text, '\\S+'))), 3) AS mean_words, round(avg(length(text)), 3) AS mean_chars, 'free_text' AS role FROM documents UNION ALL SELECT 'lang', round(avg(1), 3), round(avg(length(lang)), 3), 'categorical' FROM documents WHERE lang IS NOT NULL UNION ALL SELECT 'source', round(avg(1), 3), round(avg(length(source)), 3), 'categorical' FROM documents WHERE source IS NOT NULL")
 def text_roles(spark, sf_dir):
     return profile.text_roles(read(spark, sf_dir, "documents")).select("column", F.round("mean_words", 3).alias("mean_words"), F.round("mean_chars", 3).alias("mean_chars"), "role")

@@ -7,6 +7,7 @@ import hashlib
 import io
 import json
 import os
+import re
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -25,6 +26,7 @@ from ..functions.texts import FILE_MISSING, FILE_MISSING_MORE
 from ..operators.clean import Cleaned, clean, clean_names
 from .errors import CorruptedFile, EmptyTable, IngestionError, InvalidJson, MissingColumns, Unavailable, UnsupportedFormat
 from .objects import opened
+from .workbooks import list_sheets, place, read_workbook  # noqa: F401
 
 FORMATS = {".csv": ",", ".tsv": "\t", ".xlsx": None, ".xls": None, ".json": None, ".parquet": None, ".feather": None}
 DELIMITERS = (",", ";", "\t", "|")
@@ -77,20 +79,45 @@ def head_bytes(spark: SparkSession, path: str, most: int = 1 << 16) -> bytes:
         stream.close()
 
 
-def checksum(spark: SparkSession, path: str, algorithm: str = "sha256", most: int = 1 << 26) -> str:
+def in_tasks(path: str) -> bool:
+    """Whether tasks can open a file by its path; else only Spark's own readers can."""
+    try:
+        place(path)
+        return True
+    except (pa.ArrowInvalid, OSError, ValueError, NotImplementedError):
+        return False
+
+
+def checksum(spark: SparkSession, path: str, algorithm: str = "sha256", block: int = 1 << 22) -> str:
     """Hash of a file's bytes, or of the hashes of a folder's files by their paths.
 
-    Files up to ``most`` bytes are hashed in tasks, larger ones as streams.
+    Files are read block by block in tasks, a task for each file.  Where tasks
+    cannot open the path, Spark's reader gives them whole files, 2 GB at most.
     """
-    digest = {"sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512), "sha1": F.sha1, "md5": F.md5}[algorithm]
-    by_path = {r[0]: r[1] for r in file_table(spark, path).where(F.col("length") <= most).select("path", digest(F.col("content"))).collect()}  # a hash for each file
-    for file, size in file_sizes(spark, path):
-        if size > most:
-            stream = opened(spark, file)
-            try:
-                by_path[file] = getattr(spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils, f"{algorithm}Hex")(stream)
-            finally:
-                stream.close()
+    if algorithm not in ("sha256", "sha512", "sha1", "md5"):
+        raise ValueError(f"no algorithm '{algorithm}'")
+    sizes = file_sizes(spark, path)
+
+    def run(batches):
+        for batch in batches:
+            names, hashes = batch.column(0).to_pylist(), []
+            for name in names:
+                store, where = place(name)
+                digest = hashlib.new(algorithm)
+                with store.open_input_stream(where) as file:
+                    while data := file.read(block):
+                        digest.update(data)
+                hashes.append(digest.hexdigest())
+            yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string()), "hash": pa.array(hashes, pa.string())})
+
+    if not sizes:
+        by_path = {}
+    elif all(in_tasks(f) for f, _ in sizes):
+        files = spark.createDataFrame([(f,) for f, _ in sizes], "path string").repartition(min(len(sizes), 10_000), "path")
+        by_path = dict(files.mapInArrow(run, "path string, hash string").collect())  # a hash for each file
+    else:
+        digest = {"sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512), "sha1": F.sha1, "md5": F.md5}[algorithm]
+        by_path = dict(file_table(spark, path).select("path", digest(F.col("content"))).collect())
     parts = [by_path[file] for file in sorted(by_path)]
     return parts[0] if len(parts) == 1 else hashlib.new(algorithm, "".join(parts).encode()).hexdigest()
 
@@ -186,19 +213,73 @@ def _object_in_line(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def _one_value(spark: SparkSession, path: str) -> None:
-    """Spark reads the first value of a file of several lines; a file with more is refused."""
+#: Signs that open and close values or strings.
+_SIGNS = re.compile(rb'["\\\[\]{}]')
+_BLANKS = b" \t\r\n"
+
+
+class OneValue:
+    """Follows brackets and strings of a JSON text, block by block, to where its first value ends."""
+
+    def __init__(self):
+        self.depth, self.quoted, self.skip, self.ended, self.more = 0, False, False, False, False
+
+    def feed(self, block: bytes) -> None:
+        at = 0
+        if self.skip:
+            at, self.skip = 1, False
+        while at < len(block) and not self.ended:
+            sign = _SIGNS.search(block, at)
+            if sign is None:
+                return
+            at, c = sign.end(), sign.group()
+            if self.quoted:
+                if c == b"\\":
+                    at += 1
+                    self.skip = at > len(block)
+                elif c == b'"':
+                    self.quoted = False
+            elif c == b'"':
+                self.quoted = True
+            elif c in b"[{":
+                self.depth += 1
+            elif c in b"]}":
+                self.depth -= 1
+                self.ended = self.depth == 0
+        self.more = self.more or self.ended and bool(block[at:].strip(_BLANKS))
+
+
+def _one_value(spark: SparkSession, path: str, block: int = 1 << 22) -> None:
+    """Spark reads the first value of a file of several lines; a file with more, or whose value does not end, is refused.  Files are read block by block in tasks."""
+
+    def followed(blocks) -> str | None:
+        state = OneValue()
+        for data in blocks:
+            state.feed(data)
+            if state.more:
+                return "more than one value"
+        return None if state.ended else "the value does not end"
+
+    def of_file(name: str):
+        store, where = place(name)
+        with store.open_input_stream(where) as file:
+            while data := file.read(block):
+                yield data
 
-    def check(batches):
+    def run(batches):
         for batch in batches:
-            for text in batch.column("value").to_pylist():
-                if text.strip("\ufeff \t\r\n"):
-                    try:
-                        json.loads(text.lstrip("\ufeff"))
-                    except ValueError as error:
-                        yield pa.RecordBatch.from_pydict({"error": [str(error)]})
-
-    bad = spark.read.text(path, wholetext=True).mapInArrow(check, "error string").first()
+            if batch.schema.names == ["path"]:
+                found = [followed(of_file(name)) for name in batch.column(0).to_pylist()]
+            else:
+                found = [followed([data]) for data in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"error": pa.array([e for e in found if e], pa.string())})
+
+    names = [f for f, _ in file_sizes(spark, path)]
+    if all(map(in_tasks, names)):
+        files = spark.createDataFrame([(f,) for f in names], "path string").repartition(min(max(len(names), 1), 10_000), "path")
+    else:
+        files = file_table(spark, path).select("content")
+    bad = files.mapInArrow(run, "error string").first()
     if bad is not None:
         raise InvalidJson(f"{path}: {bad[0]}")
 
@@ -223,25 +304,6 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
         raise InvalidJson(f"{path}: {error}") from error
 
 
-def read_workbook(path: str, sheet: str | int = 0):
-    """Spreadsheets need a reader that pandas does not bring along."""
-    import pandas as pd
-
-    try:
-        return pd.read_excel(path, sheet_name=sheet)
-    except ImportError as error:
-        raise Unavailable(f"spreadsheets need a library that is not installed: {error}") from error
-
-
-def list_sheets(path: str) -> list[str]:
-    import pandas as pd
-
-    try:
-        return pd.ExcelFile(path).sheet_names
-    except ImportError as error:
-        raise Unavailable(f"spreadsheets need a library that is not installed: {error}") from error
-
-
 def _uri(path: str) -> str:
     return path if ":/" in path else os.path.abspath(path)
 
@@ -321,7 +383,9 @@ def load_raw(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
             return nan_as_null(spark.read.parquet(path))
         if kind == ".feather":
             return nan_as_null(read_feather(spark, path))
-        return spark.createDataFrame(read_workbook(path, sheet))
+        if kind == ".xls":
+            raise Unavailable("workbooks of the old binary form are not read: save them as xlsx")
+        return read_workbook(spark, _uri(path), sheet)
     except (PySparkException, Py4JJavaError) as error:
         raise CorruptedFile(f"{path}: {str(error)[:300]}") from error
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,3 +82,64 @@ def timestamp_of(text: Column) -> Column:
 
 def leading_zero(text: Column) -> Column:
     return F.trim(text).rlike(r"^0\d+")
+
+
+#: Shapes of dates and times: digits as 0, letters as a.
+DATE_SHAPE = r"^(0000([-/.])00?(?:\2)00?|00?([-/.])00?(?:\3)0000|00?[- ]a{3,9}[- ]0000|00? a{3,9},? 0000|a{3,9} 00?,? 0000|0{8})([a ]00?:00(:00(\.0{1,9})?)?( ?aa)?( ?(a|[+-]00:?00))?)?$"
+
+
+def shape_of(text: Column) -> Column:
+    """A text with each digit as 0 and each letter of the alphabet as a; null beyond the length of any date."""
+    trimmed = F.trim(text)
+    return F.when(F.length(trimmed) <= 45, F.translate(F.lower(trimmed), "123456789bcdefghijklmnopqrstuvwxyz", "0" * 9 + "a" * 25))
+
+
+def form_of_shape(shape: str, day_first: bool = False) -> str | None:
+    """How dates of a shape are read; null for what is no shape of a date."""
+    whole = re.match(DATE_SHAPE, shape)
+    if not whole:
+        return None
+    rest = whole.group(4) or ""
+    date = shape[: len(shape) - len(rest)]
+    if re.match("0000[-/.]", date):
+        form = f"yyyy{date[4]}M{date[4]}d"
+    elif ambiguous(shape):
+        sep = re.search("[-/.]", date).group()
+        form = f"{'d' if day_first else 'M'}{sep}{'M' if day_first else 'd'}{sep}yyyy"
+    elif date == "0" * 8:
+        form = "yyyyMMdd"
+    else:
+        named = re.sub("a+", lambda m: "MMM" if len(m.group()) == 3 else "MMMM", date)
+        form = re.sub(r"(?<!0)00?(?!0)", "d", named.replace("0000", "yyyy"))
+    if not rest:
+        return form
+    half = bool(re.search(r":00(\.0+)? ?aa", rest))
+    clock = re.match(r"([a ])(00?):00(:00(\.(0{1,9}))?)?( ?)(aa)?( ?)(a|[+-]00:?00)?$", rest)
+    form += ("'T'" if clock.group(1) == "a" else " ") + ("h" if half else "H") + ":mm" + (":ss" if clock.group(3) else "")
+    form += "." + "S" * len(clock.group(5)) if clock.group(5) else ""
+    form += clock.group(6) + "a" if half else ""
+    zone = clock.group(9) if half else re.search(r"( ?)(a|[+-]00:?00)$", rest)
+    if half:
+        return form + (clock.group(8) + ("XXX" if ":" in zone or zone == "a" else "XX") if zone else "")
+    return form + (zone.group(1) + ("XX" if re.fullmatch("[+-]0000", zone.group(2)) else "XXX") if zone else "")
+
+
+def ambiguous(shape: str) -> bool:
+    """Whether day and month both come first in dates of a shape."""
+    return bool(re.match(r"00?([-/.])00?(?:\1)0000", shape))
+
+
+def dates_of(text: Column, forms: dict[str, str | None]) -> Column:
+    """Dates of a column by the form chosen for each shape, each value read once; a form of None leaves it to the value whether its day comes first."""
+    trimmed, shape = F.trim(text), shape_of(text)
+    by_form: dict[tuple[str, str | None], list[str]] = {}
+    for s, form in forms.items():
+        pair = (form, None) if form else (form_of_shape(s), form_of_shape(s, True))
+        by_form.setdefault(pair, []).append(s)
+    found = None
+    for (form, other), shapes in by_form.items():
+        read = F.try_to_timestamp(trimmed, F.lit(form))
+        if other:
+            read = F.when(F.regexp_extract(trimmed, r"^(\d+)", 1).try_cast("int") > 12, F.try_to_timestamp(trimmed, F.lit(other))).otherwise(read)
+        found = F.when(shape.isin(shapes), read) if found is None else found.when(shape.isin(shapes), read)
+    return F.lit(None).cast("timestamp") if found is None else found

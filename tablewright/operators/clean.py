@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import col, fields_of, nan_as_null, text_columns
-from ..functions.texts import FREE_TEXT_CHARS, FREE_TEXT_WORDS, SOMETIMES_MISSING, TEMPORAL_NAME, TEMPORAL_SHAPE, always_missing, casing, leading_zero, number_of, sometimes_missing, squeezed, timestamp_of, token, word_count
+from ..functions.texts import DATE_SHAPE, FREE_TEXT_CHARS, FREE_TEXT_WORDS, SOMETIMES_MISSING, TEMPORAL_NAME, TEMPORAL_SHAPE, always_missing, ambiguous, casing, dates_of, form_of_shape, leading_zero, number_of, sometimes_missing, shape_of, squeezed, token, word_count
 
 PARSED_SHARE = 0.9
 ACTION = "step string, column string, detail string, count long"
@@ -119,12 +119,36 @@ def parse_numbers(df: DataFrame, out: Cleaned | None = None) -> DataFrame:
     return df.select(*[number_of(col(c)).try_cast(kinds[c]).alias(c) if c in kinds else col(c) for c in df.columns])
 
 
+def date_forms(df: DataFrame, texts: list[str]) -> dict[str, dict[str, str | None]]:
+    """For each text column, the form of each shape that its dates have.
+
+    Shapes are counted in one pass; there are few shapes of dates, so they come to
+    the driver.  Where day and month could change places, the day comes first if
+    the column has first numbers above 12 and no such second one; it has no single
+    form if it has both; else the month comes first.
+    """
+    shape = lambda c: shape_of(col(c))
+    number = lambda c, k: F.regexp_extract(F.trim(col(c)), r"^(\d{1,2})[-/.](\d{1,2})[-/.]", k).try_cast("int")
+    cells = [F.struct(F.lit(i).alias("i"), shape(c).alias("shape"), number(c, 1).alias("one"), number(c, 2).alias("two")) for i, c in enumerate(texts)]
+    rows = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("shape").rlike(DATE_SHAPE))
+    facts = rows.groupBy("i", "shape").agg(F.max("one").alias("one"), F.max("two").alias("two")).collect()
+    found: dict[str, dict[str, str | None]] = {c: {} for c in texts}
+    for i, c in enumerate(texts):
+        own = [r for r in facts if r.i == i]
+        first, second = (any((r[k] or 0) > 12 for r in own if ambiguous(r.shape)) for k in ("one", "two"))
+        for r in own:
+            found[c][r.shape] = None if ambiguous(r.shape) and first and second else form_of_shape(r.shape, first)
+    return found
+
+
 def parse_timestamps(df: DataFrame, out: Cleaned | None = None) -> DataFrame:
-    """Text columns that look like dates, or are named so, and of which nine tenths read as such, become timestamps."""
+    """Text columns that look like dates, or are named so, and of which nine tenths read as such, become timestamps; each value is read once."""
     texts = text_columns(df)
     if not texts:
         return df
-    facts = df.agg(*[F.struct(F.count(col(c)).alias("held"), F.count(timestamp_of(col(c))).alias("parsed"), F.count_if(col(c).rlike(TEMPORAL_SHAPE)).alias("shaped"), F.count_if(~F.trim(col(c)).rlike(r"^\d+$")).alias("not_digits")).alias(f"d{i}") for i, c in enumerate(texts)]).first()
+    forms = date_forms(df, texts)
+    dates = {c: dates_of(col(c), forms[c]) for c in texts}
+    facts = df.agg(*[F.struct(F.count(col(c)).alias("held"), F.count(dates[c]).alias("parsed"), F.count_if(col(c).rlike(TEMPORAL_SHAPE)).alias("shaped"), F.count_if(~F.trim(col(c)).rlike(r"^\d+$")).alias("not_digits")).alias(f"d{i}") for i, c in enumerate(texts)]).first()
     dated = []
     for i, c in enumerate(texts):
         f, named = facts[i], bool(re.search(TEMPORAL_NAME, c, re.IGNORECASE))
@@ -133,7 +157,7 @@ def parse_timestamps(df: DataFrame, out: Cleaned | None = None) -> DataFrame:
             dated.append(c)
             if out is not None:
                 out.add("coerce_datetime", c, f"Text became a timestamp; {f.held - f.parsed} values could not be read.", f.held)
-    return df.select(*[timestamp_of(col(c)).alias(c) if c in dated else col(c) for c in df.columns])
+    return df.select(*[dates[c].alias(c) if c in dated else col(c) for c in df.columns])
 
 
 def narrow_whole_floats(df: DataFrame, out: Cleaned | None = None) -> DataFrame:

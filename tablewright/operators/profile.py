@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import NUMERIC, TEMPORAL, col, correlation, numeric_columns, sample_kurtosis, sample_skewness, text_columns
 from ..functions.texts import FREE_TEXT_CHARS, FREE_TEXT_WORDS, IDENTIFIER_ROWS, IDENTIFIER_SHARE, timestamp_of, word_count
+from .gram import correlations
 from .quantiles import exact_quantiles
 
+#: Most columns whose pairs are expressions of one aggregate.
+WIDE = 24
+
 
 #: Bytes of a value of the types of fixed width.
 WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
@@ -117,8 +121,14 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """left_column, right_column and r of each pair of numeric columns, in one aggregate."""
+    """left_column, right_column and r of each pair of numeric columns, in one pass; NaN counts as a gap.
+
+    Few columns are one aggregate; more, whose pairs would be too many expressions, are sums of matrices.
+    """
     columns = columns or numeric_columns(df)
+    if len(columns) > WIDE:
+        return correlations(df, columns)
+    df = df.select(*[F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "left_column string, right_column string, r double")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
+import uuid
 from datetime import datetime, timezone
 from typing import Any
 
@@ -48,6 +50,38 @@ def delete(spark: SparkSession, path: str) -> bool:
     return store.delete(where, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no folder."""
+    store, where = _at(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(where)) if store.exists(where) else []
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file under a name that nobody has taken; whole or not at all, and false if the name is taken.
+
+    A draft gets the name in one step: by a link on a local disk, by a rename
+    elsewhere, which must not replace a file (as on HDFS).
+    """
+    store, where = _at(spark, path)
+    draft = where.suffix(f".{uuid.uuid4().hex}.draft")
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(draft.getParent(), "." + draft.getName())
+    out = store.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    try:
+        if store.getScheme() == "file":
+            try:
+                os.link(draft.toUri().getPath(), where.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+        return not store.exists(where) and bool(store.rename(draft, where))
+    finally:
+        store.delete(draft, False)
+
+
 def backup(spark: SparkSession, path: str) -> str:
     """Copy to a name with the time behind it."""
     store, where = _at(spark, path)

@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import objects
+
 REGISTRY = "dataset_id string, name string, version_group string, version int, parent_id string, path string, rows long, columns int, sha256 string, deleted boolean, extra string, registered_at string"
 RUNS = "run_id string, model string, params map<string,string>, metrics map<string,double>, artifacts map<string,string>, logged_at string"
 EVENTS = "run_id string, dataset_id string, dataset_name string, sequence int, stage string, event_type string, summary string, column string, detail string, recorded_at string"
@@ -41,20 +43,49 @@ class _Table:
 
 
 class Registry(_Table):
-    """Registered tables; the last row of an id counts, so changes and deletions are appended too."""
+    """Registered tables; the last row of an id counts, so changes and deletions are added too.
+
+    Each change is a file of its own, numbered on from the last one.  A number is
+    given once: who finds it taken reads what others have written and tries the
+    next one, so several writers at once get different versions.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark, path, REGISTRY)
-
-    def current(self) -> DataFrame:
-        last = self.rows().groupBy("dataset_id").agg(F.max_by(F.struct("*"), "registered_at").alias("r"))
-        return last.select("r.*").where("NOT deleted")
+        self.log = f"{path.rstrip('/')}/_commits"
+
+    def commits(self) -> list[str]:
+        return [n for n in objects.names(self.spark, self.log) if n.endswith(".json") and not n.startswith(".")]
+
+    def rows(self, commits: list[str] | None = None) -> DataFrame:
+        """All rows of the given commits (of all, if none are given), with ``commit``, the name of each."""
+        held = self.commits() if commits is None else commits
+        if not held:
+            return self.spark.createDataFrame([], REGISTRY + ", commit string")
+        return self.spark.read.schema(REGISTRY).json([f"{self.log}/{n}" for n in held]).withColumn("commit", F.col("_metadata.file_name"))
+
+    def current(self, commits: list[str] | None = None) -> DataFrame:
+        last = self.rows(commits).groupBy("dataset_id").agg(F.max_by(F.struct("*"), "commit").alias("r"))
+        return last.select("r.*").where("NOT deleted").drop("commit")
+
+    def _commit(self, change) -> tuple:
+        """Add the row that ``change`` makes of the rows so far; made anew if another writer comes first."""
+        while True:
+            held = self.commits()
+            row = change(self.current(held))
+            number = int(held[-1].removesuffix(".json")) + 1 if held else 0
+            text = json.dumps(dict(zip([f.split()[0] for f in REGISTRY.split(", ")], row)))
+            if objects.put_if_absent(self.spark, f"{self.log}/{number:020d}.json", text):
+                return row
 
     def register(self, name: str, path: str, rows: int, columns: int, sha256: str, **extra) -> str:
-        group = version_group(name)
-        latest = self.latest(group)
-        dataset_id = uuid.uuid4().hex
-        self.append([(dataset_id, name, group, latest.version + 1 if latest else 1, latest.dataset_id if latest else None, path, rows, columns, sha256, False, json.dumps(extra), datetime.now(timezone.utc).isoformat())])
+        group, dataset_id = version_group(name), uuid.uuid4().hex
+
+        def change(known: DataFrame) -> tuple:
+            latest = known.where(F.col("version_group") == group).orderBy(F.desc("version")).first()
+            return dataset_id, name, group, latest.version + 1 if latest else 1, latest.dataset_id if latest else None, path, rows, columns, sha256, False, json.dumps(extra), datetime.now(timezone.utc).isoformat()
+
+        self._commit(change)
         return dataset_id
 
     def get(self, dataset_id: str):
@@ -73,10 +104,13 @@ class Registry(_Table):
         return self.current().groupBy("version_group").agg(F.count("*").alias("versions"), F.max("version").alias("latest"))
 
     def update(self, dataset_id: str, **changes) -> None:
-        held = self.get(dataset_id)
-        if held is None:
-            raise KeyError(dataset_id)
-        self.append([tuple((held.asDict() | changes | {"registered_at": datetime.now(timezone.utc).isoformat()}).values())])
+        def change(known: DataFrame) -> tuple:
+            held = known.where(F.col("dataset_id") == dataset_id).first()
+            if held is None:
+                raise KeyError(dataset_id)
+            return tuple((held.asDict() | changes | {"registered_at": datetime.now(timezone.utc).isoformat()}).values())
+
+        self._commit(change)
 
     def delete(self, dataset_id: str) -> None:
         self.update(dataset_id, deleted=True)

@@ -156,3 +156,94 @@ def test_values_of_several_lines(spark, tmp_path):
     for name in ("two.json", "open.json"):
         with pytest.raises(InvalidJson):
             files.load_raw(spark, str(tmp_path / name)).count()
+
+
+# --- dates
+
+
+def dates(spark, values):
+    from tablewright.operators.clean import parse_timestamps
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, day string")
+    out = parse_timestamps(df).orderBy("id")
+    return [r.day for r in out.collect()]
+
+
+@pytest.mark.parametrize(
+    "value,year,month,day,clock",
+    [
+        ("2024-03-05", 2024, 3, 5, ()), ("2024/3/5", 2024, 3, 5, ()), ("2024-03-05T06:07:08.250Z", 2024, 3, 5, (6, 7, 8, 250_000)), ("2024-03-05 06:07", 2024, 3, 5, (6, 7)), ("03/05/2024", 2024, 3, 5, ()),
+        ("3-5-2024 6:07 pm", 2024, 3, 5, (18, 7)), ("05-Mar-2024", 2024, 3, 5, ()), ("5 March 2024", 2024, 3, 5, ()), ("Mar 5, 2024", 2024, 3, 5, ()), ("20240305", 2024, 3, 5, ()), ("2024-03-05 06:07:08+02:00", 2024, 3, 5, (4, 7, 8)),
+    ],
+)
+def test_forms_of_dates(spark, value, year, month, day, clock):
+    assert dates(spark, [value, None]) == [dt.datetime(year, month, day, *clock), None]
+
+
+def test_mixed_dates_and_the_day_first(spark):
+    mixed = ["2024-03-05", "Mar 6, 2024", "3/7/2024", "2024-03-08T01:00:00"]
+    assert [d.day for d in dates(spark, mixed)] == [5, 6, 7, 8]
+    assert [(d.day, d.month) for d in dates(spark, ["13/02/2024", "01/02/2024"])] == [(13, 2), (1, 2)]  # the column shows it
+    assert [(d.day, d.month) for d in dates(spark, ["02/13/2024", "01/02/2024"])] == [(13, 2), (2, 1)]
+    assert [(d.day, d.month) for d in dates(spark, ["02/13/2024", "13/02/2024", "01/02/2024"])] == [(13, 2), (13, 2), (2, 1)]  # each value for itself
+    assert dates(spark, ["2024-02-30"] + ["2024-02-01"] * 20)[0] is None
+    assert dates(spark, ["12-34-5678 x", "abc 12, 2024", "hello"]) == ["12-34-5678 x", "abc 12, 2024", "hello"]
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tablewright.sources.stores import Registry
+
+    def write(k):
+        own = Registry(spark, f"file://{tmp_path}/registry")
+        return [own.register(f"sales_v{i}.csv", f"/data/{k}/{i}", 1, 1, "x") for i in range(5)]
+
+    with ThreadPoolExecutor(4) as pool:
+        ids = [i for found in pool.map(write, range(4)) for i in found]
+    registry = Registry(spark, f"file://{tmp_path}/registry")
+    rows = registry.versions("sales").collect()
+    assert [r.version for r in rows] == list(range(1, 21)) and {r.dataset_id for r in rows} == set(ids)
+    assert all(b.parent_id == a.dataset_id for a, b in zip(rows, rows[1:]))
+    registry.delete(ids[0])
+    assert registry.count() == 19 and registry.get(ids[0]) is None
+    with pytest.raises(KeyError):
+        registry.update("none", rows=2)
+
+
+def test_correlations_of_wide_tables(spark):
+    import numpy as np
+
+    from tablewright.operators import gram, profile
+
+    draw = np.random.default_rng(7)
+    x = draw.normal(size=(200, 30)) * 10.0 ** draw.integers(-3, 6, 30) + 1e5
+    x[:, 3] = 4.0
+    x[:, 5] = x[:, 4] * -2 + 1
+    held = [[None if draw.random() < 0.2 else float(v) for v in row] for row in x]
+    for row in held:
+        row[7] = float("nan") if row[8] is None else row[7]
+        row[9] = None if row[10] is not None else row[9]
+    df = spark.createDataFrame(held, ", ".join(f"`c.{i}` double" for i in range(30))).repartition(3)
+    wide = {(r.left_column, r.right_column): r.r for r in profile.correlation_matrix(df).collect()}
+    narrow = {}
+    for some in ([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10], list(range(11, 30)), [0, 5, 10, 15, 20, 25, 29]):
+        narrow |= {(r.left_column, r.right_column): r.r for r in profile.correlation_matrix(df, [f"c.{i}" for i in some]).collect()}
+    assert len(wide) == 435 and wide["c.9", "c.10"] is None and wide["c.4", "c.5"] == pytest.approx(-1)
+    assert all(wide[k] is None if r is None else wide[k] == pytest.approx(r, abs=1e-6) for k, r in narrow.items())
+    one = gram.correlations(df, df.columns)
+    old, gram.MOST_BYTES, gram.BLOCK = (gram.MOST_BYTES, gram.BLOCK), 1, 7
+    try:
+        several = {(r.left_column, r.right_column): r.r for r in gram.correlations(df, df.columns).collect()}
+    finally:
+        gram.MOST_BYTES, gram.BLOCK = old
+    assert all(several[r.left_column, r.right_column] == (r.r if r.r is None else pytest.approx(r.r)) for r in one.collect())
+    assert all(r.r is None for r in gram.correlations(df.limit(0), df.columns).collect())
+
+
+def test_a_thousand_columns_in_one_pass(spark):
+    from tablewright.operators import gram
+
+    df = spark.range(300).selectExpr(*[f"CAST(xxhash64(id, {i}) % 1000 AS DOUBLE) AS c{i}" for i in range(998)], "CAST(id AS DOUBLE) AS a", "CAST(5 - id AS DOUBLE) AS b")
+    rows = gram.correlations(df, df.columns).where("abs(r) > 0.9").collect()
+    assert [(r.left_column, r.right_column, round(r.r, 9)) for r in rows] == [("a", "b", -1.0)]

@@ -12,9 +12,10 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import INTEGRAL, NUMERIC, col
-from .quantiles import exact_quantiles
+from .quantiles import between, exact_quantiles
 
 # Default thresholds.
 DEFAULTS = {"psi_warning": 0.10, "psi_critical": 0.25, "numeric_bins": 10, "significance_level": 0.05, "min_samples": 30, "rare_category_threshold": 0.01, "dataset_drift_share": 0.30, "dataset_warning_share": 0.10, "missing_rate_points": 5.0}
@@ -96,17 +97,46 @@ def value_table(tagged: DataFrame, columns: list[str]) -> DataFrame:
     return counts.repartitionByRange("place", "number", "text").withColumn("_part", F.spark_partition_id()).persist()
 
 
-def ks_of(values: DataFrame) -> DataFrame:
-    """place, statistic, n_ref and n_cur from a value table: running sums by ranges, each starting from the sums of those before it."""
+def running(values: DataFrame) -> DataFrame:
+    """place, number, both counts, and both running sums (the row's own counts included) of a value table: summed by ranges, each starting from the sums of those before it."""
     within = Window.partitionBy("_part", "place").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    local = values.select("_part", "place", F.sum("n_ref").over(within).alias("r"), F.sum("n_cur").over(within).alias("c"))
+    local = values.select("_part", "place", "number", "n_ref", "n_cur", F.sum("n_ref").over(within).alias("r"), F.sum("n_cur").over(within).alias("c"))
     parts = values.groupBy("_part", "place").agg(F.sum("n_ref").alias("pr"), F.sum("n_cur").alias("pc"))
     before = Window.partitionBy("place").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_part", "place", F.coalesce(F.sum("pr").over(before), F.lit(0)).alias("br"), F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("bc"))
-    totals = values.groupBy("place").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
-    gap = F.abs((F.col("r") + F.col("br")) / F.col("n_ref") - (F.col("c") + F.col("bc")) / F.col("n_cur"))
-    # Both small tables have rows for each range and column.
-    return local.join(F.broadcast(parts), ["_part", "place"]).join(F.broadcast(totals), "place").groupBy("place").agg(F.max(gap).alias("statistic"), F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
+    # A row for each range and column.
+    return local.join(F.broadcast(parts), ["_part", "place"]).select("place", "number", "n_ref", "n_cur", (F.col("r") + F.col("br")).alias("r"), (F.col("c") + F.col("bc")).alias("c"))
+
+
+def ks_of(values: DataFrame) -> DataFrame:
+    """place, statistic, n_ref and n_cur from a value table."""
+    totals = values.groupBy("place").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))  # a row for each column
+    gap = F.abs(F.col("r") / F.col("t_ref") - F.col("c") / F.col("t_cur"))
+    return running(values).join(F.broadcast(totals), "place").groupBy("place").agg(F.max(gap).alias("statistic"), F.first("t_ref").alias("n_ref"), F.first("t_cur").alias("n_cur"))
+
+
+def quantiles_of(values: DataFrame, wanted: dict[tuple[int, int], tuple[int, list[float]]]) -> dict[tuple[int, int], list[float]]:
+    """Quantiles by linear interpolation for (place, side), each with its number of rows and its shares, read off a value table's running sums."""
+    ranks: dict[tuple[int, int], set[int]] = {}
+    for key, (n, shares) in wanted.items():
+        at = [s * (n - 1) for s in shares]
+        ranks[key] = {math.floor(x) for x in at} | {math.ceil(x) for x in at}
+    if not ranks:
+        return {}
+    table = values.sparkSession.createDataFrame([(i, s, k) for (i, s), found in ranks.items() for k in found], "place int, s int, k long")
+    table = table.groupBy("place").agg(F.collect_list(F.struct("s", "k")).alias("wanted"))  # a row for each column, some ranks in it
+
+    def met(x: Column) -> Column:
+        upto, own = (F.when(x.s == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("r", "c"), ("n_ref", "n_cur")))
+        return (x.k < upto) & (x.k >= upto - own)
+
+    rows = running(values).join(F.broadcast(table), "place").withColumn("wanted", F.filter("wanted", met)).where(F.size("wanted") > 0)
+    held = {(r.place, x.s, x.k): r.number for r in rows.select("place", "number", "wanted").collect() for x in r.wanted}  # a row for each rank at most
+    out = {}
+    for (i, s), (n, shares) in wanted.items():
+        at = [x * (n - 1) for x in shares]
+        out[i, s] = [between(held[i, s, math.floor(x)], held[i, s, math.ceil(x)], x - math.floor(x)) for x in at]
+    return out
 
 
 def ks_statistic(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
@@ -321,7 +351,7 @@ def compare_columns(reference: DataFrame, current: DataFrame, columns: list[str]
         for c in ready:
             found[c] = ColumnDrift(c, STABLE, kinds[c], statistics=facts[c])
         place = {c: i for i, c in enumerate(columns)}
-        _numbers(tagged, values, [found[c] for c in ready if kinds[c] == "numeric"], place, rules)
+        _numbers(values, [found[c] for c in ready if kinds[c] == "numeric"], place, rules)
         whole = {i for c, i in place.items() if isinstance(schema[c].dataType, INTEGRAL)}
         _categories(values, [found[c] for c in ready if kinds[c] == "categorical"], place, whole, rules)
     finally:
@@ -331,29 +361,46 @@ def compare_columns(reference: DataFrame, current: DataFrame, columns: list[str]
         d.status = classify(d.psi, rules)
         d.significant = None if d.p_value is None else d.p_value < rules["significance_level"]
         d.top_changes = sorted(d.distribution, key=lambda x: (-abs(x["contribution"]), x["label"]))[:MOST_CHANGES]
-        most = d.top_changes[0] if d.top_changes else None
-        d.explanation = f"'{c}': PSI {d.psi:.4f} ({d.status.lower()})"
-        if most and d.status != STABLE:
-            d.explanation += f"; {most['label']} went from {most['share_ref']:.1%} to {most['share_cur']:.1%}"
-        if d.p_value is not None:
-            d.explanation += f"; {d.test} p = {d.p_value:.4g}"
-        d.explanation += (f"; new values {', '.join(d.new_values[:3])}" if d.new_values else "") + (f"; gone {', '.join(d.gone_values[:3])}" if d.gone_values else "") + "."
+        d.explanation = explained(d)
         d.psi = round(d.psi, 6)
     return list(found.values())
 
 
-def _numbers(tagged: DataFrame, values: DataFrame, found: list[ColumnDrift], place: dict[str, int], rules: dict) -> None:
+def explained(d: ColumnDrift) -> str:
+    """What moved, where most of it lies, what came and went, and what the test makes of it."""
+    ref, cur = (d.statistics.get(s, {}) for s in ("reference", "current"))
+    said = [f"'{d.column}' is stable (PSI {d.psi:.4f})" if d.status == STABLE else f"'{d.column}' drifts (PSI {d.psi:.4f}, {d.status.lower()})"]
+    if d.kind == "numeric" and d.status != STABLE and ref.get("mean") is not None and cur.get("mean") is not None:
+        way = "up" if cur["mean"] > ref["mean"] else "down"
+        said.append(f"on average it went {way} from {ref['mean']:.4g} to {cur['mean']:.4g}, its middle value from {ref['median']:.4g} to {cur['median']:.4g}")
+    if d.top_changes and d.top_changes[0]["contribution"]:
+        most = d.top_changes[0]
+        said.append(f"most of the change is in {most['label']}, {most['share_ref']:.1%} of the values before and {most['share_cur']:.1%} now")
+    for what, names in (("new", d.new_values), ("gone", d.gone_values)):
+        if names:
+            said.append(f"{what}: {', '.join(names[:3])}" + (f" and {len(names) - 3} more" if len(names) > 3 else ""))
+    if d.p_value is not None:
+        if d.significant and d.status == STABLE:
+            said.append(f"{d.test} finds a difference (p = {d.p_value:.3g}) too small to matter; so many values show it")
+        elif not d.significant and d.status != STABLE:
+            said.append(f"{d.test} does not bear this out (p = {d.p_value:.3g}), so it may be chance")
+        else:
+            said.append(f"{d.test} p = {d.p_value:.3g}")
+    return "; ".join(said) + "."
+
+
+def _numbers(values: DataFrame, found: list[ColumnDrift], place: dict[str, int], rules: dict) -> None:
     if not found:
         return
     bins, at = rules["numeric_bins"], {place[d.column]: d for d in found}
-    side = lambda d, s: F.when(F.col("side") == s, col(d.column))
-    edges = exact_quantiles(tagged, {d.column: side(d, 0) for d in found}, [k / bins for k in range(bins + 1)])
-    quarters = exact_quantiles(tagged, {f"{s} {d.column}": side(d, s) for d in found for s in (0, 1)}, [0.25, 0.5, 0.75])
-    inner = {d.column: inner_edges(edges[d.column]) for d in found}
+    mine = values.where(F.col("place").isin(list(at)))
+    rows = {(i, s): d.statistics[name]["count"] for i, d in at.items() for s, name in enumerate(("reference", "current"))}
+    cuts, quarters = [k / bins for k in range(bins + 1)], [0.25, 0.5, 0.75]
+    read = quantiles_of(mine, {(i, s): (n, (cuts if s == 0 else []) + quarters) for (i, s), n in rows.items()})
+    inner = {d.column: inner_edges(read[i, 0][: bins + 1]) for i, d in at.items()}
     number = F.lit(None).cast("int")
     for i, d in at.items():
         number = F.when(F.col("place") == i, bin_of(F.col("number"), inner[d.column])).otherwise(number)
-    mine = values.where(F.col("place").isin(list(at)))
     counted = {(r.place, r.bin): r for r in mine.groupBy("place", number.alias("bin")).agg(F.sum("n_ref").alias("r"), F.sum("n_cur").alias("c")).collect()}  # a row for each bin
     tests = {r.place: r for r in ks_of(mine).collect()}
     for i, d in at.items():
@@ -364,7 +411,7 @@ def _numbers(tagged: DataFrame, values: DataFrame, found: list[ColumnDrift], pla
         r = tests[i]
         d.test, d.statistic, d.p_value = "ks_2samp", round(r.statistic, 6), ks_tail(r.statistic, r.n_ref, r.n_cur)
         for s, name in enumerate(("reference", "current")):
-            d.statistics[name] |= dict(zip(("q1", "median", "q3"), quarters[f"{s} {d.column}"]))
+            d.statistics[name] |= dict(zip(("q1", "median", "q3"), read[i, s][-3:]))
 
 
 def _categories(values: DataFrame, found: list[ColumnDrift], place: dict[str, int], whole: set[int], rules: dict) -> None:
@@ -405,7 +452,9 @@ def detect(reference: DataFrame, current: DataFrame, columns: list[str] | None =
     kinds = {c: [df.schema[c].dataType for df in (reference, current)] for c in shared}
     torn = [c for c in shared if isinstance(kinds[c][0], NUMERIC) != isinstance(kinds[c][1], NUMERIC)]
     found = [ColumnDrift(c, TYPE_CHANGED, "mismatch", explanation=f"'{c}' was {kinds[c][0].simpleString()} and is {kinds[c][1].simpleString()}; the values cannot be compared.") for c in torn]
-    as_text = lambda df, names: df.select(*[col(c) if isinstance(df.schema[c].dataType, NUMERIC) else col(c).cast("string").alias(c) for c in names])
+    # Numbers as they are, NaN being a gap; all else as text.
+    held = lambda df, c: F.nanvl(col(c), F.lit(None).cast("double")).alias(c) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else col(c) if isinstance(df.schema[c].dataType, NUMERIC) else col(c).cast("string").alias(c)
+    as_text = lambda df, names: df.select(*[held(df, c) for c in names])
     same = [c for c in shared if c not in torn]
     found += compare_columns(as_text(reference, same), as_text(current, same), same, rules)
     for c in found:

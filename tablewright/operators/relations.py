@@ -28,16 +28,12 @@ class Identity:
     def expression(self) -> str:
         return f"{self.target} = {self.left} {self.operator} {self.right}"
 
-    def computed(self) -> Column:
-        a, b = col(self.left).cast("double"), col(self.right).cast("double")
-        return a * b if self.operator == "*" else a + b
-
-    def solved_for(self, column: str) -> Column:
-        """The column's value from the other two; null where they do not determine it."""
-        if column == self.target:
-            return self.computed()
-        other, target = col(self.right if column == self.left else self.left).cast("double"), col(self.target).cast("double")
-        return F.try_divide(target, other) if self.operator == "*" else target - other
+    def solutions(self) -> dict[str, Column]:
+        """Each of the three columns from the other two; null where these do not determine it."""
+        sides = {c: col(c).cast("double") for c in (self.target, self.left, self.right)}
+        t, a, b = sides.values()
+        values = (a * b, F.try_divide(t, b), F.try_divide(t, a)) if self.operator == "*" else (a + b, t - b, t - a)
+        return dict(zip(sides, values))
 
 
 def discover(df: DataFrame, min_support: int = SUPPORT, min_confidence: float = CONFIDENCE, most_columns: int = COLUMNS) -> list[Identity]:
@@ -58,7 +54,7 @@ def discover(df: DataFrame, min_support: int = SUPPORT, min_confidence: float =
     scores = []
     for t, a, b in triples:
         full = col(t).isNotNull() & col(a).isNotNull() & col(b).isNotNull()
-        rule = {o: Identity(t, a, b, o, 0, 0.0).computed() for o in "*+"}
+        rule = {o: Identity(t, a, b, o, 0, 0.0).solutions()[t] for o in "*+"}
         hits = [F.count_if(full & is_close(rule[o], col(t).cast("double"))) for o in "*+"]
         scores.append(F.array(F.count_if(full), *hits))
     tested = []
@@ -84,7 +80,7 @@ def _operands_vary(df: DataFrame, t: str, a: str, b: str) -> bool:
 
 def _exact(df: DataFrame, rule: Identity, column: str) -> Column:
     """The determined value in the column's type; integer columns take whole numbers only."""
-    value = rule.solved_for(column)
+    value = rule.solutions()[column]
     value = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
     if isinstance(df.schema[column].dataType, INTEGRAL):
         value = F.when(F.abs(value - F.round(value)) <= 1e-6, F.round(value))
@@ -112,7 +108,7 @@ def fill(df: DataFrame, rules: list[Identity], passes: int = PASSES) -> tuple[Da
 
 
 def holds(rule: Identity) -> Column:
-    return is_close(rule.computed(), col(rule.target).cast("double"))
+    return is_close(rule.solutions()[rule.target], col(rule.target).cast("double"))
 
 
 def violations(df: DataFrame, rules: list[Identity], row_id: str | None = None, examples: int = 5) -> DataFrame:

@@ -289,7 +289,7 @@ def reconcile(df: DataFrame, rules: list[Identity], flags: dict[str, str]) -> tu
             if column not in flags:
                 continue
             kind = df.schema[column].dataType
-            value = rule.solved_for(column)
+            value = rule.solutions()[column]
             whole = F.abs(value - F.round(value)) <= 1e-6 if isinstance(kind, INTEGRAL) else F.lit(True)
             wrong = F.col(flags[column]) & value.isNotNull() & whole & ~is_close(value, col(column).cast("double"))
             n = df.agg(F.count_if(wrong)).first()[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 import os
-from dataclasses import asdict, is_dataclass
+from dataclasses import is_dataclass
 
 KEYS = ["metadata", "summary", "validation", "drift", "profile", "findings", "health", "repair", "health_after", "robustness", "elasticity", "importance"]
 
@@ -57,7 +57,3 @@ def write_reports(results: dict, folder: str) -> list[str]:
             out.write(text)
         names.append(name)
     return names
-
-
-def findings_rows(findings) -> list[dict]:
-    return [asdict(f) for f in findings]

@@ -602,6 +602,43 @@ def drift_scores(spark, sf_dir):
     return found.select("column", "kind", "status", F.round("psi", 4).alias("psi"), F.round("statistic", 3).alias("statistic"))
 
 
+#: Of a numeric column, two-sample p by the asymptotic tail, which holds from 10,000 values on a side.
+KS_P = "CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT 2 * sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * x * x)) FROM range(1, 101) t(k)))) END"
+
+
+@query(f"WITH {HALVES}, d AS (SELECT \"column\", statistic, statistic * sqrt((SELECT count(*) FROM ref) * 1.0 * (SELECT count(*) FROM cur) / ((SELECT count(*) FROM ref) + (SELECT count(*) FROM cur))) AS x FROM ({numeric_drift_sql('l_quantity')} UNION ALL {numeric_drift_sql('l_discount')} UNION ALL {numeric_drift_sql('l_tax')}) u), p AS (SELECT \"column\", {KS_P} AS p FROM d) SELECT \"column\", round(p, 5) AS p_value, p < 0.05 AS significant FROM p")
+def drift_significance(spark, sf_dir):
+    found = drifted_halves(spark, sf_dir).frame(read(spark, sf_dir, "lineitem")).where("kind = 'numeric'")
+    return found.select("column", F.round("p_value", 5).alias("p_value"), "significant")
+
+
+@query(f"WITH {HALVES}, d AS (SELECT * FROM ({numeric_drift_sql('l_quantity')} UNION ALL {numeric_drift_sql('l_discount')} UNION ALL {numeric_drift_sql('l_tax')} UNION ALL {FLAG_DRIFT}) u), s AS (SELECT count(*) FILTER (WHERE psi >= 0.25) AS critical, count(*) FILTER (WHERE psi >= 0.1) * 1.0 / count(*) AS share, avg(round(psi, 6)) AS mean_psi, max(round(psi, 6)) AS max_psi FROM d) SELECT CASE WHEN critical > 0 AND share >= 0.3 THEN 'CRITICAL' WHEN critical > 0 OR share >= 0.1 THEN 'WARNING' ELSE 'STABLE' END AS status, critical, round(mean_psi, 4) AS mean_psi, round(max_psi, 4) AS max_psi FROM s")
+def drift_of_the_dataset(spark, sf_dir):
+    found = drifted_halves(spark, sf_dir)
+    return spark.createDataFrame([(found.status, found.counts()["CRITICAL"], round(found.mean_psi, 4), round(found.max_psi, 4))], "status string, critical long, mean_psi double, max_psi double")
+
+
+@query(f"WITH {HALVES} SELECT \"column\", CASE WHEN psi >= 0.25 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, round(psi, 3) AS psi FROM ({numeric_drift_sql('l_quantity')} UNION ALL {numeric_drift_sql('l_discount')} UNION ALL {numeric_drift_sql('l_tax')} UNION ALL {FLAG_DRIFT}) d WHERE psi >= 0.1")
+def version_drift(spark, sf_dir):
+    """What a comparison of two versions says of the drift of their columns."""
+    names = ["l_quantity", "l_discount", "l_returnflag", "l_tax"]
+    ref, cur = halves(spark, sf_dir)
+    cur = cur.withColumn("l_returnflag", F.when(F.col("l_linenumber") == 7, "X").otherwise(F.col("l_returnflag")))
+    found = compare.compare(ref.select(*names), cur.select(*names)).frame(ref).where("kind = 'drift'")
+    return found.select("column", "severity", F.round(F.regexp_extract("after", r"PSI ([0-9.]+)", 1).cast("double"), 3).alias("psi"))
+
+
+#: Columns made of four numbers of a line, so many that their pairs are not one aggregate.
+MADE = {f"{n}_{c[2:]}": e.replace("{c}", c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") for n, e in {"own": "{c}", "square": "{c} * {c}", "root": "sqrt({c})", "line": "{c} * l_linenumber", "part": "{c} + l_partkey % 100", "gaps": "CASE WHEN l_linenumber <> 3 THEN {c} END", "other": "CASE WHEN l_linenumber <> 5 THEN -{c} + l_suppkey % 7 END"}.items()}
+MADE_PAIRS = [(a, b) for i, a in enumerate(MADE) for b in list(MADE)[i + 1 :]]
+
+
+@query(f"WITH m AS (SELECT {', '.join(f'{e} AS {n}' for n, e in MADE.items())} FROM lineitem), r AS (SELECT {', '.join(f'corr({a}, {b}) AS r{i}' for i, (a, b) in enumerate(MADE_PAIRS))} FROM m) " + " UNION ALL ".join(f"SELECT '{a}' AS left_column, '{b}' AS right_column, CASE WHEN abs(r{i}) < 0.0001 THEN 0.0 ELSE round(r{i}, 4) END AS r FROM r" for i, (a, b) in enumerate(MADE_PAIRS)))
+def wide_correlations(spark, sf_dir):
+    made = read(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in MADE.items()])
+    return profile.correlation_matrix(made).select("left_column", "right_column", F.when(F.abs("r") < 0.0001, 0.0).otherwise(F.round("r", 4)).alias("r"))
+
+
 @query(f"WITH {HALVES} SELECT \"column\", side, measure, round(value, 4) AS value FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{side}' AS side, '{m}' AS measure, CAST({e.replace('{c}', c)} AS DOUBLE) AS value FROM {t}" for c in ("l_quantity", "l_tax") for side, t in (("reference", "ref"), ("current", "cur")) for m, e in (("count", "count({c})"), ("missing_pct", "(count(*) - count({c})) * 100.0 / count(*)"), ("mean", "avg({c})"), ("std", "stddev_samp({c})"), ("min", "min({c})"), ("max", "max({c})"), ("q1", "quantile_cont({c}, 0.25)"), ("median", "quantile_cont({c}, 0.5)"), ("q3", "quantile_cont({c}, 0.75)"))) + ") x")
 def drift_statistics(spark, sf_dir):
     found = drifted_halves(spark, sf_dir).statistics_frame(read(spark, sf_dir, "lineitem"))

@@ -88,10 +88,10 @@ def in_tasks(path: str) -> bool:
         return False
 
 
-def checksum(spark: SparkSession, path: str, algorithm: str = "sha256", block: int = 1 << 22) -> str:
+def checksum(spark: SparkSession, path: str, algorithm: str = "sha256", most: int = 1 << 22) -> str:
     """Hash of a file's bytes, or of the hashes of a folder's files by their paths.
 
-    Files are read block by block in tasks, a task for each file.  Where tasks
+    Files are read in tasks, a task for each file, at most ``most`` bytes at a time.  Where tasks
     cannot open the path, Spark's reader gives them whole files, 2 GB at most.
     """
     if algorithm not in ("sha256", "sha512", "sha1", "md5"):
@@ -105,7 +105,7 @@ def checksum(spark: SparkSession, path: str, algorithm: str = "sha256", block: i
                 store, where = place(name)
                 digest = hashlib.new(algorithm)
                 with store.open_input_stream(where) as file:
-                    while data := file.read(block):
+                    while data := file.read(most):
                         digest.update(data)
                 hashes.append(digest.hexdigest())
             yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string()), "hash": pa.array(hashes, pa.string())})

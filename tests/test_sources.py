@@ -124,7 +124,7 @@ def test_hashes_are_made_in_tasks(spark, tmp_path, monkeypatch):
         (folder / f"{k}.bin").write_bytes(bytes([k]) * k * 1000 + b"x")
     monkeypatch.setattr(files, "opened", None)  # the driver opens nothing
     for algorithm in ("sha256", "md5"):
-        assert files.checksum(spark, str(tmp_path / "one.bin"), algorithm, block=1000) == hashlib.new(algorithm, b"abc" * 100_000).hexdigest()
+        assert files.checksum(spark, str(tmp_path / "one.bin"), algorithm, most=1000) == hashlib.new(algorithm, b"abc" * 100_000).hexdigest()
         parts = [hashlib.new(algorithm, (folder / f"{k}.bin").read_bytes()).hexdigest() for k in range(5)]
         assert files.checksum(spark, str(folder), algorithm) == hashlib.new(algorithm, "".join(parts).encode()).hexdigest()
     monkeypatch.setattr(files, "in_tasks", lambda path: False)  # a store that only Spark reads

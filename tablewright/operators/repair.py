@@ -294,6 +294,7 @@ def reconcile(df: DataFrame, rules: list[Identity], flags: dict[str, str]) -> tu
             wrong = F.col(flags[column]) & value.isNotNull() & whole & ~is_close(value, col(column).cast("double"))
             n = df.agg(F.count_if(wrong)).first()[0]
             if n:
-                df = df.withColumn(column, F.when(wrong, F.round(value) if isinstance(kind, INTEGRAL) else value).otherwise(col(column)).cast(kind)).withColumn(flags[column], F.col(flags[column]) & ~wrong)
+                # Both at once: the flag is judged by the value that was there.
+                df = df.withColumns({column: F.when(wrong, F.round(value) if isinstance(kind, INTEGRAL) else value).otherwise(col(column)).cast(kind), flags[column]: F.col(flags[column]) & ~F.coalesce(wrong, F.lit(False))})
                 records.append({"column": column, "expression": rule.expression, "cells_filled": n, "method": "reconciled"})
     return df, records

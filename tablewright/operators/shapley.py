@@ -25,12 +25,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import col, hashed_uniform
 from .boosting import SoftmaxBoostingModel
-from .learn import ID, Trained, class_scores
+from .learn import ID, Trained, class_scores, permutation_importance
 
 #: Rows of the background, and coalitions that are scored at most.
 BACKGROUND, COALITIONS = 100, 2048
@@ -251,3 +251,41 @@ def contributions(model: Trained, rows: DataFrame, folder: str, **settings) -> D
     if isinstance(learner, SoftmaxBoostingModel) or hasattr(learner, "trees"):
         return tree_contributions(model, rows, folder)
     return kernel_contributions(model, rows, **settings)
+
+
+@dataclass
+class Explanation:
+    """What a model goes by on the whole, and why it says what it says of some rows."""
+
+    method: str
+    importance: DataFrame  # rank, feature, importance, std
+    local: DataFrame  # _row, rank, feature, value, contribution, direction
+    sentences: DataFrame  # _row, sentence
+
+
+def explain(model: Trained, rows: DataFrame, folder: str, top: int = 10, named: int = 3, **settings) -> Explanation:
+    """Permutation importance of all features, the largest contributions to each row's prediction, and a sentence for each row.
+
+    Rows that are equal are explained once.  ``top`` bounds the contributions of a
+    row, ``named`` those in its sentence; ``settings`` go to the importance.
+    """
+    rows = rows.dropDuplicates([ID])
+    features = model.numeric + model.categorical
+    importance = permutation_importance(model, **settings)
+    importance = importance.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs("importance")), "feature")))  # a row for each feature
+    found = contributions(model, rows, folder)
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), col(c).cast("string").alias("value")) for c in features]))
+    order = Window.partitionBy(ID).orderBy(F.desc(F.abs("contribution")), "feature")  # a row for each feature
+    way = F.when(F.col("contribution") > 0, "raises").when(F.col("contribution") < 0, "lowers").otherwise("leaves")
+    local = found.join(rows.select(ID, cells), [ID, "feature"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    local = local.select(ID, "rank", "feature", "value", "contribution", way.alias("direction"), "output", "base")
+    short = F.when(F.col("value").isNull(), "missing").when(F.length("value") > 24, F.concat(F.substring("value", 1, 21), F.lit("..."))).otherwise(F.col("value"))
+    part = F.concat(F.lit("'"), "feature", F.lit("' = "), short, F.lit(" "), "direction", F.format_string(" it by %.4f", F.abs("contribution")))
+    parts = local.where((F.col("rank") <= named) & (F.col("direction") != "leaves")).groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("text")))).alias("parts"))
+    said = model.model.transform(rows).select(ID, F.col("prediction"))
+    told = F.get(F.array(*map(F.lit, model.labels)), F.col("prediction").cast("int")) if model.labels else F.format_string("%.4f", "prediction")
+    scores = local.where("rank = 1").select(ID, "output", "base")
+    sentence = F.concat(F.lit("Predicted "), told, F.format_string(" (%.4f where %.4f is usual)", "output", "base"), F.when(F.col("parts").isNotNull(), F.concat(F.lit(": "), F.array_join(F.col("parts.text"), "; "))).otherwise(F.lit("")), F.lit("."))
+    sentences = said.join(scores, ID).join(parts, ID, "left").select(ID, sentence.alias("sentence"))
+    exact = isinstance(model.model.stages[-1], SoftmaxBoostingModel) or hasattr(model.model.stages[-1], "trees")
+    return Explanation(f"permutation importance + {'tree' if exact else 'kernel'} Shapley values", importance.select("rank", "feature", "importance", "std"), local.drop("output", "base"), sentences)

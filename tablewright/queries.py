@@ -834,6 +834,41 @@ def rated_customers(spark, sf_dir) -> DataFrame:
     return c.select("c_acctbal", "c_nationkey", "c_mktsegment", F.when(F.col("c_acctbal") > 4000, "high").otherwise("low").alias("rating"))
 
 
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity * l_extendedprice, 2) AS total, false AS estimated FROM lineitem")
+def reconciled_estimates(spark, sf_dir):
+    """Estimates give way to what an identity says."""
+    line = read(spark, sf_dir, "lineitem")
+    gap = F.col("l_linenumber") == 2
+    df = line.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.when(gap, 1.0).otherwise(F.col("l_quantity") * F.col("l_extendedprice")).alias("total"), gap.alias("_gap"))
+    rule = relations.Identity("total", "l_quantity", "l_extendedprice", "*", 0, 1.0)
+    return repair.reconcile(df, [rule], {"total": "_gap"})[0].select("l_orderkey", "l_linenumber", F.round("total", 2).alias("total"), F.col("_gap").alias("estimated"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '{repair.MARKER}' ELSE text END AS text FROM documents")
+def marked_gaps(spark, sf_dir):
+    """Gaps in free text get a mark, not an estimate."""
+    worker = repair.Repairer(read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text")))
+    worker.auto_repair(duplicates=False, derive=False)
+    return worker.df
+
+
+@query(f"SELECT event_id, event_type, round(value, 6) AS value FROM {GAPPY} g")
+def undone_repairs(spark, sf_dir):
+    worker = repair.Repairer(gappy_events(spark, sf_dir))
+    worker.impute_missing("value", "mean").impute_missing("event_type", "mode").scale_numeric("value")
+    for _ in worker.log[:]:
+        worker.revert()
+    return worker.df.select("event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_tax - min(l_tax) OVER ()) / (max(l_tax) OVER () - min(l_tax) OVER ()), 6) AS l_tax FROM lineitem")
+def previewed_scale(spark, sf_dir):
+    """A preview leaves the table as it is."""
+    worker = repair.Repairer(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_tax"))
+    shown = worker.preview("scale_numeric", column="l_tax", method="minmax")
+    return shown.select("l_orderkey", "l_linenumber", F.round("l_tax", 6).alias("l_tax"))
+
+
 @query()
 def train_model(spark, sf_dir):
     model = learn.train(rated_customers(spark, sf_dir), "rating")

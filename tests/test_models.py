@@ -215,6 +215,24 @@ def test_kernel_is_enumeration_of_few_features(trained):
         assert found[f].contribution == pytest.approx(exact, abs=1e-6)
 
 
+def test_explanations_name_the_largest_parts(trained, tmp_path):
+    rows = trained.test.limit(6).persist()
+    found = shapley.explain(trained, rows, f"file://{tmp_path}", top=2, named=1, repeats=2)
+    parts = {}
+    for r in shapley.tree_contributions(trained, rows.dropDuplicates([learn.ID]), f"file://{tmp_path}").collect():
+        parts.setdefault(r[learn.ID], []).append((-abs(r.contribution), r.feature, r.contribution))
+    local, held = found.local.collect(), {r[learn.ID]: r for r in rows.collect()}
+    assert len(local) == 2 * len(parts) and [r.rank for r in found.importance.orderBy("rank").collect()] == [1, 2, 3, 4]
+    for r in local:
+        _, feature, contribution = sorted(parts[r[learn.ID]])[r.rank - 1]
+        assert (r.feature, r.direction) == (feature, "raises" if contribution > 0 else "lowers") and r.contribution == pytest.approx(contribution)
+        assert r.value == str(held[r[learn.ID]][feature])
+    for r in found.sentences.collect():
+        _, feature, contribution = sorted(parts[r[learn.ID]])[0]
+        assert r.sentence.startswith("Predicted ") and f"'{feature}' = " in r.sentence and f"by {abs(contribution):.4f}." in r.sentence
+    assert "tree" in found.method
+
+
 def test_drawn_coalitions_are_pairs():
     masks, weights = shapley.coalitions_of(20, most=200)
     held = {m.tobytes(): w for m, w in zip(masks, weights)}

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from tablewright.llm import language_id, license_scan, packing
 
@@ -121,6 +122,55 @@ def test_licences_against_all_windows():
     assert confirmed > 20
 
 
+def plain_winners(scanner, templates, text, words, a, b):
+    """Confirmed (licence, start, end, missing, extra) of a block: all templates are compressed and aligned, the most bytes saved win, then what is left."""
+    if not any(w.startswith("licens") or w == "copyright" for w in words[a:b]):
+        return []
+    block = text.between(a, b).encode()
+    plain = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
+    best = None
+    for k, (name, template) in enumerate(templates):
+        known = zstandard.ZstdCompressionDict(template.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        saved = len(plain.compress(block)) - len(zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=known).compress(block))
+        places = plain_places(scanner, k, words[a:b])
+        if places and (best is None or saved > best[0]):
+            best = (saved, k, places)
+    if best is None:
+        return []
+    taken, found = [False] * (b - a), []
+    for start, end, missing, extra in sorted(best[2], key=lambda p: (license_scan._MISSING * p[2] + p[3], p[1])):
+        if not any(taken[start:end]):
+            taken[start:end] = [True] * (end - start)
+            found.append((templates[best[1]][0], a + start, a + end, missing, extra))
+    edges = [a, *sorted(at for f in found for at in f[1:3]), b]
+    return found + [f for i in range(0, len(edges), 2) for f in plain_winners(scanner, templates, text, words, edges[i], edges[i + 1])]
+
+
+def test_the_best_saving_among_all_templates_wins(monkeypatch):
+    """Two wordings fit one place; what the compressor saves chooses between them, and no other order gives these results."""
+    templates = [*TEMPLATES, ("PART", "under the first open license"), ("PART", "under the second open license")]
+    scanner = license_scan.Scanner(templates)
+    draw = random.Random(23)
+    texts = []
+    for _ in range(40):
+        words = []
+        for _ in range(draw.randrange(1, 4)):
+            words += [draw.choice("pqrstu") * 3 for _ in range(draw.randrange(1, 9))] + draw.choice(templates)[1].split()
+        texts.append("".join(w + draw.choice([" ", "\n"]) for w in words))
+
+    def winners(text):
+        return sorted((m.license, m.begin, m.end, m.n_missing, m.n_extra) for m in scanner.scan(text) if m.confirmed)
+
+    wanted = []
+    for text in texts:
+        held = license_scan.Text(text, scanner.cue, scanner.number)
+        wanted.append(sorted(f for a, b in held.blocks(scanner.reach) for f in plain_winners(scanner, templates, held, held.words, a, b)))
+    assert [winners(t) for t in texts] == wanted and sum(map(len, wanted)) > 40
+    rank = scanner.rank
+    monkeypatch.setattr(scanner, "rank", lambda block: rank(block)[::-1])
+    assert [winners(t) for t in texts] != wanted
+
+
 # --- 7: BM25
 
 

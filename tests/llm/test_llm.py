@@ -133,6 +133,46 @@ def test_licences_side_by_side_and_alike(spark):
     assert {r.doc_id for r in got if not r.confirmed} >= {5, 6}
 
 
+def test_short_notices_and_tags(spark):
+    cases = [
+        ("Distributed under the MIT License.", ["MIT"]),
+        ("SPDX-License-Identifier: MIT", ["MIT"]),
+        ("/* SPDX-License-Identifier: Apache-2.0 OR MIT */", ["Apache-2.0", "MIT"]),
+        ("# SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause\ntext", ["BSD-3-Clause", "GPL-2.0"]),
+        ("SPDX-License-Identifier: MIT-Modern-Variant", []),
+        ("SPDX-License-Identifier:", []),
+        ("Licensed under the Apache License 2.0", ["Apache-2.0"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+        ("This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        ("GNU General Public License, version 2 or later", ["GPL-2.0"]),
+        ("The GNU General Public License, version 2 was published in 1991.", []),
+        ("Released under the MIT License. SPDX-License-Identifier: ISC\nReleased under the MIT License.", ["ISC", "MIT", "MIT"]),
+    ]
+    got = license_scan.scan_licenses(table(spark, [text for text, _ in cases])).collect()
+    assert [sorted(r.license for r in got if r.confirmed and r.doc_id == i) for i in range(len(cases))] == [names for _, names in cases]
+    assert [r.license for r in got if r.doc_id == 4] and all(0 <= r.saving <= 1 for r in got if r.confirmed)
+
+
+def test_licences_on_awkward_tables(spark):
+    """Repeated rows, null and extreme numbers, and a very long text that is judged in parts."""
+    notice = "Released under the MIT License."
+    long = " ".join(["no such words here"] * 20_000) + f" {notice} " + " ".join(["nor here"] * 20_000)
+    ids = [1, 1, None, -(2**63), 2**63 - 1, 5]
+    got = license_scan.scan_licenses(table(spark, [notice, notice, notice, notice, notice, long], ids)).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.license, r.confirmed) for r in got)) == sorted((i is None, i or 0, "MIT", True) for i in ids)
+
+
+def test_long_blocks_are_judged_in_parts(monkeypatch):
+    draw = random.Random(3)
+    scanner = license_scan.Scanner()
+    notices = [text for name, text in license_scan.TEMPLATES if name in ("MIT", "Apache-2.0", "ISC") and not text.startswith(license_scan.TAG)]
+    text = "\n".join(w for _ in range(60) for w in [draw.choice(notices), "and some words of prose " * draw.randrange(1, 9)])
+    sure = lambda: [(m.license, m.line, m.n_missing) for m in scanner.scan(text) if m.confirmed]
+    whole = sure()
+    monkeypatch.setattr(license_scan, "LONGEST", 3 * scanner.reach)
+    assert len(whole) == 60 and sure() == whole
+
+
 # --- 3
 
 

@@ -4,14 +4,17 @@ Words are runs outside white space after lower-casing A-Z; shingles are five
 words, and a shorter text is one shingle.  A document holds an item when it has
 at least ``share`` of the item's distinct shingles.
 
-Items are partitioned by size.  An item of n distinct shingles must share
-c = ceil(share * n) of them, so among any n - c + 1 of its shingles at least one
-lies in every document that holds it.  The partition of size n therefore keeps
-the n - c + 1 smallest hashes of each item, its bottom-k MinHash sketch, and no
-document can be missed, however much longer it is than the item.  Documents
-are probed with the hashes of all their shingles; a document in which an item's
-sketch is met, and which is large enough, is a candidate.  Candidates are
-verified by the exact intersection of the shingles themselves.
+An item of n distinct shingles must share c = ceil(share * n) of them, so among any
+n - c + 1 of its shingles at least one lies in every document that holds it.  The
+n - c + 1 smallest hashes of each item, its bottom-k MinHash sketch, are kept, and no
+document can be missed, however much longer it is than the item.  Items are
+partitioned by size, a partition for each power of two of c.  Documents are probed with the
+hashes of all their shingles, in the partitions whose items are not too large for
+them; a document that meets a sketch is a candidate.  Candidates are verified by
+the exact intersection of the shingles themselves.
+
+Texts are only sent on where a bitmap of the candidates' places, of the same size for
+every table, lets them through; it lets all candidates through.
 
 Null texts have no shingles and hold nothing; an item without words is held by
 nothing.  Repeated items and rows are judged each.  Everything here is DataFrame
@@ -28,8 +31,10 @@ from .shared import SPACE, written
 
 #: Sketch hashes up to which they are broadcast (about 24 bytes each); beyond, the probe is a shuffle join.
 BROADCAST_HASHES = 1_000_000
-#: Candidates of one item are spread over so many keys when item texts are shuffled.
+#: Rows of one item, or probes of one hash, are spread over so many keys when they are shuffled.
 ITEM_SALTS = 32
+#: Buckets of a bitmap (fixed by Spark: 32,768 bits each); 2 MB, which is broadcast.
+BUCKETS, BUCKET_BITS = 512, 32_768
 
 
 def words(text: Column) -> Column:
@@ -50,14 +55,32 @@ def shingles(text: Column, n: int = 5, hashed: bool = False) -> Column:
     return F.transform(F.array(words(text)), of)[0]
 
 
+def size_class(size: Column) -> Column:
+    """The bits of a number: a partition for each power of two."""
+    return F.length(F.bin(size))
+
+
 def item_sketches(items: DataFrame, share: float, n: int) -> DataFrame:
-    """item, shingles (distinct), needed, and sketch: the smallest hashes of its size partition's number."""
+    """item, shingles (distinct), needed, the partition of that size, and sketch: the smallest hashes, of which one is met by all that hold the item."""
     # Strings and hashes come in the same order, so the distinct ones pair up.
     sized = items.select("item", F.array_distinct(shingles(F.col("text"), n)).alias("shingles"), F.array_sort(F.array_distinct(shingles(F.col("text"), n, hashed=True))).alias("hashes"))
     sized = sized.where(F.size("shingles") > 0)
     needed = F.ceil(F.size("shingles") * F.lit(share) - 1e-9).cast("int")
-    sized = sized.withColumn("needed", F.greatest(F.lit(1), needed)).withColumn("partition", F.size("shingles") - F.col("needed") + 1)
-    return sized.select("item", "shingles", "needed", "partition", F.slice("hashes", 1, F.col("partition")).alias("sketch"))
+    sized = sized.withColumn("needed", F.greatest(F.lit(1), needed))
+    return sized.select("item", "shingles", "needed", size_class(F.col("needed")).alias("partition"), F.slice("hashes", 1, F.size("shingles") - F.col("needed") + 1).alias("sketch"))
+
+
+def among(rows: DataFrame, wanted: DataFrame, *columns: str, others: bool = False) -> DataFrame:
+    """Rows whose ``columns`` occur in ``wanted``, and some that share a bit with one of those; or else the others, of which none occurs.
+
+    ``wanted`` becomes one bitmap of ``BUCKETS`` buckets at most, however many rows it has.
+    """
+    bit = F.pmod(F.xxhash64(*columns), F.lit(BUCKETS * BUCKET_BITS)) + 1
+    maps = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    return rows.join(F.broadcast(maps), (F.bitmap_bucket_number(bit) == F.col("_bucket")) & is_set, "left_anti" if others else "left_semi")
 
 
 def find_contained(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, n: int = 5) -> DataFrame:
@@ -65,16 +88,21 @@ def find_contained(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, n:
     source = located(docs)
     items = benchmark.select(F.struct(benchmark["item_id"], F.monotonically_increasing_id().alias("row")).alias("item"), benchmark["text"])
     items = written(item_sketches(items, share, n), "items")
-    sketch = items.select(F.explode("sketch").alias("hash"), "item", "needed")
+    sketch = items.select(F.explode("sketch").alias("hash"), "item", "partition")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(ITEM_SALTS - 1))).alias("salt")
+    salt = F.pmod(F.xxhash64("file", "place"), F.lit(ITEM_SALTS)).cast("int")
+    hashed = source.select("file", "place", shingles(F.col("text"), n, hashed=True).alias("hashes"))
+    probes = hashed.withColumn("largest", size_class(F.size("hashes"))).select("file", "place", "largest", F.explode("hashes").alias("hash"))
     if sketch.count() <= BROADCAST_HASHES:
-        sketch = F.broadcast(sketch)
-    probes = source.select("file", "place", F.explode(shingles(F.col("text"), n, hashed=True)).alias("hash"))
-    candidates = written(probes.join(sketch, "hash").select("file", "place", "item").distinct(), "candidates")
+        met = probes.join(F.broadcast(sketch), "hash")
+    else:
+        met = among(probes, sketch, "hash").withColumn("salt", salt).join(sketch.select("*", salts).hint("merge"), ["hash", "salt"])
+    candidates = written(met.where("partition <= largest").select("file", "place", "item").distinct(), "candidates")
     # The same plan at every size: texts are dealt by their place, never by a list that is sent everywhere.
-    held = source.join(candidates.select("file", "place").distinct().hint("merge"), ["file", "place"]).select("doc_id", "file", "place", F.array_distinct(shingles(F.col("text"), n)).alias("own"))
-    asked = candidates.withColumn("salt", F.pmod(F.xxhash64("file", "place"), F.lit(ITEM_SALTS)).cast("int"))
-    spread = items.select("item", "shingles", "needed", F.explode(F.sequence(F.lit(0), F.lit(ITEM_SALTS - 1))).alias("salt"))
-    pairs = asked.join(spread, ["item", "salt"]).join(held, ["file", "place"]).where(F.size("own") >= F.col("needed"))
+    places = candidates.select("file", "place").distinct()
+    held = among(source, candidates, "file", "place").join(places.hint("merge"), ["file", "place"]).select("doc_id", "file", "place", F.array_distinct(shingles(F.col("text"), n)).alias("own"))
+    spread = items.select("item", "shingles", "needed", salts)
+    pairs = candidates.withColumn("salt", salt).join(spread, ["item", "salt"]).join(held, ["file", "place"]).where(F.size("own") >= F.col("needed"))
     shared = F.size(F.array_intersect("shingles", "own")).cast("long")
     size = F.size("shingles").cast("long")
     found = pairs.select("doc_id", "file", "place", F.col("item.item_id").alias("item_id"), size.alias("n_item"), shared.alias("n_shared"), "needed")
@@ -94,5 +122,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
         rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
     except AnalysisException:
         return drop_contaminated(written(docs, "documents"), benchmark, **options)
-    gone = find_contained(docs, benchmark, **options).select("file", "place").distinct()
-    return rows.join(gone, ["file", "place"], "left_anti").select("row.*")
+    gone = written(find_contained(docs, benchmark, **options).select("file", "place").distinct(), "contaminated")
+    judged = among(rows, gone, "file", "place").join(gone.hint("merge"), ["file", "place"], "left_anti")
+    return among(rows, gone, "file", "place", others=True).unionByName(judged.select("row", "file", "place")).select("row.*")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablewright.llm import exact_dedup, language_id, license_scan, near_dedup, packing, substring_dedup, suffix_dedup, token_counts, token_files
+from tablewright.llm import decontaminate, exact_dedup, language_id, license_scan, near_dedup, packing, substring_dedup, suffix_dedup, token_counts, token_files
 from tablewright.llm.decontaminate import contamination, drop_contaminated
 from tablewright.llm.registry import vocabulary
 from tablewright.llm.shared import LOWER, UPPER, ship_package
@@ -346,7 +346,11 @@ def shingle_set(text, n):
     return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def test_contained_items(spark, corpus):
+@pytest.mark.parametrize("most,buckets", [(1_000_000, 512), (0, 512), (0, 1), (1_000_000, 1)])
+def test_contained_items(spark, corpus, monkeypatch, most, buckets):
+    """Sketches broadcast and shuffled, with a bitmap that lets few others through and one that is far too small."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", most)
+    monkeypatch.setattr(decontaminate, "BUCKETS", buckets)
     draw = random.Random(5)
     items = [prose(draw, draw.randrange(6, 40), 4000) for _ in range(12)] + ["one two", "", None]
     texts = list(corpus)
@@ -365,6 +369,25 @@ def test_contained_items(spark, corpus):
     assert contamination(table(spark, []), bench).count() == 0 == contamination(table(spark, texts), bench.limit(0)).count()
 
 
+def test_bitmaps_lose_nothing(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.col("id").alias("a"), F.md5(F.col("id").cast("string")).alias("b"))
+    wanted = rows.where("a % 7 = 0")
+    held = {r.a for r in decontaminate.among(rows, wanted, "a", "b").collect()}
+    others = {r.a for r in decontaminate.among(rows, wanted, "a", "b", others=True).collect()}
+    assert held >= set(range(0, 20_000, 7)) and len(held) < 3_000 and held | others == set(range(20_000)) and not held & others
+    monkeypatch.setattr(decontaminate, "BUCKETS", 1)
+    assert {r.a for r in decontaminate.among(rows, wanted, "a", "b").collect()} >= set(range(0, 20_000, 7))
+    assert decontaminate.among(rows, wanted.limit(0), "a", "b").count() == 0
+
+
+def test_repeated_items_and_rows(spark):
+    text, ids = "one two three four five six seven", [3, 3, None, 4]
+    bench = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (5, None)], "item_id long, text string")
+    got = contamination(table(spark, [text, text, text, "else"], ids), bench).collect()
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in got) == sorted((str(d), str(i)) for d in (3, 3, None) for i in (1, 1, 2, None))
+    assert [r.doc_id for r in drop_contaminated(table(spark, [text, text, text, "else"], ids), bench).collect()] == [4]
+
+
 # --- 9
 
 

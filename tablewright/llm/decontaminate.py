@@ -92,8 +92,10 @@ def find_contained(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, n:
     salts = F.explode(F.sequence(F.lit(0), F.lit(ITEM_SALTS - 1))).alias("salt")
     salt = F.pmod(F.xxhash64("file", "place"), F.lit(ITEM_SALTS)).cast("int")
     hashed = source.select("file", "place", shingles(F.col("text"), n, hashed=True).alias("hashes"))
-    # For a plain explode Spark would filter by the size first, and so make the hashes twice; nulls meet nothing below.
-    probes = hashed.withColumn("largest", size_class(F.size("hashes"))).select("file", "place", "largest", F.explode_outer("hashes").alias("hash"))
+    # Spark would filter a plain explode by the array's size, and a size that can be null, and so make the hashes twice or
+    # three times; a null hash meets nothing below.
+    largest = F.coalesce(size_class(F.size("hashes")), F.lit(0))
+    probes = hashed.withColumn("largest", largest).select("file", "place", "largest", F.explode_outer("hashes").alias("hash"))
     if sketch.count() <= BROADCAST_HASHES:
         met = probes.join(F.broadcast(sketch), "hash")
     else:

@@ -42,7 +42,7 @@ class LexicalIndex:
 
     Terms of an eighth of the documents or more have a row of weights for all
     documents; the others have posting lists.  Postings of documents that are used
-    drop out each time that half of those held are used.
+    drop out each time that an eighth of those held are used.
     """
 
     def __init__(self, ids: np.ndarray, offsets: np.ndarray, k1: float = 1.2, b: float = 0.75):
@@ -80,7 +80,7 @@ class LexicalIndex:
         """Take used documents out of rows and postings; what is left keeps its weights."""
         keep = ~used[self.live]
         number = np.cumsum(keep) - 1
-        self.live, self.rows = self.live[keep], self.rows[:, keep]
+        self.live, self.rows = self.live[keep], np.compress(keep, self.rows, 1)  # stays in row order
         stays = keep[self.doc]
         self._hold(self.which[stays], number[self.doc[stays]], self.weight[stays], self.n_terms)
         self.held = len(self.live)
@@ -114,7 +114,7 @@ def order_by_retrieval(ids: np.ndarray, offsets: np.ndarray, window: int) -> np.
     index, used, order = LexicalIndex(ids, offsets), np.zeros(n, bool), []
     seed, filled, following = -1, 0, 0
     while len(order) < n:
-        if 2 * (n - len(order)) < index.held:
+        if 8 * (n - len(order)) < 7 * index.held:
             index.forget(used)
         if seed < 0:
             while used[following]:
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
             tokens += len(flat)
             if tokens >= shard_tokens:
                 yield close()
-        own.forget()
+        # The encoder keeps its chunks, whose number is bounded, for the worker's next task.
         if held:
             yield close()
 

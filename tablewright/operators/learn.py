@@ -24,6 +24,8 @@ from .mutate import Mutator, kth_draws, numbered, numbered_by_draw
 from .repair import encode
 
 LEAST_ROWS, TEST_SHARE, MOST_CLASSES, MOST_LEVELS = 20, 0.2, 10, 1000
+#: Rows that one task of a training reads at most, on average.  A forest of 100 trees keeps about 500 bytes for each.
+TASK_ROWS = 50_000
 ID = "_row"
 
 
@@ -32,6 +34,15 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return df.withColumn(ID, F.xxhash64(*[col(c) for c in df.columns]))
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Rows dealt out evenly to tasks of ``TASK_ROWS``, however files hold them; as they are if there are no more than that.
+
+    Small columns make small files, which a task or two read whole, and a training
+    would go over all rows in these tasks, again and again.
+    """
+    return df.repartition(math.ceil(rows / TASK_ROWS)) if rows > TASK_ROWS else df
+
+
 def task_of(df: DataFrame, target: str) -> str:
     kind = df.schema[target].dataType
     if isinstance(kind, (T.StringType, T.BooleanType)):
@@ -160,8 +171,10 @@ def labelled(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list[str
 def train(df: DataFrame, target: str, seed: int = 42, trees: int = 100, names: list[str] | None = None) -> Trained:
     """Fit the candidates (or those named) and keep the best by f1, or by rmse.  ``trees`` sizes the ensembles."""
     df = with_row_id(df.where(col(target).isNotNull()))
-    if df.limit(LEAST_ROWS).count() < LEAST_ROWS:
+    rows = df.count()
+    if rows < LEAST_ROWS:
         raise ValueError(f"at least {LEAST_ROWS} labelled rows are needed")
+    df = spread(df, rows).persist()
     task = task_of(df, target)
     numeric, categorical = feature_kinds(df, target)
     ready, classes = labelled(as_features(df, numeric, categorical, [target, ID]), target, task)
@@ -182,7 +195,7 @@ def train(df: DataFrame, target: str, seed: int = 42, trees: int = 100, names: l
         found[name], scores[name] = model, m
         better = best is None or (m["f1"] > scores[best]["f1"] if task == "classification" else m["rmse"] < scores[best]["rmse"])
         best = name if better else best
-    for kept in (ready, vectors, held):
+    for kept in (df, ready, vectors, held):
         kept.unpersist()
     return Trained(task, target, best, PipelineModel([*prepared.stages, found[best]]), numeric, categorical, classes, scores[best], scores, test)
 

@@ -330,3 +330,17 @@ def test_renames_of_wide_tables(spark):
     assert ("none", "void", 1.0) in compare.renamed_columns(left, right, "id") and ("none", "void", 1.0) not in compare.renamed_columns(left, right.where("id > 0"), "id")
     partly = left.select("id", F.when(F.col("id") % 20 > 0, F.col("a0")).otherwise(F.col("a0") + 50_000).alias("z"))
     assert [(a, b, round(s, 2)) for a, b, s in compare.renamed_columns(left.select("id", "a0"), partly)] == [("a0", "z", 0.91)] or compare.renamed_columns(left.select("id", "a0"), partly, least=0.8)
+
+
+@pytest.mark.parametrize("rows", [400, 100])
+def test_training_deals_rows_of_one_file_to_tasks(spark, monkeypatch, rows):
+    """A table that one task reads is trained by tasks of bounded size; the rows and their split stay the same."""
+    monkeypatch.setattr(learn, "TASK_ROWS", 100, raising=False)
+    df = spark.range(rows).selectExpr("id % 97 AS a", "id AS b", "CASE WHEN id % 97 > 40 THEN 'high' ELSE 'low' END AS y").coalesce(1)
+    model = learn.train(df, "y", trees=3, names=["random_forest"])
+    assert model.test.rdd.getNumPartitions() == math.ceil(rows / 100)
+    most = max(model.test.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect())
+    assert most < 0.2 * 100 + 25
+    keyed = learn.with_row_id(df)
+    held = {r.b for r in learn.split(keyed, "y", "classification")[1].collect()}
+    assert {int(r.b) for r in model.test.collect()} == held and len(held) == round(0.2 * rows)

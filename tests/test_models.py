@@ -344,3 +344,14 @@ def test_training_deals_rows_of_one_file_to_tasks(spark, monkeypatch, rows):
     keyed = learn.with_row_id(df)
     held = {r.b for r in learn.split(keyed, "y", "classification")[1].collect()}
     assert {int(r.b) for r in model.test.collect()} == held and len(held) == round(0.2 * rows)
+
+
+def test_importance_is_the_same_of_dealt_rows(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id % 97 AS a", "id % 7 AS b", "CASE WHEN id % 97 > 40 THEN 'high' ELSE 'low' END AS y").coalesce(1)
+    found = []
+    for most in (50_000, 100):
+        monkeypatch.setattr(learn, "TASK_ROWS", most, raising=False)
+        model = learn.train(df, "y", names=["logistic_regression"])
+        found.append((model.test.rdd.getNumPartitions(), {r.feature: r.importance for r in learn.permutation_importance(model, repeats=3).collect()}))
+    assert [parts for parts, _ in found] == [1, 4]
+    assert found[0][1] == pytest.approx(found[1][1], abs=0.03)

@@ -231,7 +231,8 @@ def robustness(df: DataFrame, target: str, mutation: str = "noise", levels: tupl
     ready, features = filled(df, target)
     ready, names = labelled(ready, target, task)
     # Equal rows get numbers of their own, so that shares of the test rows are exact.
-    ready = numbered_by_draw(ready, drawn(col(ID), F.lit(seed)), col(ID), "_place").withColumn(ID, F.col("_place")).drop("_place").persist()
+    ready = numbered_by_draw(ready, drawn(col(ID), F.lit(seed)), col(ID), "_place").withColumn(ID, F.col("_place")).drop("_place")
+    ready = spread(ready, df.count()).persist()
     fit, test = split(ready, target, "regression", seed)
     usual = fit.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(features)]).first()
     learner = RandomForestClassifier(numTrees=trees, seed=seed) if task == "classification" else RandomForestRegressor(numTrees=trees, seed=seed)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import random
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -136,6 +138,17 @@ def regression_metrics(predictions: DataFrame) -> DataFrame:
     return predictions.agg(F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"), (1 - F.try_divide(F.sum(gap * gap), F.var_pop("label") * F.count("label"))).alias("r2"))
 
 
+def scored(predictions: DataFrame, task: str, classes: int) -> dict[str, float]:
+    """All metrics of a model; its predictions are made once."""
+    binary = task == "classification" and classes == 2
+    out = predictions.select("label", "prediction", *["rawPrediction"] * binary).persist()
+    found = (class_metrics(out, classes) if task == "classification" else regression_metrics(out)).first().asDict()
+    if task == "classification":
+        found["roc_auc"] = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(out) if binary else 0.5
+    out.unpersist()
+    return found
+
+
 @dataclass
 class Trained:
     task: str
@@ -169,7 +182,11 @@ def labelled(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list[str
 
 
 def train(df: DataFrame, target: str, seed: int = 42, trees: int = 100, names: list[str] | None = None) -> Trained:
-    """Fit the candidates (or those named) and keep the best by f1, or by rmse.  ``trees`` sizes the ensembles."""
+    """Fit the candidates (or those named) and keep the best by f1, or by rmse.  ``trees`` sizes the ensembles.
+
+    Candidates are fitted at the same time, as the jobs of one leave cores idle
+    between its rounds.
+    """
     df = with_row_id(df.where(col(target).isNotNull()))
     rows = df.count()
     if rows < LEAST_ROWS:
@@ -179,23 +196,26 @@ def train(df: DataFrame, target: str, seed: int = 42, trees: int = 100, names: l
     numeric, categorical = feature_kinds(df, target)
     ready, classes = labelled(as_features(df, numeric, categorical, [target, ID]), target, task)
     ready = ready.persist()
-    fit, test = split(ready, target, task, seed)
+    fit, test = (part.persist() for part in split(ready, target, task, seed))
     # Features are prepared once; all candidates read the same vectors.
     prepared = Pipeline(stages=preparation(numeric, categorical)).fit(fit)
     vectors, held = (prepared.transform(part).select("features", "label").persist() for part in (fit, test))
-    found, scores, best = {}, {}, None
-    for name, learner in candidates(task, len(classes), vectors.count(), seed, trees).items():
-        if names and name not in names:
-            continue
+    learners = candidates(task, len(classes), vectors.count(), seed, trees)
+    learners = {name: learner for name, learner in learners.items() if not names or name in names}
+    held.count()  # stored before candidates read it at once
+
+    def fitted(learner):
         model = learner.fit(vectors)
-        out = model.transform(held)
-        m = (class_metrics(out, len(classes)) if task == "classification" else regression_metrics(out)).first().asDict()
-        if task == "classification":
-            m["roc_auc"] = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(out) if len(classes) == 2 else 0.5
+        return model, scored(model.transform(held), task, len(classes))
+
+    found, scores, best = {}, {}, None
+    with ThreadPool(max(1, len(learners))) as pool:
+        each = pool.map(inheritable_thread_target(df.sparkSession)(fitted), learners.values(), 1)
+    for name, (model, m) in zip(learners, each):
         found[name], scores[name] = model, m
         better = best is None or (m["f1"] > scores[best]["f1"] if task == "classification" else m["rmse"] < scores[best]["rmse"])
         best = name if better else best
-    for kept in (df, ready, vectors, held):
+    for kept in (df, ready, fit, test, vectors, held):
         kept.unpersist()
     return Trained(task, target, best, PipelineModel([*prepared.stages, found[best]]), numeric, categorical, classes, scores[best], scores, test)
 
@@ -282,7 +302,8 @@ def permutation_importance(model: Trained, rows: int | None = None, repeats: int
     the model.
     """
     features = model.numeric + model.categorical
-    sample = numbered_by_draw(model.test, drawn(col(ID), F.lit(seed)), col(ID), "_place")
+    test = model.test.persist()  # all rows of the table are read and split to get them
+    sample = numbered_by_draw(test, drawn(col(ID), F.lit(seed)), col(ID), "_place")
     sample = (sample if rows is None else sample.where(F.col("_place") < rows)).persist()
     count = sample.count()
     draw = random.Random(seed)
@@ -303,6 +324,7 @@ def permutation_importance(model: Trained, rows: int | None = None, repeats: int
     value = F.avg((gap == 0).cast("double")) if model.task == "classification" else 1 - F.try_divide(F.sum(gap * gap), F.var_pop("label") * F.count("label"))
     scores = out.agg(value.alias("s")).collect()  # a row for each feature and repeat
     sample.unpersist()
+    test.unpersist()
     base = next((r.s for r in scores if r._feature < 0), None) or 0.0
     found = []
     for f, name in enumerate(features):

@@ -3,6 +3,7 @@
 import dataclasses
 import itertools
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -355,3 +356,37 @@ def test_importance_is_the_same_of_dealt_rows(spark, monkeypatch):
         found.append((model.test.rdd.getNumPartitions(), {r.feature: r.importance for r in learn.permutation_importance(model, repeats=3).collect()}))
     assert [parts for parts, _ in found] == [1, 4]
     assert found[0][1] == pytest.approx(found[1][1], abs=0.03)
+
+
+def test_candidates_are_fitted_at_the_same_time(spark, monkeypatch):
+    """Each waits for the other before it starts; the scores are those of fits one by one."""
+    df = spark.range(200).selectExpr("id % 97 AS a", "CASE WHEN id % 97 > 40 THEN 'high' ELSE 'low' END AS y")
+    alone = {name: learn.train(df, "y", trees=3, names=[name]).scores[name] for name in ("logistic_regression", "random_forest")}
+    every, start = learn.candidates, threading.Barrier(2)
+
+    class Waiting:
+        def __init__(self, learner):
+            self.learner = learner
+
+        def fit(self, rows):
+            start.wait(60)
+            return self.learner.fit(rows)
+
+    monkeypatch.setattr(learn, "candidates", lambda *a: {name: Waiting(each) for name, each in every(*a).items() if name in alone})
+    model = learn.train(df, "y", trees=3)
+    assert model.scores == {name: pytest.approx(found) for name, found in alone.items()}
+
+
+def test_importance_makes_its_test_rows_once(spark):
+    df = spark.range(300).selectExpr("id % 97 AS a", "id % 7 AS b", "CASE WHEN id % 97 > 40 THEN 'high' ELSE 'low' END AS y")
+    model = learn.train(df, "y", names=["logistic_regression"])
+    rows, seen = model.test.count(), spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def passes(_):
+        seen.add(1)
+        return True
+
+    model.test = model.test.where(passes.asNondeterministic()(learn.ID))
+    assert learn.permutation_importance(model, repeats=2).first().feature == "a"
+    assert seen.value == rows and not model.test.storageLevel.useMemory

@@ -144,7 +144,8 @@ def scored(predictions: DataFrame, task: str, classes: int) -> dict[str, float]:
     out = predictions.select("label", "prediction", *["rawPrediction"] * binary).persist()
     found = (class_metrics(out, classes) if task == "classification" else regression_metrics(out)).first().asDict()
     if task == "classification":
-        found["roc_auc"] = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(out) if binary else 0.5
+        # Without bins, whose edges would follow from the number that Spark gives the job's rows.
+        found["roc_auc"] = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", numBins=0).evaluate(out) if binary else 0.5
     out.unpersist()
     return found
 

@@ -390,3 +390,15 @@ def test_importance_makes_its_test_rows_once(spark):
     model.test = model.test.where(passes.asNondeterministic()(learn.ID))
     assert learn.permutation_importance(model, repeats=2).first().feature == "a"
     assert seen.value == rows and not model.test.storageLevel.useMemory
+
+
+def test_area_under_the_curve_is_exact(spark):
+    """Of more different scores than Spark's evaluator has bins."""
+    draw = np.random.default_rng(5)
+    label = draw.integers(0, 2, 3000)
+    score = np.round(label + draw.normal(size=3000), 3)
+    rows = spark.createDataFrame([(float(y), float(s > 0.5), float(s)) for y, s in zip(label, score)], "label double, prediction double, s double").repartition(5)
+    found = learn.scored(VectorAssembler(inputCols=["s", "s"], outputCol="rawPrediction").transform(rows), "classification", 2)
+    gaps = score[label == 1][:, None] - score[label == 0][None]
+    assert found["roc_auc"] == pytest.approx(((gaps > 0) + (gaps == 0) / 2).mean(), abs=1e-12)
+    assert found["accuracy"] == pytest.approx(((score > 0.5) == label).mean())

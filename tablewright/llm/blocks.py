@@ -88,6 +88,11 @@ class Block:
     def answered(self, level: int) -> dict[int, bytes]:
         return self.answers.get(level, {})
 
+    def replies(self, level: int) -> np.ndarray:
+        """The bytes of all replies, in the order in which the items were dealt, without notes."""
+        found = self.answered(level)
+        return np.frombuffer(b"".join(found[b] for b in sorted(found) if b >= 0), np.uint8)
+
 
 def sizes_of(total: int, block_bytes: int | None, bucket_bytes: int, least_buckets: int = LEAST_BLOCKS) -> tuple[int, int]:
     """Numbers of blocks and of buckets for so many bytes of text."""
@@ -116,8 +121,11 @@ class Rounds:
         empty = pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
         return sides.applyInArrow(lambda key, rows, answers: work(Block(rows if rows.num_rows else empty, answers, key[0].as_py(), buckets)), schema)
 
-    def ask(self, questions: Callable[[Block], list[tuple[int, bytes]]], answer: Callable[[list[bytes]], list[bytes]]) -> None:
-        """One round.  ``answer`` gets a bucket's payloads and gives one reply for each; a negative bucket is the block's own note, kept as it is."""
+    def ask(self, questions: Callable[[Block], list[tuple[int, bytes]]], answer: Callable[[list[bytes]], list[bytes]], dear: bool = False) -> None:
+        """One round.  ``answer`` gets a bucket's payloads and gives one reply for each; a negative bucket is the block's own note, kept as it is.
+
+        Tasks of a ``dear`` answer are as many as Spark's shuffle partitions, however few bytes they read.
+        """
         level = self.round
 
         def emit(block: Block) -> pa.Table:
@@ -131,7 +139,11 @@ class Rounds:
             rows = rows.combine_chunks().sort_by([("blk", "ascending")])
             return pa.Table.from_pydict({"bucket": rows.column("bucket"), "blk": rows.column("blk"), "round": rows.column("round"), "payload": answer(rows.column("payload").to_pylist())}, schema=_QUESTION)
 
-        answers = self._over_blocks(emit, QUESTION).groupBy("bucket").applyInArrow(reply, QUESTION)
+        # A union of tables that are dealt alike stays so: later rounds use each round's exchange again, where they made all replies anew.
+        asked = self._over_blocks(emit, QUESTION)
+        if dear:
+            asked = asked.repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
+        answers = asked.groupBy("bucket").applyInArrow(reply, QUESTION).repartition("blk")
         self.answers = answers if self.answers is None else self.answers.union(answers)
         self.round += 1
 
@@ -139,6 +151,11 @@ class Rounds:
         return self._over_blocks(work, schema)
 
 
+def distinct(held: np.ndarray) -> np.ndarray:
+    """The distinct ones of sorted numbers; where nothing else is asked for, np.unique builds a slow table of them."""
+    return held[np.concatenate([[True], held[1:] != held[:-1]])[: len(held)]]
+
+
 def note_bucket(block: Block) -> int:
     """Where a block leaves notes for its own later rounds."""
     return -1 - block.number
@@ -148,7 +165,7 @@ def repeated_elsewhere(payloads: list[bytes]) -> list[bytes]:
     """1 for each 32-bit remainder that two or more blocks hold."""
     held = [unpack(p, np.uint32)[0] for p in payloads]
     every = np.sort(np.concatenate(held))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    twice = distinct(every[1:][every[1:] == every[:-1]])
     found = []
     for own in held:
         at = np.minimum(np.searchsorted(twice, own), max(len(twice) - 1, 0))

@@ -1,9 +1,11 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on awkward tables."""
 
 import hashlib
+import os
 import random
 import re
 import textwrap
+import uuid
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablewright.llm import decontaminate, exact_dedup, language_id, license_scan, near_dedup, packing, substring_dedup, suffix_dedup, token_counts, token_files
+from tablewright.llm import blocks, decontaminate, exact_dedup, language_id, license_scan, near_dedup, packing, substring_dedup, suffix_dedup, token_counts, token_files
 from tablewright.llm.decontaminate import contamination, drop_contaminated
 from tablewright.llm.registry import vocabulary
 from tablewright.llm.shared import LOWER, UPPER, ship_package
@@ -435,6 +437,76 @@ def test_merged_transforms_are_the_sorted_suffixes():
         assert list(flags) == [int(first[x[i : i + 50]] < n) for x, n in zip(s, d) for i in range(len(x) - 49)]
 
 
+class LocalRounds:
+    """Rounds in this process, over blocks of every third text; keeps the questions of each round."""
+
+    def __init__(self, texts, *_):
+        rows = [(i, t or "") for i, t in enumerate(texts)]
+        self.blocks = [pa.table({"doc_id": pa.array([i for i, _ in rows[k::3]], pa.int64()), "text": pa.array([t for _, t in rows[k::3]], pa.string())}) for k in range(3)]
+        self.answers, self.asked = [[] for _ in self.blocks], []
+
+    def block(self, k):
+        columns = dict(zip(("bucket", "round", "payload"), zip(*self.answers[k]))) or {"bucket": [], "round": [], "payload": []}
+        return blocks.Block(self.blocks[k], pa.table({n: pa.array(v) for n, v in columns.items()}), k, 5)
+
+    def ask(self, questions, answer, **_):
+        asked = [(b, k, p) for k in range(3) for b, p in questions(self.block(k))]
+        for bucket in sorted({b for b, _, _ in asked}):
+            own = [(k, p) for b, k, p in asked if b == bucket]
+            for (k, _), reply in zip(own, [p for _, p in own] if bucket < 0 else answer([p for _, p in own])):
+                self.answers[k].append((bucket, len(self.asked), reply))
+        self.asked.append(sum(len(p) for b, _, p in asked if b >= 0))
+
+    def finish(self, work, _):
+        return self, [r for k in range(3) for r in work(self.block(k)).to_pylist()]
+
+
+def local_bytes(monkeypatch, texts):
+    monkeypatch.setattr(suffix_dedup, "Rounds", LocalRounds)
+    rounds, rows = suffix_dedup.remove_earlier_bytes(texts)
+    return rounds, {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
+
+
+@pytest.mark.parametrize("hot", [4096, 2, 0])
+def test_earlier_bytes_of_pieces(corpus, monkeypatch, hot):
+    """Passages of 40 to 90 bytes between chance bytes, in one and in several documents; hot ones go by window."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    draw = random.Random(5)
+    passages = ["".join(draw.choice("abcde ") for _ in range(n)) for n in range(40, 91, 5)]
+    texts = ["".join("".join(draw.choice("abcde ") for _ in range(draw.randrange(3, 40))) + draw.choice(passages) for _ in range(draw.randrange(0, 8))) for _ in range(80)]
+    texts += texts[:5] + [None, "z" * 400, "z" * 90, "ab" * 60, "x" + "ab" * 40]
+    assert local_bytes(monkeypatch, texts)[1] == brute_bytes(list(enumerate(texts)), 50)
+    assert local_bytes(monkeypatch, corpus)[1] == brute_bytes(list(enumerate(corpus)), 50)
+
+
+def test_what_shares_only_anchors_is_not_merged(monkeypatch):
+    """Strings of 30 bytes that very many texts share hold no common string of 50 bytes: their surroundings are not sent."""
+    draw = random.Random(6)
+    phrases = ["".join(draw.choice("abcdefgh") for _ in range(30)) for _ in range(4)]
+    chance = lambda: "".join(draw.choice("abcdefgh") for _ in range(60))
+    texts = [chance() + draw.choice(phrases) + chance() for _ in range(300)]
+    rounds, got = local_bytes(monkeypatch, texts)
+    assert got == brute_bytes(list(enumerate(texts)), 50)
+    assert rounds.asked[2] and not rounds.asked[3]
+
+
+def test_replies_of_a_round_are_made_once(spark, tmp_path):
+    """Later rounds and the result use a round's replies again."""
+    folder = str(tmp_path)
+
+    def answer(payloads):
+        open(f"{folder}/{payloads[0].decode()}-{uuid.uuid4().hex}", "w").close()
+        return payloads
+
+    ship_package(spark)
+    rounds = blocks.Rounds(table(spark, ["a", "b", "c"]), None, 10**6)
+    for level in range(3):
+        rounds.ask(lambda block, level=level: [(0, f"round{level}".encode())], answer, dear=level == 2)
+    got = rounds.finish(lambda block: pa.table({"n": pa.array([len(block.answered(level)) for level in range(3)], pa.int64())}), "n long").collect()
+    assert got and all(r.n == 1 for r in got)
+    assert sorted(f.split("-")[0] for f in os.listdir(folder)) == ["round0", "round1", "round2"]
+
+
 # --- 10
 
 

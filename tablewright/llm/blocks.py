@@ -13,7 +13,7 @@ takes about 20 times a block), and a bucket serves several blocks' worth of text
 so that a payload holds more than one item up to about 50 TB of text.
 
 Later rounds see all earlier answers, and all rounds are one plan, so the texts
-are shuffled once and that exchange is reused.  Nothing is kept outside Spark's
+and each round's answers are shuffled once and these exchanges are reused.  Nothing is kept outside Spark's
 own shuffles, and lost executors are dealt with by its retries.
 """
 

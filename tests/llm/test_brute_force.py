@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -34,6 +35,28 @@ def test_network_is_a_plain_convolution():
     assert np.allclose(network.probabilities(rows), [plain_probabilities(network, r) for r in rows.tolist()], atol=1e-4)
 
 
+def test_pooling_holds_few_sums_and_gives_the_same_bits():
+    """More windows need no more memory for sums; each window's values and places are those of plain sums, in the same order."""
+    network = language_id.ByteNetwork.new(["a", "b"], 64, 4, seed=6)
+    rows = np.random.default_rng(8).integers(0, 256, (4 * language_id.TOGETHER + 5, 64), np.uint8)
+    rows[:, 40:] = 0  # padding, where places tie
+    tops, places = network.pooled(rows, where=True)
+    assert np.array_equal(tops, network.pooled(rows)[0])
+    for kernel, at, lane in zip(network.filters, places, range(0, 16, 4)):
+        valid = 64 - len(kernel) + 1
+        sums = kernel[0][rows[:, :valid]]
+        for j in range(1, len(kernel)):
+            sums = sums + kernel[j][rows[:, j : j + valid]]
+        assert np.array_equal(tops[:, lane : lane + 4], sums.max(1) + network.bias[lane : lane + 4]) and np.array_equal(at, sums.argmax(1))
+    assert network.pooled(rows[:0], where=True)[0].shape == (0, 16)
+    many = np.tile(rows, (40, 1))
+    tracemalloc.start()
+    network.pooled(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < many.size * 4  # the sums of one filter over all windows alone hold this much
+
+
 def test_texts_are_judged_by_all_their_windows():
     draw = random.Random(9)
     network = language_id.ByteNetwork.new(["a", "b"], 16, 2, seed=5)

@@ -42,11 +42,15 @@ def value_bytes(df: DataFrame) -> DataFrame:
     return one.select(F.inline(cells))
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, value (as text) and n, without nulls: one pass and one shuffle for all columns, summed before it."""
+def value_counts(df: DataFrame, columns: list[str] | None = None, places: bool = False) -> DataFrame:
+    """column, value (as text) and n, without nulls: one pass and one shuffle for all columns, summed before it.
+
+    With ``places`` the first column is ``place``, that of the column in ``columns``; by a number, Spark sorts in linear time.
+    """
     columns = columns or df.columns
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns])
-    return df.select(F.explode(cells).alias("cell")).select("cell.*").where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
+    cells = F.array(*[F.struct(F.lit(i).alias("place"), col(c).cast("string").alias("value")) for i, c in enumerate(columns)])
+    counts = df.select(F.explode(cells).alias("cell")).select("cell.*").where(F.col("value").isNotNull()).groupBy("place", "value").agg(F.count("*").alias("n"))
+    return counts if places else counts.select(F.get(F.array(*map(F.lit, columns)), F.col("place")).alias("column"), "value", "n")
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -267,6 +271,19 @@ def category_of(c: ColumnFacts, rows: int) -> str:
     return "high_cardinality" if c.distinct > 100 else "text"
 
 
+def _distinct_and_top(counts: DataFrame, columns: list[str]) -> list[tuple]:
+    """Name, number of values and most frequent value of each column that has any, of counts by place.
+
+    Spark sorts its rows to group such values.  Few columns are expressions of one aggregate without groups, which is not sorted.
+    """
+    best = F.struct((-F.col("n")).alias("m"), "value")
+    if len(columns) > WIDE:
+        return [(columns[r.place], r.d, r.b) for r in counts.groupBy("place").agg(F.count("*").alias("d"), F.min(best).alias("b")).collect()]
+    here = [F.col("place") == i for i in range(len(columns))]
+    one = counts.agg(*[F.struct(F.count_if(x).alias("d"), F.min(F.when(x, best)).alias("b")).alias(f"c{i}") for i, x in enumerate(here)]).first()
+    return [(c, r.d, r.b) for c, r in zip(columns, one) if r.d]
+
+
 def gather_facts(df: DataFrame) -> Facts:
     """Everything that rules over columns ask for; only a few numbers for each column come to the driver."""
     facts = {f.name: ColumnFacts(f.name, f.dataType.simpleString(), isinstance(f.dataType, NUMERIC), isinstance(f.dataType, TEMPORAL), isinstance(f.dataType, T.StringType), isinstance(f.dataType, T.BooleanType)) for f in df.schema.fields}
@@ -275,9 +292,9 @@ def gather_facts(df: DataFrame) -> Facts:
         rows = r.rows
         facts[r["column"]].nulls, facts[r["column"]].null_pct = r.nulls, r.null_pct
     simple = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
-    counts = value_counts(df, simple)
-    for r in counts.groupBy("column").agg(F.count("*").alias("d"), F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("b")).collect():
-        facts[r["column"]].distinct, facts[r["column"]].top, facts[r["column"]].top_n = r.d, r.b.value, -r.b.m
+    counted = simple or df.columns
+    for name, d, top in _distinct_and_top(value_counts(df, simple, places=True), counted):
+        facts[name].distinct, facts[name].top, facts[name].top_n = d, top.value, -top.m
     numbers = numeric_columns(df)
     if numbers and rows:
         for r in numeric_moments(df, numbers).collect():

@@ -112,6 +112,28 @@ def test_duplicate_columns_and_rows(spark):
     assert profile.duplicate_count(df).first().duplicates == 1
 
 
+def test_facts_count_values_by_the_place_of_their_column(spark):
+    """The most frequent values of few columns are found without a sort; odd names, gaps and repeated rows do no harm."""
+    df = spark.createDataFrame([(2, "b", 0.0, None), (10, "a", -0.0, None), (2, "b", 0.0, None), (None, None, float("nan"), None), (10, "a", None, None)], "`a.b` int, `c``d` string, x double, none string").withColumn("list", F.array(F.lit(1)))
+    counts = profile.value_counts(df, ["x", "a.b"], places=True)
+    assert dict(counts.dtypes)["place"] == "int"
+    assert sorted((["x", "a.b"][r.place], r.value, r.n) for r in counts.collect()) == sorted(map(tuple, profile.value_counts(df, ["x", "a.b"]).collect())) == [("a.b", "10", 2), ("a.b", "2", 2), ("x", "-0.0", 1), ("x", "0.0", 2), ("x", "NaN", 1)]
+    plans = []
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("first", "collect"):
+            patch.setattr(type(df), name, lambda self, f=getattr(type(df), name): plans.append(self._jdf.queryExecution().executedPlan().toString()) or f(self))
+        facts = profile.gather_facts(df)
+    top = [p for p in plans if "struct(m" in p]
+    assert top and not any("Sort [" in p for p in top)
+    empty = profile.gather_facts(df.where("false"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(profile, "WIDE", 3)  # more columns are grouped
+        assert str(profile.gather_facts(df)) == str(facts) and str(profile.gather_facts(df.where("false"))) == str(empty)
+    # Of equal counts the smaller text stays.
+    assert {c.name: (c.distinct, c.top, c.top_n) for c in facts.columns.values()} == {"a.b": (2, "10", 2), "c`d": (2, "a", 2), "x": (3, "0.0", 2), "none": (0, None, 0), "list": (0, None, 0)}
+    assert {(c.distinct, c.top) for c in empty.columns.values()} == {(0, None)} and (facts.rows, facts.duplicates, empty.rows) == (5, 1, 0)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "a int, b string")
     assert profile.duplicate_count(df).first().duplicates == 0

@@ -7,7 +7,8 @@ After the stream has taken all that is available, the state is read as a table.
 Each call has a state of its own.
 
 A hit (a row whose digest has others) is compared byte by byte with the row that
-stays.  Should a digest ever stand for different texts, those texts are grouped
+stays; only rows and texts that a bitmap of fixed size takes for hits are
+shuffled.  Should a digest ever stand for different texts, those texts are grouped
 again by their bytes.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty.  Of
@@ -63,7 +64,7 @@ def _keyed_by_stream(rows: DataFrame, folder: str, most_bytes: int) -> DataFrame
         spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", most_bytes).parquet(source)
-        state = stream.groupBy("key").agg(F.max(F.struct("doc_id", "file", "place")).alias("kept"), F.count("*").alias("n"))
+        state = stream.groupBy("key").agg(F.max(F.struct("doc_id", "file", "place", "rest")).alias("kept"), F.count("*").alias("n"))
         state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
         held = spark.read.format("statestore").load(checkpoint)
         names = held.schema["value"].dataType.names
@@ -79,18 +80,28 @@ def label_copies(docs: DataFrame, key_bytes: int = 32, most_bytes: int = 16 << 3
     ``key_bytes`` shortens the state's key (tests use this to bring about
     collisions).  ``most_bytes`` bounds what one micro-batch reads.
     """
+    from .decontaminate import among  # that module imports this one
+
     spark = docs.sparkSession
     source, folder = located(docs), new_folder(docs.sparkSession, "exact-dedup")
     digest = F.unhex(F.sha2(folded(F.col("text")), 256))
-    state = _keyed_by_stream(source.select("doc_id", "file", "place", digest.alias("digest")).withColumn("key", F.substring("digest", 1, key_bytes)), folder, most_bytes)
+    # The key and the rest of its digest, so that no byte of it is kept or sent twice.
+    digests = source.select("doc_id", "file", "place", digest.alias("digest"))
+    state = _keyed_by_stream(digests.select("doc_id", "file", "place", F.substring("digest", 1, key_bytes).alias("key"), F.substring("digest", key_bytes + 1, 32).alias("rest")), folder, most_bytes)
     rows = spark.read.parquet(f"{folder}/rows")
     total = state.agg(F.sum("n")).first()[0] or 0
+    several = state.where(F.col("n") > 1)
     hot = F.col("n") * HOT_PART > total  # at most HOT_PART digests, so they can be broadcast
-    few = F.broadcast(state.where(hot).select("key", "kept", "n"))
-    many = state.where(~hot).select(F.col("key").alias("k"), F.col("kept").alias("kept_b"), F.col("n").alias("n_b"))
-    known = rows.join(few, "key", "left")
-    cold = known.where(F.col("n").isNull()).drop("kept", "n").join(many, F.col("key") == F.col("k")).select("key", "doc_id", "file", "place", "digest", F.col("kept_b").alias("kept"), F.col("n_b").alias("n"))
-    labelled = written(known.where(F.col("n").isNotNull()).select(cold.columns).unionByName(cold), "labelled")
+    few = F.broadcast(several.where(hot).select("key", "kept", "n"))
+    many = several.where(~hot).select(F.col("key").alias("k"), F.col("kept").alias("kept_b"), F.col("n").alias("n_b"))
+    known = among(rows, several, "key").join(few, "key", "left")
+    columns = ["key", "doc_id", "file", "place", "rest", "kept", "n"]
+    cold = known.where(F.col("n").isNull()).drop("kept", "n").join(many, F.col("key") == F.col("k")).withColumns({"kept": F.col("kept_b"), "n": F.col("n_b")}).select(columns)
+    # A row whose digest no other row has is all that the state holds of it, and is sent nowhere.
+    alone = state.where(F.col("n") == 1).select("key", "kept.doc_id", "kept.file", "kept.place", "kept.rest", "kept", "n")
+    labelled = known.where(F.col("n").isNotNull()).select(columns).unionByName(cold).unionByName(alone)
+    kept = F.struct(*[F.col(f"kept.{c}").alias(c) for c in ("doc_id", "file", "place")])
+    labelled = written(labelled.select("key", "doc_id", "file", "place", F.concat("key", "rest").alias("digest"), kept.alias("kept"), "n"), "labelled")
     changed = _disagreeing(source, labelled)
     if changed is None:
         return labelled
@@ -101,9 +112,12 @@ def label_copies(docs: DataFrame, key_bytes: int = 32, most_bytes: int = 16 << 3
 
 def _disagreeing(source: DataFrame, labelled: DataFrame) -> DataFrame | None:
     """Compare the bytes of all hits with the kept rows; rows of the keys that hold different texts, grouped by their bytes."""
+    from .decontaminate import among
+
     at = ["file", "place"]
     hits = labelled.where(F.col("n") > 1).select(*at, "key", "kept", "n", ((F.col("kept.file") == F.col("file")) & (F.col("kept.place") == F.col("place"))).alias("stays"))
-    texts = written(source.select("doc_id", *at, folded(F.col("text")).alias("bytes")).join(hits, at), "hits")
+    # Only texts that a bitmap of the hits' places, of one size for every table, lets through are sent on.
+    texts = written(among(source, hits, *at).select("doc_id", *at, folded(F.col("text")).alias("bytes")).join(hits, at), "hits")
     slices = F.ceil(F.col("n") / GROUP_SLICE).cast("int")
     stays = texts.where("stays").select("key", F.col("bytes").alias("kept_bytes"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
     others = texts.where(~F.col("stays")).select("key", "bytes", F.pmod(F.xxhash64(*at), slices).cast("int").alias("slice"))

@@ -332,6 +332,25 @@ def test_colliding_digests_are_told_apart_by_bytes(spark, corpus):
     assert got == brute_exact(list(enumerate(corpus)))
 
 
+def test_only_rows_and_texts_that_may_be_copies_are_sent(spark, monkeypatch):
+    """Rows and texts are held against a bitmap before they are shuffled, and none is lost: hot groups and others, null texts and numbers."""
+    texts = [f"text {i}" for i in range(300)] + ["copy", "COPY", "copy", None, "", "text 7"]
+    df = table(spark, texts, [*range(304), None, None])
+    want = brute_exact([(i, t) for i, t in enumerate(texts) if i < 299 and i != 7])
+    sent, plain = [], decontaminate.among
+    monkeypatch.setattr(decontaminate, "among", lambda rows, wanted, *c: sent.append((plain(rows, wanted, *c), wanted, c)) or sent[-1][0])
+    got = [exact_dedup.exact_dedup(df).collect()]
+    assert [c for _, _, c in sent] == [("key",), ("file", "place")]
+    assert [(found.count(), found.join(wanted.select(*c).distinct(), [*c]).count()) for found, wanted, c in sent] == [(7, 7), (7, 7)]
+    monkeypatch.setattr(exact_dedup, "HOT_PART", 1)  # no digest is hot
+    monkeypatch.setattr(decontaminate, "BUCKETS", 1)  # and many places share a bit
+    got.append(exact_dedup.exact_dedup(df).collect())
+    for rows in got:
+        assert len(rows) == 306 and want <= {tuple(r) for r in rows}
+        copies = sorted((r.doc_id is None, r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in rows if r.group_size > 1)
+        assert copies == [(False, 7, 7, 2, True), (False, 300, 302, 3, False), (False, 301, 302, 3, False), (False, 302, 302, 3, True), (False, 303, 303, 2, True), (True, 0, 7, 2, False), (True, 0, 303, 2, False)]
+
+
 def test_exact_awkward(spark):
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0
     ids = [5, 5, None, None, 7]
